@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import quality_rules, sharding
+from veritree.llm import chat, language_id, licenses, line_dedup, quality_rules, sharding
 from veritree.llm.common import table
 
 
@@ -17,6 +17,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led, "v1").withColumn("base_failed", base)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+    model = language_id.train(docs.filter("not held_out"))
+    return language_id.identify(docs, model, carry=("doc_id", "held_out"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.cleaned(table(spark, sf_dir, "documents"))
+    return out.select(F.col("__row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("clean_sha256"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -25,7 +46,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_language_id": op3_language_id,
+        "op4_line_dedup": op4_line_dedup,
         "op5_sharding": op5_sharding,
+        "op7_licenses": op7_licenses,
+        "op8_chat": op8_chat,
     }
 
 
@@ -58,7 +83,45 @@ SELECT *, fail_bits & 63 = 0 AS kept, fail_bits & 3 <> 0 AS base_failed FROM b
 """
 
 
+LINE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS site, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), o AS (
+  SELECT doc_id, site, i, l[i] AS raw, regexp_replace(l[i], '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS line,
+    len(list_filter(regexp_split_to_array(l[i], '[\x09-\x0D\x20]+'), lambda w: w <> '')) AS n
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)
+), s AS (
+  SELECT line FROM o WHERE n > 0 GROUP BY line HAVING count(DISTINCT site) >= 5
+), m AS (
+  SELECT o.*, o.n > 0 AND s.line IS NOT NULL AS spread FROM o LEFT JOIN s ON o.line = s.line
+), c AS (
+  SELECT doc_id, count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE spread) AS n_spread,
+    coalesce(sum(n) FILTER (WHERE NOT spread), 0) AS kept_words, sum(n) AS all_words,
+    coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT spread), '') AS rest, string_agg(raw, chr(10) ORDER BY i) AS full_text
+  FROM m GROUP BY doc_id
+)
+SELECT doc_id, n_lines, CASE WHEN 2 * kept_words < all_words THEN 0 ELSE n_spread END AS n_removed,
+  sha256(CASE WHEN 2 * kept_words < all_words THEN full_text ELSE rest END) AS clean_sha256
+FROM c
+"""
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>' || replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": QUALITY_SQL,
+        "op4_line_dedup": LINE_SQL,
+        "op7_licenses": licenses.sql(),
+        "op8_chat": CHAT_SQL,
     }
