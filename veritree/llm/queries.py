@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import chat, language_id, licenses, line_dedup, quality_rules, sharding
+from veritree.llm import bpe, chat, language_id, licenses, line_dedup, quality_rules, sharding
 from veritree.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("clean_sha256"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.public_vocabulary())
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("line_licenses", F.array_join("line_licenses", ","))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_line_dedup": op4_line_dedup,
         "op5_sharding": op5_sharding,
+        "op6_bpe": op6_bpe,
         "op7_licenses": op7_licenses,
         "op8_chat": op8_chat,
     }
