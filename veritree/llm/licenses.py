@@ -10,8 +10,7 @@ Repeated rows are judged alike and kept. Extra columns are ignored unless named
 gives an empty result. Two licences with one canonical form are one digest; the first name stands.
 
 Built-in SQL functions only. Digests are computed in the scan; only (document, line digest) pairs meet
-the known table, whose size is bounded by `MAX_BROADCAST` rows for a broadcast and joined by shuffle
-beyond that. Matches, not texts, are exchanged.
+the known table, which is broadcast up to `MAX_BROADCAST` rows and joined by shuffle beyond that. Matches, not texts, are exchanged.
 """
 
 from __future__ import annotations
@@ -22,10 +21,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm.common import SPACE_CLASS
+from veritree.llm.common import written
 
 #: Known digests up to this many rows (40 MB at most) are broadcast.
 MAX_BROADCAST = 200_000
+#: Up to this many are constants of the plan for the look-up of lines.
+MAX_LITERAL = 1000
 
 # Equivalent spellings and the texts of known licences, as published.
 SPELLINGS: tuple[tuple[str, str], ...] = (
@@ -152,8 +153,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", t
     """key, text_digest, text_license (of the entire text) and line_licenses (sorted names of entire lines), one row per input row."""
     spark = docs.sparkSession
     known = known_table(spark) if known is None else known.select("digest", "name").groupBy("digest").agg(F.min("name").alias("name"))
-    small = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    hint = F.broadcast if small else lambda df: df
+    head = known.limit(MAX_BROADCAST + 1)
+    size = head.count()
+    by_digest = F.broadcast(known) if size <= MAX_BROADCAST else known
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("__text"), F.lit("")), "\n"), canonical_line), lambda x: x != "")
     rows = docs.select(F.struct(F.col(key), *[F.col(c) for c in keep if c != key]).alias("__row"), F.col(text).alias("__text")).withColumn("__lines", lines)
     digests = rows.select(
@@ -161,15 +163,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", t
         F.when(F.size("__lines") > 0, F.md5(F.array_join("__lines", " "))).alias("text_digest"),
         F.array_distinct(F.transform("__lines", lambda x: F.md5(x))).alias("__ds"),
     )
-    whole = digests.join(hint(known.select(F.col("digest").alias("text_digest"), F.col("name").alias("text_license"))), "text_digest", "left")
-    if small:
-        # the known names as one map, itself broadcast as a one-row table: lines need no exchange
-        names = known.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("digest", "name")))).alias("__names"), F.collect_set("digest").alias("__all"))
-        found = whole.join(F.broadcast(names), how="cross").withColumn("__hits", F.array_intersect("__ds", "__all"))
-        lic = F.array_sort(F.array_distinct(F.transform("__hits", lambda d: F.element_at(F.col("__names"), d))))
-        return found.select("__row.*", "text_digest", "text_license", lic.alias("line_licenses"))
-    ided = whole.withColumn("__id", F.monotonically_increasing_id())
-    hits = ided.select("__id", F.explode("__ds").alias("digest")).join(known, "digest").groupBy("__id").agg(F.array_sort(F.collect_set("name")).alias("line_licenses"))
+    whole = digests.join(by_digest.select(F.col("digest").alias("text_digest"), F.col("name").alias("text_license")), "text_digest", "left")
+    if 0 < size <= MAX_LITERAL:
+        # so few digests are constants of the scan itself, and lines need no exchange
+        pairs = known.collect()
+        names = F.create_map(*[F.lit(x) for r in pairs for x in (r["digest"], r["name"])])
+        hits = F.array_intersect("__ds", F.array(*[F.lit(r["digest"]) for r in pairs]))
+        lic = F.array_sort(F.array_distinct(F.transform(hits, lambda d: F.element_at(names, d))))
+        return whole.select("__row.*", "text_digest", "text_license", lic.alias("line_licenses"))
+    ided = written(whole.withColumn("__id", F.monotonically_increasing_id()), "licenses")
+    hits = ided.select("__id", F.explode("__ds").alias("digest")).join(by_digest, "digest").groupBy("__id").agg(F.array_sort(F.collect_set("name")).alias("line_licenses"))
     return ided.join(hits, "__id", "left").select("__row.*", "text_digest", "text_license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
