@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import bpe, chat, language_id, licenses, line_dedup, minhash, quality_rules, sharding
+from veritree.llm import bpe, chat, language_id, licenses, line_dedup, minhash, quality_rules, sharding, suffix_dedup
 from veritree.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_licenses": op7_licenses,
         "op8_chat": op8_chat,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash": op10_minhash,
     }
 
