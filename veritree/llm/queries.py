@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import bpe, chat, language_id, licenses, line_dedup, minhash, quality_rules, sharding, suffix_dedup
+from veritree.llm import bpe, chat, decontamination, language_id, licenses, line_dedup, minhash, quality_rules, sharding, suffix_dedup
 from veritree.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.POLICIES["base"]).cast("long")) != 0
@@ -57,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_language_id": op3_language_id,
         "op4_line_dedup": op4_line_dedup,
