@@ -5,13 +5,431 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "coverage_verdict"
+from veritree.functions import text as names
+from veritree.operators import coverage, duplicates, evidence, inventory, journal
+from veritree.plans import digest
 
+FLAGSHIP = "byte_coverage"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.collection(table(spark, sf_dir, "documents"))
+
+
+FILES = """files AS (
+  SELECT *, CASE WHEN ext IN ('.jpg', '.png') THEN 'picture' WHEN ext IN ('.mp4', '.mkv') THEN 'video' WHEN ext = '.mp3' THEN 'audio' WHEN ext = '.txt' THEN 'document' ELSE 'other' END AS kind,
+    CASE ext WHEN '.jpg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.mp4' THEN 'video/mp4' WHEN '.mkv' THEN 'video/x-matroska' WHEN '.mp3' THEN 'audio/mpeg' WHEN '.txt' THEN 'text/plain' ELSE 'unknown' END AS mime_type,
+    source || '/' || lang || '/doc_' || doc_id || ext AS path
+  FROM (SELECT doc_id, lang, source, text, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256, doc_id * 1000000000 AS modified_ns, doc_id % 11 = 0 AS in_review,
+    ['.jpg', '.png', '.mp4', '.mkv', '.txt', '.mp3', ''][doc_id % 7 + 1] AS ext FROM documents)
+)"""
+
+
+@query(f"""WITH {FILES} SELECT k.kind, count(f.kind) AS files, coalesce(sum(f.size), 0)::BIGINT AS bytes
+FROM (VALUES ('picture'), ('video'), ('audio'), ('document'), ('other')) AS k(kind) LEFT JOIN files f ON f.kind = k.kind GROUP BY k.kind""")
+def inventory_by_kind(spark, sf_dir):
+    return inventory.by_kind(files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT coalesce(nullif(ext, ''), '(none)') AS ext, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
+def inventory_by_extension(spark, sf_dir):
+    return inventory.by_attribute(files(spark, sf_dir), "ext")
+
+
+@query(f"WITH {FILES} SELECT mime_type, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
+def inventory_by_mime(spark, sf_dir):
+    return inventory.by_attribute(files(spark, sf_dir), "mime_type")
+
+
+@query(f"WITH {FILES} SELECT in_review, kind, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1, 2")
+def review_storage(spark, sf_dir):
+    return inventory.review_storage(files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES} SELECT kind, count(*) FILTER (WHERE home) AS organised, count(*) FILTER (WHERE NOT home) AS moves, coalesce(sum(size) FILTER (WHERE NOT home), 0)::BIGINT AS move_bytes
+FROM (SELECT *, starts_with(path, CASE kind WHEN 'picture' THEN 'src0/' ELSE 'src1/' END) AS home FROM files WHERE kind IN ('picture', 'video')) GROUP BY kind""")
+def layout_readiness(spark, sf_dir):
+    return inventory.layout_readiness(files(spark, sf_dir), {"picture": "src0", "video": "src1"})
+
+
+@query(f"WITH {FILES} SELECT kind, size, count(*) AS files, size * (count(*) - 1) AS upper_bound FROM files GROUP BY 1, 2 HAVING count(*) > 1")
+def same_size_candidates(spark, sf_dir):
+    return inventory.same_size_candidates(files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT kind, size, sha256, count(*) AS files, min(path) AS first_path, size * (count(*) - 1) AS duplicate_bytes FROM files GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def exact_byte_duplicates(spark, sf_dir):
+    return inventory.exact_duplicates(files(spark, sf_dir))
+
+
+RANKED = """ranked AS (
+  SELECT size, sha256, path, modified_ns, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY size, sha256 ORDER BY size DESC, modified_ns, lower(path), path)::INTEGER AS rank
+  FROM files WINDOW w AS (PARTITION BY size, sha256) QUALIFY group_size > 1
+)"""
+
+
+@query(f"WITH {FILES}, {RANKED} SELECT size, sha256, path, group_size, rank FROM ranked")
+def keeper_ranking(spark, sf_dir):
+    return duplicates.ranked(files(spark, sf_dir), ascii_paths=True).select("size", "sha256", "path", "group_size", "rank")
+
+
+@query(f"""WITH {FILES}, {RANKED}, g AS (
+  SELECT size, sha256, max(path) FILTER (WHERE rank = 1) AS kept, row_number() OVER (ORDER BY min(path))::INTEGER AS group_no FROM ranked GROUP BY 1, 2
+)
+SELECT r.path AS source, 'dups/set_' || lpad(group_no::VARCHAR, 4, '0') || '/' || regexp_replace(string_split(kept, '/')[-1], '\\.[^.]*$', '') || '_copy(' || (rank - 1) || ')' || regexp_extract(r.path, '(\\.[^./]+)$', 1) AS target,
+  group_no, (rank - 1)::INTEGER AS copy_no, kept FROM ranked r JOIN g USING (size, sha256) WHERE rank > 1""")
+def duplicate_move_plan(spark, sf_dir):
+    return duplicates.move_plan(files(spark, sf_dir), ascii_paths=True)
+
+
+@query(f"""WITH {FILES}, g AS (SELECT size, count(*) AS n FROM files GROUP BY size, sha256)
+SELECT sum(n)::BIGINT AS files, count(*) AS retained, sum(n - 1)::BIGINT AS duplicates, sum(size * (n - 1))::BIGINT AS duplicate_bytes, sum(size * n)::BIGINT AS scanned_bytes, round(100.0 * sum(size * (n - 1))::DOUBLE / sum(size * n)::DOUBLE, 6)::DOUBLE AS scan_percent FROM g""")
+def storage_summary(spark, sf_dir):
+    return inventory.storage_summary(files(spark, sf_dir))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Source: documents without a label; destination: those with one."""
+    f, labels = files(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id")
+    return f.join(labels, "doc_id", "left_anti"), f.join(labels, "doc_id", "left_semi")
+
+
+SIDES = f"""{FILES}, src AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels)), dst AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels)),
+s AS (SELECT size, sha256, count(*) AS sn FROM src GROUP BY 1, 2), d AS (SELECT size, sha256, count(*) AS dn FROM dst GROUP BY 1, 2), j AS (SELECT size, sha256, sn, dn FROM s FULL JOIN d USING (size, sha256))"""
+COVERAGE = """SELECT count(sn) AS source_unique, count(*) FILTER (WHERE sn IS NOT NULL AND dn IS NOT NULL) AS represented, count(*) FILTER (WHERE dn IS NULL) AS missing, count(*) FILTER (WHERE sn IS NULL) AS destination_only,
+  coalesce(sum(size) FILTER (WHERE sn IS NOT NULL), 0)::BIGINT AS source_bytes, coalesce(sum(size) FILTER (WHERE dn IS NULL), 0)::BIGINT AS missing_bytes,
+  coalesce(sum(greatest(sn - dn, 0)) FILTER (WHERE sn IS NOT NULL AND dn IS NOT NULL), 0)::BIGINT AS reduced, coalesce(sum(greatest(dn - sn, 0)) FILTER (WHERE sn IS NOT NULL AND dn IS NOT NULL), 0)::BIGINT AS added,
+  coalesce(sum(sn - 1), 0)::BIGINT AS source_duplicate_copies, coalesce(sum(size * (sn - 1)), 0)::BIGINT AS source_duplicate_bytes,
+  round(CASE WHEN count(sn) = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * count(*) FILTER (WHERE sn IS NOT NULL AND dn IS NOT NULL) / count(sn) END, 6) AS coverage_percent,
+  CASE WHEN count(*) FILTER (WHERE dn IS NULL) > 0 THEN 'incomplete' ELSE 'complete' END AS verdict FROM j"""
+
+
+@query(f"WITH {SIDES} {COVERAGE}")
+def byte_coverage(spark, sf_dir):
+    return coverage.byte_coverage(*sides(spark, sf_dir))
+
+
+@query(f"WITH {SIDES} SELECT path, size, sha256 FROM src WHERE (size, sha256) NOT IN (SELECT (size, sha256) FROM dst)")
+def coverage_missing_files(spark, sf_dir):
+    return coverage.missing_files(*sides(spark, sf_dir)).select("path", "size", "sha256")
+
+
+@query(f"WITH {SIDES} SELECT path, size, sha256 FROM dst WHERE (size, sha256) NOT IN (SELECT (size, sha256) FROM src)")
+def destination_only_files(spark, sf_dir):
+    s, d = sides(spark, sf_dir)
+    return coverage.missing_files(d, s).select("path", "size", "sha256")
+
+
+@query(f"WITH {SIDES} SELECT size, sha256, sn AS source_n, dn AS destination_n, greatest(sn - dn, 0) AS reduced, greatest(dn - sn, 0) AS added FROM j WHERE sn <> dn")
+def multiplicity(spark, sf_dir):
+    return coverage.multiplicity(*sides(spark, sf_dir))
+
+
+def layered_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides with a weaker digest (of the text without case and spacing) and a length bucket."""
+    docs = table(spark, sf_dir, "documents")
+    weak = docs.select("doc_id", F.sha2(names.normalised(F.col("text")), 256).alias("weak"), F.floor(F.length("text") / 1000).cast("int").alias("bucket"))
+    s, d = sides(spark, sf_dir)
+    return s.join(weak, "doc_id"), d.join(weak, "doc_id")
+
+
+WEAK = r"""sw AS (SELECT *, sha256(lower(trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g')))) AS weak, floor(length(text) / 1000)::INTEGER AS bucket FROM src),
+dw AS (SELECT *, sha256(lower(trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g')))) AS weak, floor(length(text) / 1000)::INTEGER AS bucket FROM dst),
+gone AS (SELECT size, sha256, min(weak) AS weak, min(lang) AS lang, min(bucket) AS bucket FROM sw WHERE (size, sha256) NOT IN (SELECT (size, sha256) FROM dst) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SIDES}, {WEAK} SELECT size, sha256, weak IN (SELECT weak FROM dw) AS represented FROM gone")
+def second_layer_coverage(spark, sf_dir):
+    return coverage.second_layer(*layered_sides(spark, sf_dir), "weak")
+
+
+@query(f"WITH {SIDES}, {WEAK} SELECT size, sha256, lang, bucket, EXISTS (SELECT 1 FROM dw WHERE dw.weak = gone.weak AND dw.lang IS NOT DISTINCT FROM gone.lang AND dw.bucket IS NOT DISTINCT FROM gone.bucket) AS represented FROM gone")
+def bucketed_layer_coverage(spark, sf_dir):
+    return coverage.second_layer(*layered_sides(spark, sf_dir), "weak", ("lang", "bucket"))
+
+
+LAYERED = f"""WITH {SIDES}, {WEAK}, k AS (SELECT size, sha256, max(kind IN ('picture', 'video')) AS exact FROM src GROUP BY 1, 2), l AS (
+  SELECT k.size, k.sha256, CASE WHEN dn IS NOT NULL THEN 'bytes' WHEN gone.weak IN (SELECT weak FROM dw) THEN 'weak' WHEN exact THEN 'missing' ELSE 'unsupported' END AS layer
+  FROM k JOIN j USING (size, sha256) LEFT JOIN gone USING (size, sha256))"""
+
+
+@query(f"{LAYERED} SELECT * FROM l")
+def layered_verdict(spark, sf_dir):
+    return coverage.layered(*layered_sides(spark, sf_dir), [("weak", ())])
+
+
+@query(f"""{LAYERED} SELECT count(*) AS identities, count(*) FILTER (WHERE layer = 'bytes') AS by_bytes, count(*) FILTER (WHERE layer = 'missing') AS missing, count(*) FILTER (WHERE layer = 'unsupported') AS unsupported,
+  count(*) FILTER (WHERE layer = 'weak') AS by_other_layers, CASE WHEN count(*) FILTER (WHERE layer = 'unsupported') > 0 THEN 'unproven' WHEN count(*) FILTER (WHERE layer = 'missing') > 0 THEN 'incomplete' ELSE 'complete' END AS verdict FROM l""")
+def preservation_report(spark, sf_dir):
+    return coverage.verdict(coverage.layered(*layered_sides(spark, sf_dir), [("weak", ())]))
+
+
+@query(f"WITH {SIDES.replace('IN (SELECT doc_id FROM labels)), s AS', 'IN (SELECT doc_id FROM labels)), s AS').replace('dst AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels))', 'dst AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels) AND NOT in_review)')} {COVERAGE}")
+def simulate_without_review(spark, sf_dir):
+    s, d = sides(spark, sf_dir)
+    return coverage.byte_coverage(s, d.filter("not in_review"))
+
+
+@query("""WITH a AS (SELECT o_orderkey::VARCHAR AS path, o_orderstatus AS s, o_totalprice AS p FROM orders),
+b AS (SELECT path, s, CASE WHEN path::BIGINT % 97 = 0 THEN p + 1 ELSE p END AS p FROM a WHERE path::BIGINT % 101 <> 0 UNION ALL SELECT '+' || path, s, p FROM a WHERE path::BIGINT % 103 = 0)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'appeared' WHEN b.path IS NULL THEN 'missing' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.s IS DISTINCT FROM b.s OR a.p IS DISTINCT FROM b.p""")
+def stability_diff(spark, sf_dir):
+    key = F.col("path").cast("long")
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
+    b = a.filter(key % 101 != 0).withColumn("p", F.when(key % 97 == 0, F.col("p") + 1).otherwise(F.col("p")))
+    b = b.unionByName(a.filter(key % 103 == 0).withColumn("path", F.concat(F.lit("+"), "path")))
+    return coverage.stability(a, b, ("s", "p"))
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence derived from every third document, in two versions."""
+    f = files(spark, sf_dir).filter("doc_id % 3 = 0")
+    version = F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1")
+    return f.select(F.col("sha256").alias("file_sha256"), F.lit("exact-pixels").alias("evidence_type"), version.alias("algorithm"), F.lit("r1").alias("runtime"), F.concat(F.lit('{"size":'), F.col("size").cast("string"), F.lit("}")).alias("payload_json"))
+
+
+STORE = """store AS (SELECT sha256 AS file_sha256, 'exact-pixels' AS evidence_type, CASE WHEN doc_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS algorithm, 'r1' AS runtime, '{"size":' || size || '}' AS payload_json FROM files WHERE doc_id % 3 = 0)"""
+
+
+@query(f"WITH {FILES}, {STORE}, m AS (SELECT file_sha256, max(payload_json) AS payload_json FROM store WHERE algorithm = 'v2' GROUP BY 1) SELECT path, sha256, payload_json FROM files LEFT JOIN m ON sha256 = file_sha256")
+def evidence_memo_join(spark, sf_dir):
+    return evidence.memo_join(files(spark, sf_dir), store(spark, sf_dir), "exact-pixels", "v2", "r1").select("path", "sha256", "payload_json")
+
+
+@query(f"""WITH {FILES}, {STORE}, seen AS (SELECT sha256 FROM files WHERE doc_id % 5 <> 0), fresh AS (SELECT sha256 FROM files WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0)
+SELECT evidence_type, count(*) AS records, count(DISTINCT (algorithm, runtime)) AS namespaces, count(*) FILTER (WHERE file_sha256 IN (SELECT sha256 FROM seen)) AS linked, count(*) FILTER (WHERE file_sha256 NOT IN (SELECT sha256 FROM seen)) AS unlinked,
+  count(*) FILTER (WHERE file_sha256 IN (SELECT sha256 FROM fresh)) AS current FROM store GROUP BY 1""")
+def evidence_status(spark, sf_dir):
+    f = files(spark, sf_dir)
+    state = f.select("doc_id", "path", "sha256", F.lit(1).alias("device"), F.col("doc_id").alias("inode"), "size", "modified_ns", F.col("modified_ns").alias("changed_ns"))
+    seen = state.filter("doc_id % 5 <> 0").withColumnsRenamed({"path": "relative_path", "sha256": "byte_sha256"})
+    now = state.withColumn("changed_ns", F.when(F.col("doc_id") % 4 == 0, F.col("changed_ns") + 1).otherwise(F.col("changed_ns"))).drop("doc_id", "sha256")
+    return evidence.status(store(spark, sf_dir), seen, now)
+
+
+@query(f"""WITH {FILES}, {STORE}, u AS (SELECT *, 1 AS version FROM store UNION ALL SELECT file_sha256, evidence_type, algorithm, runtime, '{{"again":true}}', 2 FROM store WHERE file_sha256 < '8')
+SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY file_sha256, evidence_type, algorithm, runtime ORDER BY version DESC, payload_json DESC) = 1""")
+def evidence_upsert(spark, sf_dir):
+    old = store(spark, sf_dir).withColumn("version", F.lit(1))
+    new = store(spark, sf_dir).filter("file_sha256 < '8'").withColumn("payload_json", F.lit('{"again":true}')).withColumn("version", F.lit(2))
+    return evidence.upsert(old, new, "version")
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    path = F.col("doc_id").cast("string").alias("path")
+    one = labels.filter("toxic = 1").select(path, F.lit("error").alias("severity"), F.lit("toxic").alias("code"))
+    two = labels.filter("quality = 0").select(path, F.lit("warning").alias("severity"), F.lit("low-quality").alias("code"))
+    three = table(spark, sf_dir, "documents").filter(F.col("n_chars") < 500).select(path, F.lit("info").alias("severity"), F.lit("short").alias("code"))
+    return one.unionByName(two).unionByName(three)
+
+
+FINDINGS = """f AS (SELECT doc_id::VARCHAR AS path, 'error' AS severity, 'toxic' AS code FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id::VARCHAR, 'warning', 'low-quality' FROM labels WHERE quality = 0
+UNION ALL SELECT doc_id::VARCHAR, 'info', 'short' FROM documents WHERE n_chars < 500)"""
+
+
+@query(f"WITH {FINDINGS} SELECT severity, code, count(*) AS findings, count(DISTINCT path) AS paths FROM f GROUP BY 1, 2")
+def findings_rollup(spark, sf_dir):
+    return journal.findings_rollup(findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS} SELECT health, count(*) AS files FROM (SELECT path, CASE max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'healthy' END AS health FROM f GROUP BY path) GROUP BY 1")
+def file_health(spark, sf_dir):
+    return journal.file_health(findings(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT coalesce(nullif(ext, ''), '(none)') AS ext, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1 ORDER BY files DESC, lower(coalesce(nullif(ext, ''), '(none)')) LIMIT 12")
+def top_extensions(spark, sf_dir):
+    return inventory.top_extensions(files(spark, sf_dir))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(string_split(url, '/')[-1], '^(.*1|[^/]?2.*)$')")
+def glob_ignore(spark, sf_dir):
+    return inventory.ignored(table(spark, sf_dir, "pages"), "url", ["*1", "?2*", "2*"]).select("page_id", "url")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp FROM events""")
+def timestamp_from_name(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    bad = F.concat(F.lit("IMG_20231341_"), F.lit("250000.jpg"))
+    name = F.when(F.col("event_id") % 5 == 0, bad).when(F.col("event_id") % 2 == 0, F.date_format("ts", "'IMG_'yyyyMMdd'_'HHmmss'.jpg'")).otherwise(F.date_format("ts", "'scan 'yyyy-MM-dd HH.mm.ss'.png'"))
+    return e.select("event_id", names.timestamp_from_name(name).alias("stamp"))
+
+
+@query(f"""WITH {FILES} SELECT kind, path, row_number() OVER (PARTITION BY kind ORDER BY doc_id % 4 = 0, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE modified_ns % 1000000007 END, lower(path), path)::INTEGER AS sequence FROM files""")
+def rename_sequence(spark, sf_dir):
+    f = files(spark, sf_dir).withColumn("stamp", F.when(F.col("doc_id") % 4 != 0, F.col("modified_ns") % 1000000007))
+    return duplicates.rename_sequence(f).select("kind", "path", "sequence")
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a journal: a run per conversation, turns as sequence numbers; the role tells the event, every seventh fifth turn commits."""
+    event = F.when(F.col("turn") == 0, "started").when((F.col("turn") == 4) & (F.col("conv_id") % 7 != 0), "committed").when(F.col("role") == "user", "planned").otherwise("completed")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), event.alias("event"))
+
+
+RUNS = """e AS (SELECT conv_id AS run_id, turn AS seq, CASE WHEN turn = 0 THEN 'started' WHEN turn = 4 AND conv_id % 7 <> 0 THEN 'committed' WHEN role = 'user' THEN 'planned' ELSE 'completed' END AS event FROM conversations),
+r AS (SELECT run_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (WHERE event = 'planned') AS planned, count(*) FILTER (WHERE event = 'completed') AS completed,
+  CASE WHEN count(*) FILTER (WHERE event = 'committed') > 0 THEN 'committed' ELSE 'open' END AS state, coalesce(max(seq) > max(seq) FILTER (WHERE event = 'committed'), false) AS malformed FROM e GROUP BY run_id)"""
+
+
+@query(f"WITH {RUNS} SELECT * FROM r")
+def run_fold(spark, sf_dir):
+    return journal.run_fold(run_events(spark, sf_dir))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    undo = F.col("run_id") % 3 == 2
+    return journal.run_fold(run_events(spark, sf_dir)).withColumn("mode", F.when(undo, "undo").otherwise("apply")).withColumn("target_run_id", F.when(undo, F.col("run_id") - 1)).withColumn("tool", F.concat(F.lit("tool"), (F.col("run_id") % 4).cast("string")))
+
+
+@query(f"WITH {RUNS} SELECT run_id, last_seq FROM r WHERE run_id % 3 <> 2 AND state = 'committed' AND run_id NOT IN (SELECT run_id - 1 FROM r WHERE run_id % 3 = 2 AND state = 'committed')")
+def active_runs(spark, sf_dir):
+    return journal.active_runs(runs(spark, sf_dir)).select("run_id", "last_seq")
+
+
+@query(f"WITH {RUNS} SELECT 'tool' || (run_id % 4) AS tool, max(run_id) AS run_id, arg_max(state, run_id) AS state FROM r GROUP BY 1")
+def latest_per_tool(spark, sf_dir):
+    return journal.latest_per(runs(spark, sf_dir), "tool", "run_id", ("state",))
+
+
+@query(r"""WITH a AS (SELECT event_id % 50 AS run_no, 'u' || (user_id % 40) || CASE WHEN event_id % 3 = 0 THEN '' ELSE '/' || event_type END AS path, event_id % 977 AS inode FROM events), t AS (SELECT * FROM a WHERE run_no = 30)
+SELECT DISTINCT a.run_no FROM a JOIN t ON a.run_no > 30 AND (a.path = t.path OR starts_with(a.path, t.path || '/') OR starts_with(t.path, a.path || '/') OR a.inode = t.inode)""")
+def later_blockers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("/"), "event_type")))
+    return journal.later_blockers(e.select((F.col("event_id") % 50).alias("run_no"), path.alias("path"), (F.col("event_id") % 977).alias("inode")), 30)
+
+
+@query("SELECT event_type AS stage, max(event_id) AS event_id, arg_max(CASE WHEN value < 10 THEN 1 ELSE 0 END, event_id) AS status FROM events GROUP BY 1")
+def latest_outcome(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "event_id", F.when(F.col("value") < 10, 1).otherwise(0).alias("status"))
+    return journal.latest_per(e, "stage", "event_id", ("status",))
+
+
+@query("""SELECT event_type AS stage, count(*) AS attempts, count(*) FILTER (WHERE value < 10) AS findings, sum(floor(value * 1000))::BIGINT AS duration_milliseconds, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
+def synopsis_rollup(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("attempts"), F.count(F.when(F.col("value") < 10, 1)).alias("findings"), F.sum(F.floor(F.col("value") * 1000)).alias("duration_milliseconds"), F.countDistinct("user_id").alias("users"))
+
+
+@query("""WITH o AS (SELECT lang AS checkpoint, count(*) AS files, count(DISTINCT source) AS sources FROM documents GROUP BY 1)
+SELECT checkpoint, CASE WHEN checkpoint = 'es' THEN 'not-authorised' WHEN checkpoint = 'en' AND files > 0 THEN 'match' ELSE 'mismatch' END AS decision FROM o""")
+def policy_match(spark, sf_dir):
+    observed = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("checkpoint")).agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("sources"))
+    expected = observed.filter("checkpoint <> 'es'").withColumn("files", F.when(F.col("checkpoint") == "en", F.col("files")).otherwise(F.lit(-1)))
+    return journal.policy_match(observed, expected, ("files", "sources"))
+
+
+STAGES = ("preflight", "organise", "rename", "duplicates", "verify")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES ('preflight', 1), ('organise', 2), ('rename', 3), ('duplicates', 4), ('verify', 5)) AS v(stage, stage_no))
+SELECT n_nationkey AS ordinal, stage, stage_no, CASE WHEN (n_nationkey + stage_no) % 3 = 0 THEN 'allow' ELSE 'ask' END AS decision FROM nation, s""")
+def queue_plan_expand(spark, sf_dir):
+    jobs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"))
+    stages = spark.createDataFrame([(s, i + 1) for i, s in enumerate(STAGES)], "stage string, stage_no int")
+    allowed = jobs.select("ordinal", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i + 1).alias("no")) for i, s in enumerate(STAGES)])).alias("x")).filter((F.col("ordinal") + F.col("x.no")) % 3 == 0).select("ordinal", "x.stage", F.lit("allow").alias("decision"))
+    return journal.queue_expand(jobs, stages, allowed)
+
+
+@query("""SELECT a.n_nationkey AS "outer", b.n_nationkey AS "inner" FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (a.n_nationkey = b.n_nationkey // 2 OR a.n_nationkey = b.n_nationkey // 4)""")
+def endpoint_overlap(spark, sf_dir):
+    k = F.col("n_nationkey").cast("int")
+    half, quarter = F.floor(k / 2).cast("int"), F.floor(k / 4).cast("int")
+    e = table(spark, sf_dir, "nation").select(k.alias("ordinal"), k.alias("id"), F.array(k, half, quarter).alias("ancestry"))
+    return journal.overlaps(e)
+
+
+@query(f"WITH {FILES}, w AS (SELECT * FROM (VALUES ('.jpg'), ('.png'), ('.gif')) AS v(ext)) SELECT ext, 'missing' AS problem FROM (SELECT ext FROM w EXCEPT SELECT ext FROM files) UNION ALL SELECT ext, 'unexpected' FROM (SELECT ext FROM files EXCEPT SELECT ext FROM w)")
+def extension_cover(spark, sf_dir):
+    want = spark.createDataFrame([(".jpg",), (".png",), (".gif",)], "ext string")
+    return journal.exact_cover(files(spark, sf_dir), want, "ext")
+
+
+@query("""WITH l AS (SELECT doc_id AS ordinal, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS value FROM documents) SELECT lower(value) AS key, min(ordinal) AS ordinal, arg_min(value, ordinal) AS value FROM l GROUP BY 1""")
+def config_layering(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return journal.layered_config(docs.select(F.col("doc_id").alias("ordinal"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("value")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) OVER w AS done, sum(l_quantity) OVER w AS done_size, count(*) OVER (PARTITION BY l_orderkey) AS total
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)""")
+def progress_running(spark, sf_dir):
+    return journal.progress(table(spark, sf_dir, "lineitem"), "l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_quantity")
+
+
+@query(f"WITH {FILES} SELECT source, count(*) AS files, sum(size)::BIGINT AS bytes, (sum((size + 4095) // 4096 * 4096) + 1048576)::BIGINT AS required FROM files GROUP BY 1")
+def capacity_requirement(spark, sf_dir):
+    return journal.capacity(files(spark, sf_dir), "source", 4096, 1 << 20)
+
+
+@query(f"WITH {FILES} SELECT path AS source_path, CASE kind WHEN 'picture' THEN 'pics/' ELSE 'vids/' END || string_split(path, '/')[-1] AS target, kind FROM files WHERE kind IN ('picture', 'video')")
+def organize_plan(spark, sf_dir):
+    f = files(spark, sf_dir).filter(F.col("kind").isin("picture", "video"))
+    return f.select(F.col("path").alias("source_path"), F.concat(F.when(F.col("kind") == "picture", "pics/").otherwise("vids/"), F.element_at(F.split("path", "/"), -1)).alias("target"), "kind")
+
+
+@query(f"""WITH {FILES} SELECT path, CASE WHEN mime_type = 'unknown' THEN 'unsupported' WHEN doc_id % 13 = 0 AND ext IN ('.jpg', '.png') THEN 'rename' ELSE 'truthful' END AS decision,
+  CASE WHEN mime_type <> 'unknown' AND doc_id % 13 = 0 AND ext IN ('.jpg', '.png') THEN regexp_replace(path, '\\.[a-z]+$', CASE ext WHEN '.jpg' THEN '.png' ELSE '.jpg' END) END AS target FROM files""")
+def extension_plan(spark, sf_dir):
+    wrong = (F.col("doc_id") % 13 == 0) & F.col("ext").isin(".jpg", ".png")
+    other = F.when(F.col("ext") == ".jpg", ".png").otherwise(".jpg")
+    decision = F.when(F.col("mime_type") == "unknown", "unsupported").when(wrong, "rename").otherwise("truthful")
+    return files(spark, sf_dir).select("path", decision.alias("decision"), F.when(decision == "rename", F.concat(F.regexp_replace("path", r"\.[a-z]+$", ""), other)).alias("target"))
+
+
+@query(f"""WITH {FILES}, {RANKED} SELECT count(*) AS rows, sha256(string_agg(path || '>' || rank, chr(10) ORDER BY path)) AS digest FROM ranked WHERE rank > 1""")
+def plan_digest(spark, sf_dir):
+    moves = duplicates.ranked(files(spark, sf_dir), ascii_paths=True).filter("rank > 1")
+    return digest.plan_digest(moves, F.col("path"), F.concat("path", F.lit(">"), F.col("rank").cast("string")))
+
+
+@query(f"""WITH {FILES}, l AS (SELECT sha256(path || ':' || size || ':' || sha256) AS d FROM files), b AS (SELECT d[1:2] AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM l GROUP BY 1)
+SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b""")
+def namespace_digest(spark, sf_dir):
+    return digest.set_digest(files(spark, sf_dir), F.concat_ws(":", "path", F.col("size").cast("string"), "sha256"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)) / 1000000, 3) AS revenue_millions FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def extra_pricing_summary(spark, sf_dir):
+    """Beyond the collection operators: a plain star-schema aggregate."""
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000000, 3).alias("revenue_millions"))
+
+
+@query("""SELECT n_name, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1""")
+def extra_orders_by_nation(spark, sf_dir):
+    """Beyond the collection operators: a plain star-schema join."""
+    t = lambda n: table(spark, sf_dir, n)
+    geo = t("nation").join(t("region").filter("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t("customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
