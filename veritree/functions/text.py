@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def slug(name: str, default: str = "collection") -> str:
 
 
 def slugs(column: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else slug(x))

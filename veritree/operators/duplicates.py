@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 def casefolded(column):
     """Case-blind form of a text: for ASCII the lower case; other texts by Python's rule in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else x.casefold())
@@ -53,8 +52,6 @@ def numbered_targets(plan: DataFrame, family: str, name: str, ext: str, occupied
 
     plan: source, family, name, ext columns; occupied: family and the taken target.
     """
-    import pandas as pd
-
     def fold(key, rows: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
         used = {t.casefold() for t in taken["target"]}
         out = []
