@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritree.llm import quality_rules
+from veritree.llm import bpe, decontamination, line_dedup, minhash, quality_rules
 from veritree.llm.common import table, written
 
 
@@ -13,8 +14,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs, "v1")
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand on many sites."""
+    return line_dedup.deduplicated(docs)
 
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of least doc_id. Documents without doc_id are in no group and stay."""
+    gone = minhash.near_duplicates(docs).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__id"))
+    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    if again.isEmpty():
+        return left
+    # rows that repeat a doc_id are one document
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as tokens, with digests of ids and of the bytes decoded from them."""
+    return bpe.digests(docs, bpe.public_vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: Not expressible in SQL: latent retrieval and byte-pair merges; tested against a brute-force version.
 ORACLE_SQL = None
 
 
