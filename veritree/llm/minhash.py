@@ -12,9 +12,11 @@ NEED values, and a pair shares at least one of the K - NEED + 1 values that are
 all documents hold are listed only for documents that consist of such passages to a large part.
 
 Links to find components, not all pairs: in round one each list's least document is compared with all
-others of the list, which is linear in the list. Then, within lists that still span several components, the pairs
-across components are compared. Pairs inside a component need no comparison, so groups of
-thousands of copies are never expanded into pairs.
+others of the list, which is linear in the list. In round two, documents in a ball around a leader (half or more in
+common with it, but several components) are compared in blocks by matrix products, where no pair is a row. What is left of
+lists of up to SMALL_LIST documents is compared pair by pair, across components and balls; documents of longer lists - of a passage that very many
+documents hold - must share one of the quarter of their full sets that is rarest among them, which is
+exact. Pairs inside a component need no comparison, so groups of thousands of copies are never expanded into pairs.
 
 Documents with null or empty text, or without words, have an empty set and are linked with nothing.
 Rows with one doc_id count as one document when linking. Null doc_id is linked by nobody: its component_id is null and it
@@ -38,6 +40,8 @@ from veritree.llm.wordhash import shingle_set
 K, NEED = 48, 14
 #: 100 * intersection >= SIMILAR * union
 SIMILAR = 75
+#: Members of a block of a ball, and the longest list whose pairs are rows.
+BALL, SMALL_LIST = 1024, 16
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,24 +99,125 @@ def estimated(pairs: DataFrame, cls: DataFrame) -> DataFrame:
     return both.filter(common * K >= NEED * F.size(union)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 75 * union of their full sets; texts: node, text."""
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and the sizes of intersection (common) and union (total) of their full sets; texts: node, text."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            yes = []
+            common, total = [], []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 ta = ta.as_py()
                 if (a, ta) != last:
                     last, held = (a, ta), shingle_set(ta)
                 other = shingle_set(tb.as_py())
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                yes.append(100 * common >= SIMILAR * (len(held) + len(other) - common))
-            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+                common.append(len(np.intersect1d(held, other, assume_unique=True)))
+                total.append(len(held) + len(other) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, common long, total long")
+
+
+def _linked(pairs: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    return pairs.filter(100 * F.col("common") >= percent * F.col("total")).select("a", "b").distinct()
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of a block of sets, as products of their incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = count > 1
+    column = np.cumsum(some) - 1
+    inside = some[where]
+    owner, where = owner[inside], column[where[inside]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    for at in range(0, int(some.sum()), 2048):
+        lo, hi = np.searchsorted(where, [at, at + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[lo:hi], where[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def ball_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join different components among the members of a ball; members: home, node, c.
+
+    A ball is cut into blocks of BALL members, and each pair of blocks is compared in one task by
+    matrix products over full sets, so that no pair is a row. Only links that connect components there are returned.
+    """
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    rows = members.join(sizes.select("home", F.ceil(F.col("m") / BALL).cast("int").alias("blocks")), "home")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c").join(texts, "node")
+    rows = rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "node").select("home", "i", "j", "own", "node", "c", "text")
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        sets = [h[3] for h in held]
+        size = np.array([len(s) for s in sets], np.float32)
+        common = intersections(sets)
+        near = 100 * common >= SIMILAR * (size[:, None] + size[None] - common)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(near, 1))):
+            p, q = find(held[x][2]), find(held[y][2])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((held[x][1], held[y][1]))
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(6))))
+            for (home, i, j, own, node, c), text in zip(keys, b.column(6)):
+                if (home, i, j) != last:
+                    if held:
+                        yield solve(held)
+                    held, last = [], (home, i, j)
+                held.append((own, node, c, shingle_set(text.as_py())))
+        if held:
+            yield solve(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs across components and balls that can be similar, by full sets: both hold one of the other's n - 0.75 n + 1 rarest shingles. nodes: node, n, c, home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py()) for t in b.column(1)]
+                offsets = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum([len(x) for x in sets], out=offsets[1:])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+
+    sets = texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    shared = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = each.join(shared, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    # values nobody else has are the rarest
+    room = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("vs"))
+    listed = held.filter(room > 0).select("node", F.explode(F.slice("vs", F.lit(1), room.cast("int"))).alias("v")).select("node", "v.value")
+    return _across(written(listed.join(nodes, "node"), "rare"))
+
+
+def _across(listed: DataFrame) -> DataFrame:
+    """Pairs of a list in different components, without a common ball, and of similar size; listed: value, node, n, c, home."""
+    left, right = listed.alias("l"), listed.alias("r")
+    both = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c")) & (F.col("l.home") != F.col("r.home")) & _near_size(F.col("l.n"), F.col("r.n")))
+    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,18 +233,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     leaders = listed.groupBy("value").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.count(F.lit(1)).alias("m"))
     with_leader = listed.join(leaders.filter("m > 1"), "value")
     first = with_leader.filter((F.col("node") != F.col("a")) & _near_size(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b")).distinct()
-    links = written(verified(estimated(first, cls), texts), "verified")
-
-    # round two: across components within a list, without the pairs of round one
+    first = written(measured(estimated(first, cls), texts), "measured")
+    links = _linked(first)
     comp = written(components(links), "components")
-    placed = with_leader.filter("node <> a and m > 2").select("value", "node", "n").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("value")
-    rest = written(placed.join(mixed, "value", "left_semi"), "rest")
-    left, right = rest.alias("l"), rest.alias("r")
-    across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c")) & _near_size(F.col("l.n"), F.col("r.n")))
-    second = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more = written(verified(estimated(second, cls), texts), "verified")
-    final = components(links.unionByName(more))
+
+    # round two: across components; balls of documents that share half their shingles with a leader are compared as blocks
+    ball = _linked(first, 50).groupBy("b").agg(F.min("a").alias("home")).withColumnRenamed("b", "node")
+    ball = ball.unionByName(ball.select(F.col("home").alias("node"), "home").distinct()).groupBy("node").agg(F.min("home").alias("home"))
+    nodes = written(active.join(comp, "node", "left").join(ball, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "home"), "nodes")
+    within = ball_links(nodes.filter("home is not null"), texts)
+
+    # and the rest of each list: small lists pair by pair, large ones by their documents' rarest shingles
+    placed = with_leader.filter("node <> a and m > 2").select("value", "node", "n").join(nodes, "node").withColumn("home", F.coalesce("home", -F.col("node") - 1))
+    mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.count(F.lit(1)).alias("m")).filter("lo < hi and h0 < h1")
+    placed = written(placed.join(mixed.select("value", "m"), "value"), "placed")
+    few = estimated(_across(placed.filter(F.col("m") <= SMALL_LIST)), cls)
+    many = rare_pairs(placed.filter(F.col("m") > SMALL_LIST).select("node", "n", "c", "home").distinct(), texts)
+    more = _linked(measured(few.unionByName(many).distinct(), texts))
+    links = written(links.unionByName(within).unionByName(more), "all-links")
+    final = components(links)
 
     ids = cls.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # rows of one doc_id are one document: their classes are one component as well
