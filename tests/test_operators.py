@@ -1,10 +1,12 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritree.functions import text
-from veritree.operators import coverage, duplicates, evidence, inventory, journal
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, transitions
 from veritree.plans import digest
+from veritree.sinks import store
 from veritree.sources import tree
 from veritree.streaming import journal as stream
 
@@ -127,3 +129,43 @@ def test_streaming_fold_equals_batch_fold(spark, tmp_path):
     q.awaitTermination()
     got = {r.run_id: (r.planned, r.state, r.malformed) for r in spark.table("states").collect()}
     assert got == {r.run_id: (r.planned, r.state, r.malformed) for r in journal.run_fold(frame).collect()}
+
+
+def test_ignore_rules_reach_below_folders(spark):
+    paths = ["a/.DS_Store", "a/b.txt", "Cache/x/y.png", "keep/cache.png", "Icon\r", "dups", "dups/pics/a.png"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = [tuple(r) for r in df.select(classification.ignored(F.col("path"), (".ds_store", "icon\r"), ("cache",)), classification.in_review(F.col("path"))).collect()]
+    assert [g[0] for g in got] == [True, False, True, False, True, False, False]
+    assert [g[1] for g in got] == [False] * 6 + [True]
+
+
+def test_relative_paths_and_canonical_names(spark):
+    df = spark.createDataFrame([(p,) for p in ("a/b", "", "/a", "a//b", "a/../b", "a\x00", None)], "p string")
+    assert [r[0] for r in df.select(classification.relative_path_ok(F.col("p"))).collect()] == [True] + [False] * 6
+    n = spark.createDataFrame([("HOME__image_0012__undated.jpg",), ("home__video_0003__x.mp4",)], "n string")
+    assert [r[0] for r in n.select(classification.canonical_number(F.col("n"), "home", "image")).collect()] == [12, None]
+
+
+def test_simulated_replay(spark):
+    entries = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "run_id long, path string")
+    actions = spark.createDataFrame([(1, 0, "a", "c"), (1, 1, "b", "a"), (1, 2, "c", "a"), (2, 0, "x", "y"), (3, 0, "p", "q")], "run_id long, seq long, before string, after string")
+    assert {tuple(r) for r in transitions.simulate(actions, entries).collect()} == {(1, 2, "occupied"), (2, 0, "missing"), (3, 0, "missing")}
+
+
+def test_store_publishes_whole_versions(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "file_sha256 string, evidence_type string, algorithm string, runtime string, payload_json string"
+    rows = lambda *p: spark.createDataFrame([("a" * 64, "t", "v", "r", p[0]), ("b" * 64, "t", "v", "r", p[-1])], schema)
+    assert store.read(spark, path).count() == 0
+    assert store.publish(spark, path, rows('{"n":1}')) == 1
+    assert store.publish(spark, path, rows('{"n":2}').limit(1)) == 2
+    got = {r.file_sha256[0]: r.payload_json for r in store.payloads(spark, path, "t", "v", "r").collect()}
+    assert sorted(got.values()) == ['{"n":1}', '{"n":2}'] and store.read(spark, path, 1).count() == 2
+    with pytest.raises(ValueError):
+        store.publish(spark, path, rows("[]"))
+    assert store.read(spark, path).select("version").distinct().count() == 2
+
+
+def test_media_numbers(spark):
+    df = spark.createDataFrame([("90.5", 59), ("-90", 61), ("45", 3700), ("x", 90000)], "r string, s long")
+    got = [tuple(x) for x in df.select(text.rotation(F.col("r")), text.format_duration(F.col("s"))).collect()]
+    assert got == [(90, "59s"), (270, "1m 1s"), (None, "1h 1m"), (None, "1d 1h")]

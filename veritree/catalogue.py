@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritree.functions import text as names
-from veritree.operators import coverage, duplicates, evidence, inventory, journal
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, transitions
 from veritree.plans import digest
 
 FLAGSHIP = "byte_coverage"
@@ -412,6 +412,93 @@ def namespace_digest(spark, sf_dir):
     return digest.set_digest(files(spark, sf_dir), F.concat_ws(":", "path", F.col("size").cast("string"), "sha256"))
 
 
+@query(f"""WITH {FILES}, m AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'video/mp4' WHEN doc_id % 10 = 0 THEN 'application/pdf' ELSE mime_type END AS mime, doc_id % 4 <> 0 AS content, ext, CASE WHEN ext IN ('.jpg', '.png') THEN 'picture' WHEN ext IN ('.mp4', '.mkv') THEN 'video' END AS ek FROM files),
+k AS (SELECT *, CASE WHEN NOT content AND ek IS NOT NULL THEN ek WHEN starts_with(mime, 'image/') THEN 'picture' WHEN starts_with(mime, 'video/') THEN 'video' WHEN mime IN ('text/plain', 'unknown') THEN coalesce(ek, 'other') ELSE 'other' END AS kind FROM m)
+SELECT CASE WHEN starts_with(mime, 'audio/') THEN 'audio' WHEN kind = 'other' AND mime = 'unknown' THEN 'unknown' ELSE kind END AS kind, ek IS NOT NULL AND ek <> kind AS mismatched, count(*) AS files FROM k GROUP BY 1, 2""")
+def classification_kinds(spark, sf_dir):
+    f = files(spark, sf_dir)
+    mime = F.when(F.col("doc_id") % 9 == 0, "video/mp4").when(F.col("doc_id") % 10 == 0, "application/pdf").otherwise(F.col("mime_type"))
+    kind = classification.classify(mime, F.col("doc_id") % 4 != 0, F.col("ext"))
+    rows = f.select(classification.scan_kind(kind, mime).alias("kind"), classification.mismatched(kind, F.col("ext")).alias("mismatched"))
+    return rows.groupBy("kind", "mismatched").agg(F.count(F.lit(1)).alias("files"))
+
+
+ACTIONS = """acts AS (SELECT doc_id AS action_id, path AS before, 'moved/' || doc_id AS after, sha256 FROM files WHERE doc_id % 2 = 0),
+snap AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' || doc_id ELSE path END AS path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256 END AS sha256 FROM files)"""
+
+
+@query(f"""WITH {FILES}, {ACTIONS} SELECT action_id, before, after, CASE WHEN b.sha256 IS NULL AND a.sha256 = acts.sha256 THEN 'applied' WHEN a.sha256 IS NULL AND b.sha256 = acts.sha256 THEN 'unapplied' ELSE 'conflict' END AS state
+FROM acts LEFT JOIN snap b ON b.path = before LEFT JOIN snap a ON a.path = after""")
+def forward_state(spark, sf_dir):
+    f = files(spark, sf_dir)
+    there = F.concat(F.lit("moved/"), F.col("doc_id").cast("string"))
+    actions = f.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("action_id"), F.col("path").alias("before"), there.alias("after"), "sha256")
+    snapshot = f.select(F.when(F.col("doc_id") % 3 == 0, there).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return transitions.forward_state(actions, snapshot)
+
+
+@query(f"WITH {FILES} SELECT CASE WHEN kind = 'picture' THEN 'pics/' || string_split(path, '/')[-1] ELSE path END AS path, path AS origin, kind FROM files")
+def namespace_move(spark, sf_dir):
+    f = files(spark, sf_dir).select("path", "kind")
+    moves = f.filter("kind = 'picture'").select(F.col("path").alias("source"), F.concat(F.lit("pics/"), F.element_at(F.split("path", "/"), -1)).alias("target"))
+    return transitions.moved(f, moves)
+
+
+@query(f"""WITH {FILES}, e AS (SELECT source AS f1, source || '/' || lang AS f2, ext = '.txt' OR (source = 'src3') OR (lang = 'es' AND source IN ('src5', 'src6')) AS ig FROM files),
+u AS (SELECT f1 AS folder, ig FROM e UNION ALL SELECT f2, ig FROM e) SELECT folder, count(*) AS files FROM u GROUP BY folder HAVING bool_and(ig)""")
+def removable_folders(spark, sf_dir):
+    ignored = (F.col("ext") == ".txt") | (F.col("source") == "src3") | ((F.col("lang") == "es") & F.col("source").isin("src5", "src6"))
+    return transitions.removable_folders(files(spark, sf_dir).select("path", ignored.alias("is_ignored")))
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS p FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), c AS (SELECT c_custkey AS id, count(*) AS c FROM customer GROUP BY 1)
+SELECT id, CASE WHEN c IS NULL THEN 'not-completed' WHEN p IS NULL THEN 'not-planned' ELSE 'repeated' END AS problem FROM p FULL JOIN c USING (id) WHERE c IS NULL OR p IS NULL OR p > 1 OR c > 1""")
+def exact_ids(spark, sf_dir):
+    planned = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"))
+    return transitions.exact_ids(planned, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as workflows: a turn is an attempt of the stage reached, assistants advance; some skip a stage."""
+    c = table(spark, sf_dir, "conversations")
+    stage = F.floor(F.col("turn") / 2) + F.when((F.col("conv_id") % 11 == 0) & (F.col("turn") > 3), 1).otherwise(0)
+    return c.select(F.col("conv_id").alias("workflow"), F.col("turn").alias("seq"), stage.cast("int").alias("stage"), (F.col("role") == "assistant").alias("advance"), F.when(F.col("role") == "user", 1).otherwise(0).alias("exit_status"))
+
+
+ATTEMPTS = "a AS (SELECT conv_id AS workflow, turn AS seq, (turn // 2 + CASE WHEN conv_id % 11 = 0 AND turn > 3 THEN 1 ELSE 0 END)::INTEGER AS stage, role = 'assistant' AS advance, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS exit_status FROM conversations)"
+
+
+@query(f"""WITH {ATTEMPTS}, x AS (SELECT *, coalesce(sum(advance::INTEGER) OVER (PARTITION BY workflow ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS expected, coalesce(lag(seq) OVER (PARTITION BY workflow ORDER BY seq) + 1, 0) AS want FROM a)
+SELECT workflow, seq, stage, expected, CASE WHEN seq <> want THEN 'sequence' ELSE 'stage' END AS error FROM x WHERE seq <> want OR stage <> expected""")
+def attempt_errors(spark, sf_dir):
+    return transitions.attempt_errors(attempts(spark, sf_dir))
+
+
+@query(f"""WITH {ATTEMPTS} SELECT workflow, count(*) AS attempts, sum(advance::INTEGER)::BIGINT AS reached, CASE WHEN sum(advance::INTEGER) >= 3 THEN 'complete' WHEN arg_max(exit_status, seq) <> 0 THEN 'stopped' ELSE 'pending' END AS status FROM a GROUP BY 1""")
+def workflow_status(spark, sf_dir):
+    return transitions.workflow_status(attempts(spark, sf_dir), 3)
+
+
+@query(f"""WITH {FILES}, g AS (SELECT source, size, sha256, count(*) AS n FROM files GROUP BY 1, 2, 3), d AS (SELECT source, count(*) FILTER (WHERE n > 1) AS groups, sum(n - 1) AS extra, sum(size * (n - 1)) AS dup FROM g GROUP BY 1),
+o AS (SELECT source AS run, count(*) AS files, count(*) FILTER (WHERE kind = 'picture') AS p, count(*) FILTER (WHERE kind = 'video') AS v, sum(size) AS bytes FROM files GROUP BY 1)
+SELECT run, CASE WHEN run = 'src2' THEN 'media-sum' ELSE 'duplicate-bytes' END AS problem FROM o JOIN d ON d.source = o.run WHERE run IN ('src2', 'src4')""")
+def outcome_problems(spark, sf_dir):
+    f = files(spark, sf_dir)
+    one = f.groupBy(F.col("source").alias("run")).agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("kind") == "picture", 1)).alias("pictures"), F.count(F.when(F.col("kind") == "video", 1)).alias("videos"), F.sum("size").alias("scanned_bytes"))
+    dup = f.groupBy(F.col("source").alias("run"), "size", "sha256").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.when(F.col("n") > 1, 1)).alias("groups"), F.sum(F.col("n") - 1).alias("extra_copies"), F.sum(F.col("size") * (F.col("n") - 1)).alias("duplicate_bytes"))
+    out = one.join(dup, "run").withColumn("other", F.col("files") - F.col("pictures") - F.col("videos"))
+    out = out.withColumn("media", F.col("pictures") + F.col("videos") + F.when(F.col("run") == "src2", 1).otherwise(0))
+    return transitions.outcome_problems(out.withColumn("scanned_bytes", F.when(F.col("run") == "src4", -1).otherwise(F.col("scanned_bytes"))))
+
+
+@query(f"""WITH {FILES}, r AS (SELECT kind, path, ext, CASE WHEN doc_id % 4 <> 0 THEN modified_ns % 1000000007 END AS stamp, row_number() OVER (PARTITION BY kind ORDER BY doc_id % 4 = 0, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE modified_ns % 1000000007 END, lower(path), path) AS n FROM files WHERE kind IN ('picture', 'video'))
+SELECT path AS source_path, 'home__' || CASE kind WHEN 'picture' THEN 'image' ELSE 'video' END || '_' || lpad(n::VARCHAR, CASE WHEN n > 9999 THEN length(n::VARCHAR)::INTEGER ELSE 4 END, '0') || '__' || coalesce(stamp::VARCHAR, 'undated') || ext AS target FROM r""")
+def rename_plan(spark, sf_dir):
+    f = files(spark, sf_dir).filter(F.col("kind").isin("picture", "video")).withColumn("stamp", F.when(F.col("doc_id") % 4 != 0, F.col("modified_ns") % 1000000007))
+    r = duplicates.rename_sequence(f)
+    return r.select(F.col("path").alias("source_path"), classification.canonical_name("home", F.col("kind"), F.col("sequence"), F.col("stamp").cast("string"), F.lit(None).cast("string"), F.col("ext")).alias("target"))
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)) / 1000000, 3) AS revenue_millions FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def extra_pricing_summary(spark, sf_dir):
     """Beyond the collection operators: a plain star-schema aggregate."""
