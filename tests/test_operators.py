@@ -92,9 +92,21 @@ def test_health_takes_the_worst(spark):
 
 
 def test_names(spark):
-    names = ["IMG_20230102_030405.jpg", "x 2023-01-02 03.04.05.png", "20231341_000000.jpg", "plain.jpg"]
+    names = {
+        "IMG_20230102_030405.jpg": "2023-01-02_03-04-05",
+        "vid_20230102_030405_678_1.mp4": "2023-01-02_03-04-05-678",
+        "photo_2023-01-02_03-04-05.jpg": "2023-01-02_03-04-05",
+        "x 2023-01-02 03.04.05-123.png": "2023-01-02_03-04-05-123",
+        "2023_01_02_03_04_05": "2023-01-02_03-04-05",
+        "on 2023-01-02 at noon": "2023-01-02",
+        "IMG_20231341_000000 2023-01-02": None,
+        "2023-01-02-03": None,
+        "plain.jpg": None,
+    }
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.select(text.timestamp_from_name(F.col("n"))).collect()] == ["2023-01-02 03:04:05", "2023-01-02 03:04:05", None, None]
+    assert [r[0] for r in df.select(text.timestamp_from_name(F.col("n"))).collect()] == list(names.values())
+    for stem, want in {"IMG_20230102_030405 Été plage copy 1080p": "ete_plage", "homemovie cat 640x480 deadbeef x a1b2": "movie_cat", "12 34": None, "one two three four five six seven": "one_two_three_four_five_six"}.items():
+        assert text.descriptor(stem, "home") == want
     assert text.slug("Été à la Plage!") == "ete_a_la_plage" and text.slug("日本") == "collection"
     values = spark.createDataFrame([("0.0000005",), ("1.5",), ("N/A",), (None,)], "v string")
     assert [r[0] for r in values.select(text.decimal_microseconds(F.col("v"), 0)).collect()] == [1, 1500000, 0, 0]

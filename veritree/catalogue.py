@@ -269,7 +269,7 @@ def glob_ignore(spark, sf_dir):
     return inventory.ignored(table(spark, sf_dir, "pages"), "url", ["*1", "?2*", "2*"]).select("page_id", "url")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d_%H-%M-%S') END AS stamp FROM events""")
 def timestamp_from_name(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     bad = F.concat(F.lit("IMG_20231341_"), F.lit("250000.jpg"))

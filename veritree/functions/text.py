@@ -10,20 +10,31 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Date patterns of file names, in order; the first that matches decides.
-STAMPS = (
-    r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})[_-]([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])",
-    r"(?<![0-9])([0-9]{4})-([0-9]{2})-([0-9]{2})[ _T]([0-9]{2})[.:-]([0-9]{2})[.:-]([0-9]{2})(?![0-9])",
+# The date patterns of file names, in the order in which they are tried; the groups that hold the digits of the date,
+# and the group of milliseconds (0 for none).
+STAMPS: tuple[tuple[str, tuple[int, ...], int], ...] = (
+    (r"(?i)(?:IMG|VID)_([0-9]{8})_([0-9]{6})(?:_([0-9]{3}))?(?:_[0-9]+)?", (1, 2), 3),
+    (r"(?i)(?:photo|video)_([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9]{2}-[0-9]{2}-[0-9]{2})", (1, 2), 0),
+    (r"([0-9]{4}-[0-9]{2}-[0-9]{2})[ _]([0-9]{2})[.:-]([0-9]{2})[.:-]([0-9]{2})(?:[_-]([0-9]{3}))?", (1, 2, 3, 4), 5),
+    (r"([0-9]{4})_([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-9]{2})", (1, 2, 3, 4, 5, 6), 0),
+    (r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?![-0-9])", (1,), 0),
 )
+#: Words of file names that say nothing about the content (a default that callers can replace).
+NOISE = frozenset("copy com download full hd image img jb join leak leaks min nsfw photo pic picture promo channel site source telegram tg tp thumb us vid video".split())
 
 
 def timestamp_from_name(name: Column) -> Column:
-    """yyyy-MM-dd HH:mm:ss from a file name, or null; an invalid date of the first matching pattern is null and no later pattern is tried."""
+    """`yyyy-MM-dd_HH-mm-ss`, with `-mmm` where given, or `yyyy-MM-dd`, from a file name. The first pattern that matches decides: if its date is invalid the result is null."""
     out = F.lit(None).cast("string")
-    for p in reversed(STAMPS):
-        part = [F.regexp_extract(name, p, i) for i in range(1, 7)]
-        text = F.concat(part[0], F.lit("-"), part[1], F.lit("-"), part[2], F.lit(" "), part[3], F.lit(":"), part[4], F.lit(":"), part[5])
-        out = F.when(name.rlike(p), F.when(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull(), text)).otherwise(out)
+    for pattern, groups, millis in reversed(STAMPS):
+        digits = F.replace(F.concat(*[F.regexp_extract(name, pattern, g) for g in groups]), F.lit("-"), F.lit(""))
+        whole = len(groups) > 1
+        stamp = F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss" if whole else "yyyyMMdd"))
+        text = F.date_format(stamp, "yyyy-MM-dd_HH-mm-ss" if whole else "yyyy-MM-dd")
+        if millis:
+            ms = F.regexp_extract(name, pattern, millis)
+            text = F.concat(text, F.when(ms != "", F.concat(F.lit("-"), ms)).otherwise(""))
+        out = F.when(name.rlike(pattern), text).otherwise(out)
     return out
 
 
@@ -80,3 +91,38 @@ def format_duration(seconds: Column) -> Column:
     two = lambda a, u, b, v: F.concat(a.cast("string"), F.lit(u + " "), b.cast("string"), F.lit(v))
     d, h, m = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60)
     return F.when(s >= 86400, two(d, "d", h, "h")).when(s >= 3600, two(h, "h", m, "m")).when(s >= 60, two(m, "m", s % 60, "s")).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
+def _plain_words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower())
+
+
+def _says_something(word: str) -> bool:
+    """Not a number, a resolution, a hexadecimal id or a mix of letters and digits; two letters at least."""
+    return len(word) >= 2 and word.isalpha() and not re.fullmatch(r"[a-f]{8,}", word)
+
+
+def descriptor(stem: str, collection: str, noise: frozenset[str] = NOISE, most: int = 6) -> str | None:
+    """Up to six telling words of a file name, without dates, the collection's own name and noise; null if none is left."""
+    own = slug(collection).split("_")
+    whole = "".join(own)
+
+    def without_collection(word: str) -> str:
+        if word != whole:
+            word = word.removeprefix(whole)
+        first = next((p for p in sorted(set(own), key=lambda p: (-len(p), p)) if word.startswith(p) and len(word) > len(p) + 2), "")
+        return word[len(first) :]
+
+    for pattern, _, _ in STAMPS:
+        stem = re.sub(pattern, " ", stem)
+    words = (without_collection(w) for w in _plain_words(stem))
+    telling = [w for w in words if w not in own and w not in noise and _says_something(w)]
+    return "_".join(telling[:most]) or None
+
+
+def descriptors(stem: Column, collection: str, noise: frozenset[str] = NOISE) -> Column:
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else descriptor(x, collection, noise))
+
+    return run(stem)
