@@ -32,12 +32,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 2_000_000
-BLOCK_TOKENS = 1_000_000
-CACHE_WORDS = 400_000
+BLOCK_CHARS = 1_000_000
+BLOCK_TOKENS = 250_000
+BLOCK_WORDS = 20_000
+CACHE_WORDS = 300_000
 LONG_WORD = 64
 LONG_STEPS = 32
-DUCK_MEMORY = "250MB"
+DUCK_MEMORY = "150MB"
 
 
 @dataclass(frozen=True)
@@ -152,8 +153,9 @@ class Codec:
         return out.combine_chunks()
 
     def _learn(self, words: list[str]) -> None:
-        short = [(w, e) for w in words if len(e := w.encode()) <= LONG_WORD]
-        if short:
+        every = [(w, e) for w in words if len(e := w.encode()) <= LONG_WORD]
+        for at in range(0, len(every), BLOCK_WORDS):
+            short = every[at : at + BLOCK_WORDS]
             lists = _lists([self.vocab.byte_ids[np.frombuffer(b"".join(e for _, e in short), np.uint8)]], [len(e) for _, e in short])
             self._keep([w for w, _ in short], self._run(ENCODE, lists)["ids"].combine_chunks())
         for word in words:
@@ -193,7 +195,7 @@ class Codec:
             if len(texts[at] or "") > BLOCK_CHARS:
                 matches = self.pattern.finditer(texts[at])
                 parts = []
-                while part := [m[0] for m in islice(matches, BLOCK_TOKENS // 4)]:
+                while part := [m[0] for m in islice(matches, BLOCK_TOKENS)]:
                     parts.append(self.words_to_ids(part))
                 yield b"".join(parts)
                 at += 1
@@ -309,6 +311,23 @@ def decode(encoded: DataFrame, vocab: Vocabulary, carry: tuple[str, ...] = ("doc
     return shown.mapInArrow(run, _schema(shown, "decoded binary"))
 
 
+def round_trip(docs: DataFrame, vocab: Vocabulary, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry columns, ids (array<int>) of each whole text and decoded (binary), the bytes of those ids: both in one worker, with one copy of the vocabulary."""
+    shown = docs.select(*carry, F.col(text).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                b = batch.slice(at, 128)
+                parts = [np.frombuffer(p, np.int32) for p in codec.encode(b.column(b.num_columns - 1).to_pylist())]
+                out = pa.array(list(codec.decode(parts)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(parts, [len(p) for p in parts]), out], [*b.schema.names[:-1], "ids", "decoded"])
+
+    return shown.mapInArrow(run, _schema(shown, "ids array<int>, decoded binary"))
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
     """A vocabulary of the installed public tokenizers."""
     import public_tokenizers
@@ -318,8 +337,7 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
 
 def digests(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Each text encoded and decoded again: doc_id, n_tokens and digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs, vocab), vocab)
-    return both.select(
+    return round_trip(docs, vocab).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
