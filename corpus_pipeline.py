@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritree.llm import bpe, decontamination, line_dedup, minhash, quality_rules
-from veritree.llm.common import table, written
+from veritree.llm.common import release, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,22 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.public_vocabulary())
 
 
+def _after_others(stage):
+    """The stage, after deleting what earlier stages wrote for themselves: their results have been stored by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, keep=docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("minhash", near_duplicates),
-    ("decontamination", decontaminated),
-    ("bpe", encoded),
+    ("quality_rules", _after_others(quality)),
+    ("line_dedup", _after_others(lines)),
+    ("minhash", _after_others(near_duplicates)),
+    ("decontamination", _after_others(decontaminated)),
+    ("bpe", _after_others(encoded)),
 ]
 
 #: Not expressible in SQL: latent retrieval and byte-pair merges; tested against a brute-force version.

@@ -32,21 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritree-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables made by written() that no later plan reads."""
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that no later plan reads."""
     jvm = spark.sparkContext._jvm
-    for df in frames:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that written() made in this session, but for those that `keep` reads; for when all other results have been stored."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None and _tables else set()
+    for path in [t for t in _tables if t.rpartition("/")[2] not in kept]:
+        dropped(spark, path)
+        _tables.remove(path)
 
 
 def words(text):
