@@ -76,9 +76,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
     df = df.withColumn("__l", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CHAR)))
     df = df.withColumn("__h", _repeated_words(F.col("__w")))
     long = lambda c: c.cast("long")
-    df = df.select(
-        key,
-        *[c for c in keep if c != key],
+    measures = F.struct(
         long(F.size("__w")).alias("n_words"),
         long(F.length(F.regexp_replace(t, SPACE_CLASS + "+", ""))).alias("word_chars"),
         long(F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).alias("n_symbols"),
@@ -86,6 +84,8 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
         long(F.size("__l") - F.size(F.array_distinct("__l"))).alias("n_dup_lines"),
         long(F.when(F.size(F.array_distinct("__h")) == F.size("__h"), 0).otherwise(_covered(F.col("__h")))).alias("n_repeat_words"),
     )
+    # a generator of one row: conditions on the measurements stay above it, else the optimizer would evaluate the texts' arrays again inside them, for each element
+    df = df.select(key, *[c for c in keep if c != key], F.inline(F.array(measures)))
     bits = F.lit(0).cast("long")
     for i, (_, failed) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
