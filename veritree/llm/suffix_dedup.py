@@ -8,7 +8,7 @@ bytes (a piece) travel to the bucket; equal pieces are recognised by digest and
 and every window of a piece that occurs twice is a repeat. Within a task, buckets are taken in blocks of
 BLOCK bytes; a block's windows are put in suffix order with a difference cover, whose sample ranks
 resolve long ties, and neighbours in that order that agree on LENGTH bytes are repeats.
-A bucket of over HOT_PIECES distinct pieces (around a passage that a large part of the corpus holds) would not fit a task; its
+A bucket of over HOT_BYTES of distinct pieces (around a passage that a large part of the corpus holds) would not fit a task; its
 windows are grouped one by one by 128-bit digests, which aggregate map-side and spread over all tasks.
 
 Texts are bytes of UTF-8. Null text is empty. Texts shorter than LENGTH are untouched. Whole copies are
@@ -32,8 +32,8 @@ from veritree.llm.suffix_array import repeated
 from veritree.llm.wordhash import _powers, mix
 
 LENGTH, GRAM = 200, 40
-#: Bytes of pieces sorted at once; windows in a run at most; bytes of a text hashed at once; pieces in a bucket that a task may hold.
-BLOCK, MOST_RUN, CHUNK, HOT_PIECES = 2 << 20, 4096, 1 << 20, 50_000
+#: Bytes of pieces sorted at once; windows in a run at most; bytes of a text hashed at once; bytes of a bucket's pieces that a task may hold. Sorting takes about 80 bytes for each byte.
+BLOCK, MOST_RUN, CHUNK, HOT_BYTES = 3 << 19, 1024, 1 << 20, 2 << 20
 
 
 def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ SPANS = "k1 long, k2 long, start int, end int"
 
 
 def _sorted_blocks(distinct: DataFrame) -> DataFrame:
-    """Spans of the repeats among distinct pieces of a bucket, for pieces that occur once."""
+    """Spans of the repeats among distinct pieces of a bucket, for pieces that occur once; bytes: of the bucket's pieces."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[4]) for r in rows])
@@ -163,8 +163,8 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if row[0] != last and size >= BLOCK:  # only between buckets
+            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if row[0] != last and size and size + row[6] > BLOCK:  # only between buckets
                     yield solve(held)
                     held, size = [], 0
                 last = row[0]
@@ -173,7 +173,7 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = distinct.select("bucket", "lo.k1", "lo.k2", "lo.start", "piece", "many").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = distinct.select("bucket", "lo.k1", "lo.k2", "lo.start", "piece", "many", "bytes").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, SPANS)
 
 
@@ -221,7 +221,7 @@ def _apply(active: DataFrame) -> DataFrame:
     return active.mapInArrow(run, "k1 long, k2 long, spans array<struct<start: int, end: int>>, kept_sha256 string")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_pieces: int = HOT_PIECES) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte ranges, in order) and kept_sha256, one row per input row."""
     keyed = _keyed(docs, key, text)
     sig = written(signatures(keyed), "signatures")
@@ -241,11 +241,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     whole = pieces.select("bucket", "p1", "p2", "k1", "k2", "start", (F.col("start") + F.octet_length("piece")).cast("int").alias("end"))
     whole = whole.join(distinct.filter("many").select("bucket", "p1", "p2"), ["bucket", "p1", "p2"], "left_semi").select("k1", "k2", "start", "end")
 
-    counted = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("piece")).alias("longest"))
+    size = F.octet_length("piece").cast("long")
+    counted = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("longest"))
     # a lone piece can repeat only within itself, and only if it is longer than a window
-    hot = written(counted.filter(F.col("n") > hot_pieces).select("bucket"), "hot")
-    some = counted.filter((F.col("n") <= hot_pieces) & ((F.col("n") > 1) | (F.col("longest") > LENGTH))).select("bucket")
-    spans = whole.unionByName(_sorted_blocks(distinct.join(some, "bucket", "left_semi")))
+    hot = written(counted.filter(F.col("bytes") > hot_bytes).select("bucket"), "hot")
+    some = counted.filter((F.col("bytes") <= hot_bytes) & ((F.col("n") > 1) | (F.col("longest") > LENGTH))).select("bucket", "bytes")
+    spans = whole.unionByName(_sorted_blocks(distinct.join(some, "bucket")))
     if not hot.isEmpty():
         spans = spans.unionByName(_by_digest(distinct.join(hot, "bucket", "left_semi")))
     spans = written(spans, "spans")
