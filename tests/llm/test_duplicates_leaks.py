@@ -187,3 +187,43 @@ def test_leaks_of_odd_rows(spark):
     assert decontamination.leaks(no_documents(spark), bench).count() == 0
     assert decontamination.leaks(odd_documents(spark), bench.limit(0)).count() == 0
     assert decontamination.lcs(decontamination.bit_masks((1, 2, 3, 4)), 4, [9, 1, 3, 2, 4]) == 3
+
+
+def test_the_space_is_of_all_documents(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(600)]
+    bench = spark.createDataFrame([(k, item(r, vocabulary, 24)) for k in range(80)], "item_id long, text string")
+    items = [x.text for x in bench.orderBy("item_id").collect()]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(40)) + (" " + items[i % 80] if i % 10 == 0 else "")) for i in range(3000)]
+    got = []
+    for move in (0, 1 << 20):
+        docs = spark.createDataFrame([(i + move, t) for i, t in rows], "doc_id long, text string").repartition(7)
+        got.append({(x.doc_id - move, x.item_id): (x.cosine, x.lcs_share, x.first_word) for x in decontamination.leaks(docs, bench).collect()})
+    assert {(i, i % 80) for i in range(0, 3000, 10)} <= got[0].keys() == got[1].keys()
+    assert all(abs(a - b) < 1e-3 for k in got[0] for a, b in zip(got[0][k], got[1][k]))
+
+
+def test_products_are_of_every_passage(spark, monkeypatch):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(150)]
+    items = [decontamination.read_item(k, " ".join(r.choice(vocabulary) for _ in range(12))) for k in range(20)]
+    vocab = decontamination.Vocabulary(items)
+    texts = [None, "", "none of it"] + [" ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 200))) for _ in range(1500)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    monkeypatch.setattr(decontamination, "LEAST_RANK", 40)
+    monkeypatch.setattr(decontamination, "OVERSAMPLE", 200)  # the whole range: no approximation
+    columns = decontamination.vocabulary_columns(docs, vocab)
+    n, df = decontamination.document_frequencies(columns, len(vocab))
+    cols = [vocab.columns(decontamination.hashed_words(t)) for t in texts]
+    assert n == len(texts) and df.tolist() == [sum(k in c for c in cols) for k in range(len(vocab))]
+    idf, telling = np.linspace(1, 2, len(vocab)).astype(np.float32), np.ones(len(vocab), bool)
+
+    def gram(passages):
+        a = np.array([np.bincount(c[c >= 0], minlength=len(vocab)) * idf for c in passages if (c >= 0).any()])
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        return a.T @ a, len(a)
+
+    of_docs, n = gram([c[i : i + decontamination.PASSAGE] for c in cols for i in range(0, len(c), decontamination.PASSAGE)])
+    want = of_docs / n + decontamination.ITEM_WEIGHT * gram([vocab.columns(np.array(i.words, np.uint64)) for i in items])[0]
+    space = decontamination.latent_space(columns, items, vocab, idf, telling)
+    assert np.trace(space.T @ want @ space) > 0.9999 * np.linalg.eigvalsh(want)[::-1][: space.shape[1]].sum()

@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark's words are the vocabulary. Inverse document frequencies come from all documents. A
-distributed randomised SVD of TF-IDF passages (a bounded sample of the corpus and every benchmark item)
+distributed randomised SVD of TF-IDF passages (those of every document, and every benchmark item)
 gives a latent space; each document is searched in windows of words about as long as the items, projected
 into that space, for a cosine of SCORE or more with an item. A candidate is confirmed by the longest common
 subsequence of words between the item and the window with as many words as the item has on either side: a leak holds CERTAIN of the item's words in
@@ -12,9 +12,10 @@ Words are runs of letters and digits, ASCII letters in lower case. Null or empty
 leak. Null doc_id is carried. Items without words leak nowhere; equal items are reported each. Repeated rows are reported each.
 Extra columns are ignored. An empty table on either side gives no leak. A document may leak several items, each once, at its best place.
 
-Scale: two maps over all documents without shuffle (frequencies; search), and the fit on a sample of
-FIT_DOCS documents expected, twice that at most. The benchmark is a stated query set and is collected; what is
-broadcast is the vocabulary of ITEMS items x their rank in floats, whatever the corpus.
+Scale: two maps over all documents without shuffle (the vocabulary's columns, written once; search). The fit
+reads all columns in POWERS + 1 rounds; each of its tasks gives one partial product, vocabulary x rank in floats, and
+partials are added up in blocks of ROWS words. The benchmark is a stated query set and is collected; what is
+broadcast, or sent to the driver in a round, is the vocabulary of ITEMS items x their rank in floats, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from veritree.llm.common import written
 from veritree.llm.wordhash import word_hashes
 
-#: Least dimensions (else one for each item), extra columns of the range finder, its rounds, documents in the fit, its tasks, words of a passage.
-LEAST_RANK, OVERSAMPLE, POWERS, FIT_DOCS, FIT_TASKS, PASSAGE = 64, 16, 2, 1000, 4, 48
-#: How much more an item weighs in the fit than a passage of the corpus.
-ITEM_WEIGHT = 8.0
+#: Least dimensions (else one for each item), extra columns of the range finder, its rounds, words of a passage.
+LEAST_RANK, OVERSAMPLE, POWERS, PASSAGE = 64, 16, 2, 48
+#: What an item weighs in the fit, as a share of what all passages of the corpus weigh together, however many.
+ITEM_WEIGHT = 1 / 128
+#: Passages that are multiplied at once, by their own words only; words whose partial products are added up in one place.
+TILE, ROWS = 32, 32
 SCORE, CERTAIN, LIKELY = 0.6, 0.8, 0.6
 #: Words in more than this share of all documents are left to the subsequence check, unless an item has no LEAST_WORDS rarer ones.
 MAX_DF, LEAST_WORDS = 0.1, 8
@@ -202,23 +205,38 @@ class Model:
         return [(k, s[1], s[0], s[2], -s[3]) for k, s in sorted(best.items())]
 
 
-def document_frequencies(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> tuple[int, np.ndarray]:
-    """The number of documents, and how many hold each word of the vocabulary."""
+def vocabulary_columns(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
+    """passage and col, for each document: the number of its passage and the column of each of its words in the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        total, rows = np.zeros(len(v), np.int64), 0
         for b in batches:
-            rows += b.num_rows
+            passage, col = [], []
             for t in b.column(0):
                 cols = v.columns(hashed_words(t.as_py()))
-                total[np.unique(cols[cols >= 0])] += 1
+                inside = np.flatnonzero(cols >= 0)
+                passage.append((inside // PASSAGE).astype(np.int32).tobytes())
+                col.append(cols[inside].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(passage, pa.binary()), pa.array(col, pa.binary())], ["passage", "col"])
+
+    return written(docs.select(F.col(text)).mapInArrow(run, "passage binary, col binary"), "columns")
+
+
+def document_frequencies(columns: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and how many hold each word of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(size, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for c in b.column(0):
+                total[np.unique(np.frombuffer(c.as_py(), np.int32))] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, total[some]])], ["col", "n"])
 
-    got = docs.select(F.col(text)).mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).collect()
-    out, n = np.zeros(len(vocab), np.int64), 0
+    got = columns.select("col").mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).collect()
+    out, n = np.zeros(size, np.int64), 0
     for r in got:
         if r["col"] < 0:
             n = r["n"]
@@ -236,43 +254,68 @@ def informative(items: list[Item], vocab: Vocabulary, n_docs: int, df: np.ndarra
     return out
 
 
-def _passages(cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """TF-IDF rows, of unit length, of a text's passages."""
-    n = max(1, -(-len(cols) // PASSAGE))
-    out = np.zeros((n, len(weights)), np.float32)
-    inside = np.flatnonzero(cols >= 0)
-    np.add.at(out, (inside // PASSAGE, cols[inside]), weights[cols[inside]])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def latent_space(docs: DataFrame, n_docs: int, items: list[Item], vocab: Vocabulary, idf: np.ndarray, text: str = "text") -> np.ndarray:
-    """The leading right singular vectors of the passages: each round multiplies the sampled passages in FIT_TASKS tasks and adds up the products."""
-    spark, size = docs.sparkSession, len(vocab)
+def _product(passage: np.ndarray, col: np.ndarray, weights: np.ndarray, m: np.ndarray, total: np.ndarray) -> int:
+    """Adds A'Am to total, for the TF-IDF rows A, of unit length, of passages given by their words in order; the number of passages."""
+    edges = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
+    row = np.cumsum(np.r_[False, passage[1:] != passage[:-1]])
+    for at in range(0, len(edges), TILE):
+        lo, hi = edges[at], edges[at + TILE] if at + TILE < len(edges) else len(passage)
+        own, place = np.unique(col[lo:hi], return_inverse=True)
+        n = min(TILE, len(edges) - at)
+        tf = np.bincount((row[lo:hi] - at) * len(own) + place, minlength=n * len(own)).reshape(n, len(own))
+        a = tf.astype(np.float32) * weights[own]
+        a /= np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-9)[:, None]
+        total[own] += a.T @ (a @ m[own])
+    return len(edges)
+
+
+def latent_space(columns: DataFrame, items: list[Item], vocab: Vocabulary, idf: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the passages of all documents and the items. columns are of the whole vocabulary, of which the telling words span the space."""
+    spark, size = columns.sparkSession, len(vocab)
     rank = min(max(LEAST_RANK, len(items)), size)
     width = min(size, rank + OVERSAMPLE)
-    grain = 1 << 30
-    h = F.pmod(F.xxhash64(text, *[c for c in docs.columns if c == "doc_id"]), F.lit(grain))
-    sample = docs.filter(F.col(text).isNotNull() & (h < min(grain, FIT_DOCS * grain // max(1, n_docs)))).select(F.col(text).alias("text")).limit(2 * FIT_DOCS)
-    sample = written(sample.repartition(FIT_TASKS), "passages")
-    own = np.concatenate([_passages(vocab.columns(np.array(i.words, np.uint64)), idf) for i in items if i.words]).astype(np.float32) * np.float32(ITEM_WEIGHT)
+    kept = np.where(telling, np.cumsum(telling) - 1, -1).astype(np.int32)
+    cols = [vocab.columns(np.array(i.words, np.uint64)) for i in items if i.words]
+    item, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
 
     def product(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((vocab, idf, q.astype(np.float32)))
+        m = q.astype(np.float32)
+        shared = spark.sparkContext.broadcast((kept, idf, m))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, weights, m = shared.value
-            total = np.zeros_like(m)
+            at, weights, m = shared.value
+            total, n = np.zeros_like(m), 0
+            for b in batches:
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                first = waiting = 0
+                for k, (p, c) in enumerate(zip(b.column(0), b.column(1))):
+                    p, c = np.frombuffer(p.as_py(), np.int32), at[np.frombuffer(c.as_py(), np.int32)]
+                    if len(p):
+                        held.append((p[c >= 0].astype(np.int64) + first, c[c >= 0]))
+                        first += int(p[-1]) + 1
+                        waiting += len(p)
+                    if held and (waiting >= BLOCK or k == b.num_rows - 1):
+                        n += _product(*(np.concatenate(x) for x in zip(*held)), weights, m, total)
+                        held, first, waiting = [], 0, 0
+            parts = range(0, size, ROWS)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([-1, *parts], pa.int32()), "z": [np.array([n], np.float64).tobytes(), *[total[i : i + ROWS].tobytes() for i in parts]]})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
             for b in batches:
-                for t in b.column(0):
-                    a = _passages(v.columns(hashed_words(t.as_py())), weights)
-                    for at in range(0, len(a), 512):
-                        total += a[at : at + 512].T @ (a[at : at + 512] @ m)
-            yield pa.RecordBatch.from_pydict({"z": [total.tobytes()]})
-
-        z = own.T @ (own @ q.astype(np.float32))
-        for row in sample.mapInArrow(run, "z binary").toArrow()["z"]:
-            z = z + np.frombuffer(row.as_py(), np.float32).reshape(size, width)
+                for k, z in zip(b.column(0).to_pylist(), b.column(1)):
+                    z = np.frombuffer(z.as_py(), np.float64 if k < 0 else np.float32).astype(np.float64)
+                    sums[k] = sums[k] + z if k in sums else z
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "z": pa.array([z.tobytes() for z in sums.values()], pa.binary())})
+
+        got = columns.select("passage", "col").mapInArrow(run, "part int, z binary").repartition("part").mapInArrow(add, "part int, z binary").toArrow().to_pylist()
         shared.unpersist()
+        found = {r["part"]: np.frombuffer(r["z"]) for r in got}
+        own = np.zeros_like(m)
+        _product(item[col >= 0], col[col >= 0], idf, m, own)
+        z = own.astype(np.float64) * ITEM_WEIGHT
+        if n := found.get(-1, np.zeros(1))[0]:
+            z += np.concatenate([found[i] for i in range(0, size, ROWS)]).reshape(size, width) / n
         return z
 
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((size, width)))[0]
@@ -297,11 +340,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for at in range(0, len(given), ITEMS):
         items = given[at : at + ITEMS]
         vocab = Vocabulary(items)
-        n_docs, df = document_frequencies(own, vocab)
+        columns = vocabulary_columns(own, vocab)
+        n_docs, df = document_frequencies(columns, len(vocab))
         telling = informative(items, vocab, n_docs, df)
         vocab, df = Vocabulary(items, vocab.hashes[telling]), df[telling]
         idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
-        model = Model(items, vocab, idf, latent_space(own, n_docs, items, vocab, idf))
+        model = Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
         found = _search(own, model, kind)
         out = found if at == 0 else out.unionByName(found)
     return out
