@@ -227,3 +227,16 @@ def test_products_are_of_every_passage(spark, monkeypatch):
     want = of_docs / n + decontamination.ITEM_WEIGHT * gram([vocab.columns(np.array(i.words, np.uint64)) for i in items])[0]
     space = decontamination.latent_space(columns, items, vocab, idf, telling)
     assert np.trace(space.T @ want @ space) > 0.9999 * np.linalg.eigvalsh(want)[::-1][: space.shape[1]].sum()
+
+
+def test_a_leak_takes_only_its_own_row(spark):
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs far"), (2, "lorem ipsum dolor sit amet")], "item_id long, text string")
+    df = odd_documents(spark).unionByName(odd_documents(spark).filter("doc_id = 8").selectExpr("4L as doc_id", "text", "lang", "source", "n_chars", "n_words", "shard", "`clean`"))
+    for items in (400, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "ITEMS", items)
+            out = decontamination.decontaminated(df, bench)
+            got = out.collect()
+        assert out.columns == df.columns
+        want = [r for r in df.collect() if not re.search("brown|lorem", r.text or "")]
+        assert len(want) == 8 and sorted(map(str, got)) == sorted(map(str, want))

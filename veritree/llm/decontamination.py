@@ -329,14 +329,10 @@ def latent_space(columns: DataFrame, items: list[Item], vocab: Vocabulary, idf:
 LEAKS = "item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share, answer_share, first_word: one row for each item that a document leaks."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+def _models(own: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
+    """A model of each block of ITEMS items with words; own has the text."""
     given = [read_item(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]
     given = sorted((i for i in given if i.words), key=lambda i: (i.item_id is not None, i.item_id or 0, i.words))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    out = spark.createDataFrame([], f"doc_id {kind}, {LEAKS}")
     for at in range(0, len(given), ITEMS):
         items = given[at : at + ITEMS]
         vocab = Vocabulary(items)
@@ -345,10 +341,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         telling = informative(items, vocab, n_docs, df)
         vocab, df = Vocabulary(items, vocab.hashes[telling]), df[telling]
         idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
-        model = Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
+        yield Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, item_id, cosine, lcs_share, answer_share, first_word: one row for each item that a document leaks."""
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    out = None
+    for model in _models(own, benchmark):
         found = _search(own, model, kind)
-        out = found if at == 0 else out.unionByName(found)
-    return out
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], f"doc_id {kind}, {LEAKS}") if out is None else out
 
 
 def _search(own: DataFrame, model: Model, kind: str) -> DataFrame:
@@ -371,6 +375,21 @@ def _search(own: DataFrame, model: Model, kind: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no benchmark item, with all their columns."""
-    gone = written(leaks(docs, benchmark).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "__id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    """The rows whose own text leaks no benchmark item, with all their columns; whatever other rows of their doc_id hold."""
+    out = docs
+    for model in _models(docs.select("text"), benchmark):
+        out = _clean(out, model)
+    return out
+
+
+def _clean(docs: DataFrame, model: Model) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        m.prepare()
+        for b in batches:
+            yield b.filter(pa.array([not m.leaks(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
