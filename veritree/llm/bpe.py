@@ -3,41 +3,41 @@
 A vocabulary file gives byte strings by rank; a text is split by a pattern, and in each word the
 leftmost pair of least rank is merged until no pair has a rank. Here each task splits its texts, hands
 the distinct words it has not met yet to DuckDB, and joins the answers up again. In DuckDB a word is a
-list of ids whose positions become rows that join the merge table; each step of the recursive query
-contracts the leftmost minimum-rank pair of every word, until the fixpoint. Words of over LONG_WORD
-bytes contract all (non-overlapping, leftmost first) occurrences of their least pair at a step, which
-gives the same ids as a merge makes only pairs of higher rank, and run a bounded number of steps per query, so that
-history takes bounded memory. Decoding joins (text, position, id) rows with the vocabulary and
-aggregates bytes in order of position.
+string with one character for each id, whose positions become rows that join the merge table; each step of the
+recursive query contracts the minimum-rank pair of every unfinished word, until the fixpoint. The leftmost occurrence of that
+pair goes first, then its others in the same step, which they would be next anyway: a merge makes only pairs of higher
+rank, since a token's parts are found by lower ranks (load_vocabulary). Words of all lengths take this one way. Decoding joins
+(text, position, id) rows with the vocabulary and aggregates bytes in order of position.
 
 Null text is empty and has no tokens; so has empty text. Invalid ids in decoding raise ValueError.
 Repeated rows are encoded alike; extra columns are carried if named in `carry`. No special tokens are
 recognised in texts. An empty table gives an empty table.
 
 Scale: a map over the scan, without shuffle. A task holds one block of texts (BLOCK_CHARS characters,
-or one long text in pieces) and a word cache of at most CACHE_WORDS words, dropped when full.
+or one long text in pieces) and two generations of a word cache, of at most CACHE_WORDS words each.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 1_000_000
-BLOCK_TOKENS = 250_000
-BLOCK_WORDS = 20_000
-CACHE_WORDS = 300_000
-LONG_WORD = 64
-LONG_STEPS = 32
+#: Characters of texts split at once, tokens decoded at once, tokens whose bytes are aggregated in one group.
+BLOCK_CHARS, BLOCK_TOKENS, PIECE_TOKENS = 1_000_000, 250_000, 4096
+#: Characters of the words of one recursive query; words that a generation of the cache holds; tokens of a word that are scanned as one string.
+BLOCK_BYTES, CACHE_WORDS, PART = 150_000, 150_000, 256
+#: Rows and bytes of texts that are encoded and decoded before they are sent on.
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 DUCK_MEMORY = "150MB"
 
 
@@ -79,56 +79,42 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern, tuple(tokens), ids, np.array(pairs, np.int64), np.array(merged, np.int32))
 
 
-#: One step: the positions of every word join the merge table; the least (rank, position) is contracted.
+#: One step: the positions of every unfinished word join the merge table; its minimum-rank pair (k is the merged token and
+#: its two parts, one character each) is contracted, leftmost first, wherever it stands. Words without such a pair are done.
 ENCODE = """
 WITH RECURSIVE t AS (
-  SELECT w, ids, 0 AS n FROM words
+  SELECT w, s, false AS done FROM words
   UNION ALL
-  SELECT t.w, t.ids[:i - 1] || [id] || t.ids[i + 2:], n + 1
-  FROM t JOIN (
-    SELECT w, min((merges.id::BIGINT << 32) | p.i) AS least, (least >> 32)::INT AS id, (least & 4294967295)::INT AS i
-    FROM (
-      SELECT w, unnest(list_transform(ids[:-2], lambda x, k: (x::BIGINT << 32) | ids[k + 1])) AS pair, generate_subscripts(ids[:-2], 1) AS i
-      FROM t WHERE len(ids) > 1
-    ) AS p JOIN merges USING (pair)
-    GROUP BY w
-  ) AS b ON t.w = b.w
-)
-SELECT w, arg_max(ids, n) AS ids FROM t GROUP BY w ORDER BY w
-"""
-
-#: One step: all occurrences of a word's least pair are contracted, of overlapping ones the 1st, 3rd, ...
-ENCODE_LONG = f"""
-WITH RECURSIVE t AS (
-  SELECT w, ids, 0 AS n, false AS done FROM words
-  UNION ALL
-  SELECT w, list(CASE WHEN hit THEN id ELSE x END ORDER BY i) FILTER (WHERE NOT gone), any_value(n) + 1, NOT bool_or(hit)
+  SELECT w, CASE WHEN k IS NULL THEN s ELSE replace(s, k[2:], k[1]) END, k IS NULL
   FROM (
-    SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY i), false) AS gone
+    SELECT w, first(s) AS s, min(k) AS k
     FROM (
-      SELECT *, coalesce(least AND (i - run) % 2 = 0, false) AS hit
-      FROM (
-        SELECT *, coalesce(max(CASE WHEN least THEN NULL ELSE i END) OVER (PARTITION BY w ORDER BY i ROWS UNBOUNDED PRECEDING), 0) + 1 AS run
-        FROM (
-          SELECT w, n, i, x, id, coalesce(id = min(id) OVER (PARTITION BY w), false) AS least
-          FROM (
-            SELECT w, n, unnest(ids) AS x, generate_subscripts(ids, 1) AS i,
-              unnest(list_transform(ids, lambda x, k: (x::BIGINT << 32) | coalesce(ids[k + 1], -1))) AS pair
-            FROM t WHERE NOT done AND n < {LONG_STEPS}
-          ) LEFT JOIN merges USING (pair)
-        )
-      )
-    )
-  ) GROUP BY w
+      SELECT w, s, substring(part, unnest(range(1, greatest(length(part), 2))), 2) AS pair
+      FROM (SELECT w, s, CASE WHEN length(s) <= {part} THEN s ELSE substring(s, unnest(range(1, greatest(length(s), 2), {part})), {part} + 1) END AS part FROM t WHERE NOT done)
+    ) LEFT JOIN merges USING (pair)
+    GROUP BY w
+  )
 )
-SELECT w, arg_max(ids, n) AS ids, bool_or(done) AS done FROM t GROUP BY w ORDER BY w
+SELECT w, s FROM t WHERE done ORDER BY w
 """
 
+#: Bytes as characters below 256.
 DECODE = """
-SELECT d, string_agg(h, '' ORDER BY i) AS h, count(h) AS n, count(*) AS of_n FROM ids LEFT JOIN vocab USING (id) GROUP BY d ORDER BY d
+SELECT d, string_agg(b, '' ORDER BY i) AS b, count(b) AS n, count(*) AS of_n FROM ids LEFT JOIN vocab USING (id) GROUP BY d ORDER BY d
 """
 
 
+def _characters(ids: np.ndarray) -> np.ndarray:
+    """A character for each id: never NUL, nor a surrogate."""
+    up = ids.astype(np.uint32) + 1
+    return up + (up >= 0xD800) * np.uint32(0x800)
+
+
+def _ids(characters: str) -> np.ndarray:
+    up = np.frombuffer(characters.encode("utf-32-le"), np.uint32)
+    return (up - (up >= 0xE000) * np.uint32(0x800)).astype(np.int32) - 1
+
+
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary, and a cache of encoded words."""
 
@@ -137,59 +123,57 @@ class Codec:
 
         self.vocab, self.pattern = vocab, regex.compile(vocab.pattern)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY, "preserve_insertion_order": False})
-        merges = pa.table({"pair": vocab.pairs, "id": vocab.merged})
-        names = pa.table({"id": pa.array(range(len(vocab.tokens)), pa.int32()), "h": [t.hex() for t in vocab.tokens]})
+        shown = _characters(np.arange(len(vocab.tokens))).tobytes().decode("utf-32-le")
+        pairs = [shown[p >> 32] + shown[p & 0xFFFFFFFF] for p in vocab.pairs.tolist()]
+        merges = pa.table({"pair": pairs, "k": [shown[m] + p for m, p in zip(vocab.merged.tolist(), pairs)]})
+        names = pa.table({"id": pa.array(range(len(vocab.tokens)), pa.int32()), "b": [t.decode("latin-1") for t in vocab.tokens]})
         for name, data in (("merges", merges), ("vocab", names)):
             self.con.register("given", data)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        #: word -> its ids as little-endian int32 bytes
-        self.known: dict[str, bytes] = {}
-
-    def _run(self, query: str, lists: pa.Array) -> pa.Table:
-        self.con.register("words", pa.table({"w": pa.array(np.arange(len(lists)), pa.int32()), "ids": lists}))
-        out = self.con.sql(query).to_arrow_table()
+        self.byte_characters = _characters(vocab.byte_ids)
+        #: word -> its ids as characters; of two generations, as a full one is only dropped when the next is full as well
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Puts the ids of the words in the cache, in blocks of BLOCK_BYTES."""
+        older, known, block, size = self.older, self.known, [], 0
+        for w in words:
+            if found := older.get(w):
+                known[w] = found
+                continue
+            block.append(w)
+            size += len(w)
+            if size >= BLOCK_BYTES:
+                self._solve(block)
+                block, size = [], 0
+        if block:
+            self._solve(block)
+
+    def _solve(self, words: list[str]) -> None:
+        every = [w.encode() for w in words]
+        shown = self.byte_characters[np.frombuffer(b"".join(every), np.uint8)].tobytes().decode("utf-32-le")
+        ends = list(accumulate(map(len, every)))
+        self.con.register("words", pa.table({"w": pa.array(np.arange(len(words)), pa.int32()), "s": [shown[a:b] for a, b in zip([0, *ends], ends)]}))
+        out = self.con.sql(ENCODE.format(part=PART)).to_arrow_table()["s"].to_pylist()
         self.con.unregister("words")
-        return out.combine_chunks()
-
-    def _learn(self, words: list[str]) -> None:
-        every = [(w, e) for w in words if len(e := w.encode()) <= LONG_WORD]
-        for at in range(0, len(every), BLOCK_WORDS):
-            short = every[at : at + BLOCK_WORDS]
-            lists = _lists([self.vocab.byte_ids[np.frombuffer(b"".join(e for _, e in short), np.uint8)]], [len(e) for _, e in short])
-            self._keep([w for w, _ in short], self._run(ENCODE, lists)["ids"].combine_chunks())
-        for word in words:
-            e = word.encode()
-            if len(e) > LONG_WORD:
-                ids = pa.array(self.vocab.byte_ids[np.frombuffer(e, np.uint8)], pa.int32())
-                while True:
-                    got = self._run(ENCODE_LONG, pa.ListArray.from_arrays([0, len(ids)], ids))
-                    ids = got["ids"].combine_chunks().flatten()
-                    if got["done"][0].as_py():
-                        break
-                self._keep([word], pa.ListArray.from_arrays([0, len(ids)], ids))
-
-    def _keep(self, words: list[str], lists) -> None:
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        raw = np.asarray(lists.flatten(), np.int32).tobytes()
-        ends = (np.asarray(lists.value_lengths(), np.int64).cumsum() * 4).tolist()
-        start = 0
-        for w, end in zip(words, ends):
-            self.known[w] = raw[start:end]
-            start = end
-
-    def words_to_ids(self, words: list[str]) -> bytes:
-        """The ids of a sequence of words, as int32 bytes."""
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
+        self.known.update(zip(words, out))
+
+    def _ready(self, words: set[str]) -> None:
+        """All the words are in the cache when this returns."""
+        if len(self.known) + len(new := words.difference(self.known)) > CACHE_WORDS:
+            self.older, self.known, new = self.known, {}, words
+        if new:
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids as int32 bytes; texts are taken in blocks."""
+    def words_to_ids(self, words: list[str]) -> np.ndarray:
+        """The ids of a sequence of words."""
+        self._ready(set(words))
+        return _ids("".join(map(self.known.__getitem__, words)))
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """For each text its ids; texts are taken in blocks."""
         at = 0
         while at < len(texts):
             if len(texts[at] or "") > BLOCK_CHARS:
@@ -197,7 +181,7 @@ class Codec:
                 parts = []
                 while part := [m[0] for m in islice(matches, BLOCK_TOKENS)]:
                     parts.append(self.words_to_ids(part))
-                yield b"".join(parts)
+                yield np.concatenate(parts)
                 at += 1
                 continue
             split: list[list[str]] = []
@@ -206,16 +190,10 @@ class Codec:
                 split.append(self.pattern.findall(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            words = set().union(*split)
-            new = [w for w in words if w not in self.known]
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(words)
-            if new:
-                self._learn(new)
+            self._ready(set().union(*split))
             get = self.known.__getitem__
             for s in split:
-                yield b"".join(map(get, s))
+                yield _ids("".join(map(get, s)))
 
     def decode(self, ids: list[np.ndarray]) -> Iterator[bytes]:
         """For each array of ids its bytes; long arrays are decoded in pieces."""
@@ -228,20 +206,21 @@ class Codec:
                 flat = np.concatenate(pieces)
                 lens = np.array([len(p) for p in pieces])
                 d = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
-                i = np.arange(len(flat), dtype=np.int64)
+                i = np.arange(len(flat), dtype=np.int32)
                 self.con.register("ids", pa.table({"d": d, "i": i, "id": flat.astype(np.int32)}))
-                for k, h, n, of_n in self.con.execute(DECODE).fetchall():
+                got = self.con.sql(DECODE).to_arrow_table()
+                for k, b, n, of_n in zip(*(got[c].to_pylist() for c in ("d", "b", "n", "of_n"))):
                     if n != of_n:
                         raise ValueError("ids that the vocabulary does not have")
-                    out[owner[k]].append(bytes.fromhex(h))
+                    out[owner[k]].append(b.encode("latin-1"))
                 self.con.unregister("ids")
                 pieces.clear()
                 owner.clear()
 
         held = 0
         for k, a in enumerate(ids):
-            for at in range(0, len(a), BLOCK_TOKENS):
-                pieces.append(a[at : at + BLOCK_TOKENS])
+            for at in range(0, len(a), PIECE_TOKENS):
+                pieces.append(a[at : at + PIECE_TOKENS])
                 owner.append(k)
                 held += len(pieces[-1])
                 if held >= BLOCK_TOKENS:
@@ -252,11 +231,21 @@ class Codec:
             yield b"".join(o)
 
 
-def _lists(parts: list[np.ndarray], lengths: list[int]) -> pa.ListArray:
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False), pa.int32()))
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows, which end where the last column's texts pass SLICE_BYTES."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0), np.int64)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    at = 0
+    while at < batch.num_rows:
+        end = min(at + SLICE_ROWS, int(np.searchsorted(part, part[at], "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _codecs: dict[str, Codec] = {}
@@ -283,11 +272,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, text: str = "text", carry: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                parts = list(codec.encode(b.column(b.num_columns - 1).to_pylist()))
-                ids = _lists([np.frombuffer(p, np.int32) for p in parts], [len(p) // 4 for p in parts])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
+            for b in _slices(batch):
+                ids = list(codec.encode(b.column(b.num_columns - 1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], [*b.schema.names[:-1], "ids"])
 
     return shown.mapInArrow(run, _schema(shown, "ids array<int>"))
 
@@ -319,11 +306,10 @@ def round_trip(docs: DataFrame, vocab: Vocabulary, text: str = "text", carry: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                b = batch.slice(at, 128)
-                parts = [np.frombuffer(p, np.int32) for p in codec.encode(b.column(b.num_columns - 1).to_pylist())]
-                out = pa.array(list(codec.decode(parts)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(parts, [len(p) for p in parts]), out], [*b.schema.names[:-1], "ids", "decoded"])
+            for b in _slices(batch):
+                ids = list(codec.encode(b.column(b.num_columns - 1).to_pylist()))
+                out = pa.array(list(codec.decode(ids)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids), out], [*b.schema.names[:-1], "ids", "decoded"])
 
     return shown.mapInArrow(run, _schema(shown, "ids array<int>, decoded binary"))
 
