@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritree.plans.shared import dropped, scratch, shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of characters outside these (Java and RE2 syntax).
 SPACE_CLASS = r"[\x09-\x0D\x20]"
 WORD_CHAR = r"[^\x09-\x0D\x20]"
@@ -21,45 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints/veritree-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-_tables: list[str] = []
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritree-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that written() made in this session, but for those that `keep` reads; for when all other results have been stored."""
-    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None and _tables else set()
-    for path in [t for t in _tables if t.rpartition("/")[2] not in kept]:
-        dropped(spark, path)
-        _tables.remove(path)
-
-
 def words(text):
     """array<string> of the words of a text column; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         following = written(small, "links")
         same = following.count() == edges.filter("u <> v").count() and following.join(edges, ["u", "v"], "left_anti").isEmpty()
         if edges is not nodes:
-            dropped(edges.sparkSession, *{f.rpartition("/")[0] for f in edges.inputFiles()})
+            dropped(edges.sparkSession, edges.veritree_path)
         edges = following
         if same:
             break

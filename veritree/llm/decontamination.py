@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import written
+from veritree.llm.common import scratch, written
 from veritree.llm.wordhash import word_hashes
 
 #: Least dimensions (else one for each item), extra columns of the range finder, its rounds, words of a passage.
@@ -336,12 +336,14 @@ def _models(own: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     for at in range(0, len(given), ITEMS):
         items = given[at : at + ITEMS]
         vocab = Vocabulary(items)
-        columns = vocabulary_columns(own, vocab)
-        n_docs, df = document_frequencies(columns, len(vocab))
-        telling = informative(items, vocab, n_docs, df)
-        vocab, df = Vocabulary(items, vocab.hashes[telling]), df[telling]
-        idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
-        yield Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
+        with scratch(own.sparkSession):
+            columns = vocabulary_columns(own, vocab)
+            n_docs, df = document_frequencies(columns, len(vocab))
+            telling = informative(items, vocab, n_docs, df)
+            vocab, df = Vocabulary(items, vocab.hashes[telling]), df[telling]
+            idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
+            model = Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
+        yield model
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ documents of their own. Null doc_id is carried. Extra columns are ignored. An em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import written
+from veritree.llm.common import scratch, written
 from veritree.llm.suffix_array import repeated
 from veritree.llm.wordhash import _powers, mix
 
@@ -223,10 +223,26 @@ def _apply(active: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte ranges, in order) and kept_sha256, one row per input row."""
-    keyed = _keyed(docs, key, text)
-    sig = written(signatures(keyed), "signatures")
+    with scratch(docs.sparkSession) as keep:
+        keyed = _keyed(docs, key, text)
+        sig = keep(written(signatures(keyed), "signatures"))
+        cls, removed = _repeats(keyed, sig, hot_bytes, keep)
+    out = sig.drop("runs").join(cls.select("k1", "k2", "copies"), ["k1", "k2"], "left").join(removed, ["k1", "k2"], "left")
+    copied = F.col("copies") > 1
+    all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copied, all_).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(copied, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    )
+
+
+def _repeats(keyed: DataFrame, sig: DataFrame, hot_bytes: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Each text's copies, and the spans and rest of the texts that repeat something; both written and kept."""
     cls = sig.filter(F.col("n_bytes") >= LENGTH).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("runs").alias("runs"))
-    cls = written(cls, "classes")
+    cls = keep(written(cls, "classes"))
 
     posted = cls.select("k1", "k2", "rep", F.explode("runs").alias("r")).select("k1", "k2", "rep", "r.*")
     shared = posted.groupBy("bucket").agg((F.count(F.lit(1)) + F.sum(F.col("multi").cast("long"))).alias("n")).filter("n > 1").select("bucket")
@@ -253,17 +269,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
 
     by_text = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     texts = active.select("k1", "k2", "bytes").join(by_text, ["k1", "k2"])
-    removed = written(_apply(texts), "removed").dropDuplicates(["k1", "k2"])
-    out = sig.drop("runs").join(cls.select("k1", "k2", "copies"), ["k1", "k2"], "left").join(removed, ["k1", "k2"], "left")
-    copied = F.col("copies") > 1
-    all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copied, all_).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copied, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-    )
+    return cls, keep(written(_apply(texts), "removed")).dropDuplicates(["k1", "k2"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
