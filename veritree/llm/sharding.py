@@ -6,14 +6,13 @@ sizes passes k/S of the total, so shard sizes differ by at most about one docume
 key boundary across all partitions and keeps, per splitter, the one cell it must lie in; the next
 round probes 4096 finer boundaries inside those cells. A round sends the driver at most
 (S-1) x 4096 counts. Cells shrink until all open ones together hold few rows, which are then read to
-fix the splitters exactly. Then rows are exchanged once, by slice: a slice is a key range of bounded
-rows inside a shard, cut by the same histogram, so that no task sorts a whole shard.
+fix the splitters exactly. Then rows are exchanged once, by ranges of the key, and a row's slot is its place in its
+range behind the rows of earlier ranges of its shard.
 
-The key is 60 bits of the text's MD5 and then doc_id (63 bits, offset to be non-negative), so that
-equal texts are neighbours and a group of copies, however large, is spread over as many slices as
-its rows need. Ties of the whole key (repeated rows) are cut nowhere: they share a slice, in any
-order, as they are the same row. Null text has size 1 and the key of the empty text. Null doc_id
-sorts before all others. An empty table gives no rows.
+The key is 60 bits of the text's MD5, then doc_id (63 bits, signed), then the row's number in the ledger. Equal texts are
+neighbours, and no two rows have one key: a group of copies, or of repeated rows, however large, is spread over as many
+ranges and shards as its bytes need. Rows that are equal but for that number are interchangeable, so it decides nothing that shows. Null
+text has size 1 and the key of the empty text. Null doc_id sorts before all others. An empty table gives no rows.
 
 Only DataFrame functions are used. Texts are read in one pass; the rounds read the narrow ledger
 (doc_id, size, crc32, key), written once in the shared checkpoint folder.
@@ -27,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritree.llm.common import written
+from veritree.llm.common import scratch, written
 
-#: Bits per round, rows that may be read in full to end the search, and rows meant for one slice.
-PROBE_BITS, FEW_ROWS, SLICE_ROWS = 12, 8192, 250_000
+#: Bits per round, rows that may be read in full to end the search, and rows meant for one range of the exchange.
+PROBE_BITS, FEW_ROWS, RANGE_ROWS = 12, 8192, 250_000
 HASH_BITS, ID_BITS = 60, 63
+KEY = ("hi", "lo", "seq")
 
 
 def shard_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, hi (60 bits of MD5), lo (doc_id, offset)."""
+    """doc_id, size, text_crc32, hi (60 bits of MD5), lo (doc_id, null as the least long), seq (a number of the row)."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = F.col(key).cast("long")
     return docs.select(
@@ -44,6 +44,7 @@ def shard_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.crc32(t).alias("text_crc32"),
         F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long").alias("hi"),
         F.coalesce(d, F.lit(-(2**63))).alias("lo"),
+        F.monotonically_increasing_id().alias("seq"),
     )
 
 
@@ -51,116 +52,101 @@ def _rounds() -> list[tuple[str, int]]:
     """(column, shift) per round: the key's bits from the top, 12 at a time."""
     out = [("hi", s) for s in range(HASH_BITS - PROBE_BITS, -1, -PROBE_BITS)]
     # lo is signed: its arithmetic shift keeps the order of doc_id
-    return out + [("lo", s) for s in (52, 40, 28, 16, 4, 0)]
+    return out + [(c, s) for c in ("lo", "seq") for s in (52, 40, 28, 16, 4, 0)]
 
 
-def splitters(led: DataFrame, weight: str, targets: list[int]) -> list[tuple[int, int]]:
-    """For each target (ascending), the least key (hi, lo) at which the weight of all smaller or equal keys is over the target."""
-    spark = led.sparkSession
-    # an open cell: (hi prefix, lo prefix) of the rounds so far, with the weight below it
+def _prefix(before: list[tuple[str, int]]) -> list[int]:
+    """Which of the rounds so far tell a cell: the last of each column."""
+    return [i for i, (c, _) in enumerate(before) if i + 1 == len(before) or before[i + 1][0] != c]
+
+
+def _inside(cells, before: list[tuple[str, int]]) -> Column:
+    """Whether a row lies in one of the cells (at most one for each splitter)."""
+    out = F.lit(False)
+    for cell in sorted(cells):
+        one = F.lit(True)
+        for i in _prefix(before):
+            one = one & (F.shiftright(before[i][0], before[i][1]) == cell[i])
+        out = out | one
+    return out
+
+
+def splitters(led: DataFrame, weight: str, targets: list[int]) -> list[tuple[int, int, int]]:
+    """For each target (ascending), the least key (hi, lo, seq) at which the weight of all smaller or equal keys is over the target."""
+    # an open cell: the prefixes of the rounds so far, with the weight below it
     open_cells: dict[tuple[int, ...], int] = {(): 0}
     wanted: dict[tuple[int, ...], list[int]] = {(): sorted(set(targets))}
-    done: dict[int, tuple[int, int]] = {}
     before: list[tuple[str, int]] = []
     for column, shift in _rounds():
-        probe = F.shiftright(column, shift)
-        # the cell of an earlier round is given by its last prefix of hi and, if there, of lo
-        last = [next((i for i in range(len(before) - 1, -1, -1) if before[i][0] == c), None) for c in ("hi", "lo")]
-        rows = led
-        if before:
-            cells = sorted(open_cells)
-            same = None
-            for cell in cells:
-                one = F.lit(True)
-                for i in last:
-                    if i is not None:
-                        one = one & (F.shiftright(before[i][0], before[i][1]) == cell[i])
-                same = one if same is None else same | one
-            rows = rows.filter(same)
-        by = [F.shiftright(before[i][0], before[i][1]).alias(f"p{j}") for j, i in enumerate(last) if i is not None]
-        counted = rows.groupBy(*by, probe.alias("probe")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).collect()
+        last = _prefix(before)
+        rows = led.filter(_inside(open_cells, before)) if before else led
+        names = [f"p{j}" for j in range(len(last))]
+        by = [F.shiftright(before[i][0], before[i][1]).alias(n) for n, i in zip(names, last)]
+        counted = rows.groupBy(*by, F.shiftright(column, shift).alias("probe")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).collect()
         found: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
-        names = [f"p{j}" for j, i in enumerate(last) if i is not None]
         for r in counted:
             found.setdefault(tuple(r[n] for n in names), []).append((r["probe"], r["w"], r["n"]))
         next_cells, next_wanted, rows_left = {}, {}, 0
         for cell, base in open_cells.items():
-            below, todo = base, list(wanted[cell])
-            for p, w, n in sorted(found[tuple(cell[i] for i in last if i is not None)]):
-                here = [t for t in todo if below <= t < below + w]
-                if here:
+            below = base
+            for p, w, n in sorted(found[tuple(cell[i] for i in last)]):
+                if here := [t for t in wanted[cell] if below <= t < below + w]:
                     next_cells[(*cell, p)], next_wanted[(*cell, p)] = below, here
                     rows_left += n
                 below += w
         open_cells, wanted = next_cells, next_wanted
         before.append((column, shift))
-        if rows_left <= FEW_ROWS or (column, shift) == ("lo", 0) or not open_cells:
+        if rows_left <= FEW_ROWS or not open_cells:
             break
     if not open_cells:
         return []
-    # few rows, or cells of one whole key each: the exact sums by key
-    last = [next((i for i in range(len(before) - 1, -1, -1) if before[i][0] == c), None) for c in ("hi", "lo")]
-    same = None
-    for cell in sorted(open_cells):
-        one = F.lit(True)
-        for i in last:
-            if i is not None:
-                one = one & (F.shiftright(before[i][0], before[i][1]) == cell[i])
-        same = one if same is None else same | one
-    keys = sorted((r["hi"], r["lo"], r["w"]) for r in led.filter(same).groupBy("hi", "lo").agg(F.sum(weight).alias("w")).collect())
+    # few rows: the exact sums by key, which tells rows apart
+    keys = sorted((tuple(r[c] for c in KEY), r["w"]) for r in led.filter(_inside(open_cells, before)).select(*KEY, F.col(weight).alias("w")).collect())
+    done: dict[int, tuple[int, int, int]] = {}
     for cell, below in open_cells.items():
-        for hi, lo, w in keys:
-            if all((hi if before[i][0] == "hi" else lo) >> before[i][1] == cell[i] for i in last if i is not None):
-                for t in wanted[cell]:
-                    if below <= t < below + w:
-                        done[t] = (hi, lo)
+        for key, w in keys:
+            if all(key[KEY.index(before[i][0])] >> before[i][1] == cell[i] for i in _prefix(before)):
+                done.update((t, key) for t in wanted[cell] if below <= t < below + w)
                 below += w
     return [done[t] for t in targets]
 
 
-def _part(cuts: list[tuple[int, int]]) -> Column:
-    """How many cuts are at or below the row's key, by a balanced tree of comparisons."""
+def _part(ends: list[tuple[int, int, int]]) -> Column:
+    """How many of the splitters are below the row's key, by a balanced tree of comparisons."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        h, i = cuts[mid]
-        return F.when((F.col("hi") < h) | ((F.col("hi") == h) & (F.col("lo") < i)), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        h, i, q = ends[mid]
+        up_to = (F.col("hi") < h) | ((F.col("hi") == h) & ((F.col("lo") < i) | ((F.col("lo") == i) & (F.col("seq") <= q))))
+        return F.when(up_to, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts))
+    return tree(0, len(ends))
 
 
-def shard(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, hi, lo, shard (0 .. n_shards-1) and slot (gapless from 0 in each shard, in key order).
 
     A row belongs to shard k if the bytes of all smaller keys lie in [k, k+1) x total / n_shards.
     """
-    led = written(shard_ledger(docs, key, text), "shards")
-    total, rows = led.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    if not rows:
-        return led.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    # a splitter is the first key whose smaller keys weigh k/S of the total or more: all keys up to the one that passes k/S - 1 stay below
-    targets = [-(-k * total // n_shards) - 1 for k in range(1, n_shards)]
-    ends = splitters(led, "size", targets)
-    slices = min(4096, -(-rows // slice_rows))
-    extra = splitters(led.withColumn("__one", F.lit(1).cast("long")), "__one", [k * rows // slices - 1 for k in range(1, slices)]) if slices > 1 else []
-    cuts = sorted({(h, i + 1) if i < 2**63 - 1 else (h + 1, -(2**63)) for h, i in [*ends, *extra]})
-    starts = [(h, i + 1) if i < 2**63 - 1 else (h + 1, -(2**63)) for h, i in ends]
-    of_slice = [sum(s <= c for s in starts) for c in [(-1, 0), *cuts]]
-    sliced = led.withColumn("slice", _part(cuts))
-    counts = dict(sliced.groupBy("slice").count().collect())  # at most n_shards + 4096 rows
-    offset, at = {}, [0] * n_shards
-    for s, k in enumerate(of_slice):
-        offset[s] = at[k]
-        at[k] += counts.get(s, 0)
-    # (shard, offset) by slice, found with one array lookup
-    first = F.array(*[F.lit(offset[s]).cast("long") for s in range(len(of_slice))])
-    shards = F.array(*[F.lit(k) for k in of_slice])
-    n = F.row_number().over(Window.partitionBy("slice").orderBy("hi", "lo"))
-    return sliced.withColumn("slot", n - 1 + F.element_at(first, F.col("slice") + 1)).withColumn("shard", F.element_at(shards, F.col("slice") + 1)).drop("slice")
-
-
-def shard_of(key: tuple[int, int], ends: list[tuple[int, int]]) -> int:
+    with scratch(docs.sparkSession) as keep:
+        led = written(shard_ledger(docs, key, text), "shards")
+        total, rows = led.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        # a splitter is the last key of its shard: the first at which the keys up to it weigh k/S of the total or more
+        ends = splitters(led, "size", [-(-k * total // n_shards) - 1 for k in range(1, n_shards)]) if rows else []
+        dealt = led.withColumn("shard", _part(ends)).repartitionByRange(max(n_shards, -(-rows // range_rows)), *KEY).sortWithinPartitions(*KEY)
+        # after the sort the number tells the range (above 33 bits) and the place in it
+        placed = keep(written(dealt.withColumn("at", F.monotonically_increasing_id()), "sorted"))
+    part = F.shiftright("at", 33)
+    # one row for each range and shard that meet: ranges and n_shards at most
+    met = placed.groupBy("shard", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = met.select(F.col("shard").alias("s"), F.col("part").alias("p"), (before - F.col("first")).alias("shift"))
+    out = placed.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (part == F.col("p")))
+    return out.select("doc_id", "size", "text_crc32", "hi", "lo", "shard", (F.col("at") + F.col("shift")).alias("slot"))
+
+
+def shard_of(key: tuple[int, int, int], ends: list[tuple[int, int, int]]) -> int:
     """The shard of one key, for callers that route single rows."""
     return bisect_left(ends, key)
