@@ -19,7 +19,7 @@ documents hold - must share one of the quarter of their full sets that is rarest
 exact. Pairs inside a component need no comparison, so groups of thousands of copies are never expanded into pairs.
 
 Documents with null or empty text, or without words, have an empty set and are linked with nothing.
-Rows with one doc_id count as one document when linking. Null doc_id is linked by nobody: its component_id is null and it
+Rows with one doc_id count as one document: its different texts' groups are one component. Null doc_id is linked by nobody: its component_id is null and it
 is not kept. Extra columns are ignored. An empty table gives an empty table.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import written
+from veritree.llm.common import scratch, written
 from veritree.llm.components import components
 from veritree.llm.wordhash import shingle_set
 
@@ -220,9 +220,26 @@ def _across(listed: DataFrame) -> DataFrame:
     return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
+def id_links(sig: DataFrame, cls: DataFrame) -> DataFrame:
+    """a, b: links between the classes of the different texts that rows of one doc_id have."""
+    again = sig.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    rows = sig.filter("n > 0").join(again, "doc_id", "left_semi").select("doc_id", "digest").join(cls.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return rows.join(least, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row."""
-    sig = written(sketches(docs, key, text), "sketches")
+    with scratch(docs.sparkSession) as keep:
+        sig = keep(written(sketches(docs, key, text), "sketches"))
+        ids = keep(written(_class_components(docs, sig, key, text), "components"))
+    out = sig.drop("sketch").join(ids, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _class_components(docs: DataFrame, sig: DataFrame, key: str, text: str) -> DataFrame:
+    """digest and component of each class."""
     cls = written(classes(sig), "classes")
     listed = written(index(cls), "index")
     active = listed.select("node").distinct()
@@ -250,11 +267,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     few = estimated(_across(placed.filter(F.col("m") <= SMALL_LIST)), cls)
     many = rare_pairs(placed.filter(F.col("m") > SMALL_LIST).select("node", "n", "c", "home").distinct(), texts)
     more = _linked(measured(few.unionByName(many).distinct(), texts))
-    links = written(links.unionByName(within).unionByName(more), "all-links")
+    # rows of one doc_id are one document: their classes are one component as well
+    links = written(links.unionByName(within).unionByName(more).unionByName(id_links(sig, cls)), "all-links")
     final = components(links)
+    return cls.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
 
-    ids = cls.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    # rows of one doc_id are one document: their classes are one component as well
-    out = sig.join(ids, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of least doc_id. Rows without shingles or doc_id are in no group and stay.
+
+    Where doc_id tells all rows apart it is their key. Else rows are numbered first (one more copy of the
+    table): rows of one doc_id are then judged by their own texts, and of a group the row of least (doc_id, digest, number) stays.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if ids.isEmpty():
+        with scratch(docs.sparkSession) as keep:
+            gone = keep(written(near_duplicates(docs).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__id")), "gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"))
+        found = near_duplicates(rows.filter("doc_id is not null"), "__row").filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+        place = F.struct("doc_id", F.xxhash64("text").alias("digest"), "__row")
+        first = found.join(rows.select("__row", "doc_id", "text"), "__row").groupBy("component_id").agg(F.min(place).alias("p")).select("p.__row")
+        gone = keep(written(found.select("__row").join(first, "__row", "left_anti"), "gone"))
+    return rows.join(gone, "__row", "left_anti").drop("__row")
