@@ -3,17 +3,17 @@
 Each line's spread is the number of distinct sites it occurs on. Per line hash, HyperLogLog sketches of
 sites are built in every task and merged by aggregation; estimates far from the threshold decide, and
 lines near it get exact distinct counts. Lines spread over `min_sites` sites or more are boilerplate and
-are removed from documents. A document most of whose words stand on such lines is not a page with
-boilerplate but a copy of other documents; it is left whole for near-duplicate removal.
+are removed from every document that has lines of its own. A document without any, all of whose lines are spread, is not a page with
+boilerplate but a copy of others; it is left whole for near-duplicate removal, as its text would be lost otherwise.
 
 Lines are \\n-split and compared without white space at their ends; lines without a word are never
 boilerplate. Null text stays null and has no lines; null site counts as a site of its own. Repeated rows
-and repeated doc_ids are treated alike; null doc_id is carried. An empty table gives an empty table.
+are treated alike, and rows of one doc_id each by their own text; null doc_id is carried. An empty table gives an empty table.
 Documents keep their other columns, whatever their names.
 
 Scale: lines shuffle as 64-bit hashes with sketches that merge map-side, so a line on a third of all
 rows costs one sketch per task. The set of boilerplate hashes joins back to (row, line) pairs on the hash; only
-the lists of removed lines, one row per touched document, meet the documents again, on doc_id.
+the lists of removed lines' places, one row per touched text, meet the documents again, on doc_id and the text's hash.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import WORD_CHAR, written
+from veritree.llm.common import WORD_CHAR, scratch, written
 
 MIN_SITES = 5
 LG_K = 12
@@ -33,10 +33,19 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """doc_id, site and h of each distinct line of each document."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD_CHAR))
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("\u0000")).alias("site"), F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("h"))
+    """doc_id, t (hash of the text), site, h and place (from 0) of each line with a word."""
+    marked = F.transform(_lines(F.col(text)), lambda x, i: F.struct(F.when(x.rlike(WORD_CHAR), line_hash(x)).alias("h"), i.alias("place")))
+    rows = docs.select(F.col(key).alias("doc_id"), _text_hash(F.col(text)).alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("\u0000")).alias("site"), F.explode(marked).alias("l"))
+    return rows.select("doc_id", "t", "site", "l.h", "l.place").filter("h is not null")
 
 
 def spread_lines(occ: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,29 +59,29 @@ def spread_lines(occ: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def removal(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """doc_id and the array of its spread lines' hashes, for documents that have any."""
-    occ = written(occurrences(docs, key, text, site), "lines")
-    return occ.join(spread_lines(occ, min_sites), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    """doc_id, t and the places of spread lines, for texts that have any; written."""
+    with scratch(docs.sparkSession) as keep:
+        occ = written(occurrences(docs, key, text, site), "lines")
+        return keep(written(occ.join(spread_lines(occ, min_sites), "h", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places")), "places"))
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """__row (the document as it came), lines (long), removed (long) and clean (its text without boilerplate)."""
-    gone = removal(docs, min_sites, key, text, site).select(F.col("doc_id").alias("__id"), F.col("hs").alias("__hs"))
+    gone = removal(docs, min_sites, key, text, site).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     rows = docs.select(F.struct(*docs.columns).alias("__row"))
-    both = rows.join(gone, rows["__row"][key].eqNullSafe(gone["__id"]), "left").drop("__id")
     t = F.col("__row")[text]
-    both = both.withColumn("__l", F.split(F.coalesce(t, F.lit("")), "\n"))
-    spread = lambda x: x.rlike(WORD_CHAR) & F.array_contains("__hs", line_hash(x))
-    both = both.withColumn("__k", F.when(F.col("__hs").isNull(), F.col("__l")).otherwise(F.filter("__l", lambda x: ~spread(x))))
-    n_words = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, r"[\x09-\x0D\x20]+"), lambda w: w != "")))
-    whole = F.col("__hs").isNull() | (2 * n_words(F.col("__k")) < n_words(F.col("__l")))
-    worded = lambda c: F.size(F.filter(c, lambda x: x.rlike(WORD_CHAR))).cast("long")
-    both = both.withColumn("__whole", whole)
+    both = rows.join(gone, rows["__row"][key].eqNullSafe(gone["__id"]) & (_text_hash(rows["__row"][text]) == gone["__t"]), "left")
+    both = both.select("__row", "__places", _lines(t).alias("__l")).withColumn("n_lines", F.size(F.filter("__l", lambda x: x.rlike(WORD_CHAR))))
+    whole = F.col("__places").isNull() | (F.size("__places") == F.col("n_lines"))
+    # lines with their places are distinct, so one hash set takes out those that go
+    numbered = lambda i, x: F.concat(i.cast("string"), F.lit(":"), x)
+    left = F.array_except(F.transform("__l", lambda x, i: numbered(i, x)), F.transform("__places", lambda i: numbered(i, F.element_at("__l", i + 1))))
+    clean = F.array_join(F.transform(left, lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x))), "\n")
     return both.select(
         "__row",
-        worded(F.col("__l")).alias("n_lines"),
-        F.when(F.col("__whole"), F.lit(0)).otherwise(F.size("__l") - F.size("__k")).cast("long").alias("n_removed"),
-        F.when(F.col("__whole"), t).otherwise(F.array_join("__k", "\n")).alias("clean"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.size("__places")).cast("long").alias("n_removed"),
+        F.when(whole, t).otherwise(clean).alias("clean"),
     )
 
 

@@ -116,12 +116,11 @@ WITH d AS (
   SELECT o.*, o.n > 0 AND s.line IS NOT NULL AS spread FROM o LEFT JOIN s ON o.line = s.line
 ), c AS (
   SELECT doc_id, count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE spread) AS n_spread,
-    coalesce(sum(n) FILTER (WHERE NOT spread), 0) AS kept_words, sum(n) AS all_words,
     coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT spread), '') AS rest, string_agg(raw, chr(10) ORDER BY i) AS full_text
   FROM m GROUP BY doc_id
 )
-SELECT doc_id, n_lines, CASE WHEN 2 * kept_words < all_words THEN 0 ELSE n_spread END AS n_removed,
-  sha256(CASE WHEN 2 * kept_words < all_words THEN full_text ELSE rest END) AS clean_sha256
+SELECT doc_id, n_lines, CASE WHEN n_spread = n_lines THEN 0 ELSE n_spread END AS n_removed,
+  sha256(CASE WHEN n_spread = n_lines THEN full_text ELSE rest END) AS clean_sha256
 FROM c
 """
 
