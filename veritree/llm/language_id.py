@@ -85,13 +85,14 @@ class Model:
     codes: np.ndarray  # languages x bits
     weights: np.ndarray  # dims x bits
     bias: np.ndarray  # bits
+    sure: np.ndarray  # languages x bits: how often a bit's classifier was right on a language's training rows, as a weight of mean 1
     margin: float = 0.1
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For feature rows: the language's index, its score, and whether a second codeword is about as near."""
         f = x @ self.weights + self.bias
         # the loss of each codeword, each bit weighted by how sure its classifier was in training
-        loss = np.logaddexp(0, -f[:, None, :] * self.codes[None]).sum(2)
+        loss = (self.sure[None] * np.logaddexp(0, -f[:, None, :] * self.codes[None])).sum(2)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -115,25 +116,32 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 150, p
         g = -target * each / (1 + np.exp(np.clip(m, -30, 30)))
         vw, vb = w, b
         w, b = lw - rate * (x.T @ g + np.float32(penalty) * lw), lb - rate * g.sum(0) * np.float32(0.1)
-    return Model(tuple(languages), codes, w.astype(np.float32), b.astype(np.float32))
+    right = (target * (x @ w + b) > 0).astype(np.float64)
+    sure = np.stack([right[y == k].mean(0) for k in range(len(languages))])
+    sure *= codes.shape[1] / np.maximum(sure.sum(1, keepdims=True), 1e-9)
+    return Model(tuple(languages), codes, w.astype(np.float32), b.astype(np.float32), sure)
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """A model from the labelled rows of docs."""
-    rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(key).cast("string"), F.xxhash64(text)).alias("h")).filter(F.col("label").isNotNull() & has_letter(F.col("text")))
+def _none() -> Model:
+    return Model((), np.zeros((0, 1), np.float32), np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32), np.zeros((0, 1)))
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", label: str = "lang") -> Model:
+    """A model from the labelled rows of docs: about per_language distinct texts of each language, chosen by a hash of the text."""
+    rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(text).alias("h")).filter(F.col("label").isNotNull() & has_letter(F.col("text")))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
     if not counts:
-        return Model((), np.zeros((0, 1), np.float32), np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32))
+        return _none()
     languages = sorted(counts)
     grain = 1 << 30
     rate = F.lit(0)
     for name, n in counts.items():
         rate = F.when(F.col("label") == name, F.lit(min(grain, per_language * grain // n))).otherwise(rate)
-    chosen = rows.filter(F.pmod("h", F.lit(grain)) < rate).select("text", "label").limit(2 * per_language * len(languages))
+    chosen = rows.filter(F.pmod("h", F.lit(grain)) < rate).dropDuplicates(["h", "label"]).orderBy("h", "label").limit(2 * per_language * len(languages)).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +152,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text",
     got = chosen.mapInArrow(run, "label string, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["x"]))
     if not got:
-        return Model((), np.zeros((0, 1), np.float32), np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32))
+        return _none()
     present = sorted({r["label"] for r in got})
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
     return fit(x, np.array([present.index(r["label"]) for r in got]), present)
