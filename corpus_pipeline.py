@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veritree.llm import bpe, decontamination, line_dedup, minhash, quality_rules
-from veritree.llm.common import release, table, written
+from veritree.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +19,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least doc_id. Documents without doc_id are in no group and stay."""
-    gone = minhash.near_duplicates(docs).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__id"))
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    if again.isEmpty():
-        return left
-    # rows that repeat a doc_id are one document
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """One document of each group of near-duplicates: the one of least doc_id. Documents without words are in no group and stay."""
+    return minhash.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,22 +33,12 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.public_vocabulary())
 
 
-def _after_others(stage):
-    """The stage, after deleting what earlier stages wrote for themselves: their results have been stored by then."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, keep=docs)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    ("quality_rules", _after_others(quality)),
-    ("line_dedup", _after_others(lines)),
-    ("minhash", _after_others(near_duplicates)),
-    ("decontamination", _after_others(decontaminated)),
-    ("bpe", _after_others(encoded)),
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
 ]
 
 #: Not expressible in SQL: latent retrieval and byte-pair merges; tested against a brute-force version.
