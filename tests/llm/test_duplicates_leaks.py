@@ -147,6 +147,13 @@ def item(r, vocabulary, n):
     return ". ".join(" ".join(r.choice(vocabulary) for _ in range(n // 2)).capitalize() for _ in range(2)) + "."
 
 
+def test_texts_of_one_id_are_one_component(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "nobody has these words but me alone")
+    rows = [(5, a), (5, b), (2, a), (3, b), (9, c), (9, b)]
+    got = sorted({(x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (9, 2, False)]
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8))) for _ in range(3000)]

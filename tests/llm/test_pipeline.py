@@ -9,6 +9,7 @@ from tests.llm.cases import odd_documents
 from tests.llm.test_duplicates_leaks import groups
 from tests.llm.test_language_chat_bpe import reference  # noqa: F401
 from tests.llm.test_rules_shards_lines import WORD, repeat_words
+from veritree.llm import queries
 from veritree.llm.common import written
 
 
@@ -29,8 +30,7 @@ def without_boilerplate(rows):
     for i, text, site in rows:
         lines = (text or "").split("\n")
         kept = [x for x in lines if not (WORD.search(x) and len(sites[strip(x)]) >= 5)]
-        n = lambda ls: sum(len(WORD.findall(x)) for x in ls)
-        out.append((i, text if 2 * n(kept) < n(lines) else "\n".join(kept), site))
+        out.append((i, "\n".join(kept) if any(WORD.search(x) for x in kept) else text, site))
     return out
 
 
@@ -67,3 +67,18 @@ def test_every_stage_takes_odd_rows(spark, sf):
         assert out.columns == df.columns and out.count() <= 12
     kept = corpus_pipeline.near_duplicates(spark, df, sf).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "6", "7", "8", "9", "None", "None"]
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, sf):
+    a, b = "one text of many words that nobody else has here", "quite another story told in other words by other people"
+    rows = [(5, a, "x"), (5, b, "y"), (5, a, "x"), (2, a, "z"), (7, "a third text stands alone among the others here", "z")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(2, a), (5, b), (7, rows[4][1])]
+
+
+def test_a_pending_result_survives_a_run(spark, sf):
+    pending = [queries.queries()[q](spark, sf) for q in ("op4_line_dedup", "op5_sharding", "op7_licenses", "op9_suffix_dedup", "op10_minhash")]
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    first = corpus_pipeline.run(spark, sf)
+    assert corpus_pipeline.run(spark, sf).count() == first.count() > 0
+    assert [x.count() for x in pending] == [n] * 5
