@@ -178,6 +178,54 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert {x.doc_id for x in left.collect()} == set(range(150)) - {i for i, _ in got}
 
 
+def brute_leaks(rows, items):
+    """Every window of an item's length with as many words on either side, by plain longest common subsequences."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    out = set()
+    for i, t in rows:
+        w = decontamination.hashed_words(t).tolist()
+        for it in (decontamination.read_item(k, x) for k, x in items):
+            n = len(it.words)
+            if n and len(set(w) & set(it.words)) >= decontamination.LIKELY * len(set(it.words)):
+                for at in range(max(1, len(w) - n + 1)):
+                    around = w[max(0, at - n) : at + 2 * n]
+                    share = lcs(it.words, around) / n
+                    answered = lcs(it.answer, around) / len(it.answer) if it.answer else 1.0
+                    if share >= decontamination.CERTAIN or share >= decontamination.LIKELY and answered >= decontamination.CERTAIN:
+                        out.add((i, it.item_id))
+                        break
+    return out
+
+
+@pytest.mark.parametrize("mass, max_df", [(decontamination.LEAST_MASS, decontamination.MAX_DF), (0.0, 1.0)])
+def test_recall_of_edited_leaks(spark, monkeypatch, mass, max_df):
+    monkeypatch.setattr(decontamination, "LEAST_MASS", mass)
+    monkeypatch.setattr(decontamination, "MAX_DF", max_df)
+    r = random.Random(13)
+    common = ["the", "of", "and", "to", "in", "is", "it", "for", "on", "with"]
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8))) for _ in range(1500)]
+    draw = lambda n: [r.choice(common) if r.random() < 0.4 else r.choice(vocabulary) for _ in range(n)]
+    items = [(f"q{k}", " ".join(draw(r.randrange(16, 40))) + ". " + " ".join(draw(4)) + ".") for k in range(40)]
+    rows = []
+    for i in range(160):
+        k = i % 40
+        question, answer = items[k][1].split(". ")
+        w = [x if r.random() >= (0.1, 0.2, 0.3, 0.38)[i // 40] else r.choice(vocabulary) for x in question.split()]
+        rows.append((i, " ".join(draw(r.randrange(20, 80)) + w) + ". " + answer + " " + " ".join(draw(r.randrange(60)))))
+    rows += [(200 + i, " ".join(draw(200))) for i in range(40)]
+    true = brute_leaks(rows, items)
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(true) >= 120 and got <= true and len(got) >= 0.9 * len(true), (len(got), len(true))
+
+
 def test_candidate_recall_on_the_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     norm = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + " "
@@ -217,7 +265,7 @@ def test_products_are_of_every_passage(spark, monkeypatch):
     vocab = decontamination.Vocabulary(items)
     texts = [None, "", "none of it"] + [" ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 200))) for _ in range(1500)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    monkeypatch.setattr(decontamination, "LEAST_RANK", 40)
+    monkeypatch.setattr(decontamination, "RANK", 40)
     monkeypatch.setattr(decontamination, "OVERSAMPLE", 200)  # the whole range: no approximation
     columns = decontamination.vocabulary_columns(docs, vocab)
     n, df = decontamination.document_frequencies(columns, len(vocab))

@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from veritree.llm.common import scratch, written
 from veritree.llm.wordhash import word_hashes
 
-#: Least dimensions (else one for each item), extra columns of the range finder, its rounds, words of a passage.
-LEAST_RANK, OVERSAMPLE, POWERS, PASSAGE = 64, 16, 2, 48
+#: Dimensions, extra columns of the range finder, its rounds, words of a passage.
+RANK, OVERSAMPLE, POWERS, PASSAGE = 128, 16, 2, 48
 #: What an item weighs in the fit, as a share of what all passages of the corpus weigh together, however many.
 ITEM_WEIGHT = 1 / 128
 #: Passages that are multiplied at once, by their own words only; words whose partial products are added up in one place.
@@ -45,8 +47,8 @@ MAX_DF, LEAST_WORDS = 0.1, 8
 LEAST_MASS = 0.3
 #: Benchmark items searched at once, in a latent space of their own; more are searched in blocks of so many.
 ITEMS = 400
-#: Words of a text that are projected at once.
-BLOCK = 1 << 16
+#: Words that are projected at once, and rows whose texts are searched at once.
+BLOCK, SLICE = 1 << 16, 256
 
 _LUT = np.full(256, 32, np.uint8)
 _LUT[128:] = np.arange(128, 256)
@@ -62,12 +64,12 @@ def hashed_words(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Item:
-    item_id: int
+    item_id: object
     words: tuple[int, ...]
     answer: tuple[int, ...]
 
 
-def read_item(item_id: int, text: str | None) -> Item:
+def read_item(item_id: object, text: str | None) -> Item:
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text or "") if len(hashed_words(s))]
     answer = hashed_words(sentences[-1]).tolist() if len(sentences) > 1 else []
     return Item(item_id, tuple(hashed_words(text).tolist()), tuple(answer))
@@ -132,6 +134,7 @@ class Model:
     vocab: Vocabulary
     idf: np.ndarray
     space: np.ndarray  # columns x rank
+    least_mass: float = LEAST_MASS
 
     def prepare(self) -> None:
         """Items by window size, in the latent space."""
@@ -149,60 +152,85 @@ class Model:
             norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
             share = size / np.array([len(self.items[k].words) for k in members])
             mass = np.array([self.mass[c].sum() for c in cols])
-            self.groups.append((size, step, np.array(members), np.ascontiguousarray((vectors / norms[:, None]).T), norms * 0.9 * np.sqrt(share), LEAST_MASS * float((share * mass).min())))
+            self.groups.append((size, step, np.array(members), np.ascontiguousarray((vectors / norms[:, None]).T), norms * 0.9 * np.sqrt(share), self.least_mass * float((share * mass).min())))
         self.masks = [(bit_masks(i.words), bit_masks(i.answer)) for i in self.items]
 
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, cosine) of the windows near an item."""
-        out = []
+    def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
+        """(text, item, first word, words, cosine) of the windows near an item, of texts given by their words' hashes; texts are laid end to end in blocks."""
+        out: list[tuple[int, int, int, int, float]] = []
         longest = max((g[0] for g in self.groups), default=0)
-        for at in range(0, max(len(h), 1), BLOCK):
-            part = h[at : at + BLOCK + longest]
-            cols = self.vocab.columns(part)
-            where = np.flatnonzero(cols >= 0)
-            if not len(where):
-                continue
-            heavy = np.r_[0.0, np.cumsum(self.mass[cols[where]])]
-            sums = np.zeros((len(where) + 1, self.weighted.shape[1]), np.float32)
-            np.cumsum(self.weighted[cols[where]], axis=0, out=sums[1:])
-            for size, step, members, vectors, least, floor in self.groups:
-                last = max(0, len(part) - size)
-                starts = np.arange(0, min(last, BLOCK - 1) + 1, step)
-                if starts[-1] != last and last < BLOCK:
-                    starts = np.append(starts, last)
-                lo, hi = np.searchsorted(where, starts), np.searchsorted(where, starts + size)
-                some = (hi > lo) & (heavy[hi] - heavy[lo] >= floor)
-                starts, lo, hi = starts[some], lo[some], hi[some]
-                for b in range(0, len(starts), 4096):
-                    x = sums[hi[b : b + 4096]] - sums[lo[b : b + 4096]]
-                    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-                    score = (x @ vectors) / np.maximum(norm[:, None], least[None])
-                    for i, j in zip(*np.nonzero(score >= SCORE)):
-                        out.append((int(members[j]), int(at + starts[b + i]), size, float(score[i, j])))
+        block: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+        for k, h in enumerate(texts):
+            # a long text goes in parts that overlap by a window; windows that start behind BLOCK belong to the next part
+            for at in range(0, len(h), BLOCK):
+                block.append((k, at, h[at : at + BLOCK + longest]))
+                size += len(block[-1][2])
+                if size >= BLOCK:
+                    self._scan(block, out)
+                    block, size = [], 0
+        if block:
+            self._scan(block, out)
         return out
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
-        """(item, cosine, share of the item, share of its answer, first word) for the items that a text leaks."""
-        h = hashed_words(text)
-        if not len(h) or not self.groups:
-            return []
-        best: dict[int, tuple] = {}
-        words = None
-        for k, start, size, score in self.candidates(h):
-            if words is None:
-                words = h.tolist()
+    def _scan(self, block: list[tuple[int, int, np.ndarray]], out: list[tuple[int, int, int, int, float]]) -> None:
+        cols = self.vocab.columns(np.concatenate([h for _, _, h in block]))
+        where = np.flatnonzero(cols >= 0)
+        if not len(where):
+            return
+        lengths = np.array([len(h) for _, _, h in block])
+        offsets = np.cumsum(lengths) - lengths
+        heavy = np.r_[0.0, np.cumsum(self.mass[cols[where]])]
+        vectors_at = self.weighted[cols[where]]
+        sums = np.zeros((len(where) + 1, vectors_at.shape[1]), np.float32)
+        np.cumsum(vectors_at, axis=0, out=sums[1:])
+        # places in `where` of every word's place, so that windows need no search
+        place = np.zeros(len(cols) + 1, np.int32)
+        np.cumsum(cols >= 0, out=place[1:])
+        for size, step, members, vectors, least, floor in self.groups:
+            last = np.maximum(lengths - size, 0)
+            counts = np.where(last < BLOCK, -(-last // step) + 1, (BLOCK - 1) // step + 1)
+            part = np.repeat(np.arange(len(block)), counts)
+            inner = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+            starts = np.minimum(inner, last[part]) + offsets[part]
+            lo, hi = place[starts], place[np.minimum(starts + size, offsets[part] + lengths[part])]
+            some = np.flatnonzero((hi > lo) & (heavy[hi] - heavy[lo] >= floor))
+            for b in range(0, len(some), 4096):
+                w = some[b : b + 4096]
+                x = sums[hi[w]] - sums[lo[w]]
+                norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+                score = (x @ vectors) / np.maximum(norm[:, None], least[None])
+                for i, j in zip(*np.nonzero(score >= SCORE)):
+                    k, at, _ = block[part[w[i]]]
+                    out.append((k, int(members[j]), int(at + starts[w[i]] - offsets[part[w[i]]]), size, float(score[i, j])))
+
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, int]]]:
+        """For each text (item, cosine, share of the item, share of its answer, first word) of the items that it leaks."""
+        hashes = [hashed_words(t) for t in texts]
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        words: tuple[int, list[int]] = (-1, [])
+        for t, k, start, size, score in sorted(self.candidates(hashes)) if self.groups else []:
+            if words[0] != t:
+                words = (t, hashes[t].tolist())
             item = self.items[k]
             n = len(item.words)
-            around = words[max(0, start - n) : start + size + n]
+            around = words[1][max(0, start - n) : start + size + n]
             share = lcs(self.masks[k][0], n, around) / n
             if share < LIKELY:
                 continue
             answered = lcs(self.masks[k][1], len(item.answer), around) / len(item.answer) if item.answer else 1.0
             if share >= CERTAIN or answered >= CERTAIN:
                 found = (share, score, answered, -start)
-                if k not in best or found > best[k]:
-                    best[k] = found
-        return [(k, s[1], s[0], s[2], -s[3]) for k, s in sorted(best.items())]
+                if k not in best[t] or found > best[t][k]:
+                    best[t][k] = found
+        return [[(k, s[1], s[0], s[2], -s[3]) for k, s in sorted(b.items())] for b in best]
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batch in parts of at most SLICE rows, with their texts."""
+    for at in range(0, batch.num_rows, SLICE):
+        b = batch.slice(at, SLICE)
+        yield b, b.column(column).to_pylist()
 
 
 def vocabulary_columns(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
@@ -272,7 +300,7 @@ def _product(passage: np.ndarray, col: np.ndarray, weights: np.ndarray, m: np.nd
 def latent_space(columns: DataFrame, items: list[Item], vocab: Vocabulary, idf: np.ndarray, telling: np.ndarray) -> np.ndarray:
     """The leading right singular vectors of the passages of all documents and the items. columns are of the whole vocabulary, of which the telling words span the space."""
     spark, size = columns.sparkSession, len(vocab)
-    rank = min(max(LEAST_RANK, len(items)), size)
+    rank = min(RANK, size)
     width = min(size, rank + OVERSAMPLE)
     kept = np.where(telling, np.cumsum(telling) - 1, -1).astype(np.int32)
     cols = [vocab.columns(np.array(i.words, np.uint64)) for i in items if i.words]
@@ -326,13 +354,13 @@ def latent_space(columns: DataFrame, items: list[Item], vocab: Vocabulary, idf:
     return np.ascontiguousarray((q @ vectors[:, ::-1])[:, :rank], np.float32)
 
 
-LEAKS = "item_id long, cosine double, lcs_share double, answer_share double, first_word long"
+LEAKS = "cosine double, lcs_share double, answer_share double, first_word long"
 
 
 def _models(own: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     """A model of each block of ITEMS items with words; own has the text."""
     given = [read_item(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]
-    given = sorted((i for i in given if i.words), key=lambda i: (i.item_id is not None, i.item_id or 0, i.words))
+    given = sorted((i for i in given if i.words), key=lambda i: (i.item_id is not None, "" if i.item_id is None else i.item_id, i.words))
     for at in range(0, len(given), ITEMS):
         items = given[at : at + ITEMS]
         vocab = Vocabulary(items)
@@ -342,7 +370,7 @@ def _models(own: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
             telling = informative(items, vocab, n_docs, df)
             vocab, df = Vocabulary(items, vocab.hashes[telling]), df[telling]
             idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
-            model = Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling))
+            model = Model(items, vocab, idf, latent_space(columns, items, vocab, idf, telling), LEAST_MASS)
         yield model
 
 
@@ -350,30 +378,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id, cosine, lcs_share, answer_share, first_word: one row for each item that a document leaks."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
+    items = benchmark.schema["item_id"].dataType
     out = None
     for model in _models(own, benchmark):
-        found = _search(own, model, kind)
+        found = _search(own, model, kind, items)
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], f"doc_id {kind}, {LEAKS}") if out is None else out
+    return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {items.simpleString()}, {LEAKS}") if out is None else out
 
 
-def _search(own: DataFrame, model: Model, kind: str) -> DataFrame:
+def _search(own: DataFrame, model: Model, kind: str, items: DataType) -> DataFrame:
+    item_kind = to_arrow_type(items)
     shared = own.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         m.prepare()
-        for b in batches:
+        for b, texts in (x for batch in batches for x in _texts(batch, 1)):
             rows, where = [], []
-            for i, t in enumerate(b.column(1)):
-                for k, score, share, answered, start in m.leaks(t.as_py()):
+            for i, found in enumerate(m.leaks(texts)):
+                for k, score, share, answered, start in found:
                     rows.append((m.items[k].item_id, score, share, answered, start))
                     where.append(i)
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (item_kind, pa.float64(), pa.float64(), pa.float64(), pa.int64())
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, {LEAKS}")
+    return own.mapInArrow(run, f"doc_id {kind}, item_id {items.simpleString()}, {LEAKS}")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -391,7 +421,7 @@ def _clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         m.prepare()
-        for b in batches:
-            yield b.filter(pa.array([not m.leaks(t.as_py()) for t in b.column(at)], pa.bool_()))
+        for b, texts in (x for batch in batches for x in _texts(batch, at)):
+            yield b.filter(pa.array([not found for found in m.leaks(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
