@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +19,6 @@ STAMPS: tuple[tuple[str, tuple[int, ...], int], ...] = (
     (r"([0-9]{4})_([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-9]{2})", (1, 2, 3, 4, 5, 6), 0),
     (r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?![-0-9])", (1,), 0),
 )
-#: Words of file names that say nothing about the content (a default that callers can replace).
-NOISE = frozenset("copy com download full hd image img jb join leak leaks min nsfw photo pic picture promo channel site source telegram tg tp thumb us vid video".split())
-
-
 def timestamp_from_name(name: Column) -> Column:
     """`yyyy-MM-dd_HH-mm-ss`, with `-mmm` where given, or `yyyy-MM-dd`, from a file name. The first pattern that matches decides: if its date is invalid the result is null."""
     out = F.lit(None).cast("string")
@@ -38,17 +34,39 @@ def timestamp_from_name(name: Column) -> Column:
     return out
 
 
+@functools.cache
+def _plain_forms() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of a character in ASCII, from Unicode's own tables: characters that become one, and those that become several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x20000)):
+        if found := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode():
+            if len(found) == 1:
+                one[c] = found
+            else:
+                several[c] = found
+    return "".join(one), "".join(one.values()), several
+
+
+def ascii_form(text: Column) -> Column:
+    """The ASCII characters of a text's compatibility decomposition; texts that are ASCII already are not touched."""
+    old, new, several = _plain_forms()
+    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    single = F.regexp_replace(F.translate(text, old, new), r"[\x{10000}-\x{10FFFF}]", "")
+    known = F.regexp_replace(single, f"[^\\x00-\\x7F{''.join(c for c in several if ord(c) < 0x10000)}]", "")
+    full = F.array_join(F.transform(F.split(known, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(known.rlike(r"[^\x00-\x7F]"), full).otherwise(known)).otherwise(text)
+
+
 def slug(name: str, default: str = "collection") -> str:
+    """One name as a slug, on the driver."""
     plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
     return re.sub(r"[^a-z0-9]+", "_", plain).strip("_") or default
 
 
-def slugs(column: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else slug(x))
-
-    return run(column)
+def slugs(name: Column, default: str = "collection") -> Column:
+    """Lower-case ASCII letters and digits with single underscores between."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(ascii_form(name)), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.when(name.isNotNull(), F.coalesce(F.nullif(out, F.lit("")), F.lit(default)))
 
 
 def normalised(text: Column) -> Column:
@@ -72,10 +90,10 @@ def container_family(value: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """A size in the largest unit of at least one, to one place."""
+    """A size in the largest unit of at least one, to one place (half to even)."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", size / float(1024**k)), F.lit(" " + unit))).otherwise(out)
+        out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", F.bround(size / float(1024**k), 1)), F.lit(" " + unit))).otherwise(out)
     return out
 
 
@@ -93,36 +111,21 @@ def format_duration(seconds: Column) -> Column:
     return F.when(s >= 86400, two(d, "d", h, "h")).when(s >= 3600, two(h, "h", m, "m")).when(s >= 60, two(m, "m", s % 60, "s")).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
-def _plain_words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower())
+#: What a telling word is made of, and what only looks like one (a hexadecimal id).
+TELLING, NOT_TELLING = "^[a-z]{2,}$", "^[a-f]{8,}$"
 
 
-def _says_something(word: str) -> bool:
-    """Not a number, a resolution, a hexadecimal id or a mix of letters and digits; two letters at least."""
-    return len(word) >= 2 and word.isalpha() and not re.fullmatch(r"[a-f]{8,}", word)
-
-
-def descriptor(stem: str, collection: str, noise: frozenset[str] = NOISE, most: int = 6) -> str | None:
-    """Up to six telling words of a file name, without dates, the collection's own name and noise; null if none is left."""
-    own = slug(collection).split("_")
-    whole = "".join(own)
-
-    def without_collection(word: str) -> str:
-        if word != whole:
-            word = word.removeprefix(whole)
-        first = next((p for p in sorted(set(own), key=lambda p: (-len(p), p)) if word.startswith(p) and len(word) > len(p) + 2), "")
-        return word[len(first) :]
+def descriptors(stem: Column, collection: str, noise: tuple[str, ...], most: int = 6) -> Column:
+    """The first telling words of file names, joined by underscores; null if there are none.
 
+    Dates are taken out first; words are runs of ASCII letters and digits. A word loses the collection's name in front of it, written as one, and then the longest part of that name
+    which leaves three characters; parts alone, noise, and words that are no plain letters tell nothing.
+    """
+    parts = slug(collection).split("_")
     for pattern, _, _ in STAMPS:
-        stem = re.sub(pattern, " ", stem)
-    words = (without_collection(w) for w in _plain_words(stem))
-    telling = [w for w in words if w not in own and w not in noise and _says_something(w)]
-    return "_".join(telling[:most]) or None
-
-
-def descriptors(stem: Column, collection: str, noise: frozenset[str] = NOISE) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else descriptor(x, collection, noise))
-
-    return run(stem)
+        stem = F.regexp_replace(stem, pattern, " ")
+    found = F.regexp_extract_all(F.lower(ascii_form(stem)), F.lit("([a-z0-9]+)"), F.lit(1))
+    alternatives = "|".join(sorted(set(parts), key=lambda p: (-len(p), p)))
+    bare = F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, f"^{''.join(parts)}(?=.)", ""), f"^(?:{alternatives})(?=.{{3}})", ""))
+    telling = F.filter(bare, lambda w: w.rlike(TELLING) & ~w.rlike(NOT_TELLING) & ~w.isin(*parts, *noise))
+    return F.nullif(F.array_join(F.slice(telling, 1, most), "_"), F.lit(""))

@@ -18,8 +18,10 @@ def identities(files: DataFrame) -> DataFrame:
 
 
 def joined(source: DataFrame, destination: DataFrame) -> DataFrame:
-    """size, sha256, source_n, destination_n: null where one side lacks the identity."""
-    return identities(source).withColumnRenamed("n", "source_n").join(identities(destination).withColumnRenamed("n", "destination_n"), list(IDENTITY), "full")
+    """size, sha256, source_n, destination_n: null where one side lacks the identity. One aggregate over both sides, which combines map-side, in one exchange."""
+    one = lambda df, name: df.select(*IDENTITY, F.lit(name).alias("side"))
+    n = lambda name: F.nullif(F.count(F.when(F.col("side") == name, 1)), F.lit(0)).alias(f"{name}_n")
+    return one(source, "source").unionByName(one(destination, "destination")).groupBy(*IDENTITY).agg(n("source"), n("destination"))
 
 
 def _sum(c):
@@ -59,13 +61,11 @@ def multiplicity(source: DataFrame, destination: DataFrame) -> DataFrame:
 
 
 def second_layer(source: DataFrame, destination: DataFrame, digest: str, bucket: tuple[str, ...] = ()) -> DataFrame:
-    """Byte-missing source identities with whether a weaker digest, in an equal bucket (nulls equal), finds them at the destination."""
-    gone = missing_files(source, destination).groupBy(*IDENTITY).agg(F.min(digest).alias("digest"), *[F.min(b).alias(b) for b in bucket])
-    there = destination.filter(F.col(digest).isNotNull()).select(F.col(digest).alias("__digest"), *[F.col(b).alias(f"__{b}") for b in bucket]).distinct()
-    same = F.col("digest") == F.col("__digest")
-    for b in bucket:
-        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    return gone.join(there, same, "left").select(*IDENTITY, *bucket, F.col("__digest").isNotNull().alias("represented"))
+    """Byte-missing source identities with whether a weaker digest of any of their files, in that file's bucket (nulls equal), is found at the destination."""
+    gone = missing_files(source, destination).select(*IDENTITY, F.col(digest).alias("digest"), F.struct(F.lit(0).alias("x"), *bucket).alias("bucket")).distinct()
+    there = destination.filter(F.col(digest).isNotNull()).select(F.col(digest).alias("digest"), F.struct(F.lit(0).alias("x"), *bucket).alias("bucket"), F.lit(True).alias("hit")).distinct()
+    # equal structs may hold equal nulls
+    return gone.join(there, ["digest", "bucket"], "left").groupBy(*IDENTITY).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("represented"))
 
 
 def layered(source: DataFrame, destination: DataFrame, layers: list[tuple[str, tuple[str, ...]]], exact_kinds: tuple[str, ...] = ("picture", "video")) -> DataFrame:
@@ -88,6 +88,40 @@ def verdict(layers: DataFrame, issues: int = 0, stable: bool = True) -> DataFram
     return one.withColumn("verdict", F.when(F.lit(not stable or issues > 0) | (F.col("unsupported") > 0), "unproven").when(F.col("missing") > 0, "incomplete").otherwise("complete"))
 
 
+def problem_paths(*issues: DataFrame) -> DataFrame:
+    """All problems of several lists, each (path, category) once, in case-blind order of the path when shown."""
+    out = issues[0].select("path", "category")
+    for more in issues[1:]:
+        out = out.unionByName(more.select("path", "category"))
+    return out.distinct()
+
+
+def side_report(files: DataFrame) -> DataFrame:
+    """One row on one side: files, bytes, distinct contents and their bytes, and copies beyond the first."""
+    return identities(files).agg(
+        _sum("n").alias("files"), _sum(F.col("size") * F.col("n")).alias("bytes"), F.count(F.lit(1)).alias("streams"), _sum("size").alias("stream_bytes"),
+        _sum(F.col("n") - 1).alias("duplicate_copies"), _sum(F.col("size") * (F.col("n") - 1)).alias("duplicate_bytes"),
+    )
+
+
+def percentages(counts: DataFrame, parts: tuple[str, ...], whole: str) -> DataFrame:
+    """Each part's share of a whole in percent, to six places; nothing is wholly covered."""
+    return counts.select("*", *[F.round(F.when(F.col(whole) == 0, 100.0).otherwise(100.0 * F.col(p) / F.col(whole)), 6).alias(f"{p}_percent") for p in parts])
+
+
+def disposition(files: DataFrame, layers: DataFrame) -> DataFrame:
+    """Every source file with the layer that accounts for its content, and whether it is accounted for."""
+    rows = files.select("path", *IDENTITY).join(layers, list(IDENTITY))
+    return rows.select("path", "layer", (~F.col("layer").isin("missing", "unsupported")).alias("accounted"))
+
+
+def category_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Entries of a tree whose category differs between two walks, and those that only one has; folders are entries too. Both: path, category; repeats count once."""
+    a, b = before.select("path", F.col("category").alias("a")).distinct(), after.select("path", F.col("category").alias("b")).distinct()
+    change = F.when(F.col("a").isNull(), "appeared").when(F.col("b").isNull(), "missing").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, "path", "full").select("path", F.coalesce("a", "b").alias("category"), change.alias("change")).filter("change is not null")
+
+
 def stability(before: DataFrame, after: DataFrame, state: tuple[str, ...]) -> DataFrame:
     """Paths that appeared, went missing or changed state between two snapshots; any row makes a result unproven."""
     a = before.select("path", F.struct(*state).alias("a"))

@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def casefolded(column):
-    """Case-blind form of a text: for ASCII the lower case; other texts by Python's rule in Arrow batches."""
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else x.casefold())
+from veritree.plans.ordering import numbered
 
-    return fold(column)
+
+def _special() -> tuple[str, str, dict[str, str]]:
+    """Where Python's case folding differs from lower case: characters that become one other, and those that become several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x20000)):
+        low, fold = c.lower(), c.casefold()
+        if fold != low and len(low) == 1:
+            if len(fold) == 1:
+                one[low] = fold
+            else:
+                several[low] = fold
+    return "".join(one), "".join(one.values()), several
+
+
+def folded(column: Column) -> Column:
+    """Case-blind form of a text, by the rule of Unicode case folding, in built-in functions: the lower case, and what differs from it only where a text has such a character."""
+    old, new, several = _special()
+    low = F.lower(column)
+    full = F.translate(low, old, new)
+    for c, fold in several.items():
+        full = F.replace(full, F.lit(c), F.lit(fold))
+    return F.when(low.rlike(f"[{old}{''.join(several)}]"), full).otherwise(low)
 
 
 def ranked(files: DataFrame, group: tuple[str, ...] = ("size", "sha256"), ascii_paths: bool = False) -> DataFrame:
@@ -21,7 +38,7 @@ def ranked(files: DataFrame, group: tuple[str, ...] = ("size", "sha256"), ascii_
     Groups of one are dropped by an aggregate before the sort, so only duplicates are shuffled for ranking.
     """
     several = files.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    key = F.lower("path") if ascii_paths else casefolded(F.col("path"))
+    key = F.lower("path") if ascii_paths else folded(F.col("path"))
     w = Window.partitionBy(*group).orderBy(F.desc("size"), F.asc("modified_ns"), "__key", "path")
     return files.join(several, list(group)).withColumn("__key", key).withColumn("rank", F.row_number().over(w)).drop("__key")
 
@@ -38,13 +55,9 @@ def move_plan(files: DataFrame, folder: str = "dups", ascii_paths: bool = False)
     return moves.select(F.col("path").alias("source"), target.alias("target"), "group_no", (F.col("rank") - 1).alias("copy_no"), "kept")
 
 
-def group_numbers(groups: DataFrame, order: str, slices: int = 256) -> DataFrame:
-    """group_no 1.. in the order of a column, without one task that sorts all: rows are dealt by range, and slices are offset by their counts."""
-    dealt = groups.repartitionByRange(slices, order).withColumn("__slice", F.spark_partition_id())
-    dealt = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__slice").orderBy(order)))
-    counts = dealt.groupBy("__slice").agg(F.max("__n").alias("__c"))  # at most `slices` rows
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__c").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    return dealt.join(F.broadcast(starts), "__slice").withColumn("group_no", (F.col("__n") + F.col("__start")).cast("int")).drop("__slice", "__n", "__start")
+def group_numbers(groups: DataFrame, order: str) -> DataFrame:
+    """group_no 1.. in the order of a column that tells groups apart."""
+    return numbered(groups, [F.col(order)], name="group_no").withColumn("group_no", F.col("group_no").cast("int"))
 
 
 def numbered_targets(plan: DataFrame, family: str, name: str, ext: str, occupied: DataFrame) -> DataFrame:
@@ -54,20 +67,26 @@ def numbered_targets(plan: DataFrame, family: str, name: str, ext: str, occupied
     """
     def fold(key, rows: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
         used = {t.casefold() for t in taken["target"]}
+        tried: dict[str, int] = {}  # names are only taken, never freed, so a search goes on where the last one of that name ended
         out = []
         for r in rows.sort_values("source").itertuples(index=False):
-            n, target = 0, f"{getattr(r, name)}{getattr(r, ext)}"
-            while target.casefold() in used:
-                n += 1
-                target = f"{getattr(r, name)} ({n}){getattr(r, ext)}"
+            n, plain = 0, f"{getattr(r, name)}{getattr(r, ext)}"
+            target = plain
+            if target.casefold() in used:
+                n = tried.get(plain.casefold(), 0)
+                while target.casefold() in used:
+                    n += 1
+                    target = f"{getattr(r, name)} ({n}){getattr(r, ext)}"
+                tried[plain.casefold()] = n
             used.add(target.casefold())
             out.append((r.source, target))
         return pd.DataFrame(out, columns=["source", "target"])
 
-    return plan.groupBy(family).cogroup(occupied.groupBy(family)).applyInPandas(fold, "source string, target string")
+    taken = occupied.select(F.col(family).alias("__taken"), "target")
+    return plan.groupBy(family).cogroup(taken.groupBy("__taken")).applyInPandas(fold, "source string, target string")
 
 
 def rename_sequence(files: DataFrame, stamp: str = "stamp") -> DataFrame:
-    """Sequence numbers per kind: dated before undated, then by date, then by path."""
-    w = Window.partitionBy("kind").orderBy(F.col(stamp).isNull(), stamp, F.lower("path"), "path")
-    return files.withColumn("sequence", F.row_number().over(w))
+    """Sequence numbers per kind: dated before undated, then by date, then by path. Kinds are few and large, so they are numbered by ranges."""
+    out = numbered(files, [F.col(stamp).isNull(), F.col(stamp), F.lower("path"), F.col("path")], ("kind",), "sequence")
+    return out.withColumn("sequence", F.col("sequence").cast("int"))

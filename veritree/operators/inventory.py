@@ -29,7 +29,7 @@ def mime_of(ext: Column) -> Column:
     return out
 
 
-def collection(docs: DataFrame) -> DataFrame:
+def collection(docs: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """Documents as a file table: a synthetic path, the text's bytes as content. The text itself is read only where size or digest are."""
     exts = F.array(*[F.lit(x) for x in (".jpg", ".png", ".mp4", ".mkv", ".txt", ".mp3", "")])
     ext = F.element_at(exts, (F.col("doc_id") % 7 + 1).cast("int"))
@@ -46,6 +46,7 @@ def collection(docs: DataFrame) -> DataFrame:
         (F.col("doc_id") % 11 == 0).alias("in_review"),
         "lang",
         "source",
+        *[c.alias(n) for n, c in (more or {}).items()],
     )
 
 
@@ -76,18 +77,30 @@ def layout_readiness(files: DataFrame, home: dict[str, str]) -> DataFrame:
     return media.groupBy("kind").agg(F.sum(F.col("at_home").cast("long")).alias("organised"), F.sum((~F.col("at_home")).cast("long")).alias("moves"), F.coalesce(F.sum(F.when(~F.col("at_home"), F.col("size"))), F.lit(0)).alias("move_bytes"))
 
 
+def comparable(files: DataFrame) -> DataFrame:
+    """The files that duplicates are looked for in: pictures and videos outside the review folder."""
+    return files.filter(F.col("kind").isin("picture", "video") & ~F.col("in_review"))
+
+
 def same_size_candidates(files: DataFrame) -> DataFrame:
-    """Groups of one kind and size with several files, and the bytes that duplicates among them could take at most."""
-    return files.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("files")).filter("files > 1").withColumn("upper_bound", F.col("size") * (F.col("files") - 1))
+    """Groups of one kind and size with several comparable files, and the bytes that duplicates among them could take at most."""
+    return comparable(files).groupBy("kind", "size").agg(F.count(F.lit(1)).alias("files")).filter("files > 1").withColumn("upper_bound", F.col("size") * (F.col("files") - 1))
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:
-    """Groups of equal content; digests matter only for files of a repeated size, so others never reach the second grouping."""
-    sizes = files.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "size")
-    same = files.join(sizes, ["kind", "size"], "left_semi")
+    """Groups of comparable files of equal content; digests matter only for files of a repeated size, so others never reach the second grouping."""
+    some = comparable(files)
+    sizes = some.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "size")
+    same = some.join(sizes, ["kind", "size"], "left_semi")
     return same.groupBy("kind", "size", "sha256").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path")).filter("files > 1").withColumn("duplicate_bytes", F.col("size") * (F.col("files") - 1))
 
 
+def duplicate_statistics(files: DataFrame) -> DataFrame:
+    """One row: groups of equal size, their files, and the upper bound of duplicate bytes."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return same_size_candidates(files).agg(F.count(F.lit(1)).alias("groups"), total("files").alias("files"), total("upper_bound").alias("upper_bound"))
+
+
 def storage_summary(files: DataFrame) -> DataFrame:
     """Retained and duplicate files and bytes, with shares of the scan in percent (0 of nothing)."""
     groups = files.groupBy("size", "sha256").agg(F.count(F.lit(1)).alias("n"))
@@ -104,14 +117,3 @@ def storage_summary(files: DataFrame) -> DataFrame:
 def top_extensions(files: DataFrame, limit: int = 12) -> DataFrame:
     """The most frequent extensions, ties in case-blind order of the name."""
     return by_attribute(files, "ext").orderBy(F.desc("files"), F.lower("ext"), "ext").limit(limit)
-
-
-def ignored(paths: DataFrame, column: str, patterns: list[str]) -> DataFrame:
-    """Rows whose last path part matches a shell pattern."""
-    import fnmatch
-
-    name = F.element_at(F.split(F.col(column), "/"), -1)
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | name.rlike("^" + fnmatch.translate(p).replace("(?s:", "(?:").replace(r"\Z", "$").replace(r"\z", "$"))
-    return paths.filter(hit)

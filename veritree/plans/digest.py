@@ -1,21 +1,41 @@
-"""Digests of ordered plans: equal plans have equal digests, whatever the partitioning."""
+"""Digests of ordered plans and of sets: equal ones have equal digests, whatever the partitioning."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritree.plans.ordering import numbered
 
-def plan_digest(rows: DataFrame, order: Column, line: Column) -> DataFrame:
-    """SHA-256 of the rows' lines, in order, joined by line feeds, as one row.
+#: Lines of a plan that are digested together.
+CHUNK = 4096
 
-    The digest is a plan's, bounded by what a person reviews; it is over sorted line digests per bucket for larger sets (`set_digest`).
+
+def plan_digest(rows: DataFrame, order: Column, line: Column, chunk: int = CHUNK) -> DataFrame:
+    """One row: the number of rows, and SHA-256 of the digests of every `chunk` lines, in order; a chunk's lines are joined by line feeds.
+
+    Chunks follow the row numbers, so no task holds more than a chunk's lines, and what is digested last is one digest for each chunk.
+    """
+    n = numbered(rows.select(order.alias("o"), line.alias("l")), [F.col("o"), F.col("l")], name="n")
+    each = n.groupBy(F.floor((F.col("n") - 1) / chunk).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "l"))), lambda x: x["l"]), "\n").alias("t"))
+    each = each.select("c", "rows", F.sha2("t", 256).alias("d"))
+    return _combined(each)
+
+
+def set_digest(rows: DataFrame, line: Column, bits: int | None = None) -> DataFrame:
+    """SHA-256 of a set of any size: lines fall in buckets by the first bits of their own digests, each bucket is digested in order, then the buckets.
+
+    The number of buckets follows the size unless given: a power of 16 for about CHUNK lines each.
     """
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("digest"))
+    digests = rows.select(F.sha2(line, 256).alias("d"))
+    if bits is None:
+        bits, n = 4, digests.count()
+        while n > CHUNK << bits:
+            bits += 4
+    each = digests.groupBy(F.substring("d", 1, bits // 4).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    return _combined(each)
 
 
-def set_digest(rows: DataFrame, line: Column, buckets: int = 256) -> DataFrame:
-    """SHA-256 of a set of any size: lines are bucketed by their own digests, each bucket is digested in order, then the buckets."""
-    one = F.sha2(line, 256)
-    each = rows.select(one.alias("d")).groupBy(F.substring("d", 1, 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return each.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def _combined(each: DataFrame) -> DataFrame:
+    """The digest of digests by place (c): 64 bytes for each chunk or bucket in one row."""
+    return each.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
