@@ -21,6 +21,40 @@ def upsert(store: DataFrame, added: DataFrame, order: str, key: tuple[str, ...]
     return store.unionByName(added).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def scope(device, inode):
+    """The name of a collection's root, in which observations are kept."""
+    return F.concat_ws(":", F.lit("collection-v1"), device.cast("string"), inode.cast("string"))
+
+
+def observation_states(observations: DataFrame, current: DataFrame) -> DataFrame:
+    """Each observation's path and state against the tree as it is: current (all of its state equal), stale, unreadable or gone. current: path, category and the state."""
+    now = current.select("path", "category", *[F.col(c).alias(f"now_{c}") for c in STATE])
+    rows = observations.join(now, F.col("relative_path") == F.col("path"), "left")
+    same = F.lit(True)
+    for c in STATE:
+        same = same & F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    state = F.when(F.col("path").isNull(), "gone").when(F.col("category") == "unreadable", "unreadable").when(same, "current").otherwise("stale")
+    return rows.select("relative_path", "byte_sha256", state.alias("state"))
+
+
+def matching(observations: DataFrame, current: DataFrame, scope_name: str) -> DataFrame:
+    """path and digest of the observations of one scope that still hold, so that these files need no hashing."""
+    rows = observations.filter((F.col("scope") == scope_name) & F.col("byte_sha256").isNotNull())
+    return observation_states(rows, current).filter("state = 'current'").select(F.col("relative_path").alias("path"), "byte_sha256")
+
+
+def compatibility(evidence: DataFrame, versions: DataFrame) -> DataFrame:
+    """Records of each type by how they fit the versions in use: compatible, stale (the type is known, another version) or unknown. versions: evidence_type, algorithm, runtime, few."""
+    known = versions.select("evidence_type").distinct().withColumn("type_known", F.lit(True))
+    exact = versions.select("evidence_type", "algorithm", "runtime").distinct().withColumn("exact", F.lit(True))
+    rows = evidence.join(exact, ["evidence_type", "algorithm", "runtime"], "left").join(known, "evidence_type", "left")
+    return rows.groupBy("evidence_type").agg(
+        F.count(F.when(F.col("exact"), 1)).alias("compatible"),
+        F.count(F.when(F.col("exact").isNull() & F.col("type_known"), 1)).alias("stale"),
+        F.count(F.when(F.col("type_known").isNull(), 1)).alias("unknown"),
+    )
+
+
 def status(evidence: DataFrame, observations: DataFrame, current: DataFrame) -> DataFrame:
     """Evidence per type, and how much of it any observation, or one whose file state is current, still points to. Semi joins: repeated hashes do not multiply."""
     seen = observations.filter("byte_sha256 is not null")

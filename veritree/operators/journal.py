@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severities from worst to best.
 SEVERITIES = ("error", "warning", "info")
+# The events of a journal, the modes of a run, and what each operation on a path must state.
+EVENTS = ("RUN_STARTED", "ACTION_PLANNED", "ACTION_COMPLETED", "RUN_COMMITTED", "RUN_INCOMPLETE")
+MODES = ("APPLY", "UNDO")
 
 
 def run_fold(events: DataFrame) -> DataFrame:
@@ -27,6 +32,97 @@ def run_fold(events: DataFrame) -> DataFrame:
     )
 
 
+def event_problems(events: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """seq, run_id and the first rule broken of every event that a strict reader refuses; no row means a sound journal.
+
+    events: seq, run_id, event, tool, mode, target_run_id, action_id, action_count, reason. Runs start once, name a known tool and mode, and
+    a target only if they undo; events follow a start and no terminal event; an action is planned once and completed once, after
+    its plan; a commit counts its actions, all of them completed, and repeats its run's target; an incomplete end has a reason.
+    """
+    c = F.col
+    run = Window.partitionBy("run_id").orderBy("seq")
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    action = Window.partitionBy("run_id", "action_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda name, w: F.coalesce(F.sum((c("event") == name).cast("int")).over(w), F.lit(0))
+    start = c("event") == "RUN_STARTED"
+    marked = events.withColumns({
+        "starts": seen("RUN_STARTED", before), "planned": seen("ACTION_PLANNED", before), "completed": seen("ACTION_COMPLETED", before),
+        "ended": seen("RUN_COMMITTED", before) + seen("RUN_INCOMPLETE", before), "own_planned": seen("ACTION_PLANNED", action), "own_completed": seen("ACTION_COMPLETED", action),
+        "run_target": F.first(F.when(start, c("target_run_id")), ignorenulls=True).over(before),
+    })
+    no_action = F.coalesce(c("action_id"), F.lit("")) == ""
+    problem = (
+        F.when(c("event").isNull() | ~c("event").isin(*EVENTS), "unknown-event")
+        .when(start & (c("starts") > 0), "duplicate-run")
+        .when(start & (c("tool").isNull() | ~c("tool").isin(*tools)), "tool")
+        .when(start & (c("mode").isNull() | ~c("mode").isin(*MODES)), "mode")
+        .when(start & (c("mode") == "APPLY") & c("target_run_id").isNotNull(), "unexpected-target")
+        .when(start & (c("mode") == "UNDO") & (F.coalesce(c("target_run_id"), F.lit("")) == ""), "no-target")
+        .when(~start & (c("starts") == 0), "unknown-run")
+        .when(~start & (c("ended") > 0), "after-end")
+        .when(c("event").isin("ACTION_PLANNED", "ACTION_COMPLETED") & no_action, "no-action")
+        .when((c("event") == "ACTION_PLANNED") & (c("own_planned") > 0), "duplicate-action")
+        .when((c("event") == "ACTION_COMPLETED") & (c("own_planned") == 0), "not-planned")
+        .when((c("event") == "ACTION_COMPLETED") & (c("own_completed") > 0), "completed-twice")
+        .when((c("event") == "RUN_COMMITTED") & (c("action_count").isNull() | (c("action_count") != c("planned")) | (c("action_count") != c("completed"))), "count")
+        .when((c("event") == "RUN_COMMITTED") & ~c("target_run_id").eqNullSafe(c("run_target")), "commit-target")
+        .when((c("event") == "RUN_INCOMPLETE") & c("reason").isNull(), "no-reason")
+    )
+    return marked.select("seq", "run_id", problem.alias("problem")).filter("problem is not null")
+
+
+def run_records(events: DataFrame) -> DataFrame:
+    """One row for each run of a sound journal: tool, mode, target, first sequence number, planned and completed actions, and state (open, committed, incomplete)."""
+    start = F.col("event") == "RUN_STARTED"
+    n = lambda name: F.count(F.when(F.col("event") == name, 1))
+    state = F.when(n("RUN_COMMITTED") > 0, "committed").when(n("RUN_INCOMPLETE") > 0, "incomplete").otherwise("open")
+    of = lambda name: F.max(F.when(start, F.col(name)))
+    return events.groupBy("run_id").agg(of("tool").alias("tool"), of("mode").alias("mode"), of("target_run_id").alias("target_run_id"), F.min(F.when(start, F.col("seq"))).alias("started"), n("ACTION_PLANNED").alias("planned"), n("ACTION_COMPLETED").alias("completed"), state.alias("state"))
+
+
+def undo_problems(runs: DataFrame) -> DataFrame:
+    """Undo runs whose target is unknown, no apply run, of another tool or not earlier, and those that commit a second undo of one target. runs: as run_records."""
+    undo = runs.filter("mode = 'UNDO'").select("run_id", "tool", "target_run_id", "started", "state")
+    target = runs.select(F.col("run_id").alias("target_run_id"), F.col("tool").alias("t_tool"), F.col("mode").alias("t_mode"), F.col("started").alias("t_started"))
+    w = Window.partitionBy("target_run_id", "state").orderBy("started", "run_id")
+    rows = undo.withColumn("nth", F.row_number().over(w)).join(target, "target_run_id", "left")
+    problem = (
+        F.when(F.col("t_mode").isNull() | (F.col("t_mode") != "APPLY") | (F.col("t_tool") != F.col("tool")) | (F.col("t_started") >= F.col("started")), "target")
+        .when((F.col("state") == "committed") & (F.col("nth") > 1), "undone-twice")
+    )
+    return rows.select("run_id", problem.alias("problem")).filter("problem is not null")
+
+
+def undo_targets(runs: DataFrame) -> DataFrame:
+    """tool, run_id and state of the run that an undo of each tool would revert: the newest apply run that is not undone; blocked if an undo of the tool is unfinished."""
+    undone = runs.filter("mode = 'UNDO' and state = 'committed'").select(F.col("target_run_id").alias("run_id"))
+    active = runs.filter("mode = 'APPLY'").join(undone, "run_id", "left_anti")
+    open_undo = runs.filter("mode = 'UNDO' and state <> 'committed'").select("tool", F.lit(True).alias("blocked")).distinct()
+    return latest_per(active, "tool", "started", ("run_id", "state")).join(open_undo, "tool", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+
+
+def undo_plan(targets: DataFrame, states: DataFrame) -> DataFrame:
+    """The steps that revert each tool's target, last action first, with before and after exchanged; `problem` where a file is in neither state, or a committed action is not in effect.
+
+    targets: undo_targets; states: run_id, action_seq, before, after, state (applied, unapplied or conflict). Actions of an unfinished run that never took effect need no step.
+    """
+    rows = targets.select("tool", "run_id", F.col("state").alias("run_state"), "blocked").join(states, "run_id")
+    rows = rows.filter(~((F.col("run_state") != "committed") & (F.col("state") == "unapplied")))
+    problem = F.when(F.col("blocked"), "unfinished-undo").when(F.col("state") == "conflict", "conflict").when(F.col("state") == "unapplied", "not-applied")
+    w = Window.partitionBy("tool").orderBy(F.desc("action_seq"))
+    return rows.select("tool", "run_id", F.row_number().over(w).alias("step"), F.col("after").alias("before"), F.col("before").alias("after"), problem.alias("problem"))
+
+
+def action_problems(actions: DataFrame, required: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Actions of unknown operations, or without a field that their operation requires; required: operation -> fields."""
+    lacking = F.lit(None).cast("string")
+    for operation, fields in required.items():
+        for f in reversed(fields):
+            lacking = F.when((F.col("operation") == operation) & F.col(f).isNull(), F.lit(f)).otherwise(lacking)
+    problem = F.when(F.col("operation").isNull() | ~F.col("operation").isin(*required), "operation").otherwise(lacking)
+    return actions.select("action_id", problem.alias("problem")).filter("problem is not null")
+
+
 def active_runs(runs: DataFrame) -> DataFrame:
     """Committed runs that no committed undo names as its target."""
     undone = runs.filter("mode = 'undo' and state = 'committed'").select(F.col("target_run_id").alias("run_id"))
@@ -55,7 +151,7 @@ def later_blockers(actions: DataFrame, target: int) -> DataFrame:
 
 
 def undo_order(actions: DataFrame) -> DataFrame:
-    """Completed actions reversed, last first, with before and after exchanged."""
+    """Completed actions of each run reversed, last first, with before and after exchanged."""
     w = Window.partitionBy("run_id").orderBy(F.desc("action_seq"))
     return actions.filter("applied").select("run_id", F.row_number().over(w).alias("step"), "operation", F.col("after").alias("before"), F.col("before").alias("after"))
 
@@ -109,6 +205,84 @@ def overlaps(endpoints: DataFrame) -> DataFrame:
     return up.join(own, "id").filter("inner <> outer").select("outer", "inner").distinct()
 
 
-def queue_expand(jobs: DataFrame, stages: DataFrame, authorised: DataFrame) -> DataFrame:
-    """Every stage of every job with its authorisation, if any. stages is a fixed short list (broadcast)."""
-    return jobs.crossJoin(F.broadcast(stages)).join(authorised, ["ordinal", "stage"], "left").select("ordinal", "stage", "stage_no", F.coalesce("decision", F.lit("ask")).alias("decision"))
+def queue_expand(jobs: DataFrame, stages: tuple[str, ...], authorised: DataFrame) -> DataFrame:
+    """Every stage of every job with its authorisation, if any. stages is a fixed short list, exploded in place."""
+    every = F.posexplode(F.array(*[F.lit(s) for s in stages])).alias("at", "stage")
+    rows = jobs.select("ordinal", every).withColumn("stage_no", F.col("at") + 1)
+    return rows.join(authorised, ["ordinal", "stage"], "left").select("ordinal", "stage", "stage_no", F.coalesce("decision", F.lit("ask")).alias("decision"))
+
+
+def job_states(jobs: DataFrame, attempts: DataFrame, stages: int) -> DataFrame:
+    """completed (all stages passed), retry_required (the last attempt failed) or resumable, for each job of a queue; attempts: job, ordinal, stage, status."""
+    last = attempts.groupBy("job").agg(F.max(F.struct("ordinal", "status"))["status"].alias("status"), F.countDistinct(F.when(F.col("status") == 0, F.col("stage"))).alias("passed"))
+    rows = jobs.join(last, "job", "left")
+    state = F.when(F.coalesce("passed", F.lit(0)) >= stages, "completed").when(F.coalesce("status", F.lit(0)) != 0, "retry_required").otherwise("resumable")
+    return rows.select("job", F.coalesce("passed", F.lit(0)).cast("long").alias("passed"), state.alias("state"))
+
+
+def queue_order(states: DataFrame) -> DataFrame:
+    """What a queue runs: jobs in order up to the first that must be retried explicitly; `run`, `skip` (completed), `stop` there and `wait` behind it. states: ordinal, job, state.
+
+    The first stop is one scalar, so no job waits in a sorted partition of all jobs.
+    """
+    first = states.agg(F.min(F.when(F.col("state") == "retry_required", F.col("ordinal"))).alias("first"))
+    rows = states.join(F.broadcast(first))  # one row
+    action = F.when(F.col("state") == "completed", "skip").when(F.col("ordinal") == F.col("first"), "stop").when(F.col("ordinal") > F.col("first"), "wait").otherwise("run")
+    return rows.select("ordinal", "job", action.alias("action"))
+
+
+def transition_problems(states: DataFrame) -> DataFrame:
+    """Consecutive states of a workflow that differ by other than one valid attempt. states: workflow, version, attempts (array of statuses), next_stage.
+
+    A following state appends one attempt, leaves the earlier ones as they are, and advances by one stage on status 0, else not at all.
+    """
+    w = Window.partitionBy("workflow").orderBy("version")
+    rows = states.withColumns({"old": F.lag("attempts").over(w), "old_stage": F.lag("next_stage").over(w)}).filter("old is not null")
+    moved = F.when(F.element_at("attempts", -1) == 0, 1).otherwise(0)
+    problem = (
+        F.when(F.size("attempts") != F.size("old") + 1, "attempts")
+        .when(F.slice("attempts", F.lit(1), F.size("old")) != F.col("old"), "rewritten")
+        .when(F.col("next_stage") != F.col("old_stage") + moved, "stage")
+    )
+    return rows.select("workflow", "version", problem.alias("problem")).filter("problem is not null")
+
+
+def expectation_problems(expected: DataFrame, checkpoints: tuple[str, ...], of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Authorised expectations that cannot be: unknown (by `of` a checkpoint) or repeated checkpoints, findings that are not sorted and unique, or a clean status beside findings. expected: ordinal, checkpoint, status, findings (array)."""
+    w = Window.partitionBy("checkpoint").orderBy("ordinal")
+    rows = expected.withColumn("nth", F.row_number().over(w))
+    problem = (
+        F.when(F.col("checkpoint").isNull() | ~of(F.col("checkpoint")).isin(*checkpoints), "checkpoint")
+        .when(F.col("nth") > 1, "repeated")
+        .when(F.col("findings") != F.array_sort(F.array_distinct("findings")), "findings-order")
+        .when((F.col("status") == 0) & (F.size("findings") > 0), "status")
+    )
+    return rows.select("ordinal", "checkpoint", problem.alias("problem")).filter("problem is not null")
+
+
+def applied_else_preview(outcomes: DataFrame, by: str) -> DataFrame:
+    """The latest successful applied outcome of each group, else its latest preview. outcomes: by, ordinal, mode (apply or preview), status, payload."""
+    of = lambda mode: F.max(F.when((F.col("mode") == mode) & (F.col("status") == 0), F.struct("ordinal", "payload")))
+    top = outcomes.groupBy(by).agg(of("apply").alias("a"), of("preview").alias("p"))
+    return top.select(by, F.when(F.col("a").isNotNull(), "apply").when(F.col("p").isNotNull(), "preview").alias("mode"), F.coalesce("a.payload", "p.payload").alias("payload"))
+
+
+def attempt_outcomes(attempts: DataFrame, outcomes: DataFrame, stages: DataFrame) -> DataFrame:
+    """Attempts with their outcome and stage: problem is missing-outcome, unknown-stage or wrong-command, null where all fit. attempts: attempt, stage, outcome_id; outcomes: outcome_id, command; stages: stage, command."""
+    rows = attempts.join(outcomes.select("outcome_id", F.col("command").alias("had")), "outcome_id", "left").join(stages.select("stage", F.col("command").alias("wanted")), "stage", "left")
+    problem = F.when(F.col("wanted").isNull(), "unknown-stage").when(F.col("had").isNull(), "missing-outcome").when(F.col("had") != F.col("wanted"), "wrong-command")
+    return rows.select("attempt", "stage", F.col("had").alias("command"), problem.alias("problem"))
+
+
+def synopsis(attempts: DataFrame, by: str = "stage") -> DataFrame:
+    """Attempts, failures, total time and distinct subjects of each stage; attempts: by, status, milliseconds, subject."""
+    return attempts.groupBy(by).agg(F.count(F.lit(1)).alias("attempts"), F.count(F.when(F.col("status") != 0, 1)).alias("findings"), F.sum("milliseconds").alias("duration_milliseconds"), F.countDistinct("subject").alias("users"))
+
+
+def progress_milestones(items: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+    """The items at which a tenth more of a group is done: ceil(total * k / 10), k from 1 to 10, each place once."""
+    w = Window.partitionBy(by).orderBy(*order)
+    rows = items.select(by, *order, F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("total"))
+    tenth = F.floor(F.col("done") * 10 / F.col("total"))
+    before = F.floor((F.col("done") - 1) * 10 / F.col("total"))
+    return rows.filter(tenth > before).select(by, "done", "total", (tenth * 10).cast("int").alias("percent"))
