@@ -33,15 +33,37 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 
 def publish(spark: SparkSession, path: str, records: DataFrame) -> int:
     """Upserts valid records as a new version, and returns its number; invalid records refuse the whole publication."""
-    refused = records.count() - evidence.valid(records).count()
+    refused = records.join(evidence.valid(records), records.columns, "left_anti").count()
     if refused:
         raise ValueError(f"{refused} records break the store's constraints")
     number = max(_versions(spark, path), default=0) + 1
+    _claim(spark, path, number)
     merged = evidence.upsert(read(spark, path), records.withColumn("version", F.lit(number).cast("long")), "version")
     merged.repartitionByRange("evidence_type", "algorithm", "runtime", "file_sha256").sortWithinPartitions("evidence_type", "algorithm", "runtime", "file_sha256").write.mode("errorifexists").parquet(f"{path}/v{number}")
     return number
 
 
+def _claim(spark: SparkSession, path: str, number: int) -> None:
+    """Creates the marker of a version, which only one writer can; the other is told to come again."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/.claim-{number}")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(marker.getParent())
+    if not fs.createNewFile(marker):
+        raise RuntimeError(f"version {number} of {path} is being published by another writer, or was left unfinished")
+
+
+def publish_batches(spark: SparkSession, path: str, records: DataFrame, key: str = "file_sha256", batches: int = 1) -> list[int]:
+    """Publishes records in so many versions, dealt by a hash of the key; what was published stays if a later batch fails."""
+    return [publish(spark, path, records.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)) for k in range(batches)]
+
+
+def legacy_records(rows: DataFrame, evidence_type: str, algorithm: str, runtime: str, payload: tuple[str, ...]) -> DataFrame:
+    """Rows of an older schema (file_sha256 and payload columns) as records of this store, without writing anything."""
+    body = F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"})
+    return rows.select("file_sha256", F.lit(evidence_type).alias("evidence_type"), F.lit(algorithm).alias("algorithm"), F.lit(runtime).alias("runtime"), body.alias("payload_json"))
+
+
 def payloads(spark: SparkSession, path: str, evidence_type: str, algorithm: str, runtime: str) -> DataFrame:
     """One namespace's payloads; the filter reaches the Parquet scan, which is sorted by it."""
     return read(spark, path).filter((F.col("evidence_type") == evidence_type) & (F.col("algorithm") == algorithm) & (F.col("runtime") == runtime)).select("file_sha256", "payload_json")

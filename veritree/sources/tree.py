@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import os
 import stat
@@ -15,7 +16,12 @@ SCHEMA = "path string, category string, size long, device long, inode long, modi
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").option("checksums", "true").load(folder); paths are relative and use '/'."""
+    """spark.read.format("tree").option("checksums", "true").load(folder); paths are relative and use '/'.
+
+    Categories: file, directory, symbolic_link, non_regular, unreadable, changed, and with the options ignored_files, ignored_folders
+    (shell patterns, one a line, case-blind) and tool_state (names at the top, one a line; a trailing * fits what begins so) also
+    ignored and tool_state. Ignored folders are not entered, and nothing is followed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -25,7 +31,8 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TreeReader(self.options["path"], self.options.get("checksums", "false").lower() == "true")
+        lines = lambda name: [x for x in self.options.get(name, "").split("\n") if x]
+        return TreeReader(self.options["path"], self.options.get("checksums", "false").lower() == "true", lines("ignored_files"), lines("ignored_folders"), lines("tool_state"))
 
 
 class Part(InputPartition):
@@ -36,11 +43,19 @@ class Part(InputPartition):
 class TreeReader(DataSourceReader):
     """One partition lists the root itself, and one each folder below it."""
 
-    def __init__(self, root: str, checksums: bool):
+    def __init__(self, root: str, checksums: bool, ignored_files: list[str], ignored_folders: list[str], tool_state: list[str]):
         self.root, self.checksums = root, checksums
+        self.ignored_files, self.ignored_folders, self.tool_state = ([x.casefold() for x in p] for p in (ignored_files, ignored_folders, tool_state))
+
+    def _fits(self, path: str, patterns: list[str]) -> bool:
+        low = path.casefold()
+        return any(fnmatch.fnmatchcase(low, p) or fnmatch.fnmatchcase(low.rpartition("/")[2], p) for p in patterns)
+
+    def _of_tool(self, path: str) -> bool:
+        return "/" not in path and self._fits(path, self.tool_state)
 
     def partitions(self) -> list[InputPartition]:
-        below = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
+        below = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and not self._fits(e.name, self.ignored_folders) and not self._of_tool(e.name))
         return [Part("", False), *[Part(name, True) for name in below]]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -55,9 +70,17 @@ class TreeReader(DataSourceReader):
                 continue
             for e in entries:
                 path = f"{at}/{e.name}" if at else e.name
-                s = e.stat(follow_symlinks=False)
+                try:
+                    s = e.stat(follow_symlinks=False)
+                except OSError:  # gone or closed since it was listed
+                    yield (path, "changed", 0, None, None, None, None, None)
+                    continue
                 state = (s.st_size, s.st_dev, s.st_ino, s.st_mtime_ns, s.st_ctime_ns)
-                if stat.S_ISLNK(s.st_mode):
+                if self._of_tool(path):
+                    yield (path, "tool_state", *state, None)
+                elif self._fits(path, self.ignored_folders if stat.S_ISDIR(s.st_mode) else self.ignored_files):
+                    yield (path, "ignored", *state, None)
+                elif stat.S_ISLNK(s.st_mode):
                     yield (path, "symbolic_link", *state, None)
                 elif stat.S_ISDIR(s.st_mode):
                     yield (path, "directory", *state, None)
