@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritree.functions import text as names
-from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, transitions
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, planning, transitions
 from veritree.plans import digest
 
 FLAGSHIP = "byte_coverage"
@@ -72,12 +72,12 @@ def layout_readiness(spark, sf_dir):
     return inventory.layout_readiness(files(spark, sf_dir), {"picture": "src0", "video": "src1"})
 
 
-@query(f"WITH {FILES} SELECT kind, size, count(*) AS files, size * (count(*) - 1) AS upper_bound FROM files GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {FILES} SELECT kind, size, count(*) AS files, size * (count(*) - 1) AS upper_bound FROM files WHERE kind IN ('picture', 'video') AND NOT in_review GROUP BY 1, 2 HAVING count(*) > 1")
 def same_size_candidates(spark, sf_dir):
     return inventory.same_size_candidates(files(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT kind, size, sha256, count(*) AS files, min(path) AS first_path, size * (count(*) - 1) AS duplicate_bytes FROM files GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query(f"WITH {FILES} SELECT kind, size, sha256, count(*) AS files, min(path) AS first_path, size * (count(*) - 1) AS duplicate_bytes FROM files WHERE kind IN ('picture', 'video') AND NOT in_review GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def exact_byte_duplicates(spark, sf_dir):
     return inventory.exact_duplicates(files(spark, sf_dir))
 
@@ -109,9 +109,9 @@ def storage_summary(spark, sf_dir):
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Source: documents without a label; destination: those with one."""
-    f, labels = files(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id")
-    return f.join(labels, "doc_id", "left_anti"), f.join(labels, "doc_id", "left_semi")
+    """Source: documents without a label; destination: those with one. Contents are digested after the choice, each once."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    return tuple(inventory.collection(docs.join(labels, "doc_id", how)) for how in ("left_anti", "left_semi"))
 
 
 SIDES = f"""{FILES}, src AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels)), dst AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels)),
@@ -147,30 +147,31 @@ def multiplicity(spark, sf_dir):
 
 def layered_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The two sides with a weaker digest (of the text without case and spacing) and a length bucket."""
-    docs = table(spark, sf_dir, "documents")
-    weak = docs.select("doc_id", F.sha2(names.normalised(F.col("text")), 256).alias("weak"), F.floor(F.length("text") / 1000).cast("int").alias("bucket"))
-    s, d = sides(spark, sf_dir)
-    return s.join(weak, "doc_id"), d.join(weak, "doc_id")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    more = {"weak": F.sha2(names.normalised(F.col("text")), 256), "bucket": F.floor(F.length("text") / 1000).cast("int")}
+    return tuple(inventory.collection(docs.join(labels, "doc_id", how), more) for how in ("left_anti", "left_semi"))
 
 
 WEAK = r"""sw AS (SELECT *, sha256(lower(trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g')))) AS weak, floor(length(text) / 1000)::INTEGER AS bucket FROM src),
 dw AS (SELECT *, sha256(lower(trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g')))) AS weak, floor(length(text) / 1000)::INTEGER AS bucket FROM dst),
-gone AS (SELECT size, sha256, min(weak) AS weak, min(lang) AS lang, min(bucket) AS bucket FROM sw WHERE (size, sha256) NOT IN (SELECT (size, sha256) FROM dst) GROUP BY 1, 2)"""
+gone AS (SELECT DISTINCT size, sha256, weak, lang, bucket FROM sw WHERE (size, sha256) NOT IN (SELECT (size, sha256) FROM dst)),
+found AS (SELECT size, sha256, bool_or(weak IN (SELECT weak FROM dw)) AS represented FROM gone GROUP BY 1, 2)"""
 
 
-@query(f"WITH {SIDES}, {WEAK} SELECT size, sha256, weak IN (SELECT weak FROM dw) AS represented FROM gone")
+@query(f"WITH {SIDES}, {WEAK} SELECT * FROM found")
 def second_layer_coverage(spark, sf_dir):
     return coverage.second_layer(*layered_sides(spark, sf_dir), "weak")
 
 
-@query(f"WITH {SIDES}, {WEAK} SELECT size, sha256, lang, bucket, EXISTS (SELECT 1 FROM dw WHERE dw.weak = gone.weak AND dw.lang IS NOT DISTINCT FROM gone.lang AND dw.bucket IS NOT DISTINCT FROM gone.bucket) AS represented FROM gone")
+@query(f"""WITH {SIDES}, {WEAK} SELECT size, sha256, bool_or(hit) AS represented FROM (
+  SELECT size, sha256, EXISTS (SELECT 1 FROM dw WHERE dw.weak = gone.weak AND dw.lang IS NOT DISTINCT FROM gone.lang AND dw.bucket IS NOT DISTINCT FROM gone.bucket) AS hit FROM gone) GROUP BY 1, 2""")
 def bucketed_layer_coverage(spark, sf_dir):
     return coverage.second_layer(*layered_sides(spark, sf_dir), "weak", ("lang", "bucket"))
 
 
 LAYERED = f"""WITH {SIDES}, {WEAK}, k AS (SELECT size, sha256, max(kind IN ('picture', 'video')) AS exact FROM src GROUP BY 1, 2), l AS (
-  SELECT k.size, k.sha256, CASE WHEN dn IS NOT NULL THEN 'bytes' WHEN gone.weak IN (SELECT weak FROM dw) THEN 'weak' WHEN exact THEN 'missing' ELSE 'unsupported' END AS layer
-  FROM k JOIN j USING (size, sha256) LEFT JOIN gone USING (size, sha256))"""
+  SELECT k.size, k.sha256, CASE WHEN dn IS NOT NULL THEN 'bytes' WHEN represented THEN 'weak' WHEN exact THEN 'missing' ELSE 'unsupported' END AS layer
+  FROM k JOIN j USING (size, sha256) LEFT JOIN found USING (size, sha256))"""
 
 
 @query(f"{LAYERED} SELECT * FROM l")
@@ -203,16 +204,16 @@ def stability_diff(spark, sf_dir):
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence derived from every third document, in two versions."""
-    f = files(spark, sf_dir).filter("doc_id % 3 = 0")
-    version = F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1")
-    return f.select(F.col("sha256").alias("file_sha256"), F.lit("exact-pixels").alias("evidence_type"), version.alias("algorithm"), F.lit("r1").alias("runtime"), F.concat(F.lit('{"size":'), F.col("size").cast("string"), F.lit("}")).alias("payload_json"))
+    """Evidence derived from every document, in three versions of two runtimes."""
+    f = files(spark, sf_dir)
+    version = F.when(F.col("doc_id") % 3 == 0, "v2").otherwise("v1")
+    return f.select(F.col("sha256").alias("file_sha256"), F.lit("exact-pixels").alias("evidence_type"), version.alias("algorithm"), F.when(F.col("doc_id") % 5 == 0, "r0").otherwise("r1").alias("runtime"), F.concat(F.lit('{"size":'), F.col("size").cast("string"), F.lit("}")).alias("payload_json"))
 
 
-STORE = """store AS (SELECT sha256 AS file_sha256, 'exact-pixels' AS evidence_type, CASE WHEN doc_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS algorithm, 'r1' AS runtime, '{"size":' || size || '}' AS payload_json FROM files WHERE doc_id % 3 = 0)"""
+STORE = """store AS (SELECT sha256 AS file_sha256, 'exact-pixels' AS evidence_type, CASE WHEN doc_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS algorithm, CASE WHEN doc_id % 5 = 0 THEN 'r0' ELSE 'r1' END AS runtime, '{"size":' || size || '}' AS payload_json FROM files)"""
 
 
-@query(f"WITH {FILES}, {STORE}, m AS (SELECT file_sha256, max(payload_json) AS payload_json FROM store WHERE algorithm = 'v2' GROUP BY 1) SELECT path, sha256, payload_json FROM files LEFT JOIN m ON sha256 = file_sha256")
+@query(f"WITH {FILES}, {STORE}, m AS (SELECT file_sha256, max(payload_json) AS payload_json FROM store WHERE algorithm = 'v2' AND runtime = 'r1' GROUP BY 1) SELECT path, sha256, payload_json FROM files LEFT JOIN m ON sha256 = file_sha256")
 def evidence_memo_join(spark, sf_dir):
     return evidence.memo_join(files(spark, sf_dir), store(spark, sf_dir), "exact-pixels", "v2", "r1").select("path", "sha256", "payload_json")
 
@@ -264,9 +265,11 @@ def top_extensions(spark, sf_dir):
     return inventory.top_extensions(files(spark, sf_dir))
 
 
-@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(string_split(url, '/')[-1], '^(.*1|[^/]?2.*)$')")
+@query(r"""WITH p AS (SELECT page_id, url, lower(regexp_replace(url, '^[a-z]+://', '')) AS path FROM pages)
+SELECT page_id, url, regexp_matches(string_split(path, '/')[-1], '^(.*1|.2.*)$') OR regexp_matches(path, '^(.*1|.2.*)$') OR len(list_filter(string_split(path, '/')[:-2], lambda x: regexp_matches(x, '^.*3.*$'))) > 0 AS ignored FROM p""")
 def glob_ignore(spark, sf_dir):
-    return inventory.ignored(table(spark, sf_dir, "pages"), "url", ["*1", "?2*", "2*"]).select("page_id", "url")
+    path = F.upper(F.regexp_replace("url", "^[a-z]+://", ""))
+    return table(spark, sf_dir, "pages").select("page_id", "url", classification.ignored(path, ("*1", "?2*"), ("*3*",)).alias("ignored"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d_%H-%M-%S') END AS stamp FROM events""")
@@ -331,7 +334,7 @@ def latest_outcome(spark, sf_dir):
 @query("""SELECT event_type AS stage, count(*) AS attempts, count(*) FILTER (WHERE value < 10) AS findings, sum(floor(value * 1000))::BIGINT AS duration_milliseconds, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def synopsis_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("attempts"), F.count(F.when(F.col("value") < 10, 1)).alias("findings"), F.sum(F.floor(F.col("value") * 1000)).alias("duration_milliseconds"), F.countDistinct("user_id").alias("users"))
+    return journal.synopsis(e.select(F.col("event_type").alias("stage"), F.when(F.col("value") < 10, 1).otherwise(0).alias("status"), F.floor(F.col("value") * 1000).alias("milliseconds"), F.col("user_id").alias("subject")))
 
 
 @query("""WITH o AS (SELECT lang AS checkpoint, count(*) AS files, count(DISTINCT source) AS sources FROM documents GROUP BY 1)
@@ -349,9 +352,8 @@ STAGES = ("preflight", "organise", "rename", "duplicates", "verify")
 SELECT n_nationkey AS ordinal, stage, stage_no, CASE WHEN (n_nationkey + stage_no) % 3 = 0 THEN 'allow' ELSE 'ask' END AS decision FROM nation, s""")
 def queue_plan_expand(spark, sf_dir):
     jobs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"))
-    stages = spark.createDataFrame([(s, i + 1) for i, s in enumerate(STAGES)], "stage string, stage_no int")
     allowed = jobs.select("ordinal", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i + 1).alias("no")) for i, s in enumerate(STAGES)])).alias("x")).filter((F.col("ordinal") + F.col("x.no")) % 3 == 0).select("ordinal", "x.stage", F.lit("allow").alias("decision"))
-    return journal.queue_expand(jobs, stages, allowed)
+    return journal.queue_expand(jobs, STAGES, allowed)
 
 
 @query("""SELECT a.n_nationkey AS "outer", b.n_nationkey AS "inner" FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (a.n_nationkey = b.n_nationkey // 2 OR a.n_nationkey = b.n_nationkey // 4)""")
@@ -385,31 +387,36 @@ def capacity_requirement(spark, sf_dir):
     return journal.capacity(files(spark, sf_dir), "source", 4096, 1 << 20)
 
 
-@query(f"WITH {FILES} SELECT path AS source_path, CASE kind WHEN 'picture' THEN 'pics/' ELSE 'vids/' END || string_split(path, '/')[-1] AS target, kind FROM files WHERE kind IN ('picture', 'video')")
+@query(f"WITH {FILES} SELECT path AS source, CASE kind WHEN 'picture' THEN 'pics/' ELSE 'vids/' END || string_split(path, '/')[-1] AS target, kind FROM files WHERE kind IN ('picture', 'video')")
 def organize_plan(spark, sf_dir):
-    f = files(spark, sf_dir).filter(F.col("kind").isin("picture", "video"))
-    return f.select(F.col("path").alias("source_path"), F.concat(F.when(F.col("kind") == "picture", "pics/").otherwise("vids/"), F.element_at(F.split("path", "/"), -1)).alias("target"), "kind")
+    return planning.organize_plan(files(spark, sf_dir), {"picture": "pics", "video": "vids"})
 
 
-@query(f"""WITH {FILES} SELECT path, CASE WHEN mime_type = 'unknown' THEN 'unsupported' WHEN doc_id % 13 = 0 AND ext IN ('.jpg', '.png') THEN 'rename' ELSE 'truthful' END AS decision,
-  CASE WHEN mime_type <> 'unknown' AND doc_id % 13 = 0 AND ext IN ('.jpg', '.png') THEN regexp_replace(path, '\\.[a-z]+$', CASE ext WHEN '.jpg' THEN '.png' ELSE '.jpg' END) END AS target FROM files""")
+@query(f"""WITH {FILES}, e AS (SELECT path, ext, CASE WHEN mime_type = 'unknown' THEN NULL WHEN doc_id % 13 = 0 THEN CASE ext WHEN '.jpg' THEN 'png' WHEN '.png' THEN 'jpeg' ELSE 'exotic' END
+  ELSE CASE ext WHEN '.jpg' THEN 'jpeg' WHEN '.png' THEN 'png' WHEN '.mp4' THEN 'mp4' WHEN '.mkv' THEN 'matroska' ELSE 'exotic' END END AS format FROM files),
+a AS (SELECT * FROM (VALUES ('jpeg', ['.jpg', '.jpeg']), ('png', ['.png']), ('mp4', ['.mp4', '.m4v']), ('matroska', ['.mkv'])) AS v(format, extensions)),
+d AS (SELECT path, ext, extensions, CASE WHEN ext = '.mp3' THEN 'protected' WHEN format IS NULL THEN 'uninspectable' WHEN extensions IS NULL THEN 'unsupported' WHEN list_contains(extensions, ext) THEN 'truthful' ELSE 'rename' END AS decision FROM e LEFT JOIN a USING (format))
+SELECT path, decision, CASE WHEN decision = 'rename' THEN path[:length(path) - length(ext)] || extensions[1] END AS target FROM d""")
 def extension_plan(spark, sf_dir):
-    wrong = (F.col("doc_id") % 13 == 0) & F.col("ext").isin(".jpg", ".png")
-    other = F.when(F.col("ext") == ".jpg", ".png").otherwise(".jpg")
-    decision = F.when(F.col("mime_type") == "unknown", "unsupported").when(wrong, "rename").otherwise("truthful")
-    return files(spark, sf_dir).select("path", decision.alias("decision"), F.when(decision == "rename", F.concat(F.regexp_replace("path", r"\.[a-z]+$", ""), other)).alias("target"))
+    f = files(spark, sf_dir)
+    right = F.when(F.col("ext") == ".jpg", "jpeg").when(F.col("ext") == ".png", "png").when(F.col("ext") == ".mp4", "mp4").when(F.col("ext") == ".mkv", "matroska").otherwise("exotic")
+    wrong = F.when(F.col("ext") == ".jpg", "png").when(F.col("ext") == ".png", "jpeg").otherwise("exotic")
+    seen = f.select("path", F.when(F.col("mime_type") == "unknown", None).when(F.col("doc_id") % 13 == 0, wrong).otherwise(right).alias("format"))
+    accepted = spark.createDataFrame([("jpeg", [".jpg", ".jpeg"]), ("png", [".png"]), ("mp4", [".mp4", ".m4v"]), ("matroska", [".mkv"])], "format string, extensions array<string>")
+    return planning.extension_plan(f, seen, accepted, (".mp3",))
 
 
-@query(f"""WITH {FILES}, {RANKED} SELECT count(*) AS rows, sha256(string_agg(path || '>' || rank, chr(10) ORDER BY path)) AS digest FROM ranked WHERE rank > 1""")
+@query(f"""WITH {FILES}, {RANKED}, n AS (SELECT path || '>' || rank AS l, row_number() OVER (ORDER BY path) - 1 AS n FROM ranked WHERE rank > 1), c AS (SELECT n // 16 AS c, count(*) AS rows, sha256(string_agg(l, chr(10) ORDER BY n)) AS d FROM n GROUP BY 1)
+SELECT coalesce(sum(rows), 0)::BIGINT AS rows, sha256(coalesce(string_agg(d, '' ORDER BY c), '')) AS digest FROM c""")
 def plan_digest(spark, sf_dir):
-    moves = duplicates.ranked(files(spark, sf_dir), ascii_paths=True).filter("rank > 1")
-    return digest.plan_digest(moves, F.col("path"), F.concat("path", F.lit(">"), F.col("rank").cast("string")))
+    moves = duplicates.ranked(files(spark, sf_dir)).filter("rank > 1")
+    return digest.plan_digest(moves, F.col("path"), F.concat("path", F.lit(">"), F.col("rank").cast("string")), 16)
 
 
-@query(f"""WITH {FILES}, l AS (SELECT sha256(path || ':' || size || ':' || sha256) AS d FROM files), b AS (SELECT d[1:2] AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM l GROUP BY 1)
-SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b""")
+@query(f"""WITH {FILES}, l AS (SELECT sha256(path || ':' || size || ':' || sha256) AS d FROM files), b AS (SELECT d[1:2] AS c, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS d FROM l GROUP BY 1)
+SELECT sum(rows)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY c)) AS digest FROM b""")
 def namespace_digest(spark, sf_dir):
-    return digest.set_digest(files(spark, sf_dir), F.concat_ws(":", "path", F.col("size").cast("string"), "sha256"))
+    return digest.set_digest(files(spark, sf_dir), F.concat_ws(":", "path", F.col("size").cast("string"), "sha256"), 8)
 
 
 @query(f"""WITH {FILES}, m AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'video/mp4' WHEN doc_id % 10 = 0 THEN 'application/pdf' ELSE mime_type END AS mime, doc_id % 4 <> 0 AS content, ext, CASE WHEN ext IN ('.jpg', '.png') THEN 'picture' WHEN ext IN ('.mp4', '.mkv') THEN 'video' END AS ek FROM files),
@@ -423,7 +430,7 @@ def classification_kinds(spark, sf_dir):
     return rows.groupBy("kind", "mismatched").agg(F.count(F.lit(1)).alias("files"))
 
 
-ACTIONS = """acts AS (SELECT doc_id AS action_id, path AS before, 'moved/' || doc_id AS after, sha256 FROM files WHERE doc_id % 2 = 0),
+ACTIONS = """acts AS (SELECT doc_id AS action_id, path AS before, 'moved/' || doc_id AS after, sha256 FROM files),
 snap AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' || doc_id ELSE path END AS path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256 END AS sha256 FROM files)"""
 
 
@@ -432,7 +439,7 @@ FROM acts LEFT JOIN snap b ON b.path = before LEFT JOIN snap a ON a.path = after
 def forward_state(spark, sf_dir):
     f = files(spark, sf_dir)
     there = F.concat(F.lit("moved/"), F.col("doc_id").cast("string"))
-    actions = f.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("action_id"), F.col("path").alias("before"), there.alias("after"), "sha256")
+    actions = f.select(F.col("doc_id").alias("action_id"), F.col("path").alias("before"), there.alias("after"), "sha256")
     snapshot = f.select(F.when(F.col("doc_id") % 3 == 0, there).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
     return transitions.forward_state(actions, snapshot)
 
@@ -451,10 +458,10 @@ def removable_folders(spark, sf_dir):
     return transitions.removable_folders(files(spark, sf_dir).select("path", ignored.alias("is_ignored")))
 
 
-@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS p FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), c AS (SELECT c_custkey AS id, count(*) AS c FROM customer GROUP BY 1)
+@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS p FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, count(*) AS c FROM customer GROUP BY 1)
 SELECT id, CASE WHEN c IS NULL THEN 'not-completed' WHEN p IS NULL THEN 'not-planned' ELSE 'repeated' END AS problem FROM p FULL JOIN c USING (id) WHERE c IS NULL OR p IS NULL OR p > 1 OR c > 1""")
 def exact_ids(spark, sf_dir):
-    planned = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"))
+    planned = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return transitions.exact_ids(planned, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
@@ -491,12 +498,17 @@ def outcome_problems(spark, sf_dir):
     return transitions.outcome_problems(out.withColumn("scanned_bytes", F.when(F.col("run") == "src4", -1).otherwise(F.col("scanned_bytes"))))
 
 
-@query(f"""WITH {FILES}, r AS (SELECT kind, path, ext, CASE WHEN doc_id % 4 <> 0 THEN modified_ns % 1000000007 END AS stamp, row_number() OVER (PARTITION BY kind ORDER BY doc_id % 4 = 0, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE modified_ns % 1000000007 END, lower(path), path) AS n FROM files WHERE kind IN ('picture', 'video'))
-SELECT path AS source_path, 'home__' || CASE kind WHEN 'picture' THEN 'image' ELSE 'video' END || '_' || lpad(n::VARCHAR, CASE WHEN n > 9999 THEN length(n::VARCHAR)::INTEGER ELSE 4 END, '0') || '__' || coalesce(stamp::VARCHAR, 'undated') || ext AS target FROM r""")
+@query(f"""WITH {FILES}, s AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN source || '/home__' || CASE kind WHEN 'picture' THEN 'image' ELSE 'video' END || '_' || lpad((doc_id + 5000)::VARCHAR, 5, '0') || '__undated' || ext ELSE path END AS named,
+  CASE WHEN doc_id % 4 <> 0 THEN modified_ns % 1000000007 END AS stamp FROM files WHERE kind IN ('picture', 'video')),
+m AS (SELECT kind, max(CASE WHEN doc_id % 10 = 0 THEN doc_id + 5000 ELSE 0 END) AS top FROM s GROUP BY 1),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY kind ORDER BY stamp IS NULL, stamp, lower(named), named) + top AS n FROM s JOIN m USING (kind) WHERE doc_id % 10 <> 0)
+SELECT named AS source, regexp_extract(named, '^(.*/)', 1) || 'home__' || CASE kind WHEN 'picture' THEN 'image' ELSE 'video' END || '_' || CASE WHEN n > 9999 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 4, '0') END || '__' || coalesce(stamp::VARCHAR, 'undated') || CASE WHEN doc_id % 6 = 0 THEN '__' || lang ELSE '' END || ext AS target, n AS sequence FROM r""")
 def rename_plan(spark, sf_dir):
-    f = files(spark, sf_dir).filter(F.col("kind").isin("picture", "video")).withColumn("stamp", F.when(F.col("doc_id") % 4 != 0, F.col("modified_ns") % 1000000007))
-    r = duplicates.rename_sequence(f)
-    return r.select(F.col("path").alias("source_path"), classification.canonical_name("home", F.col("kind"), F.col("sequence"), F.col("stamp").cast("string"), F.lit(None).cast("string"), F.col("ext")).alias("target"))
+    d = F.col("doc_id")
+    word = F.when(F.col("kind") == "picture", "image").otherwise("video")
+    named = F.concat("source", F.lit("/home__"), word, F.lit("_"), F.lpad((d + 5000).cast("string"), 5, "0"), F.lit("__undated"), "ext")
+    f = files(spark, sf_dir).withColumns({"path": F.when(d % 10 == 0, named).otherwise(F.col("path")), "stamp": F.when(d % 4 != 0, F.col("modified_ns") % 1000000007), "descriptor": F.when(d % 6 == 0, F.col("lang"))})
+    return planning.rename_plan(f, "home")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)) / 1000000, 3) AS revenue_millions FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
@@ -520,3 +532,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from veritree import catalogue_media, catalogue_plans  # noqa: E402, F401  (they register their queries)
