@@ -34,7 +34,28 @@ def test_preservation_report(spark, folder, tmp_path_factory):
 
 
 def test_validation_report(spark):
-    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")
-    findings = spark.createDataFrame([("a", "error", "x"), ("b", "warning", "y"), ("c", "info", "z")], "path string, severity string, code string")
-    report = api.validation_report(findings, files)
-    assert report["health"] == {"error": 1, "warning": 1, "healthy": 2} and report["status"] == 1
+    entries = spark.createDataFrame([("a", "candidate"), ("b", "candidate"), ("l", "symlink"), ("t", "other")], "path string, disposition string")
+    candidates = spark.createDataFrame([("a", "picture", "picture", 5, False), ("b", "video", "video", 0, False)], "path string, kind string, ext_kind string, size long, changed boolean")
+    probes = spark.createDataFrame([("a", True, True, True, None, None, None, None, None)], "path string, ok boolean, decoder boolean, format_matches boolean, streams array<struct<codec_type: string, codec_name: string, width: int, height: int>>, duration double, family string, score int, accepted array<string>")
+    report = api.validation_report(entries, candidates, probes, show_files=True)
+    assert report["health"] == {"files_with_errors": 1, "files_with_warnings": 1, "healthy_files": 1} and report["status"] == 1
+    assert [(f["code"], f["count"]) for f in report["findings"]] == [("empty_file", 1), ("symbolic_link_skipped", 1)] and report["finding_files"].count() == 2
+    assert report["inventory"]["media_files"] == 2 and report["inventory"]["media_bytes"] == 5 and report["inventory"]["other_files"] == 1
+
+
+def test_plans_by_name(spark):
+    f = spark.createDataFrame([("a/x.jpg", "picture", ".jpg", None, None), ("pics/y.png", "picture", ".png", "2020-01-01", "sea")], "path string, kind string, ext string, stamp string, descriptor string")
+    plan, one = api.organize(f)
+    assert [tuple(r)[:2] for r in plan.collect()] == [("a/x.jpg", "pics/x.jpg")] and one.first()["rows"] == 1
+    plan, _ = api.rename(f, "home")
+    assert {r.source: r.target for r in plan.collect()} == {"pics/y.png": "pics/home__image_0001__2020-01-01__sea.png", "a/x.jpg": "a/home__image_0002__undated.jpg"}
+    formats = spark.createDataFrame([("a/x.jpg", "png"), ("pics/y.png", "png")], "path string, format string")
+    accepted = spark.createDataFrame([("png", [".png"])], "format string, extensions array<string>")
+    plan, one = api.correct_extensions(f, formats, accepted)
+    assert {r.path: r.target for r in plan.collect()} == {"a/x.jpg": "a/x.png", "pics/y.png": None} and one.first()["rows"] == 1
+
+
+def test_a_review_tree_is_weighed_before_it_is_copied(spark):
+    t = spark.createDataFrame([("a", "file", 5, "s", 1, 2), ("b", "file", 5, "s", 1, 2)], "path string, category string, size long, sha256 string, device long, inode long")
+    got = api.quarantine_plan(t, {"device": 1, "ancestry": ["1:9", "1:2"]}, {"device": 1, "ancestry": ["1:7", "1:9"], "free": 10})
+    assert got["problems"] == ["hard-links", "nested", "no-space", "same-device"] and got["manifest"]["files"] == 2 and got["required"] == (1 << 20) + 8192

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, media, planning, population, validation
+from veritree.plans import digest
+from veritree.sinks import store
 from veritree.sources import tree
 
 
@@ -78,13 +80,84 @@ def duplicate_plan(files: DataFrame, folder: str = "dups") -> DataFrame:
     return duplicates.move_plan(files.filter(~classification.in_review(F.col("path"), folder)), folder)
 
 
-def validation_report(findings: DataFrame, discovered: DataFrame) -> dict:
-    """Findings by severity and code, and files by health; files without findings are healthy."""
-    found = {(r["severity"], r["code"]): r["findings"] for r in journal.findings_rollup(findings).collect()}
-    health = {r["health"]: r["files"] for r in journal.file_health(findings).collect()}
-    clean = discovered.join(findings.select("path"), "path", "left_anti").count()
-    health["healthy"] = health.get("healthy", 0) + clean
-    return {"schema_version": 2, "findings": [{"severity": s, "code": c, "count": n} for (s, c), n in sorted(found.items())], "health": health, "status": 1 if health.get("error") else 0}
+def validation_report(entries: DataFrame, candidates: DataFrame, probes: DataFrame, profile: str = "standard", show_files: bool = False) -> dict:
+    """Health of a collection: inventory by disposition, findings by severity and code, files by health, exit status. entries: path, disposition; others as in `validation`."""
+    found = validation.file_findings(candidates, probes).unionByName(validation.entry_findings(entries)).select("path", "kind", "severity", "code")
+    rows = validation.findings_table(found).collect()  # a row for each code at most
+    by = {r["disposition"]: r["n"] for r in entries.groupBy("disposition").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = {r["kind"]: r for r in candidates.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).collect()}
+    one = validation.health(candidates, found).first()
+    out = {
+        "schema_version": 3,
+        "profile": profile,
+        "inventory": {
+            "media_files": one["media_files"], "media_bytes": sum(r["bytes"] for r in kinds.values()),
+            "pictures": kinds["picture"]["files"] if "picture" in kinds else 0, "videos": kinds["video"]["files"] if "video" in kinds else 0,
+            "other_files": by.get("other", 0) + by.get("mismatched", 0), "ignored_entry_points": by.get("ignored", 0), "symbolic_links_skipped": by.get("symlink", 0),
+            "unreadable_entries": by.get("unreadable", 0), "changed_during_discovery": by.get("changed", 0),
+        },
+        "health": {k: one[k] for k in ("files_with_errors", "files_with_warnings", "healthy_files")},
+        "findings": [{"severity": r["severity"], "code": r["code"], "count": r["count"], "description": validation.CODES[r["code"]][1]} for r in sorted(rows, key=lambda r: (r["severity"], r["code"]))],
+        "status": one["status"],
+    }
+    return out | ({"finding_files": found} if show_files else {})
+
+
+def find_image_duplicates(files: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Pictures whose displayed pixels others share, ranked; rank 1 is kept. pixels: sha256, pixel_sha256."""
+    pictures = files.filter((F.col("kind") == "picture") & ~F.col("in_review"))
+    return media.keepers(media.decoded_groups(pictures, pixels, "pixel_sha256"), "pixel_sha256")
+
+
+def find_video_duplicates(files: DataFrame, probes: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Videos that play alike, ranked; rank 1 is kept. Only files of an equal candidate key are compared."""
+    videos = files.filter((F.col("kind") == "video") & ~F.col("in_review"))
+    return media.keepers(media.playback_groups(videos, probes, fingerprints), "playback_sha256")
+
+
+def organize(files: DataFrame, home: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The plan that puts media in the folder of their kind, and its digest."""
+    plan = planning.organize_plan(files, home or {"picture": "pics", "video": "vids"})
+    return plan, digest.plan_digest(plan, F.col("source"), F.concat_ws(">", "source", "target"))
+
+
+def rename(files: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
+    """The plan of canonical names, and its digest. files: with ext, stamp and descriptor."""
+    plan = planning.rename_plan(files, collection)
+    return plan, digest.plan_digest(plan, F.col("source"), F.concat_ws(">", "source", "target"))
+
+
+def correct_extensions(files: DataFrame, formats: DataFrame, accepted: DataFrame, protected: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Decisions on every file's extension, and the digest of the renames among them."""
+    plan = planning.extension_plan(files, formats, accepted, protected)
+    moves = plan.filter("decision = 'rename'")
+    return plan, digest.plan_digest(moves, F.col("path"), F.concat_ws(">", "path", "target"))
+
+
+def warm(spark: SparkSession, path: str, files: DataFrame, namespace: tuple[str, str, str], provider: population.Provider, reuse: bool = True) -> dict:
+    """Computes and publishes evidence that a store lacks (all of it again, without reuse), and counts what was done."""
+    now = store.read(spark, path)
+    counts = population.counters(files, now, namespace, reuse).first().asDict()
+    version = store.publish(spark, path, population.populate(files, now, namespace, provider, reuse)) if counts["to_compute"] else None
+    return counts | {"version": version}
+
+
+def quarantine_plan(tree_entries: DataFrame, source: dict, destination: dict, block: int = 4096, reserve: int = 1 << 20) -> dict:
+    """Whether a review tree can be copied away: its manifest, the bytes needed, and what speaks against it.
+
+    tree_entries: path, category, size, sha256, device, inode; source and destination: device, ancestry (device:inode, leaf to root) and, for the destination, free bytes.
+    """
+    rows = tree_entries.withColumn("tree", F.lit("tree"))
+    manifest = planning.manifest(rows, "tree").drop("tree").first()
+    need = journal.capacity(rows.filter("category = 'file'"), "tree", block, reserve).first()
+    checks = {
+        "hard-links": planning.aliases(rows.filter("category = 'file'")).limit(1).count() > 0,
+        "unsafe-entries": rows.filter(~F.col("category").isin("file", "directory")).limit(1).count() > 0,
+        "same-device": source["device"] == destination["device"],
+        "nested": source["ancestry"][0] in destination["ancestry"] or destination["ancestry"][0] in source["ancestry"],
+        "no-space": need is not None and need["required"] > destination["free"],
+    }
+    return {"schema_version": 1, "manifest": manifest.asDict() if manifest else None, "required": need["required"] if need else reserve, "problems": sorted(k for k, bad in checks.items() if bad)}
 
 
 def evidence_report(store: DataFrame, observations: DataFrame, current: DataFrame) -> dict:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, SIDES, files, query, sides, table
+from veritree.functions import content
 from veritree.functions import text as names
-from veritree.operators import duplicates, inventory, media, validation
+from veritree.operators import duplicates, inventory, media, population, validation
 from veritree.operators import evidence as evidence_store
 
 
@@ -317,3 +318,37 @@ def duplicate_statistics(spark, sf_dir):
 def case_folding(spark, sf_dir):
     name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("source"), F.lit("ßς"))).otherwise(F.upper("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", duplicates.folded(name).alias("folded"))
+
+
+# -- content ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'video/mp4' WHEN 2 THEN 'video/x-matroska' WHEN 3 THEN CASE WHEN doc_id % 2 = 1 AND doc_id % 9 = 0 THEN 'video/mp4' ELSE 'text/plain' END WHEN 4 THEN 'application/octet-stream' ELSE 'unknown' END AS mime,
+  NOT (doc_id % 6 = 5 OR (doc_id % 6 = 3 AND doc_id % 9 = 0)) AS from_content, CASE WHEN doc_id % 6 = 0 THEN 'JPEG' END AS format FROM documents""")
+def detected_types(spark, sf_dir):
+    d = F.col("doc_id")
+    head = F.when(d % 6 == 0, "FFD8FFE0").when(d % 6 == 1, "000000186674797069736F6D").when(d % 6 == 2, "1A45DFA3").when(d % 6 == 3, F.hex(F.concat(F.lit("plain "), d.cast("string")))).when(d % 6 == 4, "41001F").otherwise("")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.unhex(head).alias("head"), F.when((d % 6 == 3) & (d % 9 == 0), ".mp4").otherwise(".xyz").alias("ext"))
+    kind = content.detected_type(F.col("head"), F.col("ext"), {".mp4": "video/mp4"})
+    return rows.select("doc_id", kind.alias("k"), content.picture_format(F.col("head")).alias("format")).select("doc_id", "k.*", "format")
+
+
+@query("""SELECT o_orderkey, o_orderkey || ':' || o_custkey AS state, sha256('/' || o_clerk) AS binding, NOT contains(o_clerk, '0000000') AS absolute FROM (SELECT o_orderkey, o_custkey, 'c' || o_orderkey AS o_clerk FROM orders)""")
+def state_names(spark, sf_dir):
+    path = F.concat(F.lit("/c"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", content.state_name("o_orderkey", "o_custkey").alias("state"), content.destination_binding(path).alias("binding"), content.absolute_path_ok(path).alias("absolute"))
+
+
+@query(f"""WITH {FILES}, e AS (SELECT DISTINCT sha256 FROM files WHERE sha256 < '9'), g AS (SELECT sha256, count(*) AS n FROM files GROUP BY 1)
+SELECT sum(n)::BIGINT AS discovered, count(*) AS distinct_hashes, count(*) FILTER (WHERE sha256 IN (SELECT sha256 FROM e)) AS reused, count(*) FILTER (WHERE sha256 NOT IN (SELECT sha256 FROM e)) AS to_compute FROM g""")
+def population_counters(spark, sf_dir):
+    f = files(spark, sf_dir)
+    known = f.filter("sha256 < '9'").select(F.col("sha256").alias("file_sha256"), F.lit("t").alias("evidence_type"), F.lit("v").alias("algorithm"), F.lit("r").alias("runtime")).distinct()
+    return population.counters(f, known, ("t", "v", "r"))
+
+
+@query(f"""WITH {FILES} SELECT path, sha256 AS want, CASE WHEN doc_id % 8 = 0 THEN 'x' END AS have FROM files WHERE doc_id % 8 = 0 OR doc_id % 9 = 0""")
+def rechecked_hashes(spark, sf_dir):
+    f, d = files(spark, sf_dir), F.col("doc_id")
+    fresh = f.filter((d % 9 != 0) | (d % 8 == 0)).select("path", F.when(d % 8 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return population.rechecked(f, fresh)
