@@ -42,6 +42,8 @@ K, NEED = 48, 14
 SIMILAR = 75
 #: Members of a block of a ball, and the longest list whose pairs are rows.
 BALL, SMALL_LIST = 1024, 16
+#: Partners of a document that are compared with one copy of its text.
+PARTNERS = 256
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,7 +78,8 @@ def classes(sig: DataFrame) -> DataFrame:
 def index(cls: DataFrame) -> DataFrame:
     """value, node, n: the listed values, of classes that share a value with another class."""
     postings = cls.select("node", "n", F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # written, so that the join has exchanges of its own, which Spark splits where one value has very many documents
+    shared = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     hits = postings.join(shared, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
     k = F.least(F.col("n"), F.lit(K))
     need = F.greatest(F.lit(1), F.floor(k * NEED / K))
@@ -100,21 +103,32 @@ def estimated(pairs: DataFrame, cls: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and the sizes of intersection (common) and union (total) of their full sets; texts: node, text."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """a, b and the sizes of intersection (common) and union (total) of their full sets; texts: node, text.
+
+    The partners of a document are dealt in buckets of about PARTNERS, and its own text goes to each bucket once, not to each
+    pair: a document with very many partners is no hot key, and a task holds one set beside the partner's.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("buckets"))
+    partners = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("buckets")).cast("int").alias("bucket"), "b")
+    partners = partners.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "bucket", "b", "text")
+    leaders = counts.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(None).cast("long").alias("b"), "text")
+    both = partners.unionByName(leaders).repartition("a", "bucket").sortWithinPartitions("a", "bucket", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last: tuple = ()
+        held: list[np.ndarray] = []
         for batch in batches:
-            common, total = [], []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                ta = ta.as_py()
-                if (a, ta) != last:
-                    last, held = (a, ta), shingle_set(ta)
-                other = shingle_set(tb.as_py())
-                common.append(len(np.intersect1d(held, other, assume_unique=True)))
-                total.append(len(held) + len(other) - common[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
+            rows: list[tuple[int, int, int, int]] = []
+            for a, bucket, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                own = shingle_set(text.as_py())
+                if b is None:  # the text of a, or one of them
+                    held = [*held, own] if (a, bucket) == last else [own]
+                    last = (a, bucket)
+                    continue
+                for h in held:
+                    common = len(np.intersect1d(h, own, assume_unique=True))
+                    rows.append((a, b, common, len(h) + len(own) - common))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["a", "b", "common", "total"])
 
     return both.mapInArrow(run, "a long, b long, common long, total long")
 
@@ -247,8 +261,8 @@ def _class_components(docs: DataFrame, sig: DataFrame, key: str, text: str) -> D
     texts = written(own.join(active, "node", "left_semi"), "texts")
 
     # round one: the least document of each list against the others
-    leaders = listed.groupBy("value").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.count(F.lit(1)).alias("m"))
-    with_leader = listed.join(leaders.filter("m > 1"), "value")
+    leaders = written(listed.groupBy("value").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "leaders")
+    with_leader = listed.join(leaders, "value")
     first = with_leader.filter((F.col("node") != F.col("a")) & _near_size(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b")).distinct()
     first = written(measured(estimated(first, cls), texts), "measured")
     links = _linked(first)
