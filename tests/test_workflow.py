@@ -83,3 +83,29 @@ def test_dates_and_types_from_content(spark):
     paths = spark.createDataFrame([("/a/b",), ("/",), ("a",), ("/a//b",), ("/a/..",), (None,)], "p string")
     assert [r[0] for r in paths.select(content.absolute_path_ok(F.col("p"))).collect()] == [True, True, False, False, False, False]
     assert content.runtime_name({"b": 1, "a": None}) == '{"a":null,"b":1}'
+
+
+def test_moves_are_journalled_and_undone(spark, tmp_path):
+    from veritree.operators import journal
+    from veritree.sinks import moves
+    from veritree.sources import records
+
+    root, log = tmp_path / "c", str(tmp_path / "log.jsonl")
+    (root / "in").mkdir(parents=True)
+    (root / "in" / "a").write_text("1")
+    (root / "in" / "b").write_text("2")
+    first = moves.apply([("in/a", "out/a"), ("in/b", "out/b")], log, "organize", str(root))
+    assert sorted(p.name for p in (root / "out").iterdir()) == ["a", "b"]
+    with pytest.raises(FileExistsError):
+        (root / "in" / "a").write_text("3")
+        moves.apply([("in/a", "out/a")], log, "organize", str(root))
+    (root / "in" / "a").unlink()
+    with pytest.raises(ValueError):
+        moves.apply([("../x", "out/x")], log, "organize", str(root))
+    events = records.journal(spark, log)
+    assert events.filter("problem is not null").count() == 0 and journal.event_problems(events, ("organize",)).count() == 0
+    assert {r.state for r in journal.run_records(events).collect()} == {"committed", "incomplete"}
+    moves.undo([("out/b", "in/b"), ("out/a", "in/a")], log, "organize", str(root), first)
+    runs = journal.run_records(records.journal(spark, log))
+    assert journal.undo_problems(runs).count() == 0 and (root / "in" / "a").read_text() == "1"
+    assert runs.filter("state = 'committed' and mode = 'UNDO'").first().target_run_id == first

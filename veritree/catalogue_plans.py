@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, SIDES, files, query, sides, table
 from veritree.functions import text as names
-from veritree.operators import classification, coverage, journal, planning
+from veritree.operators import classification, coverage, journal, listing, media, planning
 
 # -- the journal: a run for each order, an action for each of its lines, with defects ----------------------------------------------
 
@@ -338,3 +338,49 @@ def scalar_forms(spark, sf_dir):
         "o_orderkey", names.format_bytes(size).alias("shown"), names.container_family(F.when(k % 2 == 0, "C,b,A,a").otherwise(" B,a,b")).alias("family"), F.coalesce(names.rotation(tag), F.lit(-1)).alias("degrees"),
         names.decimal_microseconds(seconds, -1).alias("microseconds"), classification.desired_folder(kind).alias("folder"), classification.relative_path_ok(path).alias("path_ok"),
     )
+
+
+# -- listings and probes ---------------------------------------------------------------------------------------------------------------
+
+PLACED = f"""{FILES}, q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pics/' WHEN 1 THEN 'vids/' WHEN 2 THEN 'pics/deep/' ELSE 'dups/' END || doc_id || ext AS path, ext, kind, size, sha256, CASE WHEN doc_id % 15 = 0 THEN 'unreadable' WHEN doc_id % 16 = 0 THEN 'ignored' ELSE 'file' END AS category FROM files)"""
+
+
+def placed(spark, sf_dir) -> DataFrame:
+    d = F.col("doc_id")
+    at = F.when(d % 4 == 0, "pics/").when(d % 4 == 1, "vids/").when(d % 4 == 2, "pics/deep/").otherwise("dups/")
+    return files(spark, sf_dir).select("doc_id", F.concat(at, d.cast("string"), "ext").alias("path"), "ext", "kind", "size", "sha256", F.when(d % 15 == 0, "unreadable").when(d % 16 == 0, "ignored").otherwise("file").alias("category"))
+
+
+@query(f"""WITH {PLACED} SELECT path, category, 'problem' AS list FROM q WHERE category = 'unreadable' UNION ALL SELECT path, category, 'files' FROM q WHERE category = 'file' AND NOT starts_with(path, 'dups/')
+UNION ALL SELECT path, category, 'pictures' FROM q WHERE doc_id % 4 = 0 AND ext IN ('.jpg', '.png') UNION ALL SELECT path, category, 'videos' FROM q WHERE doc_id % 4 = 1 AND kind = 'video' UNION ALL SELECT path, category, 'outside' FROM q WHERE doc_id % 4 <> 3""")
+def listings(spark, sf_dir):
+    q = placed(spark, sf_dir)
+    parts = {"problem": listing.walk_problems(q), "files": listing.collection_files(q), "pictures": listing.pictures(q), "videos": listing.videos(q), "outside": listing.outside_review(q)}
+    out = None
+    for name, df in parts.items():
+        one = df.select("path", "category", F.lit(name).alias("list"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {PLACED} SELECT DISTINCT size, sha256 FROM q WHERE doc_id % 7 = 0""")
+def identities_for_paths(spark, sf_dir):
+    q = placed(spark, sf_dir)
+    lost = q.filter("doc_id % 11 = 0").select(F.concat(F.lit("gone/"), "path").alias("path"))
+    return listing.identities_of(q.filter("doc_id % 7 = 0").select("path").unionByName(lost), q)
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, 'h' || o_orderkey AS sha256 FROM orders), p AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'video-streams' WHEN k % 10 = 1 THEN 'audio-streams' WHEN k % 10 = 2 THEN 'other-streams' WHEN k % 10 = 3 THEN 'high-bit-depth' WHEN k % 10 = 4 THEN 'dimensions' WHEN k % 10 = 5 THEN 'duration' END AS problem FROM n)
+SELECT sha256, coalesce(problem, 'none') AS problem, coalesce(CASE WHEN problem IS NULL THEN CASE WHEN k % 10 = 9 THEN 480 ELSE 640 END END, -1) AS display_width, coalesce(CASE WHEN problem IS NULL THEN CASE WHEN k % 10 = 9 THEN 640 ELSE 480 END END, -1) AS display_height,
+  coalesce(CASE WHEN problem IS NULL THEN CASE WHEN k % 10 = 8 THEN 'silent' ELSE '48000 2 ' || CASE WHEN k % 10 = 7 THEN '2ch' ELSE 'stereo' END END END, '-') AS audio, coalesce(CASE WHEN problem IS NULL THEN 1500000 + k END, -1)::BIGINT AS duration_us FROM p""")
+def probe_normalisation(spark, sf_dir):
+    k = F.col("o_orderkey")
+    r = k % 10
+    video = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","pix_fmt":"'), F.when(r == 3, "yuv420p10le").otherwise("yuv420p"), F.lit('","width":'), F.when(r == 4, "0").otherwise("640"), F.lit(',"height":480'), F.when(r == 9, ',"rotation":"-90.0"').otherwise(""), F.lit("}"))
+    audio = F.concat(F.lit('{"codec_type":"audio","sample_rate":"48000","channels":2'), F.when(r == 7, "").otherwise(',"channel_layout":"stereo"'), F.lit("}"))
+    streams = F.concat_ws(",", F.when(r != 0, video), F.when(r != 8, audio), F.when(r == 1, audio), F.when(r == 2, F.lit('{"codec_type":"subtitle"}')))
+    seconds = F.when(r == 5, "N/A").otherwise(((k + 1500000) / 1000000).cast("decimal(20,6)").cast("string"))
+    json = F.concat(F.lit('{"streams":['), streams, F.lit('],"format":{"duration":"'), seconds, F.lit('"}}'))
+    out = media.normalised_probes(table(spark, sf_dir, "orders").select(F.concat(F.lit("h"), k.cast("string")).alias("sha256"), json.alias("json")))
+    heard = F.when(F.col("has_audio"), F.concat_ws(" ", F.col("audio_sample_rate").cast("string"), F.col("audio_channels").cast("string"), "audio_layout")).when(~F.col("has_audio"), "silent").otherwise("-")
+    return out.select("sha256", F.coalesce("problem", F.lit("none")).alias("problem"), F.coalesce("display_width", F.lit(-1)).alias("display_width"), F.coalesce("display_height", F.lit(-1)).alias("display_height"), heard.alias("audio"), F.coalesce("duration_us", F.lit(-1)).cast("long").alias("duration_us"))

@@ -26,6 +26,66 @@ def conflicts(evidence: DataFrame, key: str, payload: str) -> DataFrame:
     return evidence.groupBy(key).agg(F.countDistinct(F.coalesce(F.col(payload).cast("string"), F.lit("\x00"))).alias("payloads")).filter("payloads > 1")
 
 
+#: What a probe reports of a stream and its container; all that is not a number comes as text.
+PROBE = (
+    "streams array<struct<codec_type: string, codec_name: string, width: long, height: long, pix_fmt: string, bits_per_raw_sample: string, color_transfer: string, rotation: string, "
+    "duration: string, start_time: string, sample_rate: string, channels: long, channel_layout: string, disposition: struct<attached_pic: int>>>, format struct<duration: string, format_name: string, probe_score: int>"
+)
+# Transfer functions of high dynamic range, and pixel formats of over eight bits.
+HDR, DEEP = ("arib-std-b67", "smpte2084"), "(10|12|14|16|48|64)(le|be)?$"
+
+
+def normalised_probes(raw: DataFrame) -> DataFrame:
+    """A probe's JSON as the fields that decide about equal playback, or the first reason why a file is not compared. raw: sha256, json.
+
+    One video stream, one audio stream at most and nothing else, eight bits, no high dynamic range, positive size and duration; a quarter turn exchanges width and height.
+    """
+    from veritree.functions.text import decimal_microseconds, rotation
+
+    rows = raw.select("sha256", F.from_json("json", PROBE).alias("p")).select("sha256", "p.*")
+    of = lambda kind: F.filter("streams", lambda s: s["codec_type"] == kind)
+    rows = rows.withColumns({"videos": of("video"), "audios": of("audio")}).withColumns({"v": F.try_element_at("videos", F.lit(1)), "a": F.try_element_at("audios", F.lit(1))})
+    v, a = F.col("v"), F.col("a")
+    has_audio = F.size("audios") == 1
+    pixels = F.lower(F.coalesce(v["pix_fmt"], F.lit("")))
+    rate = a["sample_rate"].try_cast("int")
+    duration = F.coalesce(decimal_microseconds(v["duration"]), decimal_microseconds(F.col("format.duration")))
+    turned = rotation(F.coalesce(v["rotation"], F.lit("0")))
+    problem = (
+        F.when(F.col("streams").isNull(), "no-streams")
+        .when(F.size("videos") != 1, "video-streams")
+        .when(F.size("audios") > 1, "audio-streams")
+        .when(F.size("streams") > F.size("videos") + F.size("audios"), "other-streams")
+        .when(F.coalesce(v["disposition"]["attached_pic"], F.lit(0)) != 0, "attached-picture")
+        .when(~F.coalesce((v["width"] > 0) & (v["height"] > 0), F.lit(False)), "dimensions")
+        .when((pixels == "") | pixels.rlike(DEEP) | (F.coalesce(v["bits_per_raw_sample"].try_cast("int"), F.lit(0)) > 8) | F.lower(F.coalesce(v["color_transfer"], F.lit(""))).isin(*HDR), "high-bit-depth")
+        .when(turned.isNull(), "rotation")
+        .when(~F.coalesce(duration > 0, F.lit(False)), "duration")
+        .when(has_audio & ~F.coalesce((rate > 0) & (a["channels"] > 0), F.lit(False)), "audio")
+    )
+    sideways = turned.isin(90, 270)
+    ok = problem.isNull()
+    when = lambda c: F.when(ok, c)
+    return rows.select(
+        "sha256",
+        problem.alias("problem"),
+        when(F.when(sideways, v["height"]).otherwise(v["width"])).cast("int").alias("display_width"),
+        when(F.when(sideways, v["width"]).otherwise(v["height"])).cast("int").alias("display_height"),
+        when(has_audio).alias("has_audio"),
+        when(F.when(has_audio, rate)).alias("audio_sample_rate"),
+        when(F.when(has_audio, a["channels"])).cast("int").alias("audio_channels"),
+        when(F.when(has_audio, F.coalesce(a["channel_layout"], F.concat(a["channels"].cast("string"), F.lit("ch"))))).alias("audio_layout"),
+        when(duration).alias("duration_us"),
+        when(decimal_microseconds(v["start_time"], 0)).alias("video_start_us"),
+        when(F.when(has_audio, decimal_microseconds(a["start_time"], 0))).alias("audio_start_us"),
+    )
+
+
+def encoded(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """sha256 and a payload: the columns as a JSON object with sorted keys, nulls written out."""
+    return rows.select("sha256", F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).alias("payload_json"))
+
+
 def probe_problems(probes: DataFrame) -> DataFrame:
     """Probe rows of an impossible shape, with the first rule broken: positive dimensions, audio fields all present with audio and all absent without."""
     audio = [F.col(c).isNotNull() for c in ("audio_sample_rate", "audio_channels", "audio_layout")]
