@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import SPACE_CLASS, WORD_CHAR, words
+from veritree.llm.common import SPACE_CLASS, WORD_CHAR, words, written
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -92,6 +92,11 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
     return df.withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: rules are evaluated once, and any number of policies and ablations read only numbers."""
+    return written(ledger(docs, key, text), "ledger")
+
+
 def apply_policy(led: DataFrame, policy: str | int = "v1") -> DataFrame:
     """The ledger with `kept`: no bit of the policy's mask is set."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy

@@ -16,11 +16,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    led = quality_rules.stored(table(spark, sf_dir, "documents"))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.POLICIES["base"]).cast("long")) != 0
     return quality_rules.apply_policy(led, "v1").withColumn("base_failed", base)
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does alone, over the same ledger as op2."""
+    return quality_rules.ablation(quality_rules.stored(table(spark, sf_dir, "documents")), "v1")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"))
     model = language_id.train(docs.filter("not held_out"))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
+        "quality_ablation": quality_ablation,
         "op3_language_id": op3_language_id,
         "op4_line_dedup": op4_line_dedup,
         "op5_sharding": op5_sharding,
@@ -103,6 +109,12 @@ WITH t AS (
 SELECT *, fail_bits & 63 = 0 AS kept, fail_bits & 3 <> 0 AS base_failed FROM b
 """
 
+ABLATION_SQL = f"""
+WITH ledger AS ({QUALITY_SQL}), rules AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {1 << i}::BIGINT)" for i, (name, _) in enumerate(quality_rules.RULES) if quality_rules.POLICIES["v1"] >> i & 1)}) AS v(rule, bit))
+SELECT rule, bit, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & {quality_rules.POLICIES["v1"]} = bit) AS n_only, count(*) FILTER (WHERE kept) AS n_kept,
+  count(*) FILTER (WHERE kept OR fail_bits & {quality_rules.POLICIES["v1"]} = bit) AS n_kept_without FROM ledger, rules GROUP BY rule, bit
+"""
+
 
 LINE_SQL = r"""
 WITH d AS (
@@ -141,6 +153,7 @@ FROM t GROUP BY conv_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": QUALITY_SQL,
+        "quality_ablation": ABLATION_SQL,
         "op4_line_dedup": LINE_SQL,
         "op7_licenses": licenses.sql(),
         "op8_chat": CHAT_SQL,
