@@ -1,11 +1,12 @@
 """Language identification with error-correcting output codes.
 
 Every language has a codeword; one binary classifier per code bit, over hashed byte n-grams, predicts
-that bit, and loss-weighted decoding picks the codeword with the least total logistic loss. With k <= 5
+that bit, and loss-weighted decoding picks the codeword with the least total logistic loss, each bit of a codeword weighted by how
+often its classifier was right on that language's training rows. With k <= 5
 languages the code is exhaustive (2^(k-1)-1 bits), beyond that the best of many random dense codes.
 
-Training: a bounded sample of labelled rows, `per_language` rows expected of each language, chosen by a
-hash of doc_id and text with a rate from exact counts; at most twice that many rows in all are fetched
+Training: a bounded sample of labelled rows, the distinct texts of `per_language` rows expected of each language, chosen by a
+hash of the text with a rate from exact counts; at most twice that many in all are fetched, those of least hash
 (documented bound: languages x per_language x 2 feature rows of a few kB). Every text is used whole, in
 training and prediction, and every row is predicted.
 
