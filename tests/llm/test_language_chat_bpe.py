@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -27,6 +28,69 @@ def test_held_out_accuracy(spark):
     assert out.score.between(0, 1).all()
 
 
+def plain_features(data):
+    """The features by loops over bytes, n-gram by n-gram."""
+    low = lambda c: c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32
+    b = [low(c) for c in b" " + data + b" "]
+    total = [0] * language_id.DIMS
+    cut = lambda x: x & 0xFFFFFFFF
+    for i, x in enumerate(b):
+        grams = [cut(x * 2654435761)]
+        if i + 1 < len(b):
+            two = cut(x * 257 + b[i + 1])
+            grams.append(cut(two * 2246822519))
+            if i + 2 < len(b):
+                grams.append(cut(cut(two * 65599 + b[i + 2] * 31) * 3266489917))
+        for g in grams:
+            total[g >> 21] += 1
+    norm = math.sqrt(sum(total))
+    return [math.sqrt(t) / norm for t in total]
+
+
+def plain_decode(model, x):
+    """The language, score and margin by loops over codewords and bits."""
+    f = [sum(a * w for a, w in zip(x, model.weights[:, j])) + model.bias[j] for j in range(len(model.bias))]
+    losses = [sum(s * math.log1p(math.exp(-c * y)) for s, c, y in zip(sure, code, f)) for sure, code in zip(model.sure, model.codes)]
+    shares = [math.exp(min(losses) - x) for x in losses]
+    ranked = sorted((s / sum(shares) for s in shares), reverse=True)
+    return model.languages[losses.index(min(losses))], ranked[0], ranked[0] - ranked[1]
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs.filter("doc_id % 2 = 0"))
+    rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)][:60]
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in rows:
+        x = plain_features(r.text.encode())
+        assert max(abs(a - b) for a, b in zip(x, language_id.features(r.text.encode()))) < 1e-5
+        lang, score, margin = plain_decode(model, x)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-3
+        assert abs(margin - model.margin) < 1e-3 or got[r.doc_id].ambiguous == (margin < model.margin)
+
+
+def test_training_descends_to_the_same_loss_as_plain_descent():
+    r = np.random.default_rng(3)
+    y = np.arange(90) % 3
+    x = np.abs(r.standard_normal((90, 12)) + 2 * np.eye(3)[y].repeat(4, 1)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language_id.fit(x, y, ["a", "b", "c"], rounds=400)
+    assert (model.predict(x)[0] == y).mean() > 0.9 and np.allclose(model.sure.mean(1), 1)
+    for j in range(model.codes.shape[1]):
+        t = model.codes[y, j]
+        loss = lambda w, b: float(np.logaddexp(0, -t * (x @ w + b)).mean())
+        w, b = np.zeros(12), 0.0
+        for _ in range(20000):
+            g = -t / (1 + np.exp(t * (x @ w + b))) / 90
+            w, b = w - 2.0 * (x.T @ g), b - 0.2 * g.sum()
+        assert loss(model.weights[:, j], model.bias[j]) < loss(w, b) + 0.05 < loss(np.zeros(12), 0.0)
+
+
+def test_a_loop_over_nothing_is_an_error_of_the_template():
+    with pytest.raises(chat.TemplateError):
+        chat.render("{% for x in missing %}a{% endfor %}", [])
+
+
 def test_language_of_odd_rows(spark):
     df = odd_documents(spark)
     got = language_id.identify(df, language_id.train(df)).toPandas()

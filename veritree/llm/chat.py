@@ -391,7 +391,10 @@ def _statement(node) -> Callable[[dict, Sink, bool], None]:
 
         def loop(ctx, out, on, var=node.var):
             own = dict(ctx)
-            for i, own[var] in enumerate(over(ctx)):
+            items = over(ctx)
+            if not hasattr(items, "__iter__"):
+                raise TemplateError(f"for {var} in something that is no list")
+            for i, own[var] in enumerate(items):
                 own["loop"] = {"index0": i, "first": i == 0}
                 inner(own, out, on)
 
