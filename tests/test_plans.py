@@ -165,3 +165,23 @@ def test_two_writers_of_one_version(spark, tmp_path):
         store.publish(spark, at, rows)
     old = spark.createDataFrame([("b" * 64, 3, None)], "file_sha256 string, width int, height int")
     assert [r.payload_json for r in store.legacy_records(old, "probe", "v0", "r", ("width", "height")).collect()] == ['{"height":null,"width":3}']
+
+
+def test_replay_equals_a_loop(spark):
+    from veritree.operators import transitions
+
+    r = random.Random(6)
+    names = "abcdef"
+    entries = [(run, p) for run in range(60) for p in r.sample(names, 4)]
+    actions = [(run, k, r.choice(names), r.choice(names)) for run in range(60) for k in range(r.randrange(1, 7))]
+    want = set()
+    for run in range(60):
+        now = {p for i, p in entries if i == run}
+        for _, k, a, b in sorted(x for x in actions if x[0] == run):
+            problem = "missing" if a not in now else "occupied" if b in now and a != b else None
+            if problem:
+                want.add((run, k, problem))
+                break
+            now = now - {a} | {b}
+    got = transitions.simulate(spark.createDataFrame(actions, "run_id int, seq int, before string, after string"), spark.createDataFrame(entries, "run_id int, path string"))
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 20

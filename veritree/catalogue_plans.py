@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, SIDES, files, query, sides, table
 from veritree.functions import text as names
-from veritree.operators import classification, coverage, journal, listing, media, planning
+from veritree.operators import classification, coverage, journal, listing, media, planning, transitions
 
 # -- the journal: a run for each order, an action for each of its lines, with defects ----------------------------------------------
 
@@ -120,6 +120,20 @@ def action_problems(spark, sf_dir):
     return journal.action_problems(rows, {"click": ("before",), "view": ("before", "after"), "purchase": ("before",)})
 
 
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS seq, 'p' || (l_partkey % 6) AS before, 'p' || (l_suppkey % 6) AS after FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1),
+e AS (SELECT run_id, seq, before AS path, 0 AS step FROM a UNION ALL SELECT run_id, seq, after, 1 FROM a),
+o AS (SELECT *, CASE WHEN path IN ('p0', 'p2', 'p3', 'p5') THEN 1 ELSE 0 END + coalesce(sum(2 * step - 1) OVER (PARTITION BY run_id, path ORDER BY seq, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM e),
+p AS (SELECT run_id, seq, step, CASE WHEN step = 0 AND taken < 1 THEN 'missing' WHEN step = 1 AND taken > 0 THEN 'occupied' END AS problem FROM o)
+SELECT run_id, seq::BIGINT AS seq, problem FROM p WHERE problem IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq, step) = 1""")
+def replay_problems(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    first = li.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x"))
+    at = lambda c: F.concat(F.lit("p"), (F.col(c) % 6).cast("string"))
+    actions = first.select("run_id", "seq", at("x.l_partkey").alias("before"), at("x.l_suppkey").alias("after"))
+    entries = actions.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(p) for p in ("p0", "p2", "p3", "p5")])).alias("path"))
+    return transitions.simulate(actions, entries)
+
+
 # -- queues and workflows: a job for each customer, an attempt for each order -------------------------------------------------------
 
 JOBS = """att AS (SELECT o_custkey AS job, o_orderkey AS ordinal, o_orderkey % 4 AS stage, CASE WHEN o_totalprice < 60000 THEN 1 ELSE 0 END AS status FROM orders),

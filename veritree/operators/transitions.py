@@ -79,20 +79,18 @@ def outcome_problems(outcomes: DataFrame) -> DataFrame:
 
 
 def simulate(actions: DataFrame, entries: DataFrame, order: str = "seq") -> DataFrame:
-    """Sequential replay of renames over path -> kind, one run at a time: the first action of each run that finds its source gone or its target taken.
+    """Sequential replay of renames, one run at a time: the first action of each run that finds its source gone or its target taken.
 
-    actions: run_id, seq, before, after; entries: run_id, path.
+    actions: run_id, seq, before, after; entries: run_id, path. Whether a path is taken before an action is what it held at first plus what came less
+    what went, a running sum over that path's own events; it holds up to the first problem of a run, which is all that is reported. So no task replays a run.
     """
-    import pandas as pd
-
-    def replay(key, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        paths = set(held["path"])
-        for r in rows.sort_values(order).itertuples(index=False):
-            problem = "missing" if r.before not in paths else "occupied" if r.after in paths and r.after != r.before else None
-            if problem:
-                return pd.DataFrame([(key[0], getattr(r, order), problem)], columns=["run_id", "seq", "problem"])
-            paths.discard(r.before)
-            paths.add(r.after)
-        return pd.DataFrame([], columns=["run_id", "seq", "problem"])
-
-    return actions.groupBy("run_id").cogroup(entries.groupBy("run_id")).applyInPandas(replay, f"run_id {actions.schema['run_id'].dataType.simpleString()}, seq long, problem string")
+    went = actions.select("run_id", F.col(order).alias("seq"), F.col("before").alias("path"), F.lit(0).alias("step"))
+    came = actions.select("run_id", F.col(order).alias("seq"), F.col("after").alias("path"), F.lit(1).alias("step"))
+    held = entries.select("run_id", "path").distinct().withColumn("held", F.lit(1))
+    events = went.unionByName(came).join(held, ["run_id", "path"], "left")
+    w = Window.partitionBy("run_id", "path").orderBy("seq", "step").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce("held", F.lit(0)) + F.coalesce(F.sum(2 * F.col("step") - 1).over(w), F.lit(0))
+    marked = events.withColumn("taken", taken)
+    problem = F.when((F.col("step") == 0) & (F.col("taken") < 1), "missing").when((F.col("step") == 1) & (F.col("taken") > 0), "occupied")
+    first = marked.withColumn("problem", problem).filter("problem is not null").groupBy("run_id").agg(F.min(F.struct("seq", "step", "problem")).alias("p"))
+    return first.select("run_id", F.col("p.seq").cast("long").alias("seq"), "p.problem")
