@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, SIDES, files, query, sides, table
 from veritree.functions import text as names
-from veritree.operators import classification, coverage, journal, listing, media, planning, transitions
+from veritree.operators import classification, coverage, journal, listing, media, planning, policy, transitions
 
 # -- the journal: a run for each order, an action for each of its lines, with defects ----------------------------------------------
 
@@ -134,6 +134,23 @@ def replay_problems(spark, sf_dir):
     return transitions.simulate(actions, entries)
 
 
+@query("""WITH o AS (SELECT o_custkey AS run, count(*) AS streams, count(*) FILTER (WHERE o_orderstatus = 'F') AS un, count(*) FILTER (WHERE o_totalprice > 100000) AS ufiles FROM orders GROUP BY 1),
+v AS (SELECT *, CASE WHEN un > 0 THEN 'incomplete' WHEN run % 13 = 0 THEN 'fine' ELSE 'complete' END AS verdict, CASE WHEN un > 0 AND run % 5 <> 0 THEN 1 WHEN run % 8 = 0 THEN 1 ELSE 0 END AS status, (un > 0 AND run % 3 <> 0) OR run % 10 = 1 AS reasons FROM o),
+p AS (SELECT run, CASE WHEN verdict = 'fine' THEN 'verdict' WHEN run % 6 = 0 THEN 'streams-sum' WHEN run % 7 = 0 THEN 'files-sum' WHEN verdict = 'complete' AND reasons THEN 'complete' WHEN verdict <> 'complete' AND NOT reasons THEN 'no-reason' WHEN (verdict = 'complete') <> (status = 0) THEN 'status' END AS problem FROM v)
+SELECT * FROM p WHERE problem IS NOT NULL""")
+def verdict_problems(spark, sf_dir):
+    n = lambda c: F.count(F.when(c, 1))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count(F.lit(1)).alias("streams"), n(F.col("o_orderstatus") == "F").alias("un"), n(F.col("o_totalprice") > 100000).alias("ufiles"))
+    r, un = F.col("run"), F.col("un")
+    rows = o.select(
+        "run", F.when(un > 0, "incomplete").when(r % 13 == 0, "fine").otherwise("complete").alias("verdict"), F.when((un > 0) & (r % 5 != 0), 1).when(r % 8 == 0, 1).otherwise(0).alias("status"),
+        F.when(((un > 0) & (r % 3 != 0)) | (r % 10 == 1), F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("reasons"),
+        "streams", (F.col("streams") - un + F.when(r % 6 == 0, 1).otherwise(0)).alias("accounted_streams"), un.alias("unaccounted_streams"),
+        F.col("streams").alias("files"), (F.col("streams") - F.col("ufiles") - F.when(r % 7 == 0, 1).otherwise(0)).alias("accounted_files"), F.col("ufiles").alias("unaccounted_files"),
+    )
+    return transitions.verdict_problems(rows)
+
+
 # -- queues and workflows: a job for each customer, an attempt for each order -------------------------------------------------------
 
 JOBS = """att AS (SELECT o_custkey AS job, o_orderkey AS ordinal, o_orderkey % 4 AS stage, CASE WHEN o_totalprice < 60000 THEN 1 ELSE 0 END AS status FROM orders),
@@ -398,3 +415,58 @@ def probe_normalisation(spark, sf_dir):
     out = media.normalised_probes(table(spark, sf_dir, "orders").select(F.concat(F.lit("h"), k.cast("string")).alias("sha256"), json.alias("json")))
     heard = F.when(F.col("has_audio"), F.concat_ws(" ", F.col("audio_sample_rate").cast("string"), F.col("audio_channels").cast("string"), "audio_layout")).when(~F.col("has_audio"), "silent").otherwise("-")
     return out.select("sha256", F.coalesce("problem", F.lit("none")).alias("problem"), F.coalesce("display_width", F.lit(-1)).alias("display_width"), F.coalesce("display_height", F.lit(-1)).alias("display_height"), heard.alias("audio"), F.coalesce("duration_us", F.lit(-1)).cast("long").alias("duration_us"))
+
+
+# -- policies: a job for each customer ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey AS job, CASE WHEN c_custkey % 5 = 0 THEN 'no-policy' WHEN c_custkey % 7 = 0 THEN 'bytes' ELSE 'candidate' END AS problem FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0""")
+def receipt_problems(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("job"), F.concat(F.lit("policy of "), k.cast("string")).alias("text"))
+    receipts = c.select("job", F.sha2(F.when(F.col("job") % 7 == 0, "other").otherwise(F.col("text")), 256).alias("policy_sha256"), F.when(F.col("job") % 11 != 0, "c").alias("candidate"))
+    return policy.receipt_problems(receipts, c.filter("job % 5 <> 0").select("job", F.col("text").cast("binary").alias("content"), F.lit("c").alias("candidate")))
+
+
+@query("""SELECT o_orderkey AS run, CASE WHEN o_orderkey % 6 = 0 THEN 'unbound' WHEN o_orderkey % 4 = 0 THEN 'profile' ELSE 'stage' END AS problem FROM orders WHERE o_orderkey % 6 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 9 = 0""")
+def binding_problems(spark, sf_dir):
+    r = F.col("run")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("profile"), F.lit(None).cast("int").alias("stage"))
+    bound = runs.filter(r % 6 != 0).withColumns({"profile": F.when(r % 4 == 0, "x").otherwise(F.col("profile")), "stage": F.when(r % 9 == 0, 1)})
+    return policy.binding_problems(bound, runs, ("profile", "stage"))
+
+
+@query("""WITH j AS (SELECT n_nationkey AS ordinal, 'r' || (n_nationkey % 10) AS source, 'r' || (n_nationkey + 100) AS working, n_nationkey % 2 = 0 AS two FROM nation)
+SELECT ordinal, CASE WHEN ordinal % 10 = 9 THEN 'root' WHEN ordinal % 10 = 0 THEN 'nested' WHEN two AND ordinal % 3 = 0 THEN 'device' ELSE 'repeated' END AS problem FROM j WHERE ordinal % 10 IN (9, 0) OR (two AND ordinal % 3 = 0) OR ordinal >= 10""")
+def queue_job_problems(spark, sf_dir):
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation")
+    name = lambda c: F.concat(F.lit("r"), c.cast("string"))
+    jobs_ = n.select(k.alias("ordinal"), name(k % 10).alias("source"), name(k + 100).alias("working"), (k % 2 == 0).alias("two_devices"))
+    # source roots 0 to 8 stand on device 0, working roots on device 0 for every third job; those of jobs 0, 10, 20 lie in their source's root
+    sources = n.select((k % 10).alias("s")).distinct().filter("s < 9").select(name(F.col("s")).alias("path"), F.lit(0).alias("device"), F.array(name(F.col("s")), F.lit("top")).alias("ancestry"))
+    working = n.select(name(k + 100).alias("path"), F.when(k % 3 == 0, 0).otherwise(1).alias("device"), F.array(name(k + 100), F.when(k % 10 == 0, "r0").otherwise("elsewhere")).alias("ancestry"))
+    return policy.job_problems(jobs_, sources.unionByName(working))
+
+
+@query("SELECT o_custkey AS job, max(o_orderkey) AS ordinal, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1 HAVING arg_max(o_orderstatus, o_orderkey) = 'F'")
+def last_meeting(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderstatus").alias("status"))
+    return policy.last_meeting(o, "job", "status = 'F'")
+
+
+@query(f"""WITH {FILES}, w AS (SELECT source AS job, path AS name, sha256 AS want FROM files WHERE doc_id % 12 <> 0), h AS (SELECT source AS job, path AS name, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256 END AS have FROM files WHERE doc_id % 7 <> 0)
+SELECT job, name, CASE WHEN have IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' ELSE 'changed' END AS problem FROM w FULL JOIN h USING (job, name) WHERE have IS NULL OR want IS NULL OR have <> want""")
+def artifact_problems(spark, sf_dir):
+    f, d = files(spark, sf_dir), F.col("doc_id")
+    rows = f.select("doc_id", F.col("source").alias("job"), F.col("path").alias("name"), "sha256")
+    found = rows.filter(d % 7 != 0).withColumn("sha256", F.when(d % 10 == 0, "x").otherwise(F.col("sha256")))
+    return policy.artifact_problems(rows.filter(d % 12 != 0), found)
+
+
+@query("""SELECT o_orderkey AS job, CASE WHEN o_orderkey % 3 = 0 THEN 'status' WHEN o_orderkey % 4 = 0 THEN 'verdict' WHEN o_orderkey % 5 = 0 THEN 'reasons' WHEN o_orderkey % 7 = 0 THEN 'unaccounted' ELSE 'unsupported' END AS problem
+FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""")
+def signoff_problems(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("job"), F.when(k % 3 == 0, 1).otherwise(0).alias("status"), F.when(k % 4 == 0, "unproven").otherwise("complete").alias("verdict"), F.when(k % 5 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.when(k % 7 == 0, 1).otherwise(0).alias("unaccounted"), F.when(k % 11 == 0, 1).otherwise(0).alias("unsupported"))
+    return policy.signoff_problems(rows)

@@ -78,6 +78,22 @@ def outcome_problems(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("run", problem.alias("problem")).filter("problem is not null")
 
 
+def verdict_problems(outcomes: DataFrame) -> DataFrame:
+    """Preservation outcomes that contradict themselves, with the first rule broken: what is accounted for and what is not add up, for contents and for files; a complete verdict has no reasons and leaves
+    nothing out; status 0 and a complete verdict go together. Columns: run, verdict, status, reasons (array), and streams, accounted_streams, unaccounted_streams, files, accounted_files, unaccounted_files."""
+    c = F.col
+    complete = c("verdict") == "complete"
+    problem = (
+        F.when(~c("verdict").isin("complete", "incomplete", "unproven"), "verdict")
+        .when(c("accounted_streams") + c("unaccounted_streams") != c("streams"), "streams-sum")
+        .when(c("accounted_files") + c("unaccounted_files") != c("files"), "files-sum")
+        .when(complete & ((F.size("reasons") > 0) | (c("unaccounted_streams") > 0)), "complete")
+        .when(~complete & (F.size("reasons") == 0), "no-reason")
+        .when(complete != (c("status") == 0), "status")
+    )
+    return outcomes.select("run", problem.alias("problem")).filter("problem is not null")
+
+
 def simulate(actions: DataFrame, entries: DataFrame, order: str = "seq") -> DataFrame:
     """Sequential replay of renames, one run at a time: the first action of each run that finds its source gone or its target taken.
 
