@@ -185,3 +185,25 @@ def test_replay_equals_a_loop(spark):
             now = now - {a} | {b}
     got = transitions.simulate(spark.createDataFrame(actions, "run_id int, seq int, before string, after string"), spark.createDataFrame(entries, "run_id int, path string"))
     assert {tuple(x) for x in got.collect()} == want and len(want) > 20
+
+
+def test_small_predicates(spark, tmp_path):
+    from veritree.operators import listing
+
+    f = spark.createDataFrame([("a", "video", 0), ("b", "picture", 5)], "path string, kind string, size long")
+    assert not listing.needs_decoding(f) and listing.needs_decoding(f.withColumn("size", F.lit(1)))
+    rows = spark.createDataFrame([("empty_file", "secret")], "code string, detail string")
+    assert [tuple(r) for r in listing.chosen(rows, ("code",), ("empty_file",)).collect()] == [("empty_file",)]
+    with pytest.raises(Exception, match="may not be shown"):
+        listing.chosen(rows, ("code",), ("other",)).collect()
+    pairs = spark.createDataFrame([(None, 1), (1, 1), (2, 1), (2, None)], "e int, o int")
+    assert [r[0] for r in pairs.select(listing.expected_or_any(F.col("e"), F.col("o"))).collect()] == [True, True, False, False]
+    assert listing.all_of((".a", ".b"), (".b", ".c")) == (".a", ".b", ".c")
+    real = os.path.realpath(tmp_path)
+    (tmp_path / "d").mkdir()
+    os.symlink(tmp_path / "d", tmp_path / "l")
+    up = listing.ancestry(os.path.join(real, "d"))
+    assert up[1:] == listing.ancestry(real) and len(up) == len(set(up)) == len(os.path.join(real, "d").split("/"))
+    for bad in (os.path.join(real, "l"), "d", real + "/../x"):
+        with pytest.raises(ValueError):
+            listing.ancestry(bad)
