@@ -59,9 +59,10 @@ def near_copies(seed, groups_=6, size=18, length=60):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("ball,small", [(1024, 16), (5, 3)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, ball, small):
+@pytest.mark.parametrize("ball,most,small", [(1024, 1 << 16, 16), (5, 1 << 16, 3), (6, 4, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, ball, most, small):
     monkeypatch.setattr(minhash, "BALL", ball)
+    monkeypatch.setattr(minhash, "MOST_BALL", most)
     monkeypatch.setattr(minhash, "SMALL_LIST", small)
     rows = near_copies(ball)
     got = {x.doc_id: x for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -40,8 +40,8 @@ from veritree.llm.wordhash import shingle_set
 K, NEED = 48, 14
 #: 100 * intersection >= SIMILAR * union
 SIMILAR = 75
-#: Members of a block of a ball, and the longest list whose pairs are rows.
-BALL, SMALL_LIST = 1024, 16
+#: Members of a block of a ball, members of a ball that is compared in blocks, and the longest list whose pairs are rows.
+BALL, MOST_BALL, SMALL_LIST = 1024, 1 << 16, 16
 #: Partners of a document that are compared with one copy of its text.
 PARTNERS = 256
 
@@ -228,10 +228,17 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(listed: DataFrame) -> DataFrame:
-    """Pairs of a list in different components, without a common ball, and of similar size; listed: value, node, n, c, home."""
-    left, right = listed.alias("l"), listed.alias("r")
-    both = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c")) & (F.col("l.home") != F.col("r.home")) & _near_size(F.col("l.n"), F.col("r.n")))
-    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    """Pairs of a list in different components, without a common ball, and of similar size; listed: value, node, n, c, home.
+
+    Members outside a list's largest component meet all others, so a list that is one group of copies but for a few is linear.
+    """
+    sizes = listed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = written(sizes.groupBy("value").agg(F.max(F.struct("k", "c"))["c"].alias("big")), "largest")
+    tagged = listed.join(largest, "value")
+    left, right = tagged.filter("c <> big").alias("l"), tagged.alias("r")
+    once = (F.col("r.c") == F.col("r.big")) | (F.col("l.node") < F.col("r.node"))
+    both = left.join(right, (F.col("l.value") == F.col("r.value")) & once & (F.col("l.c") != F.col("r.c")) & (F.col("l.home") != F.col("r.home")) & _near_size(F.col("l.n"), F.col("r.n")))
+    return both.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def id_links(sig: DataFrame, cls: DataFrame) -> DataFrame:
@@ -271,13 +278,17 @@ def _class_components(docs: DataFrame, sig: DataFrame, key: str, text: str) -> D
     # round two: across components; balls of documents that share half their shingles with a leader are compared as blocks
     ball = _linked(first, 50).groupBy("b").agg(F.min("a").alias("home")).withColumnRenamed("b", "node")
     ball = ball.unionByName(ball.select(F.col("home").alias("node"), "home").distinct()).groupBy("node").agg(F.min("home").alias("home"))
+    # blocks of a ball are squared in number: very large balls go the way of the lists instead
+    large = written(ball.groupBy("home").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MOST_BALL).select("home"), "large")
+    ball = ball.join(large, "home", "left_anti")
     nodes = written(active.join(comp, "node", "left").join(ball, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "home"), "nodes")
     within = ball_links(nodes.filter("home is not null"), texts)
 
     # and the rest of each list: small lists pair by pair, large ones by their documents' rarest shingles
     placed = with_leader.filter("node <> a and m > 2").select("value", "node", "n").join(nodes, "node").withColumn("home", F.coalesce("home", -F.col("node") - 1))
     mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.count(F.lit(1)).alias("m")).filter("lo < hi and h0 < h1")
-    placed = written(placed.join(mixed.select("value", "m"), "value"), "placed")
+    mixed = written(mixed.select("value", "m"), "mixed")
+    placed = written(placed.join(mixed, "value"), "placed")
     few = estimated(_across(placed.filter(F.col("m") <= SMALL_LIST)), cls)
     many = rare_pairs(placed.filter(F.col("m") > SMALL_LIST).select("node", "n", "c", "home").distinct(), texts)
     more = _linked(measured(few.unionByName(many).distinct(), texts))
