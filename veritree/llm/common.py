@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text):
     """array<string> of the words of a text column; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows, which end where the last column's texts pass `size` bytes."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0), np.int64)
+    part = np.cumsum(sizes) // size
+    at = 0
+    while at < batch.num_rows:
+        end = min(at + rows, int(np.searchsorted(part, part[at], "right")))
+        yield batch.slice(at, end - at)
+        at = end
