@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import bpe, chat, decontamination, language_id, licenses, line_dedup, minhash, quality_rules, runs, sharding, suffix_dedup
+from veritree.llm import bpe, chat, decontamination, language_id, licenses, line_dedup, minhash, quality_rules, repair, runs, sharding, suffix_dedup
 from veritree.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summary(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash": op10_minhash,
+        "op11_repair": op11_repair,
         "op13_runs": op13_runs,
     }
 
