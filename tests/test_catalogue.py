@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veritree import catalogue
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     return float(x) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
 
