@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.llm import bpe, chat, decontamination, language_id, licenses, line_dedup, minhash, quality_rules, repair, runs, sharding, suffix_dedup
+from veritree.llm import bpe, chat, decontamination, language_id, licenses, line_dedup, minhash, quality_rules, repair, runs, sharding, suffix_dedup, warc
 from veritree.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summary(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash": op10_minhash,
         "op11_repair": op11_repair,
+        "op12_warc": op12_warc,
         "op13_runs": op13_runs,
     }
 
@@ -160,6 +165,20 @@ FROM t GROUP BY conv_id
 """
 
 
+#: Base32 digits are read from the hexadecimal digest, five of these for four of those.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), r AS (
+  SELECT *, sha1(html) AS h, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY html) AS first_page FROM p
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_page END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": QUALITY_SQL,
@@ -167,4 +186,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": LINE_SQL,
         "op7_licenses": licenses.sql(),
         "op8_chat": CHAT_SQL,
+        "op12_warc": WARC_SQL,
     }
