@@ -165,6 +165,54 @@ FROM t GROUP BY conv_id
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a text of ASCII characters, bit by bit."""
+    first = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    byte = "list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda z: 0::BIGINT)), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    return f"xor(list_reduce({first}, lambda crc, byte: {byte}), 4294967295::BIGINT)"
+
+
+#: From each pattern state, the cheapest edits (then the ASCII-least) up to each turn; an insertion is one of `filled`.
+REPAIR_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), h AS (
+  SELECT *, __CRC__ % 20 AS h FROM c
+), d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) WHERE h <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x09-\x0D\x20]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x09-\x0D\x20]*$') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n
+), arcs(q, initial, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), filled(q, letters, t, lines) AS (VALUES (0, '', 0, []::VARCHAR[]), (1, '', 1, []), (2, '', 2, []), (3, '', 3, []), (0, 'I', 2, ['user:']), (1, 'I', 2, ['user:']), (3, 'I', 2, ['user:']), (2, 'I', 3, ['assistant:']),
+  (0, 'II', 3, ['user:', 'assistant:']), (1, 'II', 3, ['user:', 'assistant:'])
+), s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT s.conv_id, f.i, o.t AS q, s.cost + 3 * length(g.letters) + o.cost AS cost, s.audit || g.letters || o.letter AS audit, s.lines || g.lines || o.lines AS lines
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN filled g ON g.q = s.q,
+    LATERAL (
+      SELECT 'D' AS letter, g.t AS t, 4 AS cost, []::VARCHAR[] AS lines
+      UNION ALL SELECT 'K', a.t, CASE f.fault WHEN 'truncated' THEN 3 ELSE 0 END, [f.role || ':' || f.text] FROM arcs a WHERE a.q = g.t AND a.initial = f.initial AND f.fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT 'R', a.t, CASE f.fault WHEN 'truncated' THEN 6 ELSE 3 END, [CASE a.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] FROM arcs a WHERE a.q = g.t AND a.initial <> 's' AND f.fault NOT IN ('blank', 'duplicate')
+    ) o
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1
+), e AS (
+  SELECT s.conv_id, s.cost + 3 * length(g.letters) AS cost, s.audit || g.letters AS audit, s.lines || g.lines AS lines FROM s JOIN filled g ON g.q = s.q
+  WHERE g.t IN (0, 3) AND s.i = (SELECT count(*) FROM f WHERE f.conv_id IS NOT DISTINCT FROM s.conv_id) QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.cost + 3 * length(g.letters), s.audit || g.letters) = 1
+), w AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  cost::BIGINT AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+""".replace("__CRC__", _crc32("key"))
+
 #: Base32 digits are read from the hexadecimal digest, five of these for four of those.
 WARC_SQL = """
 WITH p AS (
@@ -179,6 +227,38 @@ FROM r
 """
 
 
+#: A run holds a window of six words and its copy one period on; such pairs make islands by text and distance.
+RUNS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w,
+    __CRC__ AS h FROM documents
+), g AS (
+  SELECT id, doc_id, w, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0 AND len(w) > 0 AND doc_id IS NOT NULL, false) AS made FROM d
+), p AS (
+  SELECT *, CASE WHEN made THEN g % n END AS a, CASE WHEN made THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+), t AS (
+  SELECT id, doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p
+), k AS (
+  SELECT id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] || ' ' || w[i + 5] || ' ' || w[i + 6] AS k FROM (SELECT id, w, unnest(range(n - 5)) AS i FROM t WHERE n >= 12)
+), e AS (
+  SELECT x.id, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.id = y.id AND x.k = y.k AND x.i < y.i
+), s AS (
+  SELECT id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM e) GROUP BY id, q, island
+), r AS (
+  SELECT id, start, length, min(q) AS q FROM s WHERE length >= greatest(12, 2 * q) GROUP BY id, start, length
+), b AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines, min(struct_pack(l := -length, s := start, q := q)) AS best FROM r GROUP BY id
+), x AS (
+  SELECT id, list_distinct(flatten(list(range(start + q, start + length)))) AS gone FROM r GROUP BY id
+), z AS (
+  SELECT t.id, coalesce(string_agg(t.w[u.i + 1], ' ' ORDER BY u.i), '') AS kept FROM t JOIN x ON t.id = x.id, LATERAL (SELECT unnest(range(t.n)) AS i EXCEPT SELECT unnest(x.gone)) u GROUP BY t.id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s::BIGINT AS start, (-best.l)::BIGINT AS length, best.q::BIGINT AS period, (-1000 * best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(z.kept, array_to_string(t.w, ' '))) AS collapsed_sha256
+FROM t LEFT JOIN b ON t.id = b.id LEFT JOIN z ON t.id = z.id
+""".replace("__CRC__", _crc32("coalesce(doc_id::VARCHAR, '0')"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": QUALITY_SQL,
@@ -186,5 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": LINE_SQL,
         "op7_licenses": licenses.sql(),
         "op8_chat": CHAT_SQL,
+        "op11_repair": REPAIR_SQL,
         "op12_warc": WARC_SQL,
+        "op13_runs": RUNS_SQL,
     }
