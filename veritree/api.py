@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, media, planning, population, validation
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, media, merkle, planning, population, validation
 from veritree.plans import digest
 from veritree.sinks import store
 from veritree.sources import tree
@@ -148,7 +148,7 @@ def quarantine_plan(tree_entries: DataFrame, source: dict, destination: dict, bl
     tree_entries: path, category, size, sha256, device, inode; source and destination: device, ancestry (device:inode, leaf to root) and, for the destination, free bytes.
     """
     rows = tree_entries.withColumn("tree", F.lit("tree"))
-    manifest = planning.manifest(rows, "tree").drop("tree").first()
+    manifest = merkle.manifests(merkle.tree(rows)).drop("tree").first()
     need = journal.capacity(rows.filter("category = 'file'"), "tree", block, reserve).first()
     checks = {
         "hard-links": planning.aliases(rows.filter("category = 'file'")).limit(1).count() > 0,

@@ -534,4 +534,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from veritree import catalogue_media, catalogue_plans  # noqa: E402, F401  (they register their queries)
+from veritree import catalogue_media, catalogue_plans, catalogue_trees  # noqa: E402, F401  (they register their queries)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritree.plans.ordering import numbered
+from veritree.plans.gaps import free_numbers
+from veritree.plans.ordering import numbered, running
+from veritree.plans.shared import scratch, written
 
 
+@functools.cache
 def _special() -> tuple[str, str, dict[str, str]]:
     """Where Python's case folding differs from lower case: characters that become one other, and those that become several."""
     one, several = {}, {}
@@ -60,30 +64,60 @@ def group_numbers(groups: DataFrame, order: str) -> DataFrame:
     return numbered(groups, [F.col(order)], name="group_no").withColumn("group_no", F.col("group_no").cast("int"))
 
 
-def numbered_targets(plan: DataFrame, family: str, name: str, ext: str, occupied: DataFrame) -> DataFrame:
-    """The first free `name (n).ext` of each planned row, in order of source; families, which alone can collide, are folded one by one.
+def numbered_targets(plan: DataFrame, occupied: DataFrame) -> DataFrame:
+    """The first free `name (n).ext` of each planned row, in order of source: source, target.
 
-    plan: source, family, name, ext columns; occupied: family and the taken target.
+    plan: source, name (with its folder) and ext; occupied: names that exist (paths), which stay taken. Rows of one name, compared case-blind, get its free numbers in
+    order: number 0 is the name itself. A name that ends in a number belongs to two such sequences, its own (as 0) and that of the name without the
+    number; who comes first in order of source gets it. These contested names are decided in rounds: each depends on
+    lower numbers of its sequence and on shorter names only, so rounds that start from any guess end with the one answer,
+    after as many rounds as the longest such chain, most often two.
     """
-    def fold(key, rows: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        used = {t.casefold() for t in taken["target"]}
-        tried: dict[str, int] = {}  # names are only taken, never freed, so a search goes on where the last one of that name ended
-        out = []
-        for r in rows.sort_values("source").itertuples(index=False):
-            n, plain = 0, f"{getattr(r, name)}{getattr(r, ext)}"
-            target = plain
-            if target.casefold() in used:
-                n = tried.get(plain.casefold(), 0)
-                while target.casefold() in used:
-                    n += 1
-                    target = f"{getattr(r, name)} ({n}){getattr(r, ext)}"
-                tried[plain.casefold()] = n
-            used.add(target.casefold())
-            out.append((r.source, target))
-        return pd.DataFrame(out, columns=["source", "target"])
-
-    taken = occupied.select(F.col(family).alias("__taken"), "target")
-    return plan.groupBy(family).cogroup(taken.groupBy("__taken")).applyInPandas(fold, "source string, target string")
+    key = F.concat(folded(F.col("name")), F.lit("\x00"), folded(F.col("ext")))
+    with scratch(plan.sparkSession) as keep:
+        rows = written(plan.select("source", "name", "ext", key.alias("base")), "names")
+        ranked = keep(written(numbered(rows.select("source", "base"), [F.col("source")], ("base",), "rank").withColumn("rank", F.col("rank") - 1), "ranked"))
+        bases = rows.select("base").distinct()
+        stem, ext = split_stem(F.col("path"))
+        names = occupied.select(F.concat(folded(stem), F.lit("\x00"), folded(ext)).alias("own")).distinct()
+        sequence, number = _in_sequence(F.col("own"))
+        both = names.select(F.explode(F.array(F.struct(F.col("own").alias("base"), F.lit(0).cast("long").alias("number")), F.struct(sequence.alias("base"), number.alias("number")))).alias("r")).select("r.*").filter("base is not null")
+        static = written(both.join(bases, "base", "left_semi"), "occupied")
+        sequence, number = _in_sequence(F.col("base"))
+        first = ranked.filter("rank = 0").select(F.col("base").alias("child"), F.col("source").alias("child_source"), *[c.alias(n) for c, n in zip(_in_sequence(F.col("base")), ("base", "number"))])
+        contested = first.filter("base is not null").join(bases, "base", "left_semi").join(static, ["base", "number"], "left_anti")
+        contested = written(contested, "contested")
+        taken, won = static, None
+        while not contested.isEmpty():
+            # the parent's row that comes to a number is that of rank `below`, the free numbers below it
+            lower = running(taken.select("base", "number", F.lit(1).alias("held")).unionByName(contested.select("base", "number", F.lit(0).alias("held"))), [F.col("number"), F.col("held")], ("base",), {"n": F.col("held")})
+            due = lower.filter("held = 0").select("base", "number", "n").join(contested.select("base", "number"), ["base", "number"])
+            # a contested number that is taken in this round is not below itself
+            due = due.join(won.filter("by_child").select("base", "number", F.lit(0).alias("own")), ["base", "number"], "left") if won is not None else due.withColumn("own", F.lit(None).cast("int"))
+            due = due.select("base", "number", (F.col("number") - F.col("n")).alias("rank"))
+            reached = contested.join(due, ["base", "number"]).join(ranked.select("base", "rank", "source"), ["base", "rank"], "left")
+            following = written(reached.select("base", "number", "child", (F.col("source").isNull() | (F.col("child_source") < F.col("source"))).alias("by_child")), "won")
+            same = won is not None and following.exceptAll(won).isEmpty()
+            won = following
+            claimed = won.select(F.when(F.col("by_child"), F.struct("base", "number")).otherwise(F.struct(F.col("child").alias("base"), F.lit(0).cast("long").alias("number"))).alias("r")).select("r.*")
+            taken = static.unionByName(claimed)
+            if same:
+                break
+        numbers = free_numbers(ranked, taken, ("base",))
+        target = F.concat("name", F.when(F.col("number") > 0, F.concat(F.lit(" ("), F.col("number").cast("string"), F.lit(")"))).otherwise(""), "ext")
+        return keep(written(numbers.select("source", "number").join(rows.select("source", "name", "ext"), "source").select("source", target.alias("target")), "targets"))
+
+
+def _in_sequence(base: Column) -> tuple[Column, Column]:
+    """The base of the sequence that a numbered name is in, and its number there; nulls for other names."""
+    parts = r"(?s)^(.*) \(([1-9][0-9]{0,17})\)(\x00.*)$"
+    return F.when(base.rlike(parts), F.concat(F.regexp_extract(base, parts, 1), F.regexp_extract(base, parts, 3))), F.when(base.rlike(parts), F.regexp_extract(base, parts, 2).cast("long"))
+
+
+def split_stem(path: Column) -> tuple[Column, Column]:
+    """A path without its last part's extension, and that (with its dot, empty without one); a leading dot starts no extension."""
+    ext = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"[^.](\.[^.]*)$", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(ext)), ext
 
 
 def rename_sequence(files: DataFrame, stamp: str = "stamp") -> DataFrame:

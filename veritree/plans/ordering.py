@@ -1,26 +1,58 @@
-"""Row numbers over a whole table, without one task that sorts it all."""
+"""Row numbers and running sums over a whole table, without one task that sorts it all."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritree.plans.shared import scratch, written
 
+#: Rows that a task puts in order, about.
+RANGE_ROWS = 200_000
+
+
+def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with, for each of `sums`, its sum over all rows up to this one within each value of `by`, in an order that must tell rows apart up to interchangeable ones.
+
+    Rows are exchanged once, by ranges of (by, order) whose number follows the number of rows, and written in that order with their range and place, so sums
+    do not depend on ranges being found alike again. What is added up is one row for each range and value of
+    `by` that meet. Columns named __o0, __o1, ..., __s0, ... are used in between. Rows are counted and written when this is called: give narrow ones.
+    """
+    sums = sums or {}
+    keys, values = [f"__o{k}" for k in range(len(order))], [f"__s{k}" for k in range(len(sums))]
+    given = df.withColumns(dict(zip(keys, order)) | dict(zip(values, sums.values())))
+    ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
+    ranges = max(1, math.ceil(df.count() / range_rows))
+    dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
+    with scratch(df.sparkSession) as keep:
+        placed = keep(written(dealt.sortWithinPartitions(*ascending).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
+    part = F.shiftright("__at", 33)
+    own = Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumn("__part", part).withColumns({v: F.sum(v).over(own) for v in values})
+    met = placed.groupBy(*by, part.alias("__part")).agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = met.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col("__part").alias("__p"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__before{v}") for v in values])
+    same = F.col("__part") == F.col("__p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__b_{b}"))
+    out = inside.join(F.broadcast(starts) if not by else starts, same)
+    return out.select(*df.columns, *[(F.col(v) + F.col(f"__before{v}")).alias(n) for n, v in zip(sums, values)])
+
 
-def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "number", ranges: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "number", range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with row numbers from 1, within each value of `by` if given, in an order that must tell rows apart up to interchangeable ones.
 
-    Rows are exchanged once, by ranges of (by, order), and written in that order with their range and place, so
-    numbers do not depend on ranges being found alike again. What is added up is one row for each range and value of
-    `by` that meet. Columns named __o0, __o1, ... are used in between.
+    Like `running`, but the place in a range gives the number, so ranges are not sorted again.
     """
     keys = [f"__o{k}" for k in range(len(order))]
     given = df.withColumns(dict(zip(keys, order)))
-    ascending = [c for b in by for c in (F.col(b).asc_nulls_first(),)] + [F.col(k).asc_nulls_first() for k in keys]
-    dealt = given.repartitionByRange(ranges, *ascending).sortWithinPartitions(*ascending)
+    ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
+    ranges = max(1, math.ceil(df.count() / range_rows))
+    dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
-        placed = keep(written(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered"))
+        placed = keep(written(dealt.sortWithinPartitions(*ascending).drop(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
     part = F.shiftright("__at", 33)
     met = placed.groupBy(*by, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

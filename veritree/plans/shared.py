@@ -28,15 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 _open: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
+def reserved(spark: SparkSession, name: str = "step") -> str:
+    """A new folder's name in the shared folder, deleted like a table of written()."""
+    path = f"{shared_dir(spark)}/veritree-{name}-{uuid.uuid4().hex}"
+    if (tables := _open.get()) is not None:
+        tables.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritree-{name}-{uuid.uuid4().hex}"
+    path = reserved(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.veritree_path = path
-    if (tables := _open.get()) is not None:
-        tables.append(path)
     return out
 
 
