@@ -76,36 +76,33 @@ def numbered_targets(plan: DataFrame, occupied: DataFrame) -> DataFrame:
     key = F.concat(folded(F.col("name")), F.lit("\x00"), folded(F.col("ext")))
     with scratch(plan.sparkSession) as keep:
         rows = written(plan.select("source", "name", "ext", key.alias("base")), "names")
-        ranked = keep(written(numbered(rows.select("source", "base"), [F.col("source")], ("base",), "rank").withColumn("rank", F.col("rank") - 1), "ranked"))
+        ranked = written(numbered(rows.select("source", "base"), [F.col("source")], ("base",), "rank").withColumn("rank", F.col("rank") - 1), "ranked")
         bases = rows.select("base").distinct()
         stem, ext = split_stem(F.col("path"))
         names = occupied.select(F.concat(folded(stem), F.lit("\x00"), folded(ext)).alias("own")).distinct()
         sequence, number = _in_sequence(F.col("own"))
-        both = names.select(F.explode(F.array(F.struct(F.col("own").alias("base"), F.lit(0).cast("long").alias("number")), F.struct(sequence.alias("base"), number.alias("number")))).alias("r")).select("r.*").filter("base is not null")
+        both = names.select(F.explode(F.array(F.struct(F.col("own").alias("base"), F.lit(0).cast("long").alias("number")), F.struct(sequence.alias("base"), number.alias("number")))).alias("r")).select("r.*")
         static = written(both.join(bases, "base", "left_semi"), "occupied")
         sequence, number = _in_sequence(F.col("base"))
-        first = ranked.filter("rank = 0").select(F.col("base").alias("child"), F.col("source").alias("child_source"), *[c.alias(n) for c, n in zip(_in_sequence(F.col("base")), ("base", "number"))])
-        contested = first.filter("base is not null").join(bases, "base", "left_semi").join(static, ["base", "number"], "left_anti")
-        contested = written(contested, "contested")
+        first = ranked.filter("rank = 0").select(sequence.alias("base"), number.alias("number"), F.col("base").alias("child"), F.col("source").alias("child_source"))
+        contested = written(first.join(bases, "base", "left_semi").join(static, ["base", "number"], "left_anti"), "contested")
         taken, won = static, None
-        while not contested.isEmpty():
-            # the parent's row that comes to a number is that of rank `below`, the free numbers below it
-            lower = running(taken.select("base", "number", F.lit(1).alias("held")).unionByName(contested.select("base", "number", F.lit(0).alias("held"))), [F.col("number"), F.col("held")], ("base",), {"n": F.col("held")})
-            due = lower.filter("held = 0").select("base", "number", "n").join(contested.select("base", "number"), ["base", "number"])
-            # a contested number that is taken in this round is not below itself
-            due = due.join(won.filter("by_child").select("base", "number", F.lit(0).alias("own")), ["base", "number"], "left") if won is not None else due.withColumn("own", F.lit(None).cast("int"))
-            due = due.select("base", "number", (F.col("number") - F.col("n")).alias("rank"))
-            reached = contested.join(due, ["base", "number"]).join(ranked.select("base", "rank", "source"), ["base", "rank"], "left")
+        if not contested.isEmpty():
+            won = contested.select("base", "number", "child", F.lit(True).alias("by_child"))
+        while won is not None:
+            claimed = F.when(F.col("by_child"), F.struct("base", "number")).otherwise(F.struct(F.col("child").alias("base"), F.lit(0).cast("long").alias("number")))
+            taken = static.unionByName(won.select(claimed.alias("r")).select("r.*"))
+            # the row that comes to a number is the one of rank `number - n`, n numbers below it being taken
+            marks = taken.select("base", "number", F.lit(1).alias("held")).unionByName(contested.select("base", "number", F.lit(0).alias("held")))
+            due = running(marks, [F.col("number"), F.col("held")], ("base",), {"n": F.col("held")}).filter("held = 0").select("base", "number", (F.col("number") - F.col("n")).alias("rank"))
+            reached = contested.join(due, ["base", "number"]).join(ranked, ["base", "rank"], "left")
             following = written(reached.select("base", "number", "child", (F.col("source").isNull() | (F.col("child_source") < F.col("source"))).alias("by_child")), "won")
-            same = won is not None and following.exceptAll(won).isEmpty()
-            won = following
-            claimed = won.select(F.when(F.col("by_child"), F.struct("base", "number")).otherwise(F.struct(F.col("child").alias("base"), F.lit(0).cast("long").alias("number"))).alias("r")).select("r.*")
-            taken = static.unionByName(claimed)
-            if same:
+            if following.exceptAll(won).isEmpty():
                 break
+            won = following
         numbers = free_numbers(ranked, taken, ("base",))
         target = F.concat("name", F.when(F.col("number") > 0, F.concat(F.lit(" ("), F.col("number").cast("string"), F.lit(")"))).otherwise(""), "ext")
-        return keep(written(numbers.select("source", "number").join(rows.select("source", "name", "ext"), "source").select("source", target.alias("target")), "targets"))
+        return keep(written(numbers.select("source", "number").join(rows.drop("base"), "source").select("source", target.alias("target")), "targets"))
 
 
 def _in_sequence(base: Column) -> tuple[Column, Column]:

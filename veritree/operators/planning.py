@@ -5,11 +5,15 @@ Plans are tables of (source, target); nothing here touches a file. A file table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritree.operators import classification, duplicates
-from veritree.plans.ordering import numbered
+from veritree.plans.gaps import free_numbers
+from veritree.plans.ordering import numbered, running
+from veritree.plans.shared import scratch, written
 
 
 def parent(path: Column) -> Column:
@@ -30,8 +34,8 @@ def split_name(path: Column) -> tuple[Column, Column]:
 def organize_plan(files: DataFrame, home: dict[str, str]) -> DataFrame:
     """Moves of files that are not in the folder of their kind, each to the first free name there; names stay taken although their file moves away.
 
-    files: path, kind. Only files whose name (without a number in brackets) another file in play has too can collide; they alone are
-    put in sequence, family by family, the others are a projection. Returns source, target, kind.
+    files: path, kind. Only files whose name (without numbers in brackets) another file in play has too can collide; they alone are
+    put in sequence, the others are a projection. Returns source, target, kind.
     """
     folder = F.lit(None).cast("string")
     for kind, at in home.items():
@@ -39,34 +43,60 @@ def organize_plan(files: DataFrame, home: dict[str, str]) -> DataFrame:
     stem, ext = split_name(F.col("path"))
     bare = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
     rows = files.select("path", "kind", folder.alias("folder"), stem.alias("stem"), ext.alias("ext"), parent(F.col("path")).alias("at"), duplicates.folded(F.concat(bare, F.lit("/"), ext)).alias("same"))
-    rows = rows.withColumn("moves", F.col("folder").isNotNull() & (F.col("folder") != F.col("at")))
-    target = F.when(F.col("moves"), F.col("folder")).otherwise(F.col("at"))
-    rows = rows.withColumn("family", F.concat_ws("/", duplicates.folded(target), F.col("same")))
-    crowded = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("moves").alias("some")).filter("n > 1 and some").select("family")
+    family = lambda at: F.concat_ws("/", duplicates.folded(F.col(at)), "same")
     there = F.concat(F.when(F.col("folder") == "", F.lit("")).otherwise(F.concat("folder", F.lit("/"))), "stem")
-    alone = rows.filter("moves").join(crowded, "family", "left_anti").select(F.col("path").alias("source"), F.concat(there, "ext").alias("target"))
-    plan = rows.filter("moves").join(crowded, "family", "left_semi").select(F.col("path").alias("source"), "family", there.alias("name"), "ext")
-    occupied = rows.filter("not moves").join(crowded, "family", "left_semi").select("family", F.col("path").alias("target"))
-    moved = alone.unionByName(duplicates.numbered_targets(plan, "family", "name", "ext", occupied))
-    return moved.join(files.select(F.col("path").alias("source"), "kind"), "source").select("source", "target", "kind")
-
-
-def rename_plan(files: DataFrame, collection: str, stamp: str = "stamp", descriptor: str = "descriptor", ascii_paths: bool = False) -> DataFrame:
-    """Canonical names for pictures and videos that have none: numbered per kind behind the greatest number in use, dated before undated, by date, then path.
-
-    files: path, kind, ext and the two named columns. Files that are canonical for their kind keep their names. Returns source, target, sequence.
+    moves = rows.filter(F.col("folder") != F.col("at")).select(F.col("path").alias("source"), "kind", family("folder").alias("family"), there.alias("name"), "ext")
+    standing = rows.select("path", family("at").alias("family"))
+    both = moves.select("family", F.lit(1).alias("moves")).unionByName(standing.select("family", F.lit(0).alias("moves")))
+    crowded = both.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("moves").alias("some")).filter("n > 1 and some = 1").select("family")
+    alone = moves.join(crowded, "family", "left_anti").select("source", F.concat("name", "ext").alias("target"))
+    moved = alone.unionByName(duplicates.numbered_targets(moves.join(crowded, "family", "left_semi"), standing.join(crowded, "family", "left_semi")))
+    return moved.join(moves.select("source", "kind"), "source").select("source", "target", "kind")
+
+
+def rename_plan(files: DataFrame, collection: str, stamp: str = "stamp", descriptor: str = "descriptor", ascii_paths: bool = False, occupied: DataFrame | None = None) -> DataFrame:
+    """Canonical names for pictures and videos that have none: numbered per kind behind the greatest number in use, dated before undated, by date, then path. Returns source, target, sequence.
+
+    files: path, kind, ext and the two named columns. Files that are canonical for their kind keep their names. A number at which
+    the name of the file that is due exists already (case-blind, among the files of any kind or `occupied`: path) is left out for all. Whether it
+    is left out depends on lower numbers only, through the file that is due, so rounds over the numbers in existing names end with
+    the one answer; then files get the free numbers by rank.
     """
+    fold = F.lower if ascii_paths else duplicates.folded
     word = F.when(F.col("kind") == "picture", "image").otherwise("video")
     number = F.coalesce(*[F.when(word == w, classification.canonical_number(name(F.col("path")), collection, w)) for w in ("image", "video")])
     rows = files.filter(F.col("kind").isin("picture", "video")).withColumn("__number", number)
-    start = rows.groupBy(F.col("kind").alias("__kind")).agg(F.coalesce(F.max("__number"), F.lit(0)).alias("__start"))  # a row for each kind
-    key = F.lower("path") if ascii_paths else duplicates.folded(F.col("path"))
-    todo = rows.filter("__number is null")
-    order = [F.col(stamp).isNull(), F.coalesce(F.col(stamp).cast("string"), F.lit("")) if dict(files.dtypes)[stamp] == "string" else F.col(stamp), key, F.col("path")]
-    ranked = numbered(todo, order, ("kind",), "__n").join(F.broadcast(start), F.col("kind") == F.col("__kind"))
-    sequence = F.col("__n") + F.col("__start")
-    target = F.concat(F.when(parent(F.col("path")) == "", "").otherwise(F.concat(parent(F.col("path")), F.lit("/"))), classification.canonical_name(collection, F.col("kind"), sequence, F.col(stamp).cast("string"), F.col(descriptor), F.col("ext")))
-    return ranked.select(F.col("path").alias("source"), target.alias("target"), sequence.alias("sequence"))
+    start = rows.groupBy("kind").agg((F.coalesce(F.max("__number"), F.lit(0)) + 1).alias("start"))  # a row for each kind
+    tail = F.concat(F.lit("__"), F.coalesce(F.col(stamp).cast("string"), F.lit("undated")), F.when(F.col(descriptor).isNotNull(), F.concat(F.lit("__"), descriptor)).otherwise(""), "ext")
+    head = F.concat(F.when(parent(F.col("path")) == "", "").otherwise(F.concat(parent(F.col("path")), F.lit("/"))), F.lit(collection + "__"), word, F.lit("_"))
+    order = [F.col("undated"), F.col("date"), F.col("key"), F.col("path")]
+    with scratch(files.sparkSession) as keep:
+        dated = F.coalesce(F.col(stamp).cast("string"), F.lit("")) if dict(files.dtypes)[stamp] == "string" else F.col(stamp)
+        todo = rows.filter("__number is null").select("path", "kind", F.col(stamp).isNull().alias("undated"), dated.alias("date"), fold("path").alias("key"), head.alias("head"), tail.alias("tail"), fold(F.concat(head, F.lit("\x00"), tail)).alias("form"))
+        ranked = numbered(todo, order, ("kind",), "rank").select("path", "kind", "head", "tail", "form", (F.col("rank") - 1).alias("rank"))
+        ranked = written(ranked, "ranked")
+        names = files.select("path").unionByName(occupied.select("path")) if occupied is not None else files.select("path")
+        parts = rf"(?is)^(.*/)?({re.escape(collection)}__)(image|video)(_)([0-9]{{4}}|[1-9][0-9]{{4,17}})(__[^/]*)$"
+        part = lambda k: F.regexp_extract("path", parts, k)
+        held = names.filter(F.col("path").rlike(parts)).select(
+            F.when(F.lower(part(3)) == "image", "picture").otherwise("video").alias("kind"), part(5).cast("long").alias("number"), fold(F.concat(part(1), part(2), part(3), part(4), F.lit("\x00"), part(6))).alias("form")
+        )
+        held = written(held.distinct().join(F.broadcast(start), "kind").filter("number >= start").select("kind", (F.col("number") - F.col("start")).alias("number"), "form"), "held")
+        candidates = held.select("kind", "number").distinct()
+        skipped = candidates
+        while not skipped.isEmpty():
+            marks = skipped.withColumn("held", F.lit(1)).unionByName(candidates.withColumn("held", F.lit(0)))
+            due = running(marks, [F.col("number"), F.col("held")], ("kind",), {"n": F.col("held")}).filter("held = 0").select("kind", "number", (F.col("number") - F.col("n")).alias("rank"))
+            met = due.join(ranked.select("kind", "rank", "form"), ["kind", "rank"]).join(held, ["kind", "number", "form"], "left_semi")
+            following = written(met.select("kind", "number"), "skipped")
+            same = following.exceptAll(skipped).isEmpty() and skipped.exceptAll(following).isEmpty()
+            skipped = following
+            if same:
+                break
+        free = free_numbers(ranked.select("path", "kind", "rank"), skipped, ("kind",), name="free")
+        out = free.join(ranked.drop("rank", "form"), ["path", "kind"]).join(F.broadcast(start), "kind").withColumn("sequence", F.col("free") + F.col("start"))
+        text = F.when(F.col("sequence") > 9999, F.col("sequence").cast("string")).otherwise(F.lpad(F.col("sequence").cast("string"), 4, "0"))
+        return keep(written(out.select(F.col("path").alias("source"), F.concat("head", text, "tail").alias("target"), "sequence"), "targets"))
 
 
 def extension_plan(files: DataFrame, evidence: DataFrame, accepted: DataFrame, protected: tuple[str, ...] = ()) -> DataFrame:

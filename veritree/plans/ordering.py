@@ -13,7 +13,7 @@ from veritree.plans.shared import scratch, written
 RANGE_ROWS = 200_000
 
 
-def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """df with, for each of `sums`, its sum over all rows up to this one within each value of `by`, in an order that must tell rows apart up to interchangeable ones.
 
     Rows are exchanged once, by ranges of (by, order) whose number follows the number of rows, and written in that order with their range and place, so sums
@@ -24,7 +24,7 @@ def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums:
     keys, values = [f"__o{k}" for k in range(len(order))], [f"__s{k}" for k in range(len(sums))]
     given = df.withColumns(dict(zip(keys, order)) | dict(zip(values, sums.values())))
     ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
-    ranges = max(1, math.ceil(df.count() / range_rows))
+    ranges = ranges or max(1, math.ceil(df.count() / RANGE_ROWS))
     dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
         placed = keep(written(dealt.sortWithinPartitions(*ascending).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
@@ -41,7 +41,7 @@ def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums:
     return out.select(*df.columns, *[(F.col(v) + F.col(f"__before{v}")).alias(n) for n, v in zip(sums, values)])
 
 
-def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "number", range_rows: int = RANGE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "number", ranges: int | None = None) -> DataFrame:
     """df with row numbers from 1, within each value of `by` if given, in an order that must tell rows apart up to interchangeable ones.
 
     Like `running`, but the place in a range gives the number, so ranges are not sorted again.
@@ -49,7 +49,7 @@ def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name:
     keys = [f"__o{k}" for k in range(len(order))]
     given = df.withColumns(dict(zip(keys, order)))
     ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
-    ranges = max(1, math.ceil(df.count() / range_rows))
+    ranges = ranges or max(1, math.ceil(df.count() / RANGE_ROWS))
     dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
         placed = keep(written(dealt.sortWithinPartitions(*ascending).drop(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
