@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, files, query
-from veritree.operators import merkle
+from veritree.operators import merkle, planning
 
 #: Children of a folder digested together, small enough for large folders to be digested in levels here.
 CHUNK = 8
@@ -98,3 +98,47 @@ def tree_differences(spark, sf_dir):
 @query(_DIFFERENT + " SELECT tree, path, difference FROM k QUALIFY row_number() OVER (PARTITION BY tree ORDER BY string_split(path, '/')) = 1")
 def tree_first_difference(spark, sf_dir):
     return merkle.differences(merkle.tree(tree_entries(spark, sf_dir)), merkle.tree(changed_entries(spark, sf_dir)), first=True)
+
+
+# -- names that collide ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (
+  SELECT 'in/' || lpad(l_orderkey::VARCHAR, 8, '0') || '_' || l_linenumber || '/scan.jpg' AS source, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rank FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+), t AS (
+  SELECT o_orderkey::BIGINT AS number FROM orders WHERE o_orderkey % 3 <> 0
+), g AS (
+  SELECT number - row_number() OVER (ORDER BY number) + 1 AS below, row_number() OVER (ORDER BY number) AS n FROM t
+), h AS (
+  SELECT below, max(n) AS n FROM g GROUP BY 1
+), m AS (
+  SELECT source, rank + coalesce(h.n, 0) AS number FROM r ASOF LEFT JOIN h ON r.rank >= h.below
+)
+SELECT source, 'pics/scan' || CASE WHEN number = 0 THEN '' ELSE ' (' || number || ')' END || '.jpg' AS target, 'picture' AS kind FROM m""")
+def organize_collisions(spark, sf_dir):
+    """All lines of all orders are scans of one name, and the folder that they go to holds many of its numbers."""
+    li, o = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet"), spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    moving = li.select(F.concat(F.lit("in/"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("/scan.jpg")).alias("path")).distinct()
+    there = o.filter("o_orderkey % 3 <> 0").select(F.concat(F.lit("pics/Scan ("), F.col("o_orderkey").cast("string"), F.lit(").jpg")).alias("path"))
+    return planning.organize_plan(moving.unionByName(there).withColumn("kind", F.lit("picture")), {"picture": "pics"})
+
+
+@query(f"""WITH RECURSIVE {FILES}, n AS (
+  SELECT kind, ext, CASE WHEN kind IN ('picture', 'video') THEN 'in/' || doc_id || ext ELSE 'in/home__' || CASE doc_id % 2 WHEN 0 THEN 'image' ELSE 'video' END || '_' || lpad((1 + doc_id // 4)::VARCHAR, 4, '0') || '__undated' || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.mkv' END END AS path,
+    CASE WHEN doc_id % 9 = 0 THEN modified_ns END AS stamp FROM files
+), r AS (
+  SELECT kind, path, ext, coalesce(stamp::VARCHAR, 'undated') AS stamp, row_number() OVER (PARTITION BY kind ORDER BY stamp IS NULL, stamp, lower(path), path) AS i FROM n WHERE kind IN ('picture', 'video')
+), s AS (
+  SELECT kind, 0::BIGINT AS i, 0::BIGINT AS sequence, NULL::VARCHAR AS source, NULL::VARCHAR AS target FROM (SELECT DISTINCT kind FROM r)
+  UNION ALL
+  SELECT s.kind, r.i, c.sequence, r.path, c.target FROM s JOIN r ON r.kind = s.kind AND r.i = s.i + 1, LATERAL (
+    SELECT x AS sequence, target FROM (SELECT x, 'in/home__' || CASE r.kind WHEN 'picture' THEN 'image' ELSE 'video' END || '_' || CASE WHEN x > 9999 THEN x::VARCHAR ELSE lpad(x::VARCHAR, 4, '0') END || '__' || r.stamp || r.ext AS target FROM (SELECT unnest(range(s.sequence + 1, s.sequence + 2 + (SELECT count(*) FROM n))) AS x))
+    WHERE target NOT IN (SELECT path FROM n) ORDER BY x LIMIT 1) c
+)
+SELECT source, target, sequence FROM s WHERE i > 0""")
+def rename_occupied(spark, sf_dir):
+    """Files of other kinds hold many of the names that pictures and videos are due to get."""
+    d = F.col("doc_id")
+    held = F.concat(F.lit("in/home__"), F.when(d % 2 == 0, "image").otherwise("video"), F.lit("_"), F.lpad((1 + F.floor(d / 4)).cast("string"), 4, "0"), F.lit("__undated"), F.when(d % 2 == 0, ".jpg").otherwise(".mkv"))
+    f = files(spark, sf_dir).withColumns({"path": F.when(F.col("kind").isin("picture", "video"), F.concat(F.lit("in/"), d.cast("string"), "ext")).otherwise(held), "stamp": F.when(d % 9 == 0, F.col("modified_ns")), "descriptor": F.lit(None).cast("string")})
+    return planning.rename_plan(f, "home")

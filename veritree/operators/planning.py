@@ -7,14 +7,18 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritree.operators import classification, duplicates
 from veritree.plans.gaps import free_numbers
-from veritree.plans.ordering import numbered, running
+from veritree.plans.ordering import numbered
 from veritree.plans.shared import scratch, written
 
+#: Numbers that one task goes through in order.
+RANGE_NUMBERS = 1 << 17
+
 
 def parent(path: Column) -> Column:
     """The folder of a path, empty at the top."""
@@ -58,9 +62,8 @@ def rename_plan(files: DataFrame, collection: str, stamp: str = "stamp", descrip
     """Canonical names for pictures and videos that have none: numbered per kind behind the greatest number in use, dated before undated, by date, then path. Returns source, target, sequence.
 
     files: path, kind, ext and the two named columns. Files that are canonical for their kind keep their names. A number at which
-    the name of the file that is due exists already (case-blind, among the files of any kind or `occupied`: path) is left out for all. Whether it
-    is left out depends on lower numbers only, through the file that is due, so rounds over the numbers in existing names end with
-    the one answer; then files get the free numbers by rank.
+    the name of the file that is due exists already (case-blind, among the files of any kind or `occupied`: path) is left out for all. Which file is due
+    depends on the numbers left out before, so only these are found in order, in ranges of RANGE_NUMBERS numbers that hold such names; then all files get the free numbers by rank.
     """
     fold = F.lower if ascii_paths else duplicates.folded
     word = F.when(F.col("kind") == "picture", "image").otherwise("video")
@@ -82,23 +85,57 @@ def rename_plan(files: DataFrame, collection: str, stamp: str = "stamp", descrip
             F.when(F.lower(part(3)) == "image", "picture").otherwise("video").alias("kind"), part(5).cast("long").alias("number"), fold(F.concat(part(1), part(2), part(3), part(4), F.lit("\x00"), part(6))).alias("form")
         )
         held = written(held.distinct().join(F.broadcast(start), "kind").filter("number >= start").select("kind", (F.col("number") - F.col("start")).alias("number"), "form"), "held")
-        candidates = held.select("kind", "number").distinct()
-        skipped = candidates
-        while not skipped.isEmpty():
-            marks = skipped.withColumn("held", F.lit(1)).unionByName(candidates.withColumn("held", F.lit(0)))
-            due = running(marks, [F.col("number"), F.col("held")], ("kind",), {"n": F.col("held")}).filter("held = 0").select("kind", "number", (F.col("number") - F.col("n")).alias("rank"))
-            met = due.join(ranked.select("kind", "rank", "form"), ["kind", "rank"]).join(held, ["kind", "number", "form"], "left_semi")
-            following = written(met.select("kind", "number"), "skipped")
-            same = following.exceptAll(skipped).isEmpty() and skipped.exceptAll(following).isEmpty()
-            skipped = following
-            if same:
-                break
+        skipped = _skipped(ranked, held, keep)
         free = free_numbers(ranked.select("path", "kind", "rank"), skipped, ("kind",), name="free")
         out = free.join(ranked.drop("rank", "form"), ["path", "kind"]).join(F.broadcast(start), "kind").withColumn("sequence", F.col("free") + F.col("start"))
         text = F.when(F.col("sequence") > 9999, F.col("sequence").cast("string")).otherwise(F.lpad(F.col("sequence").cast("string"), 4, "0"))
         return keep(written(out.select(F.col("path").alias("source"), F.concat("head", text, "tail").alias("target"), "sequence"), "targets"))
 
 
+def _bound(walk, before: dict[str, int]):
+    return lambda key, due, names: walk(before, key, due, names)
+
+
+def _skipped(ranked: DataFrame, held: DataFrame, keep) -> DataFrame:
+    """kind and number of the numbers that are left out. ranked: kind, rank, form; held: kind, number, form of existing names; numbers and ranks from 0.
+
+    The file due at a number is that of rank `number - skipped before it`. A range of numbers needs the files whose ranks it can come to, and how many numbers were left out
+    before it: one small job for each range that holds names, each in a task of bounded size.
+    """
+    spark = ranked.sparkSession
+    span = F.floor(F.col("number") / RANGE_NUMBERS)
+    held = held.join(ranked.select("kind", "form").distinct(), ["kind", "form"], "left_semi")
+    spans = [r[0] for r in held.select(span.alias("span")).distinct().orderBy("span").collect()]  # one for each range, at most the greatest number / RANGE_NUMBERS
+    if not spans:
+        return held.select("kind", "number")
+    files = keep(written(ranked.select("kind", "rank", "form").repartitionByRange("kind", "rank").sortWithinPartitions("kind", "rank"), "due")) if len(spans) > 1 else ranked
+    shift = {"picture": 0, "video": 0}
+    found = []
+    for k in spans:
+        low, before = k * RANGE_NUMBERS, dict(shift)
+        here = held.filter(span == k)
+        window = F.lit(False)
+        for kind, n in before.items():  # up to RANGE_NUMBERS more may be left out within the range
+            window = window | ((F.col("kind") == kind) & F.col("rank").between(low - n - RANGE_NUMBERS, low - n + RANGE_NUMBERS))
+
+        def walk(before: dict[str, int], key: tuple, due: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+            forms: dict[int, set[str]] = {}
+            for number, form in zip(names["number"], names["form"]):
+                forms.setdefault(number, set()).add(form)
+            of, out, n = dict(zip(due["rank"], due["form"])), [], before[key[0]]
+            for number in sorted(forms):
+                if of.get(number - n) in forms[number]:
+                    out.append(number)
+                    n += 1
+            return pd.DataFrame({"kind": pd.Series([key[0]] * len(out), dtype="object"), "number": pd.Series(out, dtype="int64")})
+
+        step = files.filter(window).groupBy("kind").cogroup(here.groupBy("kind")).applyInPandas(_bound(walk, before), "kind string, number long")
+        found.append(written(step, "skipped"))
+        for kind, n in found[-1].groupBy("kind").count().collect():
+            shift[kind] += n
+    return spark.read.schema(found[0].schema).parquet(*[f.veritree_path for f in found])
+
+
 def extension_plan(files: DataFrame, evidence: DataFrame, accepted: DataFrame, protected: tuple[str, ...] = ()) -> DataFrame:
     """What each file's extension says against its content: protected, unsupported (no policy for the format), uninspectable (no format), truthful, or rename with the first accepted extension.
 
