@@ -45,17 +45,19 @@ def organize_plan(files: DataFrame, home: dict[str, str]) -> DataFrame:
     for kind, at in home.items():
         folder = F.when(F.col("kind") == kind, at).otherwise(folder)
     stem, ext = split_name(F.col("path"))
-    bare = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
-    rows = files.select("path", "kind", folder.alias("folder"), stem.alias("stem"), ext.alias("ext"), parent(F.col("path")).alias("at"), duplicates.folded(F.concat(bare, F.lit("/"), ext)).alias("same"))
-    family = lambda at: F.concat_ws("/", duplicates.folded(F.col(at)), "same")
+    rows = files.select("path", "kind", folder.alias("folder"), stem.alias("stem"), ext.alias("ext"), parent(F.col("path")).alias("at"))
+    bare = F.regexp_replace("stem", r"( \([0-9]+\))+$", "")
     there = F.concat(F.when(F.col("folder") == "", F.lit("")).otherwise(F.concat("folder", F.lit("/"))), "stem")
-    moves = rows.filter(F.col("folder") != F.col("at")).select(F.col("path").alias("source"), "kind", family("folder").alias("family"), there.alias("name"), "ext")
-    standing = rows.select("path", family("at").alias("family"))
-    both = moves.select("family", F.lit(1).alias("moves")).unionByName(standing.select("family", F.lit(0).alias("moves")))
-    crowded = both.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("moves").alias("some")).filter("n > 1 and some = 1").select("family")
-    alone = moves.join(crowded, "family", "left_anti").select("source", F.concat("name", "ext").alias("target"))
-    moved = alone.unionByName(duplicates.numbered_targets(moves.join(crowded, "family", "left_semi"), standing.join(crowded, "family", "left_semi")))
-    return moved.join(moves.select("source", "kind"), "source").select("source", "target", "kind")
+    rows = rows.withColumns({"same": duplicates.folded(F.concat(bare, F.lit("/"), "ext")), "to": duplicates.folded(F.when(F.col("folder") != F.col("at"), F.col("folder"))), "at": duplicates.folded(F.col("at")), "name": there})
+    with scratch(files.sparkSession) as keep:
+        rows = written(rows.select("path", "kind", "name", "ext", F.when(F.col("to").isNotNull(), F.concat_ws("/", "to", "same")).alias("family"), F.concat_ws("/", "at", "same").alias("own")), "organize")
+        moves = rows.filter("family is not null").select(F.col("path").alias("source"), "kind", "family", "name", "ext")
+        standing = rows.select("path", F.col("own").alias("family"))
+        both = moves.select("family", F.lit(1).alias("moves")).unionByName(standing.select("family", F.lit(0).alias("moves")))
+        crowded = written(both.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.max("moves").alias("some")).filter("n > 1 and some = 1").select("family"), "crowded")
+        alone = moves.join(crowded, "family", "left_anti").select("source", F.concat("name", "ext").alias("target"))
+        moved = alone.unionByName(duplicates.numbered_targets(moves.join(crowded, "family", "left_semi"), standing.join(crowded, "family", "left_semi")))
+        return keep(written(moved.join(moves.select("source", "kind"), "source").select("source", "target", "kind"), "organized"))
 
 
 def rename_plan(files: DataFrame, collection: str, stamp: str = "stamp", descriptor: str = "descriptor", ascii_paths: bool = False, occupied: DataFrame | None = None) -> DataFrame:
