@@ -63,9 +63,9 @@ def test_group_numbers_are_gapless(spark):
 
 
 def test_numbered_targets_take_the_first_free_name(spark):
-    plan = spark.createDataFrame([("1", "x", "x", ".jpg"), ("2", "x", "X", ".jpg"), ("3", "x", "x", ".jpg")], "source string, family string, name string, ext string")
-    taken = spark.createDataFrame([("x", "x (1).jpg")], "family string, target string")
-    got = {r.source: r.target for r in duplicates.numbered_targets(plan, "family", "name", "ext", taken).collect()}
+    plan = spark.createDataFrame([("1", "x", ".jpg"), ("2", "X", ".jpg"), ("3", "x", ".jpg")], "source string, name string, ext string")
+    taken = spark.createDataFrame([("x (1).jpg",)], "path string")
+    got = {r.source: r.target for r in duplicates.numbered_targets(plan, taken).collect()}
     assert got == {"1": "x.jpg", "2": "X (2).jpg", "3": "x (3).jpg"}
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veritree.catalogue import FILES, files, query
 from veritree.operators import merkle, planning
+from veritree.plans.shared import reserved
+from veritree.sinks import store
 
 #: Children of a folder digested together, small enough for large folders to be digested in levels here.
 CHUNK = 8
@@ -142,3 +144,33 @@ def rename_occupied(spark, sf_dir):
     held = F.concat(F.lit("in/home__"), F.when(d % 2 == 0, "image").otherwise("video"), F.lit("_"), F.lpad((1 + F.floor(d / 4)).cast("string"), 4, "0"), F.lit("__undated"), F.when(d % 2 == 0, ".jpg").otherwise(".mkv"))
     f = files(spark, sf_dir).withColumns({"path": F.when(F.col("kind").isin("picture", "video"), F.concat(F.lit("in/"), d.cast("string"), "ext")).otherwise(held), "stamp": F.when(d % 9 == 0, F.col("modified_ns")), "descriptor": F.lit(None).cast("string")})
     return planning.rename_plan(f, "home")
+
+
+# -- the store ---------------------------------------------------------------------------------------------------------------------------
+
+
+def published(spark, sf_dir, compacted: bool) -> DataFrame:
+    """Evidence on all files, published in parts: all of it, then some again; with a compaction between, or none."""
+    path, f = reserved(spark, "store"), files(spark, sf_dir)
+    part = lambda every, n: store.publish(spark, path, f.filter(F.col("doc_id") % every == 0).select(F.col("sha256").alias("file_sha256"), F.lit("probe").alias("evidence_type"), F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("algorithm"), F.lit("r").alias("runtime"), F.to_json(F.struct(F.lit(n).alias("n"), "doc_id")).alias("payload_json")), buckets=8)
+    for every, n in ((1, 1), (3, 2), (10, 3)):
+        part(every, n)
+    if compacted:
+        store.compact(spark, path, deltas=1)
+    part(7, 4)
+    return store.read(spark, path)
+
+
+def _published(last: int) -> str:
+    return f"""WITH {FILES}, p AS (SELECT sha256 AS file_sha256, 'probe' AS evidence_type, 'v' || doc_id % 2 AS algorithm, 'r' AS runtime, n, version, doc_id, '{{"n":' || n || ',"doc_id":' || doc_id || '}}' AS payload_json FROM files, (VALUES (1, 1, 1), (3, 2, 2), (10, 3, 3), (7, 4, {last})) AS v(every, n, version) WHERE doc_id % every = 0)
+SELECT file_sha256, evidence_type, algorithm, runtime, payload_json, version::BIGINT AS version FROM p QUALIFY row_number() OVER (PARTITION BY file_sha256, evidence_type, algorithm, runtime ORDER BY version DESC, payload_json DESC) = 1"""
+
+
+@query(_published(4))
+def store_merge(spark, sf_dir):
+    return published(spark, sf_dir, compacted=False)
+
+
+@query(_published(5))
+def store_compacted(spark, sf_dir):
+    return published(spark, sf_dir, compacted=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("file_sha256", "evidence_type", "algorithm", "runtime")
@@ -16,9 +16,10 @@ def memo_join(files: DataFrame, evidence: DataFrame, evidence_type: str, algorit
 
 
 def upsert(store: DataFrame, added: DataFrame, order: str, key: tuple[str, ...] = KEY) -> DataFrame:
-    """The union with the latest row of each key, by `order` and then the payload."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order), F.desc("payload_json"))
-    return store.unionByName(added).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """The union with the latest row of each key, by `order` and then the payload: an aggregate, so a hot key is combined before it is exchanged."""
+    rest = [order, "payload_json", *[c for c in store.columns if c not in (*key, order, "payload_json")]]
+    top = store.unionByName(added).groupBy(*key).agg(F.max(F.struct(*rest)).alias("r"))
+    return top.select(*[c if c in key else F.col(f"r.{c}").alias(c) for c in store.columns])
 
 
 def scope(device, inode):
@@ -76,3 +77,12 @@ def valid(evidence: DataFrame) -> DataFrame:
     """Rows that meet the store's constraints: a digest, non-empty names, a payload that is a JSON object without repeated keys."""
     keys = F.json_object_keys("payload_json")
     return evidence.filter(F.col("file_sha256").rlike("^[0-9a-f]{64}$") & (F.length("evidence_type") > 0) & (F.length("algorithm") > 0) & F.col("runtime").isNotNull() & keys.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys))))
+
+
+def valid_observations(observations: DataFrame) -> DataFrame:
+    """Observations with a scope and a relative path, a whole state, and a digest or none."""
+    state = F.lit(True)
+    for c in STATE:
+        state = state & F.col(c).isNotNull() & (F.col(c) >= 0)
+    digest = F.col("byte_sha256").isNull() | F.col("byte_sha256").rlike("^[0-9a-f]{64}$")
+    return observations.filter((F.length("scope") > 0) & (F.length("relative_path") > 0) & ~F.startswith("relative_path", F.lit("/")) & state & digest)
