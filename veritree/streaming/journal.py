@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from veritree.operators.journal import EVENTS as EVENT_NAMES
+from veritree.operators.journal import MODES
 
 EVENTS = "seq long, run_id string, event string"
 STATES = "run_id string, last_seq long, planned long, completed long, state string, malformed boolean"
@@ -33,3 +37,102 @@ def run_states(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], last, planned, completed, name, bad)], columns=["run_id", "last_seq", "planned", "completed", "state", "malformed"])
 
     return events.groupBy("run_id").applyInPandasWithState(fold, STATES, "last long, planned long, completed long, state string, malformed boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+# ---- the strict reader
+
+STRICT = "ts timestamp, seq long, run_id string, event string, tool string, mode string, target_run_id string, action_id string, action_count long, reason string"
+_FIELDS = [c.split()[0] for c in STRICT.split(", ")]
+PROBLEMS = "seq long, run_id string, problem string"
+
+
+class StrictReader(StatefulProcessor):
+    """The rules of `operators.journal.event_problems`, event by event, for one run at a time.
+
+    Events wait until the watermark has passed their time and are then judged in order of seq, so their order of arrival and the cut into batches do not matter. State
+    is four counters and a target a run, two counters for each of its actions (a map that is read for the actions at hand only), and the events that wait.
+    """
+
+    def __init__(self, tools: tuple[str, ...]):
+        self.tools = tools
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "starts long, planned long, completed long, ended long, target string")
+        self.actions = handle.getMapState("actions", "action_id string", "planned long, completed long")
+        self.waiting = handle.getListState("waiting", "ts_ms long, " + ", ".join(STRICT.split(", ")[1:]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        added = []
+        for part in rows:
+            part = part[_FIELDS].astype(object).where(part[_FIELDS].notna(), None)
+            for ts, seq, *rest, count, reason in part.itertuples(index=False, name=None):
+                added.append((int(pd.Timestamp(ts).timestamp() * 1000), int(seq), *rest, None if count is None else int(count), reason))
+        self.waiting.appendList(added)
+        for at in {r[0] for r in added}:
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, later = [], []
+        for r in self.waiting.get():
+            (due if r[0] <= timerValues.getCurrentWatermarkInMs() else later).append(tuple(r))
+        if not due:  # another timer of this watermark was first
+            return
+        self.waiting.put(later) if later else self.waiting.clear()
+        starts, planned, completed, ended, target = self.run.get() if self.run.exists() else (0, 0, 0, 0, None)
+        touched: dict[str, list[int]] = {}
+        found = []
+        for _, seq, run_id, event, tool, mode, to, action, count, reason in sorted(due, key=lambda r: r[1]):
+            if action and action not in touched:
+                touched[action] = list(self.actions.getValue((action,))) if self.actions.containsKey((action,)) else [0, 0]
+            own = touched.get(action, [0, 0])
+            start = event == "RUN_STARTED"
+            problem = (
+                "unknown-event" if event not in EVENT_NAMES
+                else "duplicate-run" if start and starts
+                else "tool" if start and tool not in self.tools
+                else "mode" if start and mode not in MODES
+                else "unexpected-target" if start and mode == "APPLY" and to is not None
+                else "no-target" if start and mode == "UNDO" and not to
+                else "unknown-run" if not start and not starts
+                else "after-end" if not start and ended
+                else "no-action" if event in ("ACTION_PLANNED", "ACTION_COMPLETED") and not action
+                else "duplicate-action" if event == "ACTION_PLANNED" and own[0]
+                else "not-planned" if event == "ACTION_COMPLETED" and not own[0]
+                else "completed-twice" if event == "ACTION_COMPLETED" and own[1]
+                else "count" if event == "RUN_COMMITTED" and (count is None or count != planned or count != completed)
+                else "commit-target" if event == "RUN_COMMITTED" and to != target
+                else "no-reason" if event == "RUN_INCOMPLETE" and reason is None
+                else None
+            )
+            if problem:
+                found.append((seq, run_id, problem))
+            starts += start
+            planned += event == "ACTION_PLANNED"
+            completed += event == "ACTION_COMPLETED"
+            ended += event in ("RUN_COMMITTED", "RUN_INCOMPLETE")
+            target = target if target is not None or not start else to
+            if action:
+                own[0] += event == "ACTION_PLANNED"
+                own[1] += event == "ACTION_COMPLETED"
+        self.run.update((starts, planned, completed, ended, target))
+        for action, own in touched.items():
+            self.actions.updateValue((action,), tuple(own))
+        if found:
+            yield pd.DataFrame(found, columns=["seq", "run_id", "problem"])
+
+    def close(self) -> None:
+        pass
+
+
+def strict_problems(events: DataFrame, tools: tuple[str, ...], late: str = "10 minutes") -> DataFrame:
+    """A stream of the events that a strict reader refuses: seq, run_id, problem. events: a stream with the columns of STRICT, at most `late` out of order by ts; seq follows ts.
+
+    Needs the RocksDB state store, which is set for the session unless it has another one.
+    """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (conf.get(name, "") or ""):
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select(*_FIELDS).withWatermark("ts", late)
+    return rows.groupBy("run_id").transformWithStateInPandas(StrictReader(tools), PROBLEMS, "Append", "EventTime")
