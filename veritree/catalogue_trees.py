@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.catalogue import FILES, files, query
+from veritree.catalogue import FILES, files, oracle_sql, query
+from veritree.catalogue_plans import TOOLS, journal_events
 from veritree.operators import merkle, planning
 from veritree.plans.shared import reserved
 from veritree.sinks import store
+from veritree.streaming import journal as stream
 
 #: Children of a folder digested together, small enough for large folders to be digested in levels here.
 CHUNK = 8
@@ -174,3 +176,20 @@ def store_merge(spark, sf_dir):
 @query(_published(5))
 def store_compacted(spark, sf_dir):
     return published(spark, sf_dir, compacted=True)
+
+
+# -- streams -----------------------------------------------------------------------------------------------------------------------------
+
+
+@query(oracle_sql()["journal_strict_fold"])
+def journal_stream(spark, sf_dir):
+    """The strict reader over the whole journal as a stream in four batches, with an event far behind the others that lets the last ones be judged."""
+    source, out = reserved(spark, "journal"), reserved(spark, "problems")
+    events = journal_events(spark, sf_dir).withColumn("ts", (F.col("seq") / 1000).cast("timestamp")).select(*stream._FIELDS)
+    close = events.agg((F.max("seq") + 10**9).alias("seq")).select(*[((F.col("seq") / 1000).cast("timestamp") + F.expr("interval 20 years")).alias("ts") if c == "ts" else F.col("seq") if c == "seq" else F.lit({"run_id": "end", "event": "RUN_STARTED", "tool": TOOLS[0], "mode": "APPLY"}.get(c)).cast(dict(events.dtypes)[c]).alias(c) for c in stream._FIELDS])
+    for part in (events.filter("seq % 100 < 4"), events.filter("seq % 100 between 4 and 8"), events.filter("seq % 100 > 8"), close):
+        part.write.mode("append").parquet(source)
+    files_a_batch = max(1, len(spark.read.parquet(source).inputFiles()) // 4)
+    problems = stream.strict_problems(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source), TOOLS, "3650 days")
+    problems.writeStream.format("parquet").option("path", out).option("checkpointLocation", reserved(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.PROBLEMS).parquet(out)
