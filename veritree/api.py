@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, media, merkle, planning, population, validation
+from veritree.operators import classification, coverage, duplicates, evidence, inventory, journal, media, merkle, planning, population, preservation, validation
 from veritree.plans import digest
 from veritree.sinks import store
 from veritree.sources import tree
@@ -70,6 +70,17 @@ def preservation_report(source: DataFrame, destination: DataFrame, layers: list[
     return out
 
 
+def media_preservation_report(source: DataFrame, destination: DataFrame, evidence: DataFrame, exact_images: tuple[str, ...], images: tuple[str, ...], stability: DataFrame | None = None, without_review: bool = False) -> tuple[dict, DataFrame]:
+    """The report with pictures by pixels and videos by playback, and the source files that nothing accounts for. stability: path, change of either side since its inventory; evidence as in `preservation.outcomes`."""
+    s, d = (x.filter("category = 'file'") if "category" in x.columns else x for x in (source, destination))
+    whole = [x.filter(F.col("category").isin(*INCOMPLETE)).isEmpty() if "category" in x.columns else True for x in (source, destination)]
+    if without_review:
+        d = d.filter(~classification.in_review(F.col("path")))
+    contents = preservation.outcomes(s, d, evidence, exact_images, images)
+    one = preservation.report(contents, *whole, changes=stability.count() if stability is not None else 0, simulated=without_review).first()
+    return {"schema_version": 5, "result_kind": "simulated" if without_review else "observed"} | one.asDict(recursive=True), preservation.unaccounted_files(s, contents)
+
+
 def duplicate_report(files: DataFrame) -> dict:
     """Storage taken by exact duplicates."""
     return inventory.storage_summary(files.filter("category = 'file'") if "category" in files.columns else files).first().asDict()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.catalogue import FILES, files, oracle_sql, query
+from veritree.catalogue import FILES, SIDES, files, oracle_sql, query, sides
+from veritree.catalogue_media import EVIDENCE, probes
+from veritree.catalogue_media import evidence as media_evidence
 from veritree.catalogue_plans import TOOLS, journal_events
-from veritree.operators import merkle, planning
+from veritree.operators import media, merkle, planning, preservation
 from veritree.plans.shared import reserved
 from veritree.sinks import store
 from veritree.streaming import journal as stream
@@ -193,3 +195,74 @@ def journal_stream(spark, sf_dir):
     problems = stream.strict_problems(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source), TOOLS, "3650 days")
     problems.writeStream.format("parquet").option("path", out).option("checkpointLocation", reserved(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.PROBLEMS).parquet(out)
+
+
+# -- the preservation report -------------------------------------------------------------------------------------------------------------
+
+EXACT, IMAGES = (".jpg",), (".jpg", ".png")
+
+
+def contents(spark, sf_dir) -> DataFrame:
+    s, d = sides(spark, sf_dir)
+    candidate = F.to_json(F.struct(*media.CANDIDATE_KEY), {"ignoreNullFields": "false"})
+    # pictures and videos have evidence of their own tables; a content is in each of them once
+    found = media_evidence(spark, sf_dir, "pixel_sha256").join(probes(spark, sf_dir).select("sha256", candidate.alias("candidate")), "sha256", "left")
+    return preservation.outcomes(s, d, found.withColumn("playback_sha256", F.col("pixel_sha256")), EXACT, IMAGES)
+
+
+_N = "count(*) FILTER (WHERE {})"
+_S = "coalesce(sum({1}) FILTER (WHERE {0}), 0)::BIGINT"
+
+
+def _report_sql() -> str:
+    gone, here, both = "(sn > 0 AND dn = 0)", "(sn > 0)", "(sn > 0 AND dn > 0)"
+    lost = "(sn > 0 AND layer IS NULL)"
+    sums = {
+        "source_unique": _N.format(here), "represented_unique": _N.format(both), "missing_unique": _N.format(gone), "source_bytes": _S.format(here, "size"), "represented_bytes": _S.format(both, "size"), "missing_bytes": _S.format(gone, "size"),
+        "source_files": _S.format(here, "sn"), "represented_files": _S.format(both, "sn"), "missing_files": _S.format(gone, "sn"), "destination_only": _N.format("sn = 0"), "conflicts": "0",
+        "source_copies": _S.format(here, "sn - 1"), "source_copy_bytes": _S.format(here, "size * (sn - 1)"), "destination_copies": _S.format("dn > 0", "dn - 1"), "destination_copy_bytes": _S.format("dn > 0", "size * (dn - 1)"),
+        "reduced_copies": _S.format(both, "greatest(sn - dn, 0)"), "reduced_bytes": _S.format(both, "greatest(sn - dn, 0) * size"), "added_copies": _S.format(both, "greatest(dn - sn, 0)"), "added_bytes": _S.format(both, "greatest(dn - sn, 0) * size"),
+        "by_bytes": _N.format("layer = 'bytes'"), "by_image": _N.format("layer = 'image'"), "by_video": _N.format("layer = 'video'"), "accounted": _N.format("layer IS NOT NULL"), "accounted_files": _S.format("layer IS NOT NULL", "sn"),
+        "unaccounted": _N.format(lost), "unaccounted_files": _S.format(lost, "sn"), "unsupported": _N.format(f"{lost} AND (ii OR vi OR odd)"), "unsupported_files": _S.format(f"{lost} AND (ii OR vi OR odd)", "sn"),
+    }
+    for k, kind, hit, issue in (("image", "picture", "bi", "ii"), ("video", "video", "bv", "vi")):
+        eligible, missing = f"{gone} AND {kind}", f"{gone} AND {kind} AND NOT {hit} AND NOT {issue}"
+        sums |= {
+            f"{k}_eligible": _N.format(eligible), f"{k}_eligible_files": _S.format(eligible, "sn"), f"{k}_represented": _N.format(hit), f"{k}_represented_files": _S.format(hit, "sn"), f"{k}_missing": _N.format(missing), f"{k}_missing_files": _S.format(missing, "sn"),
+            f"{k}_uninspectable": _N.format(issue), f"{k}_candidates": _N.format(f"there_{kind}"), f"{k}_there_uninspectable": _N.format(f"there_{kind} AND {'pixels' if k == 'image' else 'plays'} IS NULL"),
+        }
+    percent = lambda a, b: f"printf('%.6f', round(CASE WHEN {b} = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * {a} / {b} END, 6))"
+    layer = lambda k: f"CASE WHEN {k}_eligible = 0 THEN 'not-needed' WHEN {k}_uninspectable > 0 OR ({k}_missing > 0 AND {k}_there_uninspectable > 0) THEN 'unproven' WHEN {k}_missing > 0 THEN 'incomplete' ELSE 'complete' END"
+    own = ("eligible", "eligible_files", "represented", "represented_files", "missing", "missing_files", "uninspectable", "candidates", "there_uninspectable")
+    fields = [("coverage", "verdict", "CASE WHEN missing_unique > 0 THEN 'incomplete' ELSE 'complete' END")]
+    fields += [("coverage", x, x) for x in ("source_unique", "represented_unique", "missing_unique", "source_bytes", "represented_bytes", "missing_bytes", "source_files", "represented_files", "missing_files", "destination_only", "conflicts")]
+    fields += [("coverage", "unique_percent", percent("represented_unique", "source_unique")), ("coverage", "bytes_percent", percent("represented_bytes", "source_bytes"))]
+    fields += [("multiplicity", x, x) for x in ("source_copies", "source_copy_bytes", "destination_copies", "destination_copy_bytes", "reduced_copies", "reduced_bytes", "added_copies", "added_bytes")]
+    fields += [(f"{k}_content", x, f"{k}_{x}") for k in ("image", "video") for x in own] + [(f"{k}_content", "verdict", f"{k}_verdict") for k in ("image", "video")]
+    fields += [("preservation", x, x) for x in ("accounted", "accounted_files", "by_bytes", "by_image", "by_video", "unaccounted", "unaccounted_files", "unsupported", "unsupported_files", "reason")] + [("preservation", "accounted_percent", percent("accounted", "source_unique")), ("preservation", "changes", "0")]
+    verdict = "CASE WHEN reason IS NULL THEN 'complete' WHEN reason = 'source-content-unaccounted' THEN 'incomplete' ELSE 'unproven' END"
+    fields += [("preservation", "verdict", verdict), ("preservation", "disposition", f"CASE WHEN {verdict} = 'complete' THEN 'eligible-for-human-signoff' ELSE 'retain-source-and-resolve-findings' END")]
+    return f"""WITH {SIDES}, {EVIDENCE.removeprefix(FILES + ", ")}, w AS (
+  SELECT sha256, max(p.digest) AS pixels, max(k.k || p.digest) AS plays FROM p JOIN k USING (sha256) GROUP BY 1
+), z AS (
+  SELECT sha256, max(size) AS size, count(*) FILTER (WHERE side = 's') AS sn, count(*) FILTER (WHERE side = 'd') AS dn, bool_or(side = 's' AND ext = '.jpg') AS picture, bool_or(side = 's' AND kind = 'video') AS video, bool_or(side = 's' AND ext = '.png') AS odd,
+    bool_or(side = 'd' AND ext = '.jpg') AS there_picture, bool_or(side = 'd' AND kind = 'video') AS there_video FROM (SELECT *, 's' AS side FROM src UNION ALL SELECT *, 'd' FROM dst) GROUP BY 1
+), y AS (
+  SELECT z.*, pixels, plays, sn > 0 AND dn = 0 AND picture AND coalesce(pixels IN (SELECT pixels FROM z JOIN w USING (sha256) WHERE there_picture AND pixels IS NOT NULL), false) AS bi,
+    sn > 0 AND dn = 0 AND video AND coalesce(plays IN (SELECT plays FROM z JOIN w USING (sha256) WHERE there_video AND plays IS NOT NULL), false) AS bv,
+    sn > 0 AND dn = 0 AND picture AND pixels IS NULL AS ii, sn > 0 AND dn = 0 AND video AND plays IS NULL AS vi FROM z LEFT JOIN w USING (sha256)
+), x AS (
+  SELECT *, CASE WHEN sn > 0 AND dn > 0 THEN 'bytes' WHEN bi THEN 'image' WHEN bv THEN 'video' END AS layer FROM y
+), a AS (
+  SELECT {", ".join(f"{v} AS {k}" for k, v in sums.items())} FROM x
+), b AS (
+  SELECT *, {layer("image")} AS image_verdict, {layer("video")} AS video_verdict FROM a
+), c AS (
+  SELECT *, CASE WHEN unsupported > 0 THEN 'unsupported-source-media' WHEN unaccounted > 0 AND 'unproven' IN (image_verdict, video_verdict) THEN 'media-equivalence-evidence-incomplete' WHEN unaccounted > 0 THEN 'source-content-unaccounted' END AS reason FROM b
+)
+""" + " UNION ALL ".join(f"SELECT '{s}' AS section, '{f}' AS field, ({v})::VARCHAR AS value FROM c" for s, f, v in fields)
+
+
+@query(_report_sql())
+def preservation_full(spark, sf_dir):
+    return preservation.flat(preservation.report(contents(spark, sf_dir)))
