@@ -33,3 +33,26 @@ def test_strict_stream_equals_the_batch_reader(spark, sf, tmp_path, cut):
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(x) for x in spark.read.schema(stream.PROBLEMS).parquet(str(tmp_path / "out")).collect()} == want and len(want) > 20
+
+
+def test_windows_of_progress_are_alike_in_a_stream(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(job, float(r.randrange(3000)), r.choice([None, -5, 100, 2000])) for job in "abc" for _ in range(60)]
+    df = spark.createDataFrame(rows, "job string, s double, bytes long").select("job", F.col("s").cast("timestamp").alias("ts"), "bytes")
+    last = spark.createDataFrame([("end", 10.0**7, None)], "job string, s double, bytes long").select("job", F.col("s").cast("timestamp").alias("ts"), "bytes")
+    source = str(tmp_path / "in")
+    df.repartition(4).write.parquet(source)
+    last.coalesce(1).write.mode("append").parquet(source)
+    windows = journal.progress_windows(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), "job", "5 minutes", "2 hours")
+    windows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    streamed, batch = spark.read.parquet(str(tmp_path / "out")), journal.progress_windows(df, "job", "5 minutes")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    totals = df.groupBy("job").agg(F.count(F.lit(1)).alias("total_items"), F.sum(F.greatest("bytes", F.lit(0))).alias("total_bytes"))
+    one, two = (sorted(map(tuple, journal.progress_eta(w, totals, "job").collect()), key=str) for w in (streamed, batch))
+    assert one == two
+    for job, ends, done, done_bytes, elapsed, rate, eta in one:
+        mine = sorted((s, b) for j, s, b in rows if j == job and s < ends.timestamp())
+        assert done == len(mine) and done_bytes == sum(max(b or 0, 0) for _, b in mine) and elapsed == ends.timestamp() - mine[0][0]
+        whole, size = 60, sum(max(b or 0, 0) for j, _, b in rows if j == job)
+        want = None if done < 3 or done == whole else elapsed * (size - done_bytes) / done_bytes if done_bytes else elapsed * (whole - done) / done
+        assert eta == (None if want is None else round(want, 3))

@@ -9,7 +9,7 @@ from veritree.catalogue import FILES, SIDES, files, oracle_sql, query, sides
 from veritree.catalogue_media import EVIDENCE, probes
 from veritree.catalogue_media import evidence as media_evidence
 from veritree.catalogue_plans import TOOLS, journal_events
-from veritree.operators import media, merkle, planning, preservation
+from veritree.operators import journal, media, merkle, namespace, planning, preservation
 from veritree.plans.shared import reserved
 from veritree.sinks import store
 from veritree.streaming import journal as stream
@@ -266,3 +266,85 @@ def _report_sql() -> str:
 @query(_report_sql())
 def preservation_full(spark, sf_dir):
     return preservation.flat(preservation.report(contents(spark, sf_dir)))
+
+
+# -- stages of moves ---------------------------------------------------------------------------------------------------------------------
+
+N_STAGES = 24
+
+
+def staged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files in numbered slots, and stages that swap neighbours, or put files aside and back: chains and swaps over 24 stages."""
+    f = files(spark, sf_dir).select(F.col("doc_id").alias("a"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("path"), "sha256")
+    slots = f.select("a", F.explode(F.sequence(F.lit(1), F.lit(N_STAGES))).alias("s"))
+    slot = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    aside = lambda s, a: F.concat(F.lit("park"), s.cast("string"), F.lit("/"), a.cast("string"))
+    a, s = F.col("a"), F.col("s")
+    parked = slots.filter((s % 4 == 0) & (a % 13 == s % 13)).select(s.alias("stage"), slot(a).alias("source"), aside(s, a).alias("target"))
+    back = slots.filter((s % 4 == 1) & (s > 1) & (a % 13 == (s - 1) % 13)).select(s.alias("stage"), aside(s - 1, a).alias("source"), slot(a).alias("target"))
+    other = f.select(F.col("a").alias("b"))
+    swaps = slots.filter((s % 4).isin(2, 3) & (F.floor(a / 2) % 7 == s % 7)).withColumn("b", a.bitwiseXOR(F.lit(1).cast("long"))).join(other, "b").select(s.alias("stage"), slot(a).alias("source"), slot(F.col("b")).alias("target"))
+    folders = spark.range(1, N_STAGES + 1).select(F.col("id").cast("int").alias("s")).filter("s % 4 < 2 and s > 1")
+    changes = folders.select(F.col("s").alias("stage"), F.concat(F.lit("park"), F.when(s % 4 == 0, s).otherwise(s - 1).cast("string")).alias("path"), F.when(s % 4 == 0, "created").otherwise("removed").alias("change"))
+    return f.select("path", "sha256"), parked.unionByName(back).unionByName(swaps), changes
+
+
+_STAGED = f"""{FILES}, f AS (SELECT doc_id AS a, 'n' || doc_id AS path, sha256 FROM files), sl AS (SELECT a, s::INTEGER AS s FROM f, range(1, {N_STAGES + 1}) AS r(s)),
+mv AS (SELECT s AS stage, 'n' || a AS source, 'park' || s || '/' || a AS target FROM sl WHERE s % 4 = 0 AND a % 13 = s % 13
+  UNION ALL SELECT s, 'park' || (s - 1) || '/' || a, 'n' || a FROM sl WHERE s % 4 = 1 AND s > 1 AND a % 13 = (s - 1) % 13
+  UNION ALL SELECT s, 'n' || a, 'n' || xor(a, 1) FROM sl WHERE s % 4 IN (2, 3) AND (a // 2) % 7 = s % 7 AND xor(a, 1) IN (SELECT a FROM f)),
+ch AS (SELECT s::INTEGER AS stage, 'park' || CASE WHEN s % 4 = 0 THEN s ELSE s - 1 END AS path, CASE WHEN s % 4 = 0 THEN 'created' ELSE 'removed' END AS change FROM range(1, {N_STAGES + 1}) AS r(s) WHERE s % 4 < 2 AND s > 1),
+st AS (SELECT 0 AS stage, path, path AS origin, 0 AS moves, sha256 FROM f
+  UNION ALL SELECT st.stage + 1, coalesce(mv.target, st.path), st.origin, st.moves + CASE WHEN mv.target IS NULL THEN 0 ELSE 1 END, st.sha256 FROM st LEFT JOIN mv ON mv.stage = st.stage + 1 AND mv.source = st.path WHERE st.stage < {N_STAGES})"""
+
+
+@query(f"WITH RECURSIVE {_STAGED} SELECT path, origin, moves::INTEGER AS moves FROM st WHERE stage = {N_STAGES}")
+def namespace_origin(spark, sf_dir):
+    base, moves, _ = staged(spark, sf_dir)
+    return namespace.origins(base, moves)[0]
+
+
+@query(f"""WITH RECURSIVE {_STAGED}, en AS (
+  SELECT stage, sha256(path || chr(0) || sha256) AS h FROM st UNION ALL
+  SELECT r.s::INTEGER, sha256(c.path || chr(0) || 'folder') FROM ch c, range(0, {N_STAGES + 1}) AS r(s) WHERE c.change = 'created' AND c.stage <= r.s AND NOT EXISTS (SELECT 1 FROM ch d WHERE d.path = c.path AND d.change = 'removed' AND d.stage <= r.s)
+), w AS (SELECT stage, {", ".join(f"sum(('0x' || h[{1 + 15 * k}:{15 + 15 * k}])::BIGINT::HUGEINT) AS w{k}" for k in range(4))} FROM en GROUP BY 1)
+SELECT w.stage, (SELECT count(*) FROM mv WHERE mv.stage = w.stage) AS moved, (SELECT count(*) FROM ch WHERE ch.stage = w.stage AND change = 'created') AS created, (SELECT count(*) FROM ch WHERE ch.stage = w.stage AND change = 'removed') AS removed,
+  sha256(w0 || ':' || w1 || ':' || w2 || ':' || w3) AS digest FROM w""")
+def namespace_stages(spark, sf_dir):
+    base, moves, changes = staged(spark, sf_dir)
+    return namespace.stage_digests(base, namespace.origins(base, moves)[1], changes, N_STAGES)
+
+
+@query(r"""WITH a AS (
+  SELECT o_orderkey % 500 AS run_no, 'b' || (o_custkey % 97) || repeat('/d', (o_orderkey % 200)::INTEGER) || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE '/f' || (o_orderkey % 7) END AS path, o_orderkey % 9973 AS inode FROM orders
+), t AS (
+  SELECT DISTINCT path, inode FROM a WHERE run_no = 250
+)
+SELECT DISTINCT a.run_no FROM a JOIN t ON a.run_no > 250 AND a.run_no % 3 <> 0 AND (a.path = t.path OR starts_with(a.path, t.path || '/') OR starts_with(t.path, a.path || '/') OR a.inode = t.inode)""")
+def later_blockers_deep(spark, sf_dir):
+    """Paths up to 200 folders deep; runs whose number is a multiple of three are undone."""
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    path = F.concat(F.lit("b"), (F.col("o_custkey") % 97).cast("string"), F.repeat(F.lit("/d"), (k % 200).cast("int")), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("/f"), (k % 7).cast("string"))))
+    actions = o.select((k % 500).alias("run_no"), path.alias("path"), (k % 9973).alias("inode"))
+    return journal.later_blockers(actions, 250, actions.select("run_no").filter("run_no % 3 <> 0"))
+
+
+@query(f"""WITH e AS (
+  SELECT event_type AS job, ts, CASE WHEN event_type IN (SELECT min(event_type) FROM events) THEN NULL ELSE (abs(value) * 100)::BIGINT END AS bytes FROM events
+), t AS (
+  SELECT job, count(*) AS total_items, sum(bytes)::BIGINT AS total_bytes FROM e GROUP BY 1
+), w AS (
+  SELECT job, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' AS ends, count(*) AS items, coalesce(sum(bytes), 0) AS bytes, min(ts) AS first_ts FROM e GROUP BY 1, 2
+), r AS (
+  SELECT job, ends, sum(items) OVER v AS done, sum(bytes) OVER v AS done_bytes, epoch_us(ends) / 1e6 - epoch_us(min(first_ts) OVER v) / 1e6 AS elapsed FROM w WINDOW v AS (PARTITION BY job ORDER BY ends)
+)
+SELECT job, ends, done::BIGINT AS done, done_bytes::BIGINT AS done_bytes, round(elapsed, 3) AS elapsed, round(CASE WHEN elapsed > 0 THEN CASE WHEN done_bytes > 0 THEN done_bytes / elapsed ELSE done / elapsed END END, 6) AS rate,
+  round(CASE WHEN done >= 3 AND done < total_items THEN CASE WHEN total_bytes > 0 AND done_bytes > 0 THEN elapsed * greatest(total_bytes - done_bytes, 0) / done_bytes ELSE elapsed * (total_items - done) / done END END, 3) AS eta_seconds
+FROM r JOIN t USING (job)""")
+def progress_eta(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    least = e.agg(F.min("event_type")).first()[0]
+    rows = e.select(F.col("event_type").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != least, (F.abs("value") * 100).cast("decimal(20,0)").cast("long")).alias("bytes"))
+    totals = rows.groupBy("job").agg(F.count(F.lit(1)).alias("total_items"), F.sum("bytes").alias("total_bytes"))
+    return journal.progress_eta(journal.progress_windows(rows, "job", "1 day"), totals, "job").withColumn("ends", F.col("ends").cast("timestamp_ntz"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritree.plans.ordering import running
+
 #: Severities from worst to best.
 SEVERITIES = ("error", "warning", "info")
 # The events of a journal, the modes of a run, and what each operation on a path must state.
@@ -135,19 +137,42 @@ def latest_per(runs: DataFrame, by: str, order: str, columns: tuple[str, ...]) -
     return top.select(by, F.col(f"r.{order}").alias(order), *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
-def later_blockers(actions: DataFrame, target: int) -> DataFrame:
-    """Runs after the target whose paths equal, contain or lie under one of its paths, or that touch an inode of it.
+def path_key(path: Column) -> Column:
+    """A text by which paths sort as trees do: what lies under a path follows it, before anything else."""
+    return F.concat(F.replace(path, F.lit("/"), F.lit("\x01")), F.lit("\x01"))
+
+
+#: Sorts after everything under a path.
+_LAST = "\U0010ffff"
+
 
-    actions: run_no, path, inode. The prefix test is an equi-join on exploded ancestors, so it needs no nested loop.
+def later_blockers(actions: DataFrame, target: int, active: DataFrame | None = None) -> DataFrame:
+    """Runs after the target whose paths equal, contain or lie under one of its paths, or that touch an inode of it; with `active` (run_no), only runs among these.
+
+    actions: run_no, path, inode. Paths are put in the order of trees once. What lies under a path is an interval there, and intervals nest, so a later path lies under a target's one if the
+    greatest end of the target's intervals up to it is behind it, and contains one if the next target's path is within its own interval. Two running
+    passes over one row a path, however deep paths are.
     """
-    parts = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    own = actions.filter(F.col("run_no") == target).select("path", "inode", ancestors.alias("up"))
-    later = actions.filter(F.col("run_no") > target).select("run_no", "path", "inode", ancestors.alias("up"))
-    under = later.select("run_no", F.explode("up").alias("path")).join(own.select("path").distinct(), "path", "left_semi").select("run_no")
-    over = later.select("run_no", "path").join(own.select(F.explode("up").alias("path")).distinct(), "path", "left_semi").select("run_no")
-    inode = later.join(own.select("inode").distinct(), "inode", "left_semi").select("run_no")
-    return under.unionByName(over).unionByName(inode).distinct()
+    rows = actions.filter(F.col("run_no") >= target)
+    if active is not None:
+        rows = rows.join(active.select("run_no").distinct().unionByName(rows.select("run_no").filter(F.col("run_no") == target).limit(1)), "run_no", "left_semi")
+    own = F.col("run_no") == target
+    paths = rows.select(F.when(own, None).otherwise(F.col("run_no")).alias("later"), path_key(F.col("path")).alias("key")).distinct()
+    end = F.concat("key", F.lit(_LAST))
+    first = F.col("later").isNotNull().cast("int")  # a target's path stands before an equal one
+    under = running(paths, [F.col("key"), first, F.col("later")], greatest={"reach": F.when(F.col("later").isNull(), end)}).filter("later is not null and reach >= key").select("later")
+    # from the end: the least target's path that is not before this one, as the greatest of its turned place
+    turned = paths.select("later", "key").withColumn("next", F.when(F.col("later").isNull(), F.col("key")))
+    over = following(turned, F.col("key"), F.col("later"), F.col("next")).filter(F.col("later").isNotNull() & (F.col("next_key") <= end)).select("later")
+    inode = rows.filter(~own).join(rows.filter(own).select("inode").distinct(), "inode", "left_semi").select(F.col("run_no").alias("later"))
+    return under.unionByName(over).unionByName(inode).distinct().withColumnRenamed("later", "run_no")
+
+
+def following(paths: DataFrame, key: Column, later: Column, value: Column) -> DataFrame:
+    """paths with next_key, the least `value` at or behind each place of the order by key. The number of values before a place names it, so this is a running count and an equi-join."""
+    counted = running(paths.select("later", key.alias("key"), value.alias("value")), [F.col("key"), F.col("value").isNotNull().cast("int"), F.col("later")], sums={"before": F.col("value").isNotNull().cast("long")})
+    values = counted.filter("value is not null").select((F.col("before") - 1).alias("before"), F.col("value").alias("next_key"))
+    return counted.filter("value is null").select("later", "key", "before").join(values, "before").select("later", "key", "next_key")
 
 
 def undo_order(actions: DataFrame) -> DataFrame:
@@ -192,6 +217,32 @@ def progress(items: DataFrame, by: str, order: tuple[str, ...], size: str) -> Da
     return items.select(by, order[0], F.count(F.lit(1)).over(w).alias("done"), F.sum(size).over(w).alias("done_size"), F.count(F.lit(1)).over(whole).alias("total"))
 
 
+def progress_windows(events: DataFrame, by: str, width: str, late: str | None = None) -> DataFrame:
+    """Items and bytes completed in each window of event time, for a table or, with `late` (how long events may come after their time), a stream: by, ends, items, bytes, first_ts.
+
+    events: by, ts, bytes (null or negative: none).
+    """
+    rows = events.withWatermark("ts", late) if late is not None else events
+    size = F.greatest(F.coalesce(F.col("bytes"), F.lit(0)), F.lit(0)).cast("long")
+    one = rows.groupBy(F.window("ts", width), by).agg(F.count(F.lit(1)).alias("items"), F.sum(size).alias("bytes"), F.min("ts").alias("first_ts"))
+    return one.select(by, F.col("window.end").alias("ends"), "items", "bytes", "first_ts")
+
+
+def progress_eta(windows: DataFrame, totals: DataFrame, by: str) -> DataFrame:
+    """At the end of each window what is done, the rate, and the seconds that are left: by bytes where there are any, else by items; none before three items are done, and none behind the last.
+
+    windows: progress_windows; totals: by, total_items, total_bytes (null: unknown). A window is one row, so the running sums are over few rows a group.
+    """
+    w = Window.partitionBy(by).orderBy("ends").rowsBetween(Window.unboundedPreceding, 0)
+    rows = windows.select(by, "ends", F.sum("items").over(w).alias("done"), F.sum("bytes").over(w).alias("done_bytes"), F.min("first_ts").over(w).alias("began")).join(totals, by)
+    elapsed = F.col("ends").cast("double") - F.col("began").cast("double")
+    by_bytes = (F.coalesce("total_bytes", F.lit(0)) > 0) & (F.col("done_bytes") > 0)
+    left = lambda total, done: elapsed * F.greatest(F.col(total) - F.col(done), F.lit(0)) / F.col(done)
+    eta = F.when((F.col("done") >= 3) & (F.col("done") < F.col("total_items")), F.when(by_bytes, left("total_bytes", "done_bytes")).otherwise(left("total_items", "done")))
+    rate = F.when(elapsed > 0, F.when(F.col("done_bytes") > 0, F.col("done_bytes") / elapsed).otherwise(F.col("done") / elapsed))
+    return rows.select(by, "ends", "done", "done_bytes", F.round(elapsed, 3).alias("elapsed"), F.round(rate, 6).alias("rate"), F.round(eta, 3).alias("eta_seconds"))
+
+
 def capacity(files: DataFrame, by: str, block: int, reserve: int) -> DataFrame:
     """Bytes a copy needs: the reserve and every size rounded up to whole blocks."""
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")

@@ -13,32 +13,33 @@ from veritree.plans.shared import scratch, written
 RANGE_ROWS = 200_000
 
 
-def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
-    """df with, for each of `sums`, its sum over all rows up to this one within each value of `by`, in an order that must tell rows apart up to interchangeable ones.
+def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: dict[str, Column] | None = None, greatest: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
+    """df with, for each of `sums` and `greatest`, its sum or greatest value over all rows up to this one within each value of `by`, in an order that must tell rows apart up to interchangeable ones.
 
-    Rows are exchanged once, by ranges of (by, order) whose number follows the number of rows, and written in that order with their range and place, so sums
-    do not depend on ranges being found alike again. What is added up is one row for each range and value of
+    Rows are exchanged once, by ranges of (by, order) whose number follows the number of rows, and written in that order with their range and place, so results
+    do not depend on ranges being found alike again. What is combined is one row for each range and value of
     `by` that meet. Columns named __o0, __o1, ..., __s0, ... are used in between. Rows are counted and written when this is called: give narrow ones.
     """
-    sums = sums or {}
-    keys, values = [f"__o{k}" for k in range(len(order))], [f"__s{k}" for k in range(len(sums))]
-    given = df.withColumns(dict(zip(keys, order)) | dict(zip(values, sums.values())))
+    wanted = [(n, c, F.sum) for n, c in (sums or {}).items()] + [(n, c, F.max) for n, c in (greatest or {}).items()]
+    keys, values = [f"__o{k}" for k in range(len(order))], [f"__s{k}" for k in range(len(wanted))]
+    given = df.withColumns(dict(zip(keys, order)) | {v: c for v, (_, c, _) in zip(values, wanted)})
     ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
     ranges = ranges or max(1, math.ceil(df.count() / RANGE_ROWS))
     dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
-        placed = keep(written(dealt.sortWithinPartitions(*ascending).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
+        placed = keep(written(dealt.sortWithinPartitions(*ascending).drop(*keys).withColumn("__at", F.monotonically_increasing_id()), "running"))
     part = F.shiftright("__at", 33)
     own = Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.withColumn("__part", part).withColumns({v: F.sum(v).over(own) for v in values})
-    met = placed.groupBy(*by, part.alias("__part")).agg(*[F.sum(v).alias(v) for v in values])
+    inside = placed.withColumn("__part", part).withColumns({v: f(v).over(own) for v, (_, _, f) in zip(values, wanted)})
+    met = placed.groupBy(*by, part.alias("__part")).agg(*[f(v).alias(v) for v, (_, _, f) in zip(values, wanted)])
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = met.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col("__part").alias("__p"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__before{v}") for v in values])
+    starts = met.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col("__part").alias("__p"), *[f(v).over(earlier).alias(f"__before{v}") for v, (_, _, f) in zip(values, wanted)])
     same = F.col("__part") == F.col("__p")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__b_{b}"))
     out = inside.join(F.broadcast(starts) if not by else starts, same)
-    return out.select(*df.columns, *[(F.col(v) + F.col(f"__before{v}")).alias(n) for n, v in zip(sums, values)])
+    both = {F.sum: lambda v: F.coalesce(F.col(v) + F.col(f"__before{v}"), v, f"__before{v}"), F.max: lambda v: F.greatest(v, f"__before{v}")}
+    return out.select(*df.columns, *[both[f](v).alias(n) for v, (n, _, f) in zip(values, wanted)])
 
 
 def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "number", ranges: int | None = None) -> DataFrame:
