@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.catalogue import FILES, SIDES, files, oracle_sql, query, sides
+from veritree.catalogue import FILES, SIDES, _sql, files, query, sides
 from veritree.catalogue_media import EVIDENCE, probes
 from veritree.catalogue_media import evidence as media_evidence
 from veritree.catalogue_plans import TOOLS, journal_events
@@ -183,7 +183,7 @@ def store_compacted(spark, sf_dir):
 # -- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
-@query(oracle_sql()["journal_strict_fold"])
+@query(_sql["journal_strict_fold"])
 def journal_stream(spark, sf_dir):
     """The strict reader over the whole journal as a stream in four batches, with an event far behind the others that lets the last ones be judged."""
     source, out = reserved(spark, "journal"), reserved(spark, "problems")
