@@ -51,7 +51,7 @@ def test_windows_of_progress_are_alike_in_a_stream(spark, tmp_path):
     one, two = (sorted(map(tuple, journal.progress_eta(w, totals, "job").collect()), key=str) for w in (streamed, batch))
     assert one == two
     for job, ends, done, done_bytes, elapsed, rate, eta in one:
-        mine = sorted((s, b) for j, s, b in rows if j == job and s < ends.timestamp())
+        mine = sorted(((s, b) for j, s, b in rows if j == job and s < ends.timestamp()), key=lambda x: x[0])
         assert done == len(mine) and done_bytes == sum(max(b or 0, 0) for _, b in mine) and elapsed == ends.timestamp() - mine[0][0]
         whole, size = 60, sum(max(b or 0, 0) for j, _, b in rows if j == job)
         want = None if done < 3 or done == whole else elapsed * (size - done_bytes) / done_bytes if done_bytes else elapsed * (whole - done) / done
