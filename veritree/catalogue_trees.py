@@ -9,9 +9,9 @@ from veritree.catalogue import FILES, SIDES, _sql, files, query, sides
 from veritree.catalogue_media import EVIDENCE, probes
 from veritree.catalogue_media import evidence as media_evidence
 from veritree.catalogue_plans import TOOLS, journal_events
-from veritree.operators import journal, media, merkle, namespace, planning, preservation
+from veritree.operators import coverage, journal, media, merkle, namespace, planning, preservation
 from veritree.plans.shared import reserved
-from veritree.sinks import store
+from veritree.sinks import inventories, store
 from veritree.streaming import journal as stream
 
 #: Children of a folder digested together, small enough for large folders to be digested in levels here.
@@ -348,3 +348,12 @@ def progress_eta(spark, sf_dir):
     rows = e.select(F.col("event_type").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != least, (F.abs("value") * 100).cast("decimal(20,0)").cast("long")).alias("bytes"))
     totals = rows.groupBy("job").agg(F.count(F.lit(1)).alias("total_items"), F.sum("bytes").alias("total_bytes"))
     return journal.progress_eta(journal.progress_windows(rows, "job", "1 day"), totals, "job").withColumn("ends", F.col("ends").cast("timestamp_ntz"))
+
+
+@query(_sql["byte_coverage"])
+def stored_coverage(spark, sf_dir):
+    """The flagship over inventories that were stored before."""
+    paths = [reserved(spark, "inventory") for _ in range(2)]
+    for path, side in zip(paths, sides(spark, sf_dir)):
+        inventories.write(side, path, buckets=16)
+    return coverage.coverage_of(coverage.joined_counts(*[inventories.identities(spark, p) for p in paths]))

@@ -30,17 +30,27 @@ def _sum(c):
 
 def byte_coverage(source: DataFrame, destination: DataFrame, source_complete: bool = True, destination_complete: bool = True) -> DataFrame:
     """One row: how the destination represents the source's content, with the verdict."""
+    return coverage_of(joined(source, destination), source_complete, destination_complete)
+
+
+def joined_counts(source: DataFrame, destination: DataFrame) -> DataFrame:
+    """As joined, of two tables that have one row an identity already (size, sha256, n): a join that takes the partitioning they have, and exchanges nothing where both are bucketed alike."""
+    return source.withColumnRenamed("n", "source_n").join(destination.withColumnRenamed("n", "destination_n"), list(IDENTITY), "full")
+
+
+def coverage_of(both: DataFrame, source_complete: bool = True, destination_complete: bool = True) -> DataFrame:
+    """The row of byte_coverage for joined identities."""
     s, d = F.col("source_n"), F.col("destination_n")
-    here, both, gone = s.isNotNull(), s.isNotNull() & d.isNotNull(), s.isNotNull() & d.isNull()
-    one = joined(source, destination).agg(
+    here, shared, gone = s.isNotNull(), s.isNotNull() & d.isNotNull(), s.isNotNull() & d.isNull()
+    one = both.agg(
         _sum(here.cast("int")).alias("source_unique"),
-        _sum(both.cast("int")).alias("represented"),
+        _sum(shared.cast("int")).alias("represented"),
         _sum(gone.cast("int")).alias("missing"),
         _sum(s.isNull().cast("int")).alias("destination_only"),
         _sum(F.when(here, F.col("size"))).alias("source_bytes"),
         _sum(F.when(gone, F.col("size"))).alias("missing_bytes"),
-        _sum(F.when(both, F.greatest(s - d, F.lit(0)))).alias("reduced"),
-        _sum(F.when(both, F.greatest(d - s, F.lit(0)))).alias("added"),
+        _sum(F.when(shared, F.greatest(s - d, F.lit(0)))).alias("reduced"),
+        _sum(F.when(shared, F.greatest(d - s, F.lit(0)))).alias("added"),
         _sum(F.when(here, s - 1)).alias("source_duplicate_copies"),
         _sum(F.when(here, F.col("size") * (s - 1))).alias("source_duplicate_bytes"),
     )
