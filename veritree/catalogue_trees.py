@@ -357,3 +357,17 @@ def stored_coverage(spark, sf_dir):
     for path, side in zip(paths, sides(spark, sf_dir)):
         inventories.write(side, path, buckets=16)
     return coverage.coverage_of(coverage.joined_counts(*[inventories.identities(spark, p) for p in paths]))
+
+
+@query("""WITH e AS (
+  SELECT c_custkey AS ordinal, c_nationkey AS parent, CASE c_custkey % 4 WHEN 0 THEN 'Été À' WHEN 1 THEN nfd('Été À') WHEN 2 THEN 'ÉTÉ à' ELSE nfd('été à') END || (c_custkey // 40) AS name FROM customer
+), k AS (
+  SELECT *, lower(nfc_normalize(name)) AS key FROM e
+)
+SELECT first, ordinal FROM (SELECT ordinal, min(ordinal) OVER (PARTITION BY parent, key) AS first FROM k) WHERE ordinal <> first""".replace("nfd('Été À')", "'E' || chr(769) || 't' || 'e' || chr(769) || ' A' || chr(768)").replace("nfd('été à')", "'e' || chr(769) || 't' || 'e' || chr(769) || ' a' || chr(768)"))
+def missing_leaves(spark, sf_dir):
+    """Names to be created, in composed and decomposed spellings and both cases."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
+    spelled = F.when(k % 4 == 0, "\u00c9t\u00e9 \u00c0").when(k % 4 == 1, "E\u0301te\u0301 A\u0300").when(k % 4 == 2, "\u00c9T\u00c9 \u00e0").otherwise("e\u0301te\u0301 a\u0300")
+    return journal.same_leaves(c.select(k.alias("ordinal"), F.col("c_nationkey").alias("parent"), F.concat(spelled, F.floor(k / 40).cast("string")).alias("name")))

@@ -129,3 +129,45 @@ def descriptors(stem: Column, collection: str, noise: tuple[str, ...], most: int
     bare = F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, f"^{''.join(parts)}(?=.)", ""), f"^(?:{alternatives})(?=.{{3}})", ""))
     telling = F.filter(bare, lambda w: w.rlike(TELLING) & ~w.rlike(NOT_TELLING) & ~w.isin(*parts, *noise))
     return F.nullif(F.array_join(F.slice(telling, 1, most), "_"), F.lit(""))
+
+
+@functools.cache
+def _decompositions() -> tuple[str, tuple[str, ...], str, str]:
+    """Characters with a canonical decomposition (those with more parts first), the parts at each place, and combining marks with their classes, as characters from U+E000 on. From Unicode's own data; Hangul syllables follow a rule and are left out."""
+    full = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0x80, 0x110000)) if not 0xAC00 <= ord(c) <= 0xDFFF}
+    several = sorted((c for c in full if full[c] != c), key=lambda c: -len(full[c]))
+    parts = tuple("".join(full[c][k] for c in several if len(full[c]) > k) for k in range(max(map(len, full.values()))))
+    marks = [c for c in map(chr, range(0x300, 0x110000)) if unicodedata.combining(c)]
+    return "".join(several), parts, "".join(marks), "".join(chr(0xE000 + unicodedata.combining(c)) for c in marks)
+
+
+def decomposed(column: Column) -> Column:
+    """A text in canonical decomposition (NFD), in built-in functions: characters are taken apart, then marks behind each base put in the order of their classes. Texts of ASCII characters are left as they are."""
+    several, parts, marks, classes = _decompositions()
+
+    def taken_apart(c: Column) -> Column:
+        # where a list of parts is shorter than that of characters, translate() leaves nothing
+        made = F.concat(*[F.translate(c, several, p) for p in parts])
+        s = F.ascii(c) - 0xAC00
+        jamo = lambda code: F.decode(F.unhex(F.concat(F.lit("E1"), F.hex(F.lit(0x80).bitwiseOR(F.shiftright(code, 6).bitwiseAND(F.lit(0x3F)))), F.hex(F.lit(0x80).bitwiseOR(code.bitwiseAND(F.lit(0x3F)))))), "UTF-8")
+        whole = lambda x: F.floor(x).cast("int")
+        tail = F.when(s % 28 == 0, "").otherwise(jamo(s % 28 + 0x11A7))
+        hangul = F.concat(jamo(whole(s / 588) + 0x1100), jamo(whole(s % 588 / 28) + 0x1161), tail)
+        return F.when((s >= 0) & (s < 11172), hangul).when(F.translate(c, several, parts[0]) != c, made).otherwise(c)
+
+    def in_order(text: Column) -> Column:
+        def sort(chars: Column) -> Column:
+            # bound variables, or they would be computed again for each character
+            def keyed(cls: Column) -> Column:
+                run = lambda i: F.size(F.filter(F.slice(cls, F.lit(1), i + 1), lambda x: x == 0))
+                rows = F.transform(chars, lambda c, i: F.struct(run(i).alias("run"), F.element_at(cls, i + 1).alias("cls"), i.alias("i"), c.alias("c")))
+                return F.array_join(F.transform(F.array_sort(rows), lambda x: x["c"]), "")
+
+            cls = F.transform(chars, lambda c: F.when(F.translate(c, marks, classes) == c, 0).otherwise(F.ascii(F.translate(c, marks, classes)) - 0xE000))
+            return F.element_at(F.transform(F.array(cls), keyed), 1)
+
+        return F.element_at(F.transform(F.array(F.split(text, "")), sort), 1)
+
+    ready = F.array_join(F.transform(F.split(column, ""), taken_apart), "")
+    sorted_ = F.element_at(F.transform(F.array(ready), lambda t: F.when(F.translate(t, marks, "") != t, in_order(t)).otherwise(t)), 1)
+    return F.when(column.rlike(r"[^\x00-\x7f]"), sorted_).otherwise(column)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritree.functions.text import decomposed
+from veritree.operators.duplicates import folded
 from veritree.plans.ordering import running
 
 #: Severities from worst to best.
@@ -256,6 +258,16 @@ def overlaps(endpoints: DataFrame) -> DataFrame:
     return up.join(own, "id").filter("inner <> outer").select("outer", "inner").distinct()
 
 
+def same_leaves(endpoints: DataFrame) -> DataFrame:
+    """Endpoints that do not exist yet and would be one entry of their parent: each with the first of its group, so groups give as many rows as they have members. endpoints: ordinal, parent (the id of the folder), name.
+
+    Names are compared in canonical decomposition and case-blind, as a file system may spell either.
+    """
+    rows = endpoints.select("ordinal", "parent", folded(decomposed(F.col("name"))).alias("key"))
+    first = rows.groupBy("parent", "key").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("parent", "key", "first")
+    return rows.join(first, ["parent", "key"]).filter("ordinal <> first").select("first", "ordinal")
+
+
 def queue_expand(jobs: DataFrame, stages: tuple[str, ...], authorised: DataFrame) -> DataFrame:
     """Every stage of every job with its authorisation, if any. stages is a fixed short list, exploded in place."""
     every = F.posexplode(F.array(*[F.lit(s) for s in stages])).alias("at", "stage")
