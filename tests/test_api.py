@@ -40,6 +40,10 @@ def test_validation_report(spark):
     report = api.validation_report(entries, candidates, probes, show_files=True)
     assert report["health"] == {"files_with_errors": 1, "files_with_warnings": 1, "healthy_files": 1} and report["status"] == 1
     assert [(f["code"], f["count"]) for f in report["findings"]] == [("empty_file", 1), ("symbolic_link_skipped", 1)] and report["finding_files"].count() == 2
+    old = spark.createDataFrame([("s", "picture", "healthy")], "sha256 string, kind string, outcome string")
+    more = api.validation_report(entries, candidates.withColumn("sha256", F.lit("s")).withColumn("changed", F.col("path") == "b"), probes, fallback=True, stored=old)
+    assert {f["code"]: (f["severity"], f["count"]) for f in more["findings"]}["classification_fallback"] == ("warning", 1)
+    assert more["reuse"] == {"reused": 1, "checked": 1} and more["changed_during_validation"] == 1 and report["changed_during_validation"] == 0
     assert report["inventory"]["media_files"] == 2 and report["inventory"]["media_bytes"] == 5 and report["inventory"]["other_files"] == 1
 
 

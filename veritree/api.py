@@ -91,10 +91,13 @@ def duplicate_plan(files: DataFrame, folder: str = "dups") -> DataFrame:
     return duplicates.move_plan(files.filter(~classification.in_review(F.col("path"), folder)), folder)
 
 
-def validation_report(entries: DataFrame, candidates: DataFrame, probes: DataFrame, profile: str = "standard", show_files: bool = False) -> dict:
-    """Health of a collection: inventory by disposition, findings by severity and code, files by health, exit status. entries: path, disposition; others as in `validation`."""
+def validation_report(entries: DataFrame, candidates: DataFrame, probes: DataFrame, profile: str = "standard", show_files: bool = False, fallback: bool = False, stored: DataFrame | None = None) -> dict:
+    """Health of a collection: inventory by disposition, findings by severity and code, files by health, exit status. entries: path, disposition; others as in `validation`.
+
+    fallback: contents could not be classified; stored: earlier results (sha256, kind, outcome), with which the report counts the files that need no check.
+    """
     found = validation.file_findings(candidates, probes).unionByName(validation.entry_findings(entries)).select("path", "kind", "severity", "code")
-    rows = validation.findings_table(found).collect()  # a row for each code at most
+    rows = validation.findings_table(found, fallback).collect()  # a row for each code at most
     by = {r["disposition"]: r["n"] for r in entries.groupBy("disposition").agg(F.count(F.lit(1)).alias("n")).collect()}
     kinds = {r["kind"]: r for r in candidates.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).collect()}
     one = validation.health(candidates, found).first()
@@ -109,8 +112,11 @@ def validation_report(entries: DataFrame, candidates: DataFrame, probes: DataFra
         },
         "health": {k: one[k] for k in ("files_with_errors", "files_with_warnings", "healthy_files")},
         "findings": [{"severity": r["severity"], "code": r["code"], "count": r["count"], "description": validation.CODES[r["code"]][1]} for r in sorted(rows, key=lambda r: (r["severity"], r["code"]))],
+        "changed_during_validation": sum(r["count"] for r in rows if r["code"] == "changed_during_validation"),
         "status": one["status"],
     }
+    if stored is not None:
+        out["reuse"] = validation.split_reused(candidates, stored).agg(F.count(F.when(F.col("reused"), 1)).alias("reused"), F.count(F.when(~F.col("reused"), 1)).alias("checked")).first().asDict()
     return out | ({"finding_files": found} if show_files else {})
 
 
@@ -171,6 +177,14 @@ def quarantine_plan(tree_entries: DataFrame, source: dict, destination: dict, bl
     return {"schema_version": 1, "manifest": manifest.asDict() if manifest else None, "required": need["required"] if need else reserve, "problems": sorted(k for k, bad in checks.items() if bad)}
 
 
-def evidence_report(store: DataFrame, observations: DataFrame, current: DataFrame) -> dict:
-    """Evidence per type and how much of it is linked and current."""
-    return {r["evidence_type"]: {k: r[k] for k in ("records", "namespaces", "linked", "unlinked", "current")} for r in evidence.status(store, observations, current).collect()}
+def evidence_report(store: DataFrame, observations: DataFrame, current: DataFrame, versions: DataFrame | None = None) -> dict:
+    """Evidence per type and how much of it is linked and current; with the algorithms in use (evidence_type, algorithm), also what fits them, the observations by state and the coverage of the whole store."""
+    types = {r["evidence_type"]: {k: r[k] for k in ("records", "namespaces", "linked", "unlinked", "current")} for r in evidence.status(store, observations, current).collect()}
+    if versions is None:
+        return types
+    one = evidence.report(store, observations, current, versions).first()
+    part = lambda *names: {n: one[n] for n in names}
+    return {
+        "evidence_types": types, **part("evidence_records", "evidence_namespaces"), "evidence_compatibility": part("algorithm_compatible", "stale_algorithm", "unknown_type"),
+        "file_observations": {"total": one["observations"], **{s: one[f"observations_{s}"] for s in ("current", "stale", "unreadable")}}, "evidence_coverage": part("linked", "linked_current", "unlinked"),
+    }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.catalogue import FILES, SIDES, _sql, files, query, sides
-from veritree.catalogue_media import EVIDENCE, probes
+from veritree.catalogue import FILES, SIDES, STORE, _sql, files, query, sides
+from veritree.catalogue import store as evidence_store
+from veritree.catalogue_media import EVIDENCE, FOUND, STATES, all_findings, observed, probes
 from veritree.catalogue_media import evidence as media_evidence
 from veritree.catalogue_plans import TOOLS, journal_events
-from veritree.operators import coverage, journal, media, merkle, namespace, planning, preservation
+from veritree.operators import coverage, evidence, journal, media, merkle, namespace, planning, preservation, validation
 from veritree.plans.shared import reserved
 from veritree.sinks import inventories, store
 from veritree.streaming import journal as stream
@@ -371,3 +372,29 @@ def missing_leaves(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
     spelled = F.when(k % 4 == 0, "\u00c9t\u00e9 \u00c0").when(k % 4 == 1, "E\u0301te\u0301 A\u0300").when(k % 4 == 2, "\u00c9T\u00c9 \u00e0").otherwise("e\u0301te\u0301 a\u0300")
     return journal.same_leaves(c.select(k.alias("ordinal"), F.col("c_nationkey").alias("parent"), F.concat(spelled, F.floor(k / 40).cast("string")).alias("name")))
+
+
+# -- reports on the store and on health --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {STATES}, {STORE}, more AS (
+  SELECT * FROM store UNION ALL SELECT sha256(file_sha256), 'odd-type', algorithm, runtime, payload_json FROM store
+), h AS (
+  SELECT sha256, bool_or(state = 'current') AS fresh FROM s GROUP BY 1
+), m AS (
+  SELECT more.*, evidence_type = 'exact-pixels' AS known, evidence_type = 'exact-pixels' AND algorithm = 'v1' AS fits, fresh FROM more LEFT JOIN h ON file_sha256 = sha256
+)
+SELECT count(*) AS evidence_records, count(DISTINCT evidence_type) AS evidence_types, count(DISTINCT (evidence_type, algorithm, runtime)) AS evidence_namespaces, count(*) FILTER (WHERE fits) AS algorithm_compatible, count(*) FILTER (WHERE known AND NOT fits) AS stale_algorithm,
+  count(*) FILTER (WHERE NOT known) AS unknown_type, count(*) FILTER (WHERE fresh IS NOT NULL) AS linked, count(*) FILTER (WHERE fresh) AS linked_current, count(*) FILTER (WHERE fresh IS NULL) AS unlinked,
+  (SELECT count(*) FROM s) AS observations, {", ".join(f"(SELECT count(*) FROM s WHERE state {c}) AS observations_{n}" for n, c in (("current", "= 'current'"), ("stale", "IN ('stale', 'gone')"), ("unreadable", "= 'unreadable'")))} FROM m""")
+def evidence_report(spark, sf_dir):
+    """The whole store in one row; half of its records are of contents that no observation points to, and of a type that is not in use."""
+    kept = evidence_store(spark, sf_dir)
+    more = kept.unionByName(kept.withColumns({"file_sha256": F.sha2("file_sha256", 256), "evidence_type": F.lit("odd-type")}))
+    versions = spark.createDataFrame([("exact-pixels", "v1")], "evidence_type string, algorithm string")
+    return evidence.report(more, *observed(spark, sf_dir), versions)
+
+
+@query(f"WITH {FOUND} SELECT severity, code, count(*) AS count, count(DISTINCT path) AS files FROM h GROUP BY 1, 2 UNION ALL SELECT 'warning', 'classification_fallback', 1, 0")
+def validation_fallback(spark, sf_dir):
+    return validation.findings_table(all_findings(spark, sf_dir), fallback=True)

@@ -73,6 +73,26 @@ def status(evidence: DataFrame, observations: DataFrame, current: DataFrame) ->
     )
 
 
+def report(evidence: DataFrame, observations: DataFrame, current: DataFrame, versions: DataFrame) -> DataFrame:
+    """One row on a whole store: records, their types and namespaces; how many fit the algorithms in use, are stale or of an unknown type; observations by state; and how many records any observation, or one that still holds, points to.
+
+    versions: evidence_type, algorithm, few. An observation whose file is gone is stale. Hashes are made one row each before they are joined, so copies do not multiply records.
+    """
+    states = observation_states(observations, current).withColumn("state", F.when(F.col("state") == "gone", "stale").otherwise(F.col("state")))
+    hashes = states.filter("byte_sha256 is not null").groupBy(F.col("byte_sha256").alias("file_sha256")).agg(F.max(F.col("state") == "current").alias("fresh"))
+    known = versions.groupBy("evidence_type").agg(F.collect_set("algorithm").alias("algorithms"))
+    rows = evidence.join(known, "evidence_type", "left").join(hashes, "file_sha256", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    fits = F.coalesce(F.array_contains("algorithms", F.col("algorithm")), F.lit(False))
+    one = rows.agg(
+        F.count(F.lit(1)).alias("evidence_records"), F.countDistinct("evidence_type").alias("evidence_types"), F.countDistinct("evidence_type", "algorithm", "runtime").alias("evidence_namespaces"),
+        n(fits).alias("algorithm_compatible"), n(F.col("algorithms").isNotNull() & ~fits).alias("stale_algorithm"), n(F.col("algorithms").isNull()).alias("unknown_type"),
+        n(F.col("fresh").isNotNull()).alias("linked"), n(F.col("fresh")).alias("linked_current"), n(F.col("fresh").isNull()).alias("unlinked"),
+    )
+    seen = states.agg(F.count(F.lit(1)).alias("observations"), *[n(F.col("state") == s).alias(f"observations_{s}") for s in ("current", "stale", "unreadable")])
+    return one.withColumn("__one", F.lit(1)).join(seen.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def valid(evidence: DataFrame) -> DataFrame:
     """Rows that meet the store's constraints: a digest, non-empty names, a payload that is a JSON object without repeated keys."""
     keys = F.json_object_keys("payload_json")

@@ -15,7 +15,7 @@ CODES: dict[str, tuple[str, str]] = {
     "additional_streams": ("info", "subtitle, data or attachment streams"),
     "changed_during_discovery": ("warning", "changed while it was being found"),
     "changed_during_validation": ("warning", "changed while it was being checked"),
-    "classification_fallback": ("info", "type guessed from the name"),
+    "classification_fallback": ("warning", "type guessed from the name"),
     "container_extension_mismatch": ("warning", "container of another family than the extension's"),
     "empty_file": ("error", "no content"),
     "extension_content_mismatch": ("warning", "extension and content disagree"),
@@ -129,9 +129,13 @@ def health(candidates: DataFrame, findings: DataFrame) -> DataFrame:
     return one.withColumn("status", F.when(F.col("files_with_errors") > 0, 1).otherwise(0))
 
 
-def findings_table(findings: DataFrame) -> DataFrame:
-    """Findings by severity and code, with the number of findings and of files."""
-    return findings.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("path").alias("files"))
+def findings_table(findings: DataFrame, fallback: bool = False) -> DataFrame:
+    """Findings by severity and code, with the number of findings and of files; with `fallback`, one more for the whole run, of no file: contents could not be classified, so names decided."""
+    out = findings.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("path").alias("files"))
+    if fallback:
+        own = findings.sparkSession.range(1).select(F.lit("classification_fallback").alias("code"), F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("files"))
+        out = out.unionByName(own.select(severity_of(F.col("code")).alias("severity"), "code", "count", "files"))
+    return out
 
 
 def results(candidates: DataFrame, findings: DataFrame) -> DataFrame:
