@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritree.plans.gaps import free_numbers
@@ -39,12 +39,11 @@ def folded(column: Column) -> Column:
 def ranked(files: DataFrame, group: tuple[str, ...] = ("size", "sha256"), ascii_paths: bool = False) -> DataFrame:
     """Members of groups with several files, ranked: largest, then oldest, then first path; rank 1 is kept.
 
-    Groups of one are dropped by an aggregate before the sort, so only duplicates are shuffled for ranking.
+    Groups of one are dropped by an aggregate before the sort, so only duplicates are shuffled for ranking, and they are put in order by ranges, so a group of any size is ranked by many tasks.
     """
     several = files.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     key = F.lower("path") if ascii_paths else folded(F.col("path"))
-    w = Window.partitionBy(*group).orderBy(F.desc("size"), F.asc("modified_ns"), "__key", "path")
-    return files.join(several, list(group)).withColumn("__key", key).withColumn("rank", F.row_number().over(w)).drop("__key")
+    return numbered(files.join(several, list(group)), [-F.col("size"), F.col("modified_ns"), key, F.col("path")], tuple(group), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def move_plan(files: DataFrame, folder: str = "dups", ascii_paths: bool = False) -> DataFrame:

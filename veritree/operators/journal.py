@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritree.functions.text import decomposed
 from veritree.operators.duplicates import folded
-from veritree.plans.ordering import running
+from veritree.plans.ordering import numbered, running
 
 #: Severities from worst to best.
 SEVERITIES = ("error", "warning", "info")
@@ -113,8 +113,8 @@ def undo_plan(targets: DataFrame, states: DataFrame) -> DataFrame:
     rows = targets.select("tool", "run_id", F.col("state").alias("run_state"), "blocked").join(states, "run_id")
     rows = rows.filter(~((F.col("run_state") != "committed") & (F.col("state") == "unapplied")))
     problem = F.when(F.col("blocked"), "unfinished-undo").when(F.col("state") == "conflict", "conflict").when(F.col("state") == "unapplied", "not-applied")
-    w = Window.partitionBy("tool").orderBy(F.desc("action_seq"))
-    return rows.select("tool", "run_id", F.row_number().over(w).alias("step"), F.col("after").alias("before"), F.col("before").alias("after"), problem.alias("problem"))
+    steps = rows.select("tool", "run_id", "action_seq", F.col("after").alias("before"), F.col("before").alias("after"), problem.alias("problem"))
+    return numbered(steps, [-F.col("action_seq")], ("tool",), "step").select("tool", "run_id", F.col("step").cast("int").alias("step"), "before", "after", "problem")
 
 
 def action_problems(actions: DataFrame, required: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -179,8 +179,8 @@ def following(paths: DataFrame, key: Column, later: Column, value: Column) -> Da
 
 def undo_order(actions: DataFrame) -> DataFrame:
     """Completed actions of each run reversed, last first, with before and after exchanged."""
-    w = Window.partitionBy("run_id").orderBy(F.desc("action_seq"))
-    return actions.filter("applied").select("run_id", F.row_number().over(w).alias("step"), "operation", F.col("after").alias("before"), F.col("before").alias("after"))
+    steps = actions.filter("applied").select("run_id", "action_seq", "operation", F.col("after").alias("before"), F.col("before").alias("after"))
+    return numbered(steps, [-F.col("action_seq")], ("run_id",), "step").select("run_id", F.col("step").cast("int").alias("step"), "operation", "before", "after")
 
 
 def findings_rollup(findings: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ of one file are looked up once and never decoded twice; a hash with two payloads
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritree.operators import coverage
+from veritree.plans.ordering import numbered
 
 #: What equal playback has in common: files that differ in one of these can not play alike.
 CANDIDATE_KEY = ("display_width", "display_height", "has_audio", "audio_sample_rate", "audio_channels", "audio_layout")
@@ -108,12 +109,11 @@ def decoded_groups(files: DataFrame, digests: DataFrame, digest: str) -> DataFra
 
 
 def keepers(groups: DataFrame, digest: str, ascii_paths: bool = False) -> DataFrame:
-    """Members of each group ranked: largest, then oldest, then first path; rank 1 is kept."""
+    """Members of each group ranked, by ranges: largest, then oldest, then first path; rank 1 is kept."""
     from veritree.operators.duplicates import folded
 
     key = F.lower("path") if ascii_paths else folded(F.col("path"))
-    w = Window.partitionBy(digest).orderBy(F.desc("size"), F.asc("modified_ns"), "__key", "path")
-    return groups.withColumn("__key", key).withColumn("rank", F.row_number().over(w)).drop("__key")
+    return numbered(groups, [-F.col("size"), F.col("modified_ns"), key, F.col("path")], (digest,), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def candidate_buckets(files: DataFrame, probes: DataFrame) -> DataFrame:

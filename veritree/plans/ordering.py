@@ -24,9 +24,10 @@ def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums:
     keys, values = [f"__o{k}" for k in range(len(order))], [f"__s{k}" for k in range(len(wanted))]
     given = df.withColumns(dict(zip(keys, order)) | {v: c for v, (_, c, _) in zip(values, wanted)})
     ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
-    ranges = ranges or max(1, math.ceil(df.count() / RANGE_ROWS))
-    dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
+        given = written(given, "given")  # what makes the rows runs once; they are counted, sampled and exchanged from here
+        ranges = ranges or max(1, math.ceil(given.count() / RANGE_ROWS))
+        dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.coalesce(1)
         placed = keep(written(dealt.sortWithinPartitions(*ascending).drop(*keys).withColumn("__at", F.monotonically_increasing_id()), "running"))
     part = F.shiftright("__at", 33)
     own = Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
@@ -50,9 +51,10 @@ def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name:
     keys = [f"__o{k}" for k in range(len(order))]
     given = df.withColumns(dict(zip(keys, order)))
     ascending = [F.col(b).asc_nulls_first() for b in by] + [F.col(k).asc_nulls_first() for k in keys]
-    ranges = ranges or max(1, math.ceil(df.count() / RANGE_ROWS))
-    dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.repartition(1)
     with scratch(df.sparkSession) as keep:
+        given = written(given, "given")  # what makes the rows runs once; they are counted, sampled and exchanged from here
+        ranges = ranges or max(1, math.ceil(given.count() / RANGE_ROWS))
+        dealt = given.repartitionByRange(ranges, *ascending) if ranges > 1 else given.coalesce(1)
         placed = keep(written(dealt.sortWithinPartitions(*ascending).drop(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered"))
     part = F.shiftright("__at", 33)
     met = placed.groupBy(*by, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
