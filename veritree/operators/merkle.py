@@ -35,7 +35,8 @@ def _digested(items: DataFrame, *by: str) -> DataFrame:
 def _lists(children: DataFrame, by: str, chunk: int) -> DataFrame:
     """One digest for the children of each folder."""
     counts = children.groupBy(by, "parent").agg(F.count(F.lit(1)).alias("n"))
-    most, rounds = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0], 0
+    large = written(counts.filter(F.col("n") > chunk), "large")  # a table of its own, so that a join with a folder of many children can be split
+    most, rounds = large.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0], 0
     while most > chunk << 4 * rounds:
         rounds += 1
     items = children.select(by, "parent", F.col("name").alias("at"), F.concat(field(F.col("name")), "digest").alias("line"), "files", "folders", "bytes")
@@ -43,8 +44,7 @@ def _lists(children: DataFrame, by: str, chunk: int) -> DataFrame:
         levels = F.lit(0)
         for k in range(rounds):
             levels = levels + (F.col("n") > (chunk << 4 * k)).cast("int")
-        large = counts.filter(F.col("n") > chunk).select(by, "parent", levels.alias("levels"))
-        items = items.join(large, [by, "parent"], "left").withColumn("levels", F.coalesce("levels", F.lit(0))).withColumn("key", F.sha2("at", 256))
+        items = items.join(large.select(by, "parent", levels.alias("levels")), [by, "parent"], "left").withColumn("levels", F.coalesce("levels", F.lit(0))).withColumn("key", F.sha2("at", 256))
         for k in range(rounds, 0, -1):
             low = _digested(items.filter(F.col("levels") >= k).withColumn("key", F.substring("key", 1, k)), by, "parent", "levels", "key")
             items = items.filter(F.col("levels") < k).unionByName(low.withColumn("at", F.col("key")).withColumn("line", F.concat(field(F.col("key")), "list")).drop("list"))

@@ -28,7 +28,9 @@ def outcomes(source: DataFrame, destination: DataFrame, evidence: DataFrame, exa
     ).filter("source_n + destination_n > 0")
     gone = (F.col("source_n") > 0) & (F.col("destination_n") == 0)
     keys = lambda picture, video: F.filter(F.array(F.when(picture & F.col("pixels").isNotNull(), F.concat(F.lit("i"), "pixels")), F.when(video & F.col("plays").isNotNull(), F.concat(F.lit("v"), "plays"))), lambda k: k.isNotNull())
-    sought = each.withColumn("key", F.explode_outer(F.when(gone, keys(F.col("picture"), F.col("video")))))
+    own = F.when(gone, keys(F.col("picture"), F.col("video")))
+    # contents without a key get one of their own, that nothing has: nulls would all meet in one task
+    sought = each.withColumn("key", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.concat(F.lit("0"), "sha256")))))
     held = each.filter("destination_n > 0").select(F.explode(keys(F.col("there_picture"), F.col("there_video"))).alias("key")).distinct().withColumn("hit", F.lit(True))
     met = sought.join(held, "key", "left")
     columns = [c for c in each.columns if c != "sha256"]
