@@ -89,10 +89,10 @@ def container_family(value: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.trim(value)), ","))), ",")
 
 
-def format_bytes(size: Column) -> Column:
-    """A size in the largest unit of at least one, to one place (half to even)."""
+def format_bytes(size: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """A size in the largest of the units (and bytes) of which it has at least one, to one place (half to even). Each unit is 1024 of the one before."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(units, 1):
         out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", F.bround(size / float(1024**k), 1)), F.lit(" " + unit))).otherwise(out)
     return out
 
