@@ -9,7 +9,7 @@ from tests.test_catalogue import compare
 from veritree import catalogue
 
 
-@pytest.mark.parametrize("name, table, key, by", [("scalar_forms", "orders", "o_orderkey", 360_000_000), ("scalar_forms", "orders", "o_orderkey", 357_000)])
+@pytest.mark.parametrize("name, table, key, by", [("scalar_forms", "orders", "o_orderkey", 360_000_000), ("scalar_forms", "orders", "o_orderkey", 357_000), ("rename_plan", "documents", "doc_id", 94_900), ("rename_plan", "documents", "doc_id", 1_000_000)])
 def test_large_keys_equal_the_sql(spark, sf, tmp_path, name, table, key, by):
     for f in os.listdir(sf):
         if f != f"{table}.parquet":

@@ -506,7 +506,8 @@ SELECT named AS source, regexp_extract(named, '^(.*/)', 1) || 'home__' || CASE k
 def rename_plan(spark, sf_dir):
     d = F.col("doc_id")
     word = F.when(F.col("kind") == "picture", "image").otherwise("video")
-    named = F.concat("source", F.lit("/home__"), word, F.lit("_"), F.lpad((d + 5000).cast("string"), 5, "0"), F.lit("__undated"), "ext")
+    number = F.format_string("%05d", d + 5000)  # at least five digits: lpad would cut longer numbers
+    named = F.concat("source", F.lit("/home__"), word, F.lit("_"), number, F.lit("__undated"), "ext")
     f = files(spark, sf_dir).withColumns({"path": F.when(d % 10 == 0, named).otherwise(F.col("path")), "stamp": F.when(d % 4 != 0, F.col("modified_ns") % 1000000007), "descriptor": F.when(d % 6 == 0, F.col("lang"))})
     return planning.rename_plan(f, "home")
 
