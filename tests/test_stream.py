@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,69 @@ def test_windows_of_progress_are_alike_in_a_stream(spark, tmp_path):
         whole, size = 60, sum(max(b or 0, 0) for j, _, b in rows if j == job)
         want = None if done < 3 or done == whole else elapsed * (size - done_bytes) / done_bytes if done_bytes else elapsed * (whole - done) / done
         assert eta == (None if want is None else round(want, 3))
+
+
+class Handle:
+    """State in memory, in place of Spark's, that counts calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def state(self, *_):
+        outer = self
+
+        class State(dict):
+            def __getattribute__(own, name):
+                if name in ("getValue", "updateValue", "containsKey", "appendList", "put", "get"):
+                    outer.calls += 1
+                return dict.__getattribute__(own, name)
+
+        State.getValue = lambda own, k: dict.get(own, k)
+        State.updateValue = dict.__setitem__
+        State.containsKey = dict.__contains__
+        State.appendList = lambda own, rows: own.update({len(own) + i: r for i, r in enumerate(rows)})
+        State.put = lambda own, rows: (own.clear(), own.update(enumerate(rows)))
+        State.get = lambda own: iter(list(own.values()))
+        return State()
+
+    getMapState = getListState = getValueState = state
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Times:
+    now = 0
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def judged(rows, cuts):
+    """Problems and calls of a reader that gets rows (with ts) up to each cut, and then a watermark a little before it."""
+    reader, handle, times, out = stream.StrictReader(catalogue_plans.TOOLS), Handle(), Times(), []
+    reader.init(handle)
+    for low, high in zip([0, *cuts], cuts):
+        part = pd.DataFrame([r for r in rows if low <= r["ts_ms"] < high], columns=["ts", "bucket", *stream._WAITING.names])
+        reader.handleInputRows((0,), iter([part]), times)
+        times.now = max(times.now, high - 50)
+        while due := sorted(t for t in handle.timers if t <= times.now):
+            handle.timers.discard(due[0])
+            out += [tuple(x) for d in reader.handleExpiredTimer((0,), times, None) for x in d.itertuples(index=False)]
+    return sorted(out), handle.calls
+
+
+def test_calls_to_the_state_follow_runs_not_events(spark):
+    r, rows = random.Random(8), []
+    for k in range(4000):
+        event = r.choices(["RUN_STARTED", "ACTION_PLANNED", "ACTION_COMPLETED", "RUN_COMMITTED", "RUN_INCOMPLETE", "ODD"], [3, 20, 20, 0.3, 0.2, 0.2])[0]
+        at = 1 + k // 4  # of a run in one order with seq
+        rows.append({"ts_ms": at, "seq": k, "run_id": f"r{r.randrange(20)}", "event": event, "tool": r.choice([*catalogue_plans.TOOLS, "x", None]), "mode": r.choice(["APPLY", "UNDO"]), "target_run_id": r.choice([None, "r1"]), "action_id": r.choice([None, "", *map(str, range(30))]), "action_count": r.choice([None, 1, 2]), "reason": r.choice([None, "s"])})
+    end = 10**6
+    once, calls = judged(rows, [end])
+    events = spark.createDataFrame([{**x, "ts": None} for x in rows], "seq long, run_id string, event string, tool string, mode string, target_run_id string, action_id string, action_count long, reason string")
+    assert once == sorted(map(tuple, journal.event_problems(events, catalogue_plans.TOOLS).collect())) and len(once) > 500
+    assert calls < 20 * (2 + 30) + 20
+    for cuts in ([500, end], [100, 200, 300, 301, 700, end], list(range(40, 1100, 40)) + [end]):
+        assert judged(rows, cuts)[0] == once

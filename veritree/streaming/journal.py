@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -44,13 +47,28 @@ def run_states(events: DataFrame) -> DataFrame:
 STRICT = "ts timestamp, seq long, run_id string, event string, tool string, mode string, target_run_id string, action_id string, action_count long, reason string"
 _FIELDS = [c.split()[0] for c in STRICT.split(", ")]
 PROBLEMS = "seq long, run_id string, problem string"
+#: Runs are dealt into so many groups, which share their calls and timers. A checkpoint holds for one number only.
+BUCKETS = 1024
+#: Events as they wait, and how many are judged at once.
+_WAITING = pa.schema([("ts_ms", pa.int64()), *[(n, pa.int64() if kind == "long" else pa.string()) for n, kind in (c.split() for c in STRICT.split(", ")[1:])]])
+_AT_ONCE = 10_000
+
+
+def _packed(events: pa.Table) -> tuple[int, bytes]:
+    """An element of the waiting list: the least time of some events, and these."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, events.schema) as out:
+        out.write_table(events, max_chunksize=_AT_ONCE)
+    return pc.min(events["ts_ms"]).as_py(), sink.getvalue().to_pybytes()
 
 
 class StrictReader(StatefulProcessor):
-    """The rules of `operators.journal.event_problems`, event by event, for one run at a time.
+    """The rules of `operators.journal.event_problems`, event by event, for the runs of one bucket at a time.
 
     Events wait until the watermark has passed their time and are then judged in order of seq, so their order of arrival and the cut into batches do not matter. State
-    is four counters and a target a run, two counters for each of its actions (a map that is read for the actions at hand only), and the events that wait.
+    is four counters and a target a run, two counters for each action of a run that has not ended (read for the actions at hand only: after its end no rule asks for them), and the
+    events that wait, packed by the batches in which they came. A bucket has one timer, for the first of them, so what is called once for each bucket and batch does not grow with the
+    events; a run is read and written once each time that events of it are judged.
     """
 
     def __init__(self, tools: tuple[str, ...]):
@@ -58,69 +76,98 @@ class StrictReader(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "starts long, planned long, completed long, ended long, target string")
-        self.actions = handle.getMapState("actions", "action_id string", "planned long, completed long")
-        self.waiting = handle.getListState("waiting", "ts_ms long, " + ", ".join(STRICT.split(", ")[1:]))
+        self.runs = handle.getMapState("runs", "run_id string", "starts long, planned long, completed long, ended long, target string, has_actions boolean")
+        self.actions = handle.getMapState("actions", "run_id string, action_id string", "planned long, completed long")
+        self.waiting = handle.getListState("waiting", "least_ms long, events binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        added = []
-        for part in rows:
-            part = part[_FIELDS].astype(object).where(part[_FIELDS].notna(), None)
-            for ts, seq, *rest, count, reason in part.itertuples(index=False, name=None):
-                added.append((int(pd.Timestamp(ts).timestamp() * 1000), int(seq), *rest, None if count is None else int(count), reason))
-        self.waiting.appendList(added)
-        for at in {r[0] for r in added}:
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        added = [_packed(pa.Table.from_pandas(part[_WAITING.names], _WAITING, preserve_index=False)) for part in rows if len(part)]
+        if added:
+            self.waiting.appendList(added)
+            self.handle.registerTimer(max(min(least for least, _ in added), timerValues.getCurrentWatermarkInMs() + 1))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, later = [], []
-        for r in self.waiting.get():
-            (due if r[0] <= timerValues.getCurrentWatermarkInMs() else later).append(tuple(r))
+        now = timerValues.getCurrentWatermarkInMs()
+        due, rest, later = [], [], []
+        for least, packed in self.waiting.get():
+            if least > now:
+                later.append((least, bytes(packed)))
+                continue
+            events = pa.ipc.open_stream(bytes(packed)).read_all()
+            is_due = pc.less_equal(events["ts_ms"], now)
+            due.append(events.filter(is_due))
+            rest.append(events.filter(pc.invert(is_due)))
         if not due:  # another timer of this watermark was first
             return
-        self.waiting.put(later) if later else self.waiting.clear()
-        starts, planned, completed, ended, target = self.run.get() if self.run.exists() else (0, 0, 0, 0, None)
-        touched: dict[str, list[int]] = {}
-        found = []
-        for _, seq, run_id, event, tool, mode, to, action, count, reason in sorted(due, key=lambda r: r[1]):
-            if action and action not in touched:
-                touched[action] = list(self.actions.getValue((action,))) if self.actions.containsKey((action,)) else [0, 0]
-            own = touched.get(action, [0, 0])
-            start = event == "RUN_STARTED"
-            problem = (
-                "unknown-event" if event not in EVENT_NAMES
-                else "duplicate-run" if start and starts
-                else "tool" if start and tool not in self.tools
-                else "mode" if start and mode not in MODES
-                else "unexpected-target" if start and mode == "APPLY" and to is not None
-                else "no-target" if start and mode == "UNDO" and not to
-                else "unknown-run" if not start and not starts
-                else "after-end" if not start and ended
-                else "no-action" if event in ("ACTION_PLANNED", "ACTION_COMPLETED") and not action
-                else "duplicate-action" if event == "ACTION_PLANNED" and own[0]
-                else "not-planned" if event == "ACTION_COMPLETED" and not own[0]
-                else "completed-twice" if event == "ACTION_COMPLETED" and own[1]
-                else "count" if event == "RUN_COMMITTED" and (count is None or count != planned or count != completed)
-                else "commit-target" if event == "RUN_COMMITTED" and to != target
-                else "no-reason" if event == "RUN_INCOMPLETE" and reason is None
-                else None
-            )
-            if problem:
-                found.append((seq, run_id, problem))
-            starts += start
-            planned += event == "ACTION_PLANNED"
-            completed += event == "ACTION_COMPLETED"
-            ended += event in ("RUN_COMMITTED", "RUN_INCOMPLETE")
-            target = target if target is not None or not start else to
-            if action:
-                own[0] += event == "ACTION_PLANNED"
-                own[1] += event == "ACTION_COMPLETED"
-        self.run.update((starts, planned, completed, ended, target))
-        for action, own in touched.items():
-            self.actions.updateValue((action,), tuple(own))
-        if found:
-            yield pd.DataFrame(found, columns=["seq", "run_id", "problem"])
+        rest = pa.concat_tables(rest)
+        later += [_packed(rest.slice(at, _AT_ONCE)) for at in range(0, len(rest), _AT_ONCE)]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(least for least, _ in later))
+        else:
+            self.waiting.clear()
+        ordered = pa.concat_tables(due).sort_by([("run_id", "ascending"), ("seq", "ascending")])
+        last, run = None, None
+        for part in ordered.to_batches(_AT_ONCE):
+            found = []
+            for _, *event in zip(*(c.to_pylist() for c in part.columns)):
+                if run is None or event[1] != last:
+                    if run is not None:
+                        self._write(last, *run)
+                    last, run = event[1], self._read(event[1])
+                if problem := self._judge(*run, *event):
+                    found.append((event[0], last, problem))
+            if found:
+                yield pd.DataFrame(found, columns=["seq", "run_id", "problem"])
+        self._write(last, *run)
+
+    def _read(self, run_id: str) -> tuple[list, dict]:
+        """A run as it was left (starts, planned, completed, ended, target, whether actions of it are kept), and its actions at hand."""
+        return list(self.runs.getValue((run_id,)) or (0, 0, 0, 0, None, False)), {}
+
+    def _write(self, run_id: str, run: list, touched: dict[str, list[int]]) -> None:
+        if not run[3]:
+            for action, own in touched.items():
+                self.actions.updateValue((run_id, action), tuple(own))
+            run[5] = run[5] or bool(touched)
+        self.runs.updateValue((run_id,), tuple(run))
+
+    def _judge(self, run: list, touched: dict[str, list[int]], seq: int, run_id: str, event: str, tool: str, mode: str, to: str, action: str, count: int, reason: str) -> str | None:
+        starts, planned, completed, ended, target, has_actions = run
+        own = [0, 0]
+        if action and not ended and event in ("ACTION_PLANNED", "ACTION_COMPLETED"):
+            if action not in touched:
+                kept = has_actions and self.actions.containsKey((run_id, action))
+                touched[action] = list(self.actions.getValue((run_id, action))) if kept else [0, 0]
+            own = touched[action]
+        start = event == "RUN_STARTED"
+        problem = (
+            "unknown-event" if event not in EVENT_NAMES
+            else "duplicate-run" if start and starts
+            else "tool" if start and tool not in self.tools
+            else "mode" if start and mode not in MODES
+            else "unexpected-target" if start and mode == "APPLY" and to is not None
+            else "no-target" if start and mode == "UNDO" and not to
+            else "unknown-run" if not start and not starts
+            else "after-end" if not start and ended
+            else "no-action" if event in ("ACTION_PLANNED", "ACTION_COMPLETED") and not action
+            else "duplicate-action" if event == "ACTION_PLANNED" and own[0]
+            else "not-planned" if event == "ACTION_COMPLETED" and not own[0]
+            else "completed-twice" if event == "ACTION_COMPLETED" and own[1]
+            else "count" if event == "RUN_COMMITTED" and (count is None or count != planned or count != completed)
+            else "commit-target" if event == "RUN_COMMITTED" and to != target
+            else "no-reason" if event == "RUN_INCOMPLETE" and reason is None
+            else None
+        )
+        run[0] += start
+        run[1] += event == "ACTION_PLANNED"
+        run[2] += event == "ACTION_COMPLETED"
+        run[3] += event in ("RUN_COMMITTED", "RUN_INCOMPLETE")
+        run[4] = target if target is not None or not start else to
+        own[0] += event == "ACTION_PLANNED"
+        own[1] += event == "ACTION_COMPLETED"
+        return problem
 
     def close(self) -> None:
         pass
@@ -135,4 +182,5 @@ def strict_problems(events: DataFrame, tools: tuple[str, ...], late: str = "10 m
     if "RocksDB" not in (conf.get(name, "") or ""):
         conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select(*_FIELDS).withWatermark("ts", late)
-    return rows.groupBy("run_id").transformWithStateInPandas(StrictReader(tools), PROBLEMS, "Append", "EventTime")
+    rows = rows.withColumns({"ts_ms": F.unix_millis("ts"), "bucket": F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int")})
+    return rows.groupBy("bucket").transformWithStateInPandas(StrictReader(tools), PROBLEMS, "Append", "EventTime")
