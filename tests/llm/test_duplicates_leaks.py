@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import no_documents, odd_documents
+from veritree.plans.shared import written
 from veritree.llm import components, decontamination, minhash, suffix_array, suffix_dedup
 from veritree.llm.wordhash import shingle_set
 
@@ -296,3 +297,17 @@ def test_a_leak_takes_only_its_own_row(spark):
         assert out.columns == df.columns
         want = [r for r in df.collect() if not re.search("brown|lorem", r.text or "")]
         assert len(want) == 8 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_components_do_not_run_rounds_on_stars(spark, monkeypatch):
+    from veritree.llm import components as module
+
+    made = []
+    monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or written(df, name))
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = lambda rows: {r.node: r.component for r in module.components(links(rows)).collect()}
+    assert got([(1, 2), (3, 1), (9, 9), (7, 8), (8, 7)]) == {1: 1, 2: 1, 3: 1, 9: 9, 7: 7, 8: 7} and len(made) == 1
+    chain = [(k, k + 1) for k in range(1, 40)] + [(100, 99), (98, 99), (50, 50)]
+    assert got(chain) == {k: 1 for k in range(1, 41)} | {98: 98, 99: 98, 100: 98, 50: 50}
+    assert got([(5, 1), (5, 2), (6, 2)]) == {1: 1, 2: 1, 5: 1, 6: 1}
+    assert got([]) == {}
