@@ -311,3 +311,43 @@ def test_components_do_not_run_rounds_on_stars(spark, monkeypatch):
     assert got(chain) == {k: 1 for k in range(1, 41)} | {98: 98, 99: 98, 100: 98, 50: 50}
     assert got([(5, 1), (5, 2), (6, 2)]) == {1: 1, 2: 1, 5: 1, 6: 1}
     assert got([]) == {}
+
+
+def test_texts_are_hashed_and_compared_together(monkeypatch):
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [decontamination.read_item(k, " ".join(r.choice(vocabulary) for _ in range(14))) for k in range(6)] + [decontamination.read_item(6, "rare one. rare two")]
+    vocab = decontamination.Vocabulary(items)
+    model = decontamination.Model(items, vocab, np.ones(len(vocab), np.float32), np.eye(len(vocab), dtype=np.float32))
+    model.prepare()
+    spell = dict(zip(decontamination.hashed_words(" ".join(vocabulary)).tolist(), vocabulary))
+    texts = [" ".join(r.choice(vocabulary) for _ in range(30)) for _ in range(400)]
+    texts += [" ".join(r.choice(vocabulary) for _ in range(9)) + " " + " ".join(spell[w] for w in i.words) for i in items[:6]]
+    texts += ["x " * 20 + " ".join(spell[w] for w in items[0].words[:8]) + " x" * 20] * 50  # near by cosine, with too few of its words
+    texts += [None, "", " ", "w1", "w2", "éW1-w2\x00", "w3 " * 40000, "rare one rare two"]
+    each = [decontamination.hashed_words(t) for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(each, decontamination.hashed_texts(texts), strict=True)) and not decontamination.hashed_texts([])
+    alone = [model.leaks([t])[0] for t in texts]
+    calls = collections.Counter()
+    for name in ("word_hashes", "lcs"):
+        monkeypatch.setattr(decontamination, name, lambda *a, f=getattr(decontamination, name), n=name, **b: (calls.update([n]), f(*a, **b))[1])
+    got = model.leaks(texts)
+    assert [[(x[0], *x[2:]) for x in g] for g in got] == [[(x[0], *x[2:]) for x in g] for g in alone]
+    assert [k for g in got[400:406] for k, *_ in g] == list(range(6)) and got[-1][0][0] == 6
+    twice = " ".join(spell[w] for w in items[3].words)
+    assert {g[0][4] for g in model.leaks([texts[0], *[f"{twice} {'x ' * 40}{t} {twice}" for t in texts[:300]]])[1:]} == {0}  # of equal places the first
+    calls.clear()
+    model.leaks(texts)
+    near = len(model.candidates(each))
+    assert calls["word_hashes"] <= 5 and 0 < calls["lcs"] < near
+
+
+def test_running_sums_and_columns():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 31, 32, 33, 1000):
+        rows = r.random((n, 5))
+        assert np.allclose(decontamination.running_sums(rows), np.r_[np.zeros((1, 5)), np.cumsum(rows, axis=0)])
+    # words that share their first 16 bits, in the vocabulary and outside
+    hashes = np.array([5 << 48, (5 << 48) + 1, (5 << 48) + 9, 7 << 48], np.uint64)
+    vocab = decontamination.Vocabulary([], hashes)
+    assert vocab.columns(np.r_[hashes, hashes + np.uint64(2), np.array([0, 1 << 63], np.uint64)]).tolist() == [0, 1, 2, 3, -1, -1, -1, -1, -1, -1]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ MAX_DF, LEAST_WORDS = 0.1, 8
 LEAST_MASS = 0.3
 #: Benchmark items searched at once, in a latent space of their own; more are searched in blocks of so many.
 ITEMS = 400
-#: Words that are projected at once, and rows whose texts are searched at once.
-BLOCK, SLICE = 1 << 16, 256
+#: Words that are projected at once, rows whose texts are searched at once, bytes that are hashed at once, and words of a text whose windows are compared together.
+BLOCK, SLICE, HASHED, STRETCH = 1 << 16, 256, 1 << 16, 1 << 12
 
 _LUT = np.full(256, 32, np.uint8)
 _LUT[128:] = np.arange(128, 256)
@@ -62,6 +63,22 @@ def hashed_words(text: str | None) -> np.ndarray:
     return word_hashes(_LUT[np.frombuffer((text or "").encode(), np.uint8)], fold=False)[0]
 
 
+def hashed_texts(texts: list[str | None]) -> list[np.ndarray]:
+    """The hash of each word of each text; texts are laid end to end, a space between, and hashed in blocks of about HASHED bytes."""
+    out: list[np.ndarray] = []
+    block: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        block.append((t or "").encode())
+        size += len(block[-1])
+        if size >= HASHED or k == len(texts) - 1:
+            h, starts, _ = word_hashes(_LUT[np.frombuffer(b" ".join(block), np.uint8)], fold=False)
+            cuts = np.searchsorted(starts, np.cumsum([0, *(len(b) + 1 for b in block)])).tolist()
+            out += [h[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+            block, size = [], 0
+    return out
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: object
@@ -76,7 +93,7 @@ def read_item(item_id: object, text: str | None) -> Item:
 
 
 class Vocabulary:
-    """Columns of the benchmark's words, found by a table on 20 bits of the hash with sorted overflow."""
+    """Columns of the benchmark's words, found by a table on 16 bits of the hash, and by order where words share these."""
 
     def __init__(self, items: list[Item], only: np.ndarray | None = None):
         self.hashes = np.unique(np.array([w for i in items for w in i.words], np.uint64)) if only is None else only
@@ -88,14 +105,14 @@ class Vocabulary:
         """The column of each word, -1 for words outside."""
         if not len(self.hashes) or not len(h):
             return np.full(len(h), -1, np.int64)
-        if not hasattr(self, "_maybe"):
-            self._maybe = np.zeros(1 << 20, bool)
-            self._maybe[self.hashes >> np.uint64(44)] = True
-        out = np.full(len(h), -1, np.int64)
-        at = np.flatnonzero(self._maybe[h >> np.uint64(44)])
+        if not hasattr(self, "_first"):
+            self._first = np.full(1 << 16, -1, np.int32)
+            self._first[(self.hashes >> np.uint64(48))[::-1]] = np.arange(len(self.hashes), dtype=np.int32)[::-1]
+        out = self._first[h >> np.uint64(48)].astype(np.int64)
+        # words whose bits stand for no word, or for another one first
+        at = np.flatnonzero((self.hashes[out] != h) & (out >= 0))
         place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        hit = self.hashes[place] == h[at]
-        out[at[hit]] = place[hit]
+        out[at] = np.where(self.hashes[place] == h[at], place, -1)
         return out
 
     def __getstate__(self):
@@ -128,6 +145,18 @@ def window_size(n: int) -> tuple[int, int]:
     return (size, max(1, size // 4)) if n >= 4 else (max(1, n), 1)
 
 
+def running_sums(rows: np.ndarray, stride: int = 32) -> np.ndarray:
+    """Sums of the first 0, 1, ... rows; rows of all strides are added up side by side."""
+    out = np.zeros((1 + -(-len(rows) // stride) * stride, rows.shape[1]), rows.dtype)
+    out[1 : len(rows) + 1] = rows
+    steps = out[1:].reshape(-1, stride, rows.shape[1])
+    for i in range(1, stride):
+        steps[:, i] += steps[:, i - 1]
+    if len(steps) > 1:
+        steps[1:] += np.cumsum(steps[:-1, -1], axis=0)[:, None]
+    return out[: len(rows) + 1]
+
+
 @dataclass
 class Model:
     items: list[Item]
@@ -153,7 +182,7 @@ class Model:
             share = size / np.array([len(self.items[k].words) for k in members])
             mass = np.array([self.mass[c].sum() for c in cols])
             self.groups.append((size, step, np.array(members), np.ascontiguousarray((vectors / norms[:, None]).T), norms * 0.9 * np.sqrt(share), self.least_mass * float((share * mass).min())))
-        self.masks = [(bit_masks(i.words), bit_masks(i.answer)) for i in self.items]
+        self.masks = [(np.unique(np.array(i.words, np.uint64)), bit_masks(i.words), bit_masks(i.answer)) for i in self.items]
 
     def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, cosine) of the windows near an item, of texts given by their words' hashes; texts are laid end to end in blocks."""
@@ -181,13 +210,12 @@ class Model:
         lengths = np.array([len(h) for _, _, h in block])
         offsets = np.cumsum(lengths) - lengths
         heavy = np.r_[0.0, np.cumsum(self.mass[cols[where]])]
-        vectors_at = self.weighted[cols[where]]
-        sums = np.zeros((len(where) + 1, vectors_at.shape[1]), np.float32)
-        np.cumsum(vectors_at, axis=0, out=sums[1:])
         # places in `where` of every word's place, so that windows need no search
         place = np.zeros(len(cols) + 1, np.int32)
         np.cumsum(cols >= 0, out=place[1:])
-        for size, step, members, vectors, least, floor in self.groups:
+        windows = []
+        open_at = np.zeros(len(where) + 1, np.int64)
+        for size, step, _, _, _, floor in self.groups:
             last = np.maximum(lengths - size, 0)
             counts = np.where(last < BLOCK, -(-last // step) + 1, (BLOCK - 1) // step + 1)
             part = np.repeat(np.arange(len(block)), counts)
@@ -195,35 +223,52 @@ class Model:
             starts = np.minimum(inner, last[part]) + offsets[part]
             lo, hi = place[starts], place[np.minimum(starts + size, offsets[part] + lengths[part])]
             some = np.flatnonzero((hi > lo) & (heavy[hi] - heavy[lo] >= floor))
-            for b in range(0, len(some), 4096):
-                w = some[b : b + 4096]
-                x = sums[hi[w]] - sums[lo[w]]
+            part, starts, lo, hi = part[some], starts[some], lo[some], hi[some]
+            windows.append((part, starts, lo, hi))
+            open_at += np.bincount(lo, minlength=len(open_at)) - np.bincount(hi, minlength=len(open_at))
+        # only words of windows that are projected are summed up; a window has all of its own
+        inside = np.cumsum(open_at)[:-1] > 0
+        at = np.zeros(len(where) + 1, np.int64)
+        np.cumsum(inside, out=at[1:])
+        sums = running_sums(self.weighted[cols[where[inside]]])
+        for (size, _, members, vectors, least, _), (part, starts, lo, hi) in zip(self.groups, windows):
+            for b in range(0, len(part), 4096):
+                w = slice(b, b + 4096)
+                x = sums[at[hi[w]]] - sums[at[lo[w]]]
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
                 score = (x @ vectors) / np.maximum(norm[:, None], least[None])
                 for i, j in zip(*np.nonzero(score >= SCORE)):
-                    k, at, _ = block[part[w[i]]]
-                    out.append((k, int(members[j]), int(at + starts[w[i]] - offsets[part[w[i]]]), size, float(score[i, j])))
+                    k, before, _ = block[part[b + i]]
+                    out.append((k, int(members[j]), int(before + starts[b + i] - offsets[part[b + i]]), size, float(score[i, j])))
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, int]]]:
         """For each text (item, cosine, share of the item, share of its answer, first word) of the items that it leaks."""
-        hashes = [hashed_words(t) for t in texts]
+        hashes = hashed_texts(texts)
         best: list[dict[int, tuple]] = [{} for _ in texts]
-        words: tuple[int, list[int]] = (-1, [])
-        for t, k, start, size, score in sorted(self.candidates(hashes)) if self.groups else []:
-            if words[0] != t:
-                words = (t, hashes[t].tolist())
-            item = self.items[k]
+        near = sorted(self.candidates(hashes)) if self.groups else []
+        for (t, k, _), group in groupby(near, key=lambda c: (c[0], c[1], c[2] // STRETCH)):
+            windows = [(start, size, score) for _, _, start, size, score in group]
+            item, (own, masks, answer_masks) = self.items[k], self.masks[k]
             n = len(item.words)
-            around = words[1][max(0, start - n) : start + size + n]
-            share = lcs(self.masks[k][0], n, around) / n
-            if share < LIKELY:
-                continue
-            answered = lcs(self.masks[k][1], len(item.answer), around) / len(item.answer) if item.answer else 1.0
-            if share >= CERTAIN or answered >= CERTAIN:
-                found = (share, score, answered, -start)
-                if k not in best[t] or found > best[t][k]:
-                    best[t][k] = found
-        return [[(k, s[1], s[0], s[2], -s[3]) for k, s in sorted(b.items())] for b in best]
+            # the places of the item's words in all that surrounds the windows; no other word counts in a subsequence
+            first = max(0, windows[0][0] - n)
+            text = hashes[t][first : windows[-1][0] + windows[-1][1] + n]
+            found_at = np.flatnonzero(own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text)
+            words = text[found_at].tolist()
+            bounds = np.searchsorted(found_at, [(max(0, start - n) - first, start + size + n - first) for start, size, _ in windows]).tolist()
+            for (start, _, score), (lo, hi) in zip(windows, bounds):
+                if (hi - lo) / n < LIKELY:
+                    continue
+                share = lcs(masks, n, words[lo:hi]) / n
+                if share < LIKELY:
+                    continue
+                answered = lcs(answer_masks, len(item.answer), words[lo:hi]) / len(item.answer) if item.answer else 1.0
+                if share >= CERTAIN or answered >= CERTAIN:
+                    # rounded, as equal windows differ by what was summed up before them
+                    found = (share, round(score, 4), answered, -start, score)
+                    if k not in best[t] or found > best[t][k]:
+                        best[t][k] = found
+        return [[(k, s[4], s[0], s[2], -s[3]) for k, s in sorted(b.items())] for b in best]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -233,20 +278,25 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield b, b.column(column).to_pylist()
 
 
+def _pieces(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers in 32 bits, as one binary value between each two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(numbers.astype(np.int32).tobytes())])
+
+
 def vocabulary_columns(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
     """passage and col, for each document: the number of its passage and the column of each of its words in the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for b in batches:
-            passage, col = [], []
-            for t in b.column(0):
-                cols = v.columns(hashed_words(t.as_py()))
-                inside = np.flatnonzero(cols >= 0)
-                passage.append((inside // PASSAGE).astype(np.int32).tobytes())
-                col.append(cols[inside].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(passage, pa.binary()), pa.array(col, pa.binary())], ["passage", "col"])
+        for b, texts in (x for batch in batches for x in _texts(batch, 0)):
+            hashes = hashed_texts(texts)
+            ends = np.cumsum([0, *(len(h) for h in hashes)])
+            cols = v.columns(np.concatenate(hashes))
+            inside = np.flatnonzero(cols >= 0)
+            cuts = np.searchsorted(inside, ends)
+            passage = (inside - np.repeat(ends[:-1], np.diff(cuts))) // PASSAGE
+            yield pa.RecordBatch.from_arrays([_pieces(x, cuts) for x in (passage, cols[inside])], ["passage", "col"])
 
     return written(docs.select(F.col(text)).mapInArrow(run, "passage binary, col binary"), "columns")
 

@@ -24,12 +24,15 @@ def _lut(fold: bool) -> np.ndarray:
 
 #: Bytes with white space as 0, A-Z lower-cased in the first.
 FOLD, PLAIN = _lut(True), _lut(False)
+#: What each byte counts in a hash, with and without folding; bytes outside white space.
+_FOLDED, _PLAIN, _INSIDE = FOLD.astype(np.uint64) + np.uint64(1), PLAIN.astype(np.uint64) + np.uint64(1), PLAIN > 0
+_INSIDE[0] = True
 # NUL bytes of a text are word characters, not white space: they are hashed as a byte value past 255
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     if size not in _pow:
         _pow.clear()
         out = []
@@ -51,10 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of bytes outside white space (space, tab to carriage return)."""
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _INSIDE[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,11 +65,10 @@ def word_hashes(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndar
     starts, ends = word_spans(raw)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    b = (FOLD if fold else PLAIN)[raw]
     up, down = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        np.cumsum((_FOLDED if fold else _PLAIN)[raw] * up[: len(raw)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * down[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), starts, ends
 
