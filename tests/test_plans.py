@@ -181,6 +181,19 @@ def test_replay_equals_a_loop(spark):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_replay_is_dealt_out_by_rows(spark, monkeypatch, given):
+    from veritree.operators import transitions
+
+    monkeypatch.setattr(transitions, "TASK_ROWS", 20, raising=False)
+    actions = [(run, k, "a" if k % 2 == 0 else "b", "b" if k % 2 == 0 else "a") for run in [*range(50), None] for k in range(2)] + [(7, 2, "c", "a"), (8, 2, "c", "d"), (None, 2, None, "d")]
+    entries = [(run, p) for run in [*range(50), None] for p in ("a", "a", "c", None)]  # repeated entries count once; no path is no entry
+    actions, entries = spark.createDataFrame(actions, "run_id int, seq int, before string, after string"), spark.createDataFrame(entries, "run_id int, path string")
+    got = transitions.simulate(actions, entries, **({"rows": 400} if given else {}))
+    assert {tuple(x) for x in got.collect()} == {(7, 2, "occupied"), (None, 2, "missing")} and got.schema["run_id"].dataType.simpleString() == "int"
+    assert got.rdd.getNumPartitions() == -(-(400 if given else 2 * actions.count() + entries.count()) // 20)  # what a task sorts does not grow with the rows
+
+
 def test_small_predicates(spark, tmp_path):
     from veritree.operators import listing
 

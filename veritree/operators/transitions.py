@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of a replay sorts, about.
+TASK_ROWS = 400_000
+
 
 def forward_state(actions: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Each action's state in a snapshot: applied, unapplied, or conflict where neither or both of its paths hold its identity.
@@ -94,19 +99,30 @@ def verdict_problems(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("run", problem.alias("problem")).filter("problem is not null")
 
 
-def simulate(actions: DataFrame, entries: DataFrame, order: str = "seq") -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that follow the number of rows, so that what a task sorts does not grow with them; one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
+def simulate(actions: DataFrame, entries: DataFrame, order: str = "seq", rows: int | None = None) -> DataFrame:
     """Sequential replay of renames, one run at a time: the first action of each run that finds its source gone or its target taken.
 
     actions: run_id, seq, before, after; entries: run_id, path. Whether a path is taken before an action is what it held at first plus what came less
     what went, a running sum over that path's own events; it holds up to the first problem of a run, which is all that is reported. So no task replays a run.
+    Entries are events too, before all others, so nothing is joined. Events are dealt out by run and path to as many tasks as their number asks for: two for
+    each action and one for each entry are counted unless `rows` gives about how many there are.
     """
-    went = actions.select("run_id", F.col(order).alias("seq"), F.col("before").alias("path"), F.lit(0).alias("step"))
-    came = actions.select("run_id", F.col(order).alias("seq"), F.col("after").alias("path"), F.lit(1).alias("step"))
-    held = entries.select("run_id", "path").distinct().withColumn("held", F.lit(1))
-    events = went.unionByName(came).join(held, ["run_id", "path"], "left")
-    w = Window.partitionBy("run_id", "path").orderBy("seq", "step").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce("held", F.lit(0)) + F.coalesce(F.sum(2 * F.col("step") - 1).over(w), F.lit(0))
+    spark = actions.sparkSession
+    n = tasks_for(spark, 2 * actions.count() + entries.count() if rows is None else rows)
+    went, came = (F.struct(F.lit(step).alias("step"), F.col(side).alias("path")) for step, side in ((0, "before"), (1, "after")))
+    steps = actions.select("run_id", F.col(order).alias("seq"), F.explode(F.array(went, came)).alias("e")).select("run_id", "seq", "e.path", "e.step")
+    held = entries.filter("path is not null").select("run_id", F.lit(None).cast(steps.schema["seq"].dataType).alias("seq"), "path", F.lit(-1).alias("step"))
+    events = steps.unionByName(held).repartition(n, "run_id", "path")
+    w = Window.partitionBy("run_id", "path").orderBy(F.col("step") >= 0, "seq", "step").rowsBetween(Window.unboundedPreceding, -1)
+    change = F.when(F.col("step") >= 0, 2 * F.col("step") - 1)
+    taken = F.coalesce(F.max((F.col("step") < 0).cast("int")).over(w), F.lit(0)) + F.coalesce(F.sum(change).over(w), F.lit(0))
     marked = events.withColumn("taken", taken)
     problem = F.when((F.col("step") == 0) & (F.col("taken") < 1), "missing").when((F.col("step") == 1) & (F.col("taken") > 0), "occupied")
-    first = marked.withColumn("problem", problem).filter("problem is not null").groupBy("run_id").agg(F.min(F.struct("seq", "step", "problem")).alias("p"))
+    found = marked.withColumn("problem", problem).filter("problem is not null").select("run_id", "seq", "step", "problem").repartition(n, "run_id")
+    first = found.groupBy("run_id").agg(F.min(F.struct("seq", "step", "problem")).alias("p"))
     return first.select("run_id", F.col("p.seq").cast("long").alias("seq"), "p.problem")
