@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import pathlib
 import random
 import re
 
@@ -7,8 +8,9 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import no_documents, odd_documents
-from veritree.plans.shared import written
 from veritree.llm import components, decontamination, minhash, suffix_array, suffix_dedup
+from veritree.plans import shared
+from veritree.plans.shared import written
 from veritree.llm.wordhash import shingle_set
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,6 +147,51 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert {x.n_removed for x in got if x.doc_id in (1, 2, 3, 4, 8)} == {0}
 
 
+def test_suffix_dedup_of_copies_and_one_id(spark):
+    """Copies with the same and with other doc_ids (or none) are removed whole, and what other texts share with them is found."""
+    r = random.Random(5)
+    a, b = ("".join(r.choice("abcdefgh") for _ in range(900)) for _ in range(2))
+    rows = [(1, a), (1, a), (2, a), (None, a), (1, b), (3, "z" * 50 + b[100:600] + "y" * 20), (4, a[:450] + "x" * 30), (5, b[:230])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(df).collect())
+    assert got == sorted((d or 0, *w[:3], hashlib.sha256(w[3]).hexdigest()) for (d, _), w in zip(rows, removed([t for _, t in rows])))
+
+
+def on_disk(spark, job):
+    """Bytes that a job writes into shuffles and tables if nothing is deleted meanwhile."""
+    sc = spark.sparkContext._jsc.sc()
+    stages = lambda: sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    top = pathlib.Path(shared.shared_dir(spark).removeprefix("file://"))
+    sizes = lambda: {p: p.stat().st_size for p in top.rglob("*.parquet")}
+    sc.listenerBus().waitUntilEmpty()
+    before, tables = {stages().apply(i).stageId() for i in range(stages().size())}, sizes()
+    job()
+    sc.listenerBus().waitUntilEmpty()
+    found = stages()
+    shuffled = sum(x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size())) if x.stageId() not in before)
+    return shuffled + sum(n for p, n in sizes().items() if p not in tables)
+
+
+def test_suffix_dedup_takes_little_disk(spark, monkeypatch):
+    """All tables and shuffles together, as old shuffles stay until the driver collects its garbage: texts move once, bytes of pieces only where digests leave something open."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(500)) for _ in range(600)]
+    for i in range(0, 270):  # some take over half of another text, the half of these with a change
+        t = texts[300 + i][:1500]
+        texts[i] = (t[:700] + "#" * (i % 2) + t[700:]) + texts[i][1500:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for where in (shared, suffix_dedup):
+        monkeypatch.setattr(where, "dropped", lambda *_: None, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        took = on_disk(spark, lambda: suffix_dedup.digests(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    size = sum(map(len, texts))
+    assert took < 4 * size
+
+
 def item(r, vocabulary, n):
     return ". ".join(" ".join(r.choice(vocabulary) for _ in range(n // 2)).capitalize() for _ in range(2)) + "."
 

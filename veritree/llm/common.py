@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritree.plans.shared import dropped, scratch, shared_dir, written  # noqa: F401
+from veritree.plans.shared import bucketed, dropped, scratch, shared_dir, written  # noqa: F401
 
 #: A word is a maximal run of characters outside these (Java and RE2 syntax).
 SPACE_CLASS = r"[\x09-\x0D\x20]"

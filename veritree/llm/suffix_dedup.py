@@ -4,8 +4,9 @@ Blockwise construction, one suffix bucket at a time. A window (a LENGTH-byte str
 bucket named by the least hash of the GRAM-byte strings inside it, so equal windows share a bucket
 wherever they stand. Neighbouring windows mostly share their bucket too: each text falls into runs
 of windows, about 80 windows long. Buckets with one run only cannot hold a repeat and end there. For the others the run's
-bytes (a piece) travel to the bucket; equal pieces are recognised by digest and aggregated before that,
-and every window of a piece that occurs twice is a repeat. Within a task, buckets are taken in blocks of
+bytes (a piece) are recognised by digest, and every window of a piece that occurs twice is a repeat. Bytes travel to a bucket
+only where that leaves something open: one copy of each distinct piece, if the bucket has several or one that may repeat within itself.
+Texts move once, into a table in buckets by text, from which pieces are digested, then cut, and in which spans are applied. Within a task, buckets are taken in blocks of
 BLOCK bytes; a block's windows are put in suffix order with a difference cover, whose sample ranks
 resolve long ties, and neighbours in that order that agree on LENGTH bytes are repeats.
 A bucket of over HOT_BYTES of distinct pieces (around a passage that a large part of the corpus holds) would not fit a task; its
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritree.llm.common import scratch, written
+from veritree.llm.common import bucketed, dropped, scratch, written
 from veritree.llm.suffix_array import repeated
 from veritree.llm.wordhash import _powers, mix
 
@@ -74,14 +75,14 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, k1 and k2 (the text's MD5 and length) and the text as bytes."""
+    """doc_id, k1 and k2 (the text's MD5 and length), own (with k2: the text of this doc_id) and the text as bytes."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     part = lambda at: F.conv(F.substring(F.md5(t), at, 15), 16, 10).cast("long")
-    return docs.select(F.col(key).alias("doc_id"), part(1).alias("k1"), part(16).alias("k2"), t.cast("binary").alias("bytes"))
+    return docs.select(F.col(key).alias("doc_id"), part(1).alias("k1"), part(16).alias("k2"), part(1).bitwiseXOR(F.xxhash64(F.col(key))).alias("own"), t.cast("binary").alias("bytes"))
 
 
 def signatures(keyed: DataFrame) -> DataFrame:
-    """Each row's size, digest and runs."""
+    """Each row's size, digest and runs, and its number (row)."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def signatures(keyed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 sizes, shas, found = [], [], []
-                for t in b.column(3):
+                for t in b.column(4):
                     data = t.as_py()
                     sizes.append(len(data))
                     shas.append(hashlib.sha256(data).hexdigest())
@@ -98,13 +99,41 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 np.cumsum([len(f[0]) for f in found], out=offsets[1:])
                 cols = [np.concatenate([f[i] for f in found]) for i in range(4)]
                 rows = pa.StructArray.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3])], ["bucket", "start", "end", "multi"])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["doc_id", "k1", "k2", "n_bytes", "sha256", "runs"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(sizes, pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["doc_id", "k1", "k2", "own", "n_bytes", "sha256", "runs"])
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha256 string, runs array<struct<bucket: long, start: int, end: int, multi: boolean>>")
+    found = keyed.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, own long, n_bytes long, sha256 string, runs array<struct<bucket: long, start: int, end: int, multi: boolean>>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def _cut_pieces(active: DataFrame) -> DataFrame:
-    """A row for each run that counts: its bucket, its place and its bytes with their digest."""
+def _listed(column: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples."""
+    ends = column.offsets.to_pylist()
+    rows = list(zip(*(column.values.field(f).slice(ends[0], ends[-1] - ends[0]).to_pylist() for f in fields)))
+    return (rows[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:]))
+
+
+def _digested(active: DataFrame) -> DataFrame:
+    """A row for each run that counts: its bucket, its place and the digest of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                out: list[tuple] = []
+                for own, k2, data, found in zip(*(b.column(i).to_pylist() for i in range(3)), _listed(b.column(3), "bucket", "run")):
+                    for bucket, packed in found:
+                        start, end = packed >> 12, (packed >> 12) + (packed >> 1 & 2047) + LENGTH - 1
+                        d = xxhash.xxh3_128_intdigest(data[start:end])
+                        out.append((bucket, d >> 65, (d & ((1 << 64) - 1)) >> 1, own, k2, start, end, bool(packed & 1)))
+                kinds = (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.bool_(),)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "p1", "p2", "own", "k2", "start", "end", "multi"])
+
+    return active.select("own", "k2", "bytes", "runs").mapInArrow(run, "bucket long, p1 long, p2 long, own long, k2 long, start int, end int, multi boolean")
+
+
+def _cut(active: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted pieces with their bytes; bytes: of the bucket's distinct pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,32 +141,29 @@ def _cut_pieces(active: DataFrame) -> DataFrame:
                 b = batch.slice(at, 64)
                 out: list[tuple] = []
                 held = 0
-                for k1, k2, data, found in zip(*(b.column(i) for i in range(4))):
-                    k1, k2, data = k1.as_py(), k2.as_py(), data.as_py()
-                    for r in found.as_py():
-                        piece = data[r["start"] : r["end"] + LENGTH - 1]
-                        d = xxhash.xxh3_128_intdigest(piece)
-                        out.append((r["bucket"], d >> 65, (d & ((1 << 64) - 1)) >> 1, k1, k2, r["start"], piece))
-                        held += len(piece)
+                for own, k2, data, found in zip(*(b.column(i).to_pylist() for i in range(3)), _listed(b.column(3), "bucket", "start", "size", "bytes", "many")):
+                    for bucket, start, size, of, many in found:
+                        out.append((bucket, own, k2, start, data[start : start + size], many, of))
+                        held += size
                         if held > 1 << 23:
-                            yield _pieces(out)
+                            yield pieces(out)
                             out, held = [], 0
                 if out:
-                    yield _pieces(out)
-
-    return active.select("k1", "k2", "bytes", "runs").mapInArrow(run, "bucket long, p1 long, p2 long, k1 long, k2 long, start int, piece binary")
+                    yield pieces(out)
 
+    def pieces(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "own", "k2", "start", "piece", "many", "bytes"])
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(),) * 5 + (pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "p1", "p2", "k1", "k2", "start", "piece"])
+    by_text = wanted.groupBy("own", "k2").agg(F.collect_list(F.struct("bucket", "start", "size", "bytes", "many")).alias("wanted"))
+    return active.select("own", "k2", "bytes").join(by_text, ["own", "k2"]).mapInArrow(run, "bucket long, own long, k2 long, start int, piece binary, many boolean, bytes long")
 
 
-SPANS = "k1 long, k2 long, start int, end int"
+SPANS = "own long, k2 long, start int, end int"
 
 
-def _sorted_blocks(distinct: DataFrame) -> DataFrame:
-    """Spans of the repeats among distinct pieces of a bucket, for pieces that occur once; bytes: of the bucket's pieces."""
+def _sorted_blocks(pieces: DataFrame) -> DataFrame:
+    """Spans of the repeats among distinct pieces of a bucket, for pieces that occur once."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[4]) for r in rows])
@@ -152,11 +178,11 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
         first = np.r_[True, (np.diff(at) > 1) | (np.diff(which[at]) > 0)] if len(at) else np.zeros(0, bool)
         lo = at[first]
         hi = at[np.r_[first[1:], True]] if len(at) else at
-        own = which[lo]
-        start = np.array([r[3] for r in rows], np.int64)[own]
+        of = which[lo]
+        start = np.array([r[3] for r in rows], np.int64)[of]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][1] for i in own], pa.int64()), pa.array([rows[i][2] for i in own], pa.int64()), pa.array((start + inner[lo]).astype(np.int32)), pa.array((start + inner[hi] + LENGTH).astype(np.int32))],
-            ["k1", "k2", "start", "end"],
+            [pa.array([rows[i][1] for i in of], pa.int64()), pa.array([rows[i][2] for i in of], pa.int64()), pa.array((start + inner[lo]).astype(np.int32)), pa.array((start + inner[hi] + LENGTH).astype(np.int32))],
+            ["own", "k2", "start", "end"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,27 +199,26 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = distinct.select("bucket", "lo.k1", "lo.k2", "lo.start", "piece", "many", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, SPANS)
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
 
 
-def _by_digest(distinct: DataFrame) -> DataFrame:
+def _by_digest(pieces: DataFrame) -> DataFrame:
     """The same spans window by window, for buckets of any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k1, k2, start, piece, many in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for own, k2, start, piece, many in zip(*(b.column(i).to_pylist() for i in range(5))):
                 n = len(piece) - LENGTH + 1
                 d = [xxhash.xxh3_128_intdigest(piece[i : i + LENGTH]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x >> 65 for x in d], pa.int64()), pa.array([(x & ((1 << 64) - 1)) >> 1 for x in d], pa.int64()), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array([many] * n)],
-                    ["w1", "w2", "k1", "k2", "start", "many"],
+                    [pa.array([x >> 65 for x in d], pa.int64()), pa.array([(x & ((1 << 64) - 1)) >> 1 for x in d], pa.int64()), pa.array([own] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array([many] * n)],
+                    ["w1", "w2", "own", "k2", "start", "many"],
                 )
 
-    rows = distinct.select("lo.k1", "lo.k2", "lo.start", "piece", "many").mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, start int, many boolean")
+    rows = pieces.select("own", "k2", "start", "piece", "many").mapInArrow(run, "w1 long, w2 long, own long, k2 long, start int, many boolean")
     rows = written(rows, "windows")
     twice = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    return rows.filter("not many").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
+    return rows.filter("not many").join(twice, ["w1", "w2"], "left_semi").select("own", "k2", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 
 
 def _apply(active: DataFrame) -> DataFrame:
@@ -202,7 +227,7 @@ def _apply(active: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k1, k2, data, spans in zip(*(batch.column(i) for i in range(4))):
+            for own, k2, data, spans in zip(*(batch.column(i) for i in range(4))):
                 data, merged = data.as_py(), []
                 for s, e in sorted((x["start"], x["end"]) for x in spans.as_py()):
                     if merged and s <= merged[-1][1]:
@@ -214,20 +239,21 @@ def _apply(active: DataFrame) -> DataFrame:
                     left.update(data[at:s])
                     at = e
                 left.update(data[at:])
-                rows.append((k1.as_py(), k2.as_py(), [{"start": s, "end": e} for s, e in merged], left.hexdigest()))
+                rows.append((own.as_py(), k2.as_py(), [{"start": s, "end": e} for s, e in merged], left.hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["k1", "k2", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["own", "k2", "spans", "kept_sha256"])
 
-    return active.mapInArrow(run, "k1 long, k2 long, spans array<struct<start: int, end: int>>, kept_sha256 string")
+    return active.mapInArrow(run, "own long, k2 long, spans array<struct<start: int, end: int>>, kept_sha256 string")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte ranges, in order) and kept_sha256, one row per input row."""
     with scratch(docs.sparkSession) as keep:
         keyed = _keyed(docs, key, text)
-        sig = keep(written(signatures(keyed), "signatures"))
-        cls, removed = _repeats(keyed, sig, hot_bytes, keep)
-    out = sig.drop("runs").join(cls.select("k1", "k2", "copies"), ["k1", "k2"], "left").join(removed, ["k1", "k2"], "left")
+        sig = written(signatures(keyed), "signatures", "zstd")
+        rows = keep(written(sig.drop("runs"), "rows", "zstd"))
+        cls, removed = _repeats(keyed, sig, rows, hot_bytes, keep)
+    out = rows.join(cls.select("k1", "k2", "copies"), ["k1", "k2"], "left").join(removed, ["own", "k2"], "left")
     copied = F.col("copies") > 1
     all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
     none = F.array().cast("array<struct<start: int, end: int>>")
@@ -239,37 +265,44 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     )
 
 
-def _repeats(keyed: DataFrame, sig: DataFrame, hot_bytes: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _repeats(keyed: DataFrame, sig: DataFrame, rows: DataFrame, hot_bytes: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Each text's copies, and the spans and rest of the texts that repeat something; both written and kept."""
-    cls = sig.filter(F.col("n_bytes") >= LENGTH).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("runs").alias("runs"))
-    cls = keep(written(cls, "classes"))
+    cls = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("k1", "k2").agg(F.min("row").alias("row"), F.min_by("own", "row").alias("own"), F.count(F.lit(1)).alias("copies"))
+    cls = keep(written(cls, "classes", "zstd"))
 
-    posted = cls.select("k1", "k2", "rep", F.explode("runs").alias("r")).select("k1", "k2", "rep", "r.*")
+    posted = sig.select("row", F.explode("runs").alias("r")).select("row", "r.*")
     shared = posted.groupBy("bucket").agg((F.count(F.lit(1)) + F.sum(F.col("multi").cast("long"))).alias("n")).filter("n > 1").select("bucket")
-    hits = posted.join(shared, "bucket", "left_semi").groupBy("k1", "k2", "rep").agg(F.collect_list(F.struct("bucket", "start", "end")).alias("runs")).withColumnsRenamed({"k1": "c1", "k2": "c2"})
-    active = keyed.join(hits, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    active = written(active.select("k1", "k2", "bytes", "runs"), "active")
-
-    pieces = written(_cut_pieces(active), "pieces")
-    place = F.struct("k1", "k2", "start")
-    distinct = pieces.groupBy("bucket", "p1", "p2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("piece").alias("piece"))
-    distinct = written(distinct.select("bucket", "p1", "p2", "lo", (F.col("lo") != F.col("hi")).alias("many"), "piece"), "distinct")
-    whole = pieces.select("bucket", "p1", "p2", "k1", "k2", "start", (F.col("start") + F.octet_length("piece")).cast("int").alias("end"))
-    whole = whole.join(distinct.filter("many").select("bucket", "p1", "p2"), ["bucket", "p1", "p2"], "left_semi").select("k1", "k2", "start", "end")
-
-    size = F.octet_length("piece").cast("long")
-    counted = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("longest"))
-    # a lone piece can repeat only within itself, and only if it is longer than a window
-    hot = written(counted.filter(F.col("bytes") > hot_bytes).select("bucket"), "hot")
-    some = counted.filter((F.col("bytes") <= hot_bytes) & ((F.col("n") > 1) | (F.col("longest") > LENGTH))).select("bucket", "bytes")
-    spans = whole.unionByName(_sorted_blocks(distinct.join(some, "bucket")))
+    # all runs are exchanged here: start, length (up to MOST_RUN) and multi go as one number
+    packed = F.shiftleft(F.col("start").cast("long"), 12) + (F.col("end") - F.col("start")) * 2 + F.col("multi").cast("int")
+    hits = posted.select("row", "bucket", packed.alias("run")).join(shared, "bucket", "left_semi").groupBy("row").agg(F.collect_list(F.struct("bucket", "run")).alias("runs"))
+    hits = hits.join(cls.select("row", "own", "k2"), "row").select("own", "k2", "runs")
+    texts = keyed.select("own", "k2", "bytes").join(hits, ["own", "k2"]).dropDuplicates(["own", "k2"])
+    with bucketed(texts, ["own", "k2"], "active") as active:
+        dropped(sig.sparkSession, sig.veritree_path)
+        return cls, keep(written(_apply(_with_spans(active, hot_bytes)), "removed"))
+
+
+def _with_spans(active: DataFrame, hot_bytes: int) -> DataFrame:
+    """The texts that repeat something, with the spans of the repeats."""
+    pieces = written(_digested(active), "pieces", "zstd")
+    place = F.struct("own", "k2", "start")
+    distinct = pieces.groupBy("bucket", "p1", "p2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max(F.col("end") - F.col("start")).alias("size"), F.max("multi").alias("multi"))
+    distinct = written(distinct.select("bucket", "p1", "p2", "lo.*", (F.col("lo") != F.col("hi")).alias("many"), "size", "multi"), "distinct", "zstd")
+    whole = pieces.join(distinct.filter("many").select("bucket", "p1", "p2"), ["bucket", "p1", "p2"], "left_semi").select("own", "k2", "start", "end")
+
+    size = F.col("size").cast("long")
+    counted = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max("multi").alias("multi"), F.min("many").alias("all"))
+    # a piece that occurs twice is a repeat as a whole; a lone piece can repeat only within itself, and then has the bucket's string twice
+    counted = counted.filter(~F.col("all") & ((F.col("n") > 1) | F.col("multi"))).select("bucket", "bytes")
+    wanted = written(distinct.select("bucket", "own", "k2", "start", "size", "many").join(counted, "bucket"), "wanted", "zstd")
+    some, hot = wanted.filter(F.col("bytes") <= hot_bytes), wanted.filter(F.col("bytes") > hot_bytes)
+    spans = whole.unionByName(_sorted_blocks(_cut(active, some)))
     if not hot.isEmpty():
-        spans = spans.unionByName(_by_digest(distinct.join(hot, "bucket", "left_semi")))
-    spans = written(spans, "spans")
+        spans = spans.unionByName(_by_digest(_cut(active, hot)))
+    spans = written(spans, "spans", "zstd")
 
-    by_text = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = active.select("k1", "k2", "bytes").join(by_text, ["k1", "k2"])
-    return cls, keep(written(_apply(texts), "removed")).dropDuplicates(["k1", "k2"])
+    by_text = spans.groupBy("own", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return active.select("own", "k2", "bytes").join(by_text, ["own", "k2"])
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -36,11 +36,11 @@ def reserved(spark: SparkSession, name: str = "step") -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, readable after executors are lost."""
     spark = df.sparkSession
     path = reserved(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.veritree_path = path
     return out
@@ -54,6 +54,22 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, keys: list[str], name: str = "step") -> Iterator[DataFrame]:
+    """df as a table of the shared folder in buckets by keys, until the context ends: joins by all of the keys do not move its rows again."""
+    spark = df.sparkSession
+    path = reserved(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        # where a join by the keys comes before, this is its own exchange
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").saveAsTable(table, format="parquet", path=path)
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        dropped(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes, when it ends, the tables that written() made inside it. Gets a function that keeps one of them; an outer scratch() then has it.
