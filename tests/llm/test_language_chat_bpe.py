@@ -171,6 +171,56 @@ def test_long_texts_go_in_pieces(vocab, reference, monkeypatch):
     assert [x.decode() for x in codec.decode(ids)] == texts
 
 
+class Counted:
+    """A connection that counts its queries."""
+
+    def __init__(self, con):
+        self.con, self.queries = con, []
+
+    def __getattr__(self, name):
+        return getattr(self.con, name)
+
+    def sql(self, query):
+        self.queries.append(query)
+        return self.con.sql(query)
+
+
+def test_new_words_of_many_texts_are_one_query(vocab, reference):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("abcdefghé", k=9)) for _ in range(1000)) for _ in range(40)]
+    codec = bpe.Codec(vocab)
+    codec.con = Counted(codec.con)
+    ids = list(codec.encode(texts))
+    assert [x.tolist() for x in ids] == [reference.encode_ordinary(t) for t in texts]
+    assert len(codec.con.queries) == 1
+    assert [x.tolist() for x in codec.encode(texts[::-1])] == [x.tolist() for x in ids[::-1]] and len(codec.con.queries) == 1
+    assert list(codec.decode(ids)) == [t.encode() for t in texts]
+    assert len(codec.con.queries) == 2 and "ORDER BY i" not in codec.con.queries[-1]
+
+
+@pytest.mark.parametrize("words, chars", [(3, 10**6), (10**6, 12)])
+def test_full_generations_hand_on_their_words(vocab, reference, monkeypatch, words, chars):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", words)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", chars)
+    codec = bpe.Codec(vocab)
+    codec.con = Counted(codec.con)
+    for text in ("one two three", "one four two", "two five one", "x" * 3000 + " one two", "one two " + "z" * 300, "six", "seven six one"):
+        assert [x.tolist() for x in codec.encode([text, None, text])] == [reference.encode_ordinary(t) for t in (text, "", text)]
+        assert len(codec.known) + len(codec.older) <= 8
+    asked = len(codec.con.queries)
+    assert [x.tolist() for x in codec.encode(["seven six one"])] == [reference.encode_ordinary("seven six one")]
+    assert len(codec.con.queries) == asked
+
+
+def test_no_id_beyond_the_vocabulary_is_decoded(vocab):
+    codec = bpe.Codec(vocab)
+    last = len(vocab.tokens) - 1
+    assert list(codec.decode([np.array([last, 0], np.int32), np.zeros(0, np.int32)])) == [vocab.tokens[last] + vocab.tokens[0], b""]
+    for bad in (-1, last + 1, 2**31 - 1):
+        with pytest.raises(ValueError):
+            list(codec.decode([np.array([0, bad, 0], np.int32)]))
+
+
 def test_digests_of_odd_rows(spark, vocab, reference):
     df = odd_documents(spark)
     got = bpe.digests(df, vocab).collect()

@@ -1,28 +1,28 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
 A vocabulary file gives byte strings by rank; a text is split by a pattern, and in each word the
-leftmost pair of least rank is merged until no pair has a rank. Here each task splits its texts, hands
+leftmost pair of least rank is merged until no pair has a rank. Here each task splits its texts and numbers their words, hands
 the distinct words it has not met yet to DuckDB, and joins the answers up again. In DuckDB a word is a
 string with one character for each id, whose positions become rows that join the merge table; each step of the
-recursive query contracts the minimum-rank pair of every unfinished word, until the fixpoint. The leftmost occurrence of that
+recursive query contracts the minimum-rank pair of every word that still has one, until the fixpoint. The leftmost occurrence of that
 pair goes first, then its others in the same step, which they would be next anyway: a merge makes only pairs of higher
-rank, since a token's parts are found by lower ranks (load_vocabulary). Words of all lengths take this one way. Decoding joins
-(text, position, id) rows with the vocabulary and aggregates bytes in order of position.
+rank, since a token's parts are found by lower ranks (load_vocabulary). Words of all lengths take this one way. Decoding is a
+DuckDB query as well: it selects the ids of a text from the list of the vocabulary's byte strings, in their order.
 
 Null text is empty and has no tokens; so has empty text. Invalid ids in decoding raise ValueError.
 Repeated rows are encoded alike; extra columns are carried if named in `carry`. No special tokens are
 recognised in texts. An empty table gives an empty table.
 
-Scale: a map over the scan, without shuffle. A task holds one block of texts (BLOCK_CHARS characters,
-or one long text in pieces) and two generations of a word cache, of at most CACHE_WORDS words each.
+Scale: a map over the scan, without shuffle. A task holds one slice of texts (SLICE_BYTES), the words of one text, or of
+a piece of a long one, and two generations of a word cache, each closed by the block of texts that makes it full (CACHE_WORDS, CACHE_CHARS).
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, islice
+from itertools import accumulate, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of texts split at once, tokens decoded at once, tokens whose bytes are aggregated in one group.
+#: Characters of a text split at once, words of a piece of a longer one and tokens decoded at once, tokens of one row that is decoded.
 BLOCK_CHARS, BLOCK_TOKENS, PIECE_TOKENS = 1_000_000, 250_000, 4096
-#: Characters of the words of one recursive query; words that a generation of the cache holds; tokens of a word that are scanned as one string.
-BLOCK_BYTES, CACHE_WORDS, PART = 150_000, 150_000, 256
+#: Words of texts that are numbered before the new ones among them are encoded.
+BLOCK_WORDS = 1_000_000
+#: Characters of the words of one recursive query; tokens of a word that are scanned as one string.
+BLOCK_BYTES, PART = 600_000, 256
+#: Words and characters with which a generation of the cache is full.
+CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
 #: Rows and bytes of texts that are encoded and decoded before they are sent on.
-SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 DUCK_MEMORY = "150MB"
 
 
@@ -79,29 +83,29 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern, tuple(tokens), ids, np.array(pairs, np.int64), np.array(merged, np.int32))
 
 
-#: One step: the positions of every unfinished word join the merge table; its minimum-rank pair (k is the merged token and
-#: its two parts, one character each) is contracted, leftmost first, wherever it stands. Words without such a pair are done.
+#: One step: the positions of every word join the merge table; its minimum-rank pair (k is the merged token and its two parts, one
+#: character each) is contracted, leftmost first, wherever it stands. A word without such a pair has no next step: its last one is the answer.
 ENCODE = """
 WITH RECURSIVE t AS (
-  SELECT w, s, false AS done FROM words
+  SELECT w, s, 0 AS step FROM words
   UNION ALL
-  SELECT w, CASE WHEN k IS NULL THEN s ELSE replace(s, k[2:], k[1]) END, k IS NULL
+  SELECT w, replace(s, k[2:], k[1]), step
   FROM (
-    SELECT w, first(s) AS s, min(k) AS k
+    SELECT w, first(s) AS s, min(k) AS k, first(step) + 1 AS step
     FROM (
-      SELECT w, s, substring(part, unnest(range(1, greatest(length(part), 2))), 2) AS pair
-      FROM (SELECT w, s, CASE WHEN length(s) <= {part} THEN s ELSE substring(s, unnest(range(1, greatest(length(s), 2), {part})), {part} + 1) END AS part FROM t WHERE NOT done)
-    ) LEFT JOIN merges USING (pair)
+      SELECT w, s, step, substring(part, unnest(range(1, length(part))), 2) AS pair
+      FROM (SELECT w, s, step, {part} AS part FROM t)
+    ) JOIN merges USING (pair)
     GROUP BY w
   )
 )
-SELECT w, s FROM t WHERE done ORDER BY w
+SELECT w, arg_max(s, step) AS s FROM t GROUP BY w ORDER BY w
 """
+#: What is scanned as one string: a word, or its parts of PART tokens, each with the first one of the next.
+WHOLE, PARTS = "s", "CASE WHEN length(s) <= {0} THEN s ELSE substring(s, unnest(range(1, greatest(length(s), 2), {0})), {0} + 1) END"
 
-#: Bytes as characters below 256.
-DECODE = """
-SELECT d, string_agg(b, '' ORDER BY i) AS b, count(b) AS n, count(*) AS of_n FROM ids LEFT JOIN vocab USING (id) GROUP BY d ORDER BY d
-"""
+#: Bytes as characters below 256; places count from 1.
+DECODE = "SELECT array_to_string(list_select(v, places), '') AS b FROM lists, vocab ORDER BY d"
 
 
 def _characters(ids: np.ndarray) -> np.ndarray:
@@ -115,6 +119,38 @@ def _ids(characters: str) -> np.ndarray:
     return (up - (up >= 0xE000) * np.uint32(0x800)).astype(np.int32) - 1
 
 
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[i], ..., starts[i] + lens[i] - 1 for each i in turn."""
+    before = np.cumsum(lens) - lens
+    return np.repeat(starts - before, lens) + np.arange(lens.sum())
+
+
+class Words(dict):
+    """A generation of the cache: word -> its place. A word asked for the first time gets the next place and is fresh until its ids are known."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.chars = 0
+        #: the ids of place p are ids[ends[p] : ends[p + 1]]
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of places begin, and how many they are."""
+        return self.ends[places], self.ends[places + 1] - self.ends[places]
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The ids of places, joined up."""
+        return self.ids[_ranges(*self.spans(places))]
+
+
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary, and a cache of encoded words."""
 
@@ -126,51 +162,61 @@ class Codec:
         shown = _characters(np.arange(len(vocab.tokens))).tobytes().decode("utf-32-le")
         pairs = [shown[p >> 32] + shown[p & 0xFFFFFFFF] for p in vocab.pairs.tolist()]
         merges = pa.table({"pair": pairs, "k": [shown[m] + p for m, p in zip(vocab.merged.tolist(), pairs)]})
-        names = pa.table({"id": pa.array(range(len(vocab.tokens)), pa.int32()), "b": [t.decode("latin-1") for t in vocab.tokens]})
+        names = pa.table({"v": [[t.decode("latin-1") for t in vocab.tokens]]})
         for name, data in (("merges", merges), ("vocab", names)):
             self.con.register("given", data)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
         self.byte_characters = _characters(vocab.byte_ids)
-        #: word -> its ids as characters; of two generations, as a full one is only dropped when the next is full as well
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Puts the ids of the words in the cache, in blocks of BLOCK_BYTES."""
-        older, known, block, size = self.older, self.known, [], 0
-        for w in words:
-            if found := older.get(w):
-                known[w] = found
-                continue
-            block.append(w)
-            size += len(w)
-            if size >= BLOCK_BYTES:
-                self._solve(block)
-                block, size = [], 0
-        if block:
-            self._solve(block)
-
-    def _solve(self, words: list[str]) -> None:
+        #: two generations, as a full one is only dropped when the next is full as well
+        self.known, self.older = Words(), Words()
+
+    def _solve(self, words: list[str]) -> list[str]:
+        """The ids of each word, as characters."""
         every = [w.encode() for w in words]
         shown = self.byte_characters[np.frombuffer(b"".join(every), np.uint8)].tobytes().decode("utf-32-le")
         ends = list(accumulate(map(len, every)))
         self.con.register("words", pa.table({"w": pa.array(np.arange(len(words)), pa.int32()), "s": [shown[a:b] for a, b in zip([0, *ends], ends)]}))
-        out = self.con.sql(ENCODE.format(part=PART)).to_arrow_table()["s"].to_pylist()
+        part = WHOLE if max(map(len, every)) <= PART else PARTS.format(PART)
+        out = self.con.sql(ENCODE.format(part=part)).to_arrow_table()["s"].to_pylist()
         self.con.unregister("words")
-        self.known.update(zip(words, out))
-
-    def _ready(self, words: set[str]) -> None:
-        """All the words are in the cache when this returns."""
-        if len(self.known) + len(new := words.difference(self.known)) > CACHE_WORDS:
-            self.older, self.known, new = self.known, {}, words
-        if new:
-            self._learn(new)
+        return out
+
+    def _learn(self) -> None:
+        """The ids of all fresh words: from the older generation, or by queries over blocks of BLOCK_BYTES characters."""
+        known, older = self.known, self.older
+        if not (fresh := known.fresh):
+            return
+        places = np.fromiter(map(older.get, fresh, repeat(-1)), np.int32, len(fresh))
+        new = places < 0
+        unmet = [fresh[i] for i in np.flatnonzero(new).tolist()]
+        ends = np.cumsum([len(w) for w in unmet], dtype=np.int64)
+        solved: list[str] = []
+        while (at := len(solved)) < len(unmet):
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES)) + 1
+            solved += self._solve(unmet[at:end])
+        lens, starts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        starts[~new], lens[~new] = older.spans(places[~new])
+        lens[new] = [len(s) for s in solved]
+        starts[new] = len(older.ids) + np.cumsum(lens[new]) - lens[new]
+        ids = np.concatenate([older.ids, _ids("".join(solved))])[_ranges(starts, lens)]
+        known.ids = np.concatenate([known.ids, ids])
+        known.ends = np.concatenate([known.ends, known.ends[-1] + np.cumsum(lens)])
+        known.chars += sum(map(len, fresh))
+        known.fresh = []
+
+    def _words(self) -> Words:
+        """The generation that takes new words now."""
+        if len(self.known) >= CACHE_WORDS or self.known.chars >= CACHE_CHARS:
+            self.older, self.known = self.known, Words()
+        return self.known
 
     def words_to_ids(self, words: list[str]) -> np.ndarray:
         """The ids of a sequence of words."""
-        self._ready(set(words))
-        return _ids("".join(map(self.known.__getitem__, words)))
+        known = self._words()
+        places = known.places(words)
+        self._learn()
+        return known.of(places)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text its ids; texts are taken in blocks."""
@@ -184,16 +230,13 @@ class Codec:
                 yield np.concatenate(parts)
                 at += 1
                 continue
-            split: list[list[str]] = []
-            size = 0
-            while at < len(texts) and size <= BLOCK_CHARS and len(texts[at] or "") <= BLOCK_CHARS:
-                split.append(self.pattern.findall(texts[at] or ""))
-                size += len(texts[at] or "")
+            known, split, held = self._words(), [], 0
+            while at < len(texts) and held < BLOCK_WORDS and len(texts[at] or "") <= BLOCK_CHARS:
+                split.append(known.places(self.pattern.findall(texts[at] or "")))
+                held += len(split[-1])
                 at += 1
-            self._ready(set().union(*split))
-            get = self.known.__getitem__
-            for s in split:
-                yield _ids("".join(map(get, s)))
+            self._learn()
+            yield from map(known.of, split)
 
     def decode(self, ids: list[np.ndarray]) -> Iterator[bytes]:
         """For each array of ids its bytes; long arrays are decoded in pieces."""
@@ -204,16 +247,12 @@ class Codec:
         def flush():
             if pieces:
                 flat = np.concatenate(pieces)
-                lens = np.array([len(p) for p in pieces])
-                d = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
-                i = np.arange(len(flat), dtype=np.int32)
-                self.con.register("ids", pa.table({"d": d, "i": i, "id": flat.astype(np.int32)}))
-                got = self.con.sql(DECODE).to_arrow_table()
-                for k, b, n, of_n in zip(*(got[c].to_pylist() for c in ("d", "b", "n", "of_n"))):
-                    if n != of_n:
-                        raise ValueError("ids that the vocabulary does not have")
-                    out[owner[k]].append(b.encode("latin-1"))
-                self.con.unregister("ids")
+                if flat.min() < 0 or flat.max() >= len(self.vocab.tokens):
+                    raise ValueError("ids that the vocabulary does not have")
+                self.con.register("lists", pa.table({"d": np.arange(len(pieces), dtype=np.int32), "places": _lists([p + 1 for p in pieces])}))
+                for k, b in zip(owner, self.con.sql(DECODE).to_arrow_table()["b"].to_pylist()):
+                    out[k].append(b.encode("latin-1"))
+                self.con.unregister("lists")
                 pieces.clear()
                 owner.clear()
 
