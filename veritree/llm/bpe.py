@@ -39,9 +39,9 @@ BLOCK_WORDS = 1_000_000
 #: Characters of the words of one recursive query; tokens of a word that are scanned as one string.
 BLOCK_BYTES, PART = 600_000, 256
 #: Words and characters with which a generation of the cache is full.
-CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 12_000_000
 #: Rows and bytes of texts that are encoded and decoded before they are sent on.
-SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 DUCK_MEMORY = "150MB"
 
 
