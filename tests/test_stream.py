@@ -123,3 +123,25 @@ def test_calls_to_the_state_follow_runs_not_events(spark):
     assert calls < 20 * (2 + 30) + 20
     for cuts in ([500, end], [100, 200, 300, 301, 700, end], list(range(40, 1100, 40)) + [end]):
         assert judged(rows, cuts)[0] == once
+
+
+@pytest.mark.parametrize("page", [1_000, 20])
+def test_calls_to_the_state_follow_pages_not_runs_or_actions(spark, monkeypatch, page):
+    monkeypatch.setattr(stream, "_PAGE", page, raising=False)
+    r, rows, ids = random.Random(9), [], ["", "n", "r", "\u00e91", *(f"r{k}" for k in range(2000))]
+    names = [*stream.EVENT_NAMES, "ODD", None]
+    for k in range(12_000):
+        event = r.choices(names, [12, 20, 20, 4, 2, 1, 0.3])[0]
+        tool, mode = r.choice([*catalogue_plans.TOOLS] * 3 + ["x", None]), r.choice(["APPLY", "UNDO", "APPLY", "UNDO", "odd", None])
+        rows.append({"ts_ms": 1 + k // 10, "seq": k, "run_id": r.choice(ids), "event": event, "tool": tool, "mode": mode, "target_run_id": r.choice([None, None, "", "r1", "r2"]), "action_id": r.choice([None, "", "a", "b", "c", "1:a"]), "action_count": r.choice([None, 0, 1, -1]), "reason": r.choice([None, "", "s"])})
+    events = spark.createDataFrame([{**x, "ts": None} for x in rows], "seq long, run_id string, event string, tool string, mode string, target_run_id string, action_id string, action_count long, reason string")
+    want = sorted(map(tuple, journal.event_problems(events, catalogue_plans.TOOLS).collect()))
+    assert len({x[2] for x in want}) == 15
+    for cuts in ([10**6], [400, 800, 10**6], [*range(100, 1300, 100), 10**6]):
+        got, calls = judged(rows, cuts)
+        assert got == want and (page < 1_000 or calls < 40 * len(cuts))
+    # a run without an id is one run
+    some = [{**x, "run_id": None} for x in rows[:50]]
+    events = spark.createDataFrame(some, events.schema)
+    want = [x for x in map(tuple, journal.event_problems(events, catalogue_plans.TOOLS).orderBy("seq").collect())]
+    assert judged(some, [3, 10**6])[0] == want and {x[1] for x in want} == {None}
